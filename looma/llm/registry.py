@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, url_filter
+from . import bpe, langid, pii, toxicity, url_filter
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_langid": langid.op2_langid,
     "op3_bpe": bpe.op3_bpe,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: (verdict, host, path); the longest that fits wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -61,8 +61,9 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     """outcomes (host, bad: 1, 0 or null for pages without a label) -> host, n, bad, rate, strength."""
     domain, suffix = _levels(F.col("host"))
     hosts = outcomes.groupBy("host").agg(F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"), F.count("bad").cast("double").alias("n")).withColumns({"domain": domain, "suffix": suffix})
+    hosts = written(hosts, "hosts")
     total = lambda df, *keys: df.groupBy(*keys).agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    domains = total(hosts, "domain", "suffix")
+    domains = written(total(hosts, "domain", "suffix"), "domains")
     suffixes = total(domains, "suffix").withColumn("all", F.lit(1))
     world = total(suffixes, "all").select("all", ((F.col("bad") + 1) / (F.col("n") + 2)).alias("parent_rate"))
     suffixes = _shrunk(suffixes, world, "all").select("suffix", F.col("rate").alias("parent_rate"))
@@ -94,9 +95,9 @@ def oracle() -> str:
     def shrunk(name: str, child: str, parent: str, key: str) -> str:
         return f"""
 {name}_tau AS (SELECT c.{key}, greatest(sum(n * pow(bad / n - parent_rate, 2)) / sum(n) - any_value(parent_rate) * (1 - any_value(parent_rate)) * count(*) / sum(n), 1e-4) AS tau
-  FROM {child} c JOIN {parent} p ON c.{key} = p.{key} WHERE n > 0 GROUP BY c.{key}),
+  FROM {child} c JOIN (SELECT {key}, parent_rate FROM {parent}) p ON c.{key} = p.{key} WHERE n > 0 GROUP BY c.{key}),
 {name}_prior AS (SELECT c.*, greatest(least(parent_rate, 0.999), 0.001) AS p, coalesce(tau, 1e-4) AS tau
-  FROM {child} c LEFT JOIN {parent} q ON c.{key} = q.{key} LEFT JOIN {name}_tau t ON c.{key} = t.{key}),
+  FROM {child} c LEFT JOIN (SELECT {key}, parent_rate FROM {parent}) q ON c.{key} = q.{key} LEFT JOIN {name}_tau t ON c.{key} = t.{key}),
 {name} AS (SELECT *, (bad + s * p) / (n + s) AS parent_rate, n + s AS strength FROM (SELECT *, greatest(least(p * (1 - p) / tau - 1, {STRENGTH[1]}), {STRENGTH[0]}) AS s FROM {name}_prior))"""
 
     return rf"""
@@ -109,7 +110,7 @@ hosts AS (SELECT host, sum(CASE WHEN by_rule = 'block' THEN 1.0::DOUBLE ELSE 0 E
 domains0 AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY ALL),
 suffixes0 AS (SELECT suffix, 1 AS "all", sum(bad) AS bad, sum(n) AS n FROM domains0 GROUP BY suffix),
 world AS (SELECT 1 AS "all", (sum(bad) + 1) / (sum(n) + 2) AS parent_rate FROM suffixes0),
-{shrunk("suffixes", "suffixes0", "world", '"all"').replace('"all"', '"all"')},
+{shrunk("suffixes", "suffixes0", "world", '"all"')},
 {shrunk("domains", "domains0", "suffixes", "suffix")},
 {shrunk("rep", "hosts", "domains", "domain")},
 low AS (SELECT host, round(parent_rate, 6) AS bad_rate, round(greatest(parent_rate - {Z} * sqrt(parent_rate * (1 - parent_rate) / (strength + 1)), 0), 6) AS bad_rate_low FROM rep)
