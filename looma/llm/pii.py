@@ -5,7 +5,8 @@ forms (obfuscated addresses, local telephone numbers, bank accounts, social secu
 context labelers vote on each (+1, 0, -1). Spark counts the votes by pattern over all documents; the table of patterns has
 a fixed bound (kinds x 3^labelers x shapes), so the driver runs expectation-maximisation on it: it estimates how reliable
 each labeler is and how likely each pattern is personal, and a logistic span classifier is trained on those posteriors.
-Base spans always stay; the classifier adds candidates beside them.
+Base spans always stay; the classifier adds valid candidates that overlap none of them. A span that fails its check (sum,
+number of digits) is evidence for the labelers, never a finding.
 
 Defined results: a null text counts as empty; repeated rows stay; an empty table trains nothing and gives no rows; other
 columns are ignored. Offsets are code points. Scans are linear in the text, whatever it holds.
@@ -36,6 +37,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 VEILED = re.compile(r"\b([A-Za-z0-9._%+-]{1,64}) ?[\[({] ?(?:at|AT) ?[\])}] ?([A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({] ?(?:dot|DOT) ?[\])}] ?)[A-Za-z0-9-]{1,63}){1,4})")
 VEIL = re.compile(r"[\[({] ?(?:at|AT) ?[\])}]")
+RUN = re.compile(r"(?<![0-9])[0-9]{13,16}(?![0-9])")
 NATIONAL = re.compile(r"(?<![0-9+.)(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -100,6 +102,7 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, bool]]:
     if VEIL.search(text):
         found += [(0, m.start(), m.end(), False, True) for m in VEILED.finditer(text)]
     if text.count("-") >= 2 or text.count(" ") >= 2 or text.count(".") >= 2:
+        found += [(2, m.start(), m.end(), False, luhn(m[0])) for m in RUN.finditer(text)]
         found += [(3, m.start(), m.end(), False, True) for m in NATIONAL.finditer(text)]
         found += [(5, m.start(), m.end(), False, m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000") for m in SSN.finditer(text)]
         found += [(4, m.start(), m.end(), False, _iban(m[0])) for m in IBAN.finditer(text)]
@@ -137,12 +140,13 @@ def scan(docs: DataFrame) -> DataFrame:
                 if is_base:
                     n[kind] += 1
                     base.append((start, kind, end))
-                else:
+                elif valid:
                     loose.append((start, kind, end, pattern))
-            taken = sorted((s, e) for s, _, e in base)
+            taken = [(s, e) for s, _, e in base]
             free = []
             for start, kind, end, pattern in sorted(loose):
                 if not any(s < end and start < e for s, e in taken):
+                    taken.append((start, end))
                     free.append(f"{KINDS[kind]}:{start}:{end}:{pattern.partition(':')[2]}")
             return n, [f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(base)], free, seen
 
@@ -215,7 +219,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for kind, start, end, is_base, valid in candidates(text):
             if is_base:
                 base.append((start, end, kind))
-            elif f"{KINDS[kind]}:{votes(text, kind, start, end, valid)}" in personal:
+            elif valid and f"{KINDS[kind]}:{votes(text, kind, start, end, valid)}" in personal:
                 loose.append((start, end, kind))
         spans = sorted(base + [x for x in loose if not any(s < x[1] and x[0] < e for s, e, _ in base)])
         out, at = [], 0
