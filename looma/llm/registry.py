@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, ngram_join, pii, toxicity, url_filter
+from . import bpe, decontaminate, langid, ngram_join, pii, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_langid": langid.op2_langid,
     "op3_bpe": bpe.op3_bpe,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op10_url_filter": url_filter.op10_url_filter,
 }
