@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, ngram_join, pii, toxicity, url_filter
+from . import bpe, decontaminate, embed_dedup, langid, ngram_join, pii, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_ngram_join": ngram_join.op8_ngram_join,
+    "op9_embed_dedup": embed_dedup.op9_embed_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 

@@ -19,7 +19,7 @@ def core(chunk: str) -> str:
 def grams(words: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, index of the word) of every n-gram of every word; ends of words are marked by < and >."""
     codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) + 2 for w in words])
     found, owners, h = [], [], codes
     with np.errstate(over="ignore"):
         for n in range(1, max(sizes) + 1):
@@ -27,7 +27,7 @@ def grams(words: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[np.nd
                 h = h[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
             if n in sizes:
                 whole = owner[: len(h)] == owner[n - 1 :]
-                found.append((mix(h[whole], n) & np.uint64(buckets - 1)).astype(np.int64))
+                found.append((mix(h[whole], n) & np.uint64(buckets - 1)).astype(np.int32))
                 owners.append(owner[: len(h)][whole])
     return np.concatenate(found), np.concatenate(owners)
 

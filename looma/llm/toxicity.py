@@ -15,6 +15,8 @@ rate, at most 0.49; repeated rows stay; other columns are kept by `reject` and i
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,7 @@ from .common import crc_mod, map_batches, table
 from .subword import WordValues, core, grams
 
 BUCKETS, DIM, GRAMS, WINDOW = 1 << 16, 8, (3, 4, 5, 6), 5
-PER_CLASS, MAX_CHARS = 2000, 12_000_000
+PER_CLASS, MAX_CHARS = 2000, 6_000_000
 SLICE, LEAST_TEXTS, DECAY = 200, 3, 1e-5
 
 
@@ -37,33 +39,34 @@ def _pool(z: np.ndarray, starts: np.ndarray, of: np.ndarray, sharp: float) -> tu
     return top + np.log(total / n) / sharp, e / total[of]
 
 
-def _with_slips(texts: list[str], labels: list[int], seed: int) -> tuple[list[str], list[int]]:
-    """The texts, and every third once more with one character of most words swapped, doubled or left out: the n-grams that
-    such slips leave whole learn to carry the label alone."""
-    rng = np.random.default_rng(seed)
-    more = []
-    for t in texts[::3]:
-        chunks = (t or "").lower().split()
-        kinds, places = rng.integers(0, 4, len(chunks)), rng.random(len(chunks))
-        for i, (w, k) in enumerate(zip(chunks, kinds, strict=True)):
-            if k and len(w) > 3:
-                j = 1 + int(places[i] * (len(w) - 2))
-                chunks[i] = w[:j] + ("*" if k == 1 else w[j] * 2 if k == 2 else "") + w[j + 1 :]
-        more.append(" ".join(chunks).replace("*", "0"))
-    return [*texts, *more], [*labels, *labels[::3]]
+def _slips(text: str, rng: np.random.Generator) -> str:
+    """The text with one character of most words swapped, doubled or left out: the n-grams that such slips leave whole
+    learn to carry the label alone."""
+    chunks = text.lower().split()
+    kinds, places = rng.integers(0, 4, len(chunks)), rng.random(len(chunks))
+    for i, (w, k) in enumerate(zip(chunks, kinds, strict=True)):
+        if k and len(w) > 3:
+            j = 1 + int(places[i] * (len(w) - 2))
+            chunks[i] = w[:j] + ("0" if k == 1 else w[j] * 2 if k == 2 else "") + w[j + 1 :]
+    return " ".join(chunks)
 
 
 def train(texts: list[str], labels: list[int], rate: float, epochs: int = 120, seed: int = 7) -> dict:
     """N-gram scores, bias and scale. rate: the share of label 1 among all labels, to which the bias is set."""
-    texts, labels = _with_slips(texts, labels, seed)
-    flat = [[c for w in (t or "").lower().split() if (c := core(w))] for t in texts]
-    keep = [i for i, t in enumerate(flat) if t]
-    y = np.array([labels[i] for i in keep], float)
-    if len(set(y)) < 2:
-        return {"q": np.zeros(BUCKETS, np.float32), "bias": float(np.log(min(rate, 0.49) / (1 - min(rate, 0.49)))) if rate > 0 else -4.0, "scale": 1.0}
+    rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
-    tokens = np.array([vocab.setdefault(c, len(vocab)) for i in keep for c in flat[i]])
-    n = np.array([len(flat[i]) for i in keep])
+    flat, sizes, marks = array("i"), [], []
+    for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
+        for version in (text, _slips(text, rng)) if i % 3 == 0 else (text,):
+            before = len(flat)
+            flat.extend(vocab.setdefault(c, len(vocab)) for w in version.lower().split() if (c := core(w)))
+            if len(flat) > before:
+                sizes.append(len(flat) - before)
+                marks.append(label)
+    y, n = np.array(marks, float), np.array(sizes)
+    if len(set(marks)) < 2:
+        return {"q": np.zeros(BUCKETS, np.float32), "bias": float(np.log(min(rate, 0.49) / (1 - min(rate, 0.49)))) if rate > 0 else -4.0, "scale": 1.0}
+    tokens = np.frombuffer(flat, np.int32)
     at = np.concatenate([[0], np.cumsum(n)])
     gram, owner = grams(list(vocab), GRAMS, BUCKETS)
     count = np.bincount(owner, minlength=len(vocab))
@@ -78,7 +81,6 @@ def train(texts: list[str], labels: list[int], rate: float, epochs: int = 120, s
     of = np.repeat(np.arange(len(n)), wins)
     first = np.repeat(at[:-1] - starts, wins) + np.arange(wins.sum())
     width = np.minimum(WINDOW, n)[of]
-    rng = np.random.default_rng(seed)
     vectors, u, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, DIM), 0.0
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, u, np.zeros(1))]
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
