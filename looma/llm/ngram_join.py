@@ -41,11 +41,11 @@ def prefix(n):
     return n - (SIMILAR * n + 99) // 100 + 1
 
 
-def _pack(docs: DataFrame, buckets: int) -> DataFrame:
+def pack(docs: DataFrame, buckets: int, make_sets=Shingler) -> DataFrame:
     """bucket, block, docs (arrays of the block's documents: id, n, set hash; in bucket -1 only), counts, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, part, at = Shingler(), TaskContext.get().partitionId(), 0
+        shingle, part, at = make_sets(), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         values: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -90,7 +90,7 @@ def _pack(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, block long, data binary, counts binary")
 
 
-def _repeated(buckets: int):
+def repeated(buckets: int):
     """Of one bucket: the shingles that are in two or more documents, back to the blocks they came from."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -128,8 +128,8 @@ def _repeated(buckets: int):
     return run
 
 
-def _sets(rows: pa.Table) -> pa.Table:
-    """Of one block: doc_id, n, whole, and the shared shingles with their logarithms where a partner is possible."""
+def gathered(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of one block: ids, sizes and hashes of its sets; index of the set, shingle and logarithm of every shared shingle."""
     own, data, log = (rows.column(c).to_pylist() for c in ("own", "data", "log"))
     head = next(o for o, d in zip(own, data, strict=True) if not d)
     doc, n, whole = np.frombuffer(head, np.uint64).reshape(3, -1)
@@ -138,6 +138,12 @@ def _sets(rows: pa.Table) -> pa.Table:
     o = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(own[i], np.uint16).astype(np.int64) for i in parts)])
     v = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(data[i], np.uint64) for i in parts)])
     g = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(log[i], np.uint8) for i in parts)])
+    return doc.view(np.int64), n, whole.view(np.int64), o, v, g
+
+
+def _sets(rows: pa.Table) -> pa.Table:
+    """Of one block: doc_id, n, whole, and the shared shingles with their logarithms where a partner is possible."""
+    doc, n, whole, o, v, g = gathered(rows)
     shared = np.bincount(o, minlength=len(n))
     able = (n > 0) & (n - shared < prefix(n))
     keep = able[o]
@@ -147,7 +153,7 @@ def _sets(rows: pa.Table) -> pa.Table:
     cuts = np.searchsorted(o, np.arange(len(n) + 1))
     blob = lambda x, i: x[cuts[i] : cuts[i + 1]].tobytes() if able[i] else None
     return pa.table({
-        "doc_id": pa.array(doc.view(np.int64)), "n": pa.array(n), "whole": pa.array(whole.view(np.int64)),
+        "doc_id": pa.array(doc), "n": pa.array(n), "whole": pa.array(whole),
         "shingles": pa.array([blob(v, i) for i in range(len(n))], pa.binary()), "logs": pa.array([blob(g, i) for i in range(len(n))], pa.binary()),
     })
 
@@ -157,7 +163,7 @@ def shared_sets(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), int(chars / CHARS_A_SHINGLE / BUCKET) + 1)
-    back = _pack(docs, buckets).groupBy("bucket").applyInArrow(_repeated(buckets), "block long, own binary, data binary, log binary")
+    back = pack(docs, buckets).groupBy("bucket").applyInArrow(repeated(buckets), "block long, own binary, data binary, log binary")
     return back.groupBy("block").applyInArrow(_sets, "doc_id long, n long, whole long, shingles binary, logs binary")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embed_dedup, html_extract, langid, ngram_join, pii, toxicity, url_filter
+from . import bpe, decontaminate, embed_dedup, html_extract, langid, ngram_join, pii, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_langid": langid.op2_langid,
     "op3_bpe": bpe.op3_bpe,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_html_extract": html_extract.op5_html_extract,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontaminate": decontaminate.op7_decontaminate,
