@@ -1,6 +1,364 @@
-"""Registered queries on the given tables, with the SQL that states their results."""
+"""Registered queries: every operator on the given tables, with the SQL that states its result.
+
+The given tables stand for collections: orders are dealt to 20 tables by customer (table_id), a row is an order (row_idx),
+each fifth order is a query row and the others are context, and the price of each seventh order is missing.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import core
+from ..operators import cells as cells_mod
+from ..operators import embed, encode, metrics, profile, split, tables, tasks, verbalize
+from ..sources import collection, shards
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+ALL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+SEED = 7
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    return o.select(
+        (F.col("o_custkey") % 20).cast("string").alias("table_id"), F.col("o_orderkey").alias("row_idx"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("x"),
+        F.col("o_orderpriority").alias("label"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("ts"), F.when(F.col("o_orderkey") % 5 == 0, "query").otherwise("context").alias("role"),
+    )
+
+
+O_SQL = """o AS (SELECT CAST(o_custkey % 20 AS VARCHAR) AS table_id, o_orderkey AS row_idx, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS x,
+ o_orderpriority AS label, o_orderstatus AS status, o_orderdate AS ts, CASE WHEN o_orderkey % 5 = 0 THEN 'query' ELSE 'context' END AS role FROM orders)"""
+
+
+def H(*keys: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(keys)})), 1, 8))::BIGINT"
+
+
+def order_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of the orders: price (number), priority and status (text), date; and a constant and an empty column."""
+    o = orders(spark, d).withColumns({"constant": F.when(F.col("row_idx") % 3 == 0, "a"), "empty": F.when(F.col("role") == "query", "q")})
+    out = cells_mod.to_cells(o, F.col("table_id"), F.col("row_idx"), ["x", "label", "status", "ts", "constant", "empty"])
+    return out.withColumn("role", F.when(F.col("row_idx") % 5 == 0, "query").otherwise("context"))
+
+
+C_SQL = f"""{O_SQL}, p AS (SELECT *, CASE WHEN row_idx % 3 = 0 THEN 'a' END AS constant, CASE WHEN role = 'query' THEN 'q' END AS empty FROM o),
+cells AS (SELECT table_id, row_idx, role, 0 AS col_idx, 'x' AS col_name, 'number' AS kind, x AS num, NULL::VARCHAR AS txt, NULL::TIMESTAMP AS ts FROM p
+UNION ALL SELECT table_id, row_idx, role, 1, 'label', 'text', NULL, label, NULL FROM p
+UNION ALL SELECT table_id, row_idx, role, 2, 'status', 'text', NULL, status, NULL FROM p
+UNION ALL SELECT table_id, row_idx, role, 3, 'ts', 'date', NULL, NULL, ts FROM p
+UNION ALL SELECT table_id, row_idx, role, 4, 'constant', 'text', NULL, constant, NULL FROM p
+UNION ALL SELECT table_id, row_idx, role, 5, 'empty', 'text', NULL, empty, NULL FROM p)"""
+VALUE = "coalesce(CAST(num AS VARCHAR), txt, CAST(ts AS VARCHAR))"
+
+# --- profiles and routing ------------------------------------------------------------------------------------------
+
+#: Columns of each table and their kinds, in order (embeddings and long texts profile too).
+COLUMNS = {
+    "region": "r_regionkey:n r_name:t", "nation": "n_nationkey:n n_name:t n_regionkey:n", "customer": "c_custkey:n c_name:t c_nationkey:n c_acctbal:n c_mktsegment:t",
+    "part": "p_partkey:n p_name:t p_brand:t p_type:t p_size:n p_retailprice:n", "orders": "o_orderkey:n o_custkey:n o_orderstatus:t o_totalprice:n o_orderdate:d o_orderpriority:t",
+    "lineitem": "l_orderkey:n l_partkey:n l_suppkey:n l_linenumber:n l_quantity:n l_extendedprice:n l_discount:n l_tax:n l_returnflag:t l_linestatus:t l_shipdate:d",
+    "events": "event_id:n ts:d user_id:n event_type:t value:n props:t", "labels": "doc_id:n quality:n toxic:n", "conversations": "conv_id:n turn:n role:t text:t", "documents": "doc_id:n text:t lang:t source:t n_chars:n",
+}
+KIND = {"n": "number", "t": "text", "d": "date"}
+
+
+def profile_sql(names) -> str:
+    parts = []
+    for t in names:
+        for i, c in enumerate(COLUMNS[t].split()):
+            c, k = c.split(":")
+            parts.append(f"SELECT '{t}' AS table_id, count(*) AS num_rows, {i} AS col_idx, '{c}' AS col_name, '{KIND[k]}' AS kind, count({c}) AS n_non_null, count(DISTINCT {c}) AS n_distinct FROM {t}")
+    return "prof AS (SELECT *, (num_rows - n_non_null) / greatest(num_rows, 1) AS missing_ratio, n_distinct / greatest(num_rows, 1) AS unique_ratio FROM (" + " UNION ALL ".join(parts) + "))"
+
+
+def profiles(spark: SparkSession, d: str, names) -> DataFrame:
+    out = None
+    for t in names:
+        df = read(spark, d, t)
+        df = df.select(*[c.split(":")[0] for c in COLUMNS[t].split()])
+        p = profile.profile_table(df, t)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+ROUTE = """CASE WHEN n_non_null = 0 THEN 'none' WHEN kind = 'date' THEN 'none' WHEN kind = 'number' THEN
+ CASE WHEN missing_ratio > 0.5 OR n_distinct < 2 THEN 'none' WHEN n_distinct <= 20 THEN 'classification' ELSE 'regression' END
+ WHEN n_distinct < 2 OR n_distinct > 62 THEN 'none' WHEN unique_ratio <= 0.2 THEN 'classification' ELSE 'none' END"""
+LEGACY = """CASE WHEN n_non_null = 0 OR kind = 'date' THEN 'none' WHEN kind = 'number' THEN CASE WHEN missing_ratio <= 0.5 THEN 'regression' ELSE 'none' END
+ WHEN unique_ratio <= 0.2 THEN 'classification' ELSE 'none' END"""
+STAR = tuple(COLUMNS)
+
+
+@query("c1_profile_columns", f"WITH {profile_sql(STAR)} SELECT table_id, num_rows, col_idx, col_name, kind, n_non_null, n_distinct, round(missing_ratio, 6) AS missing_ratio, round(unique_ratio, 6) AS unique_ratio FROM prof")
+def _(spark, d):
+    return profiles(spark, d, STAR).withColumns({c: F.round(c, 6) for c in ("missing_ratio", "unique_ratio")})
+
+
+@query("c1_profile_cells", f"WITH {C_SQL} SELECT table_id, col_idx, col_name, kind, count(*) AS num_rows, count({VALUE}) AS n_non_null, count(DISTINCT {VALUE}) AS n_distinct FROM cells GROUP BY ALL")
+def _(spark, d):
+    return profile.profile_columns(order_cells(spark, d)).drop("missing_ratio", "unique_ratio")
+
+
+@query("c2_route_columns", f"WITH {profile_sql(('lineitem', 'events'))} SELECT table_id AS table_name, col_name AS column_name, kind, num_rows, n_distinct, {ROUTE} AS task FROM prof")
+def _(spark, d):
+    return profiles(spark, d, ("lineitem", "events")).select(F.col("table_id").alias("table_name"), F.col("col_name").alias("column_name"), "kind", "num_rows", "n_distinct", profile.route().alias("task"))
+
+
+@query("c3_target_candidates", f"WITH {profile_sql(STAR)}, r AS (SELECT *, {ROUTE} AS task FROM prof) SELECT table_id, coalesce(string_agg(col_name, ',' ORDER BY col_idx) FILTER (task = 'classification'), '') AS classification, coalesce(string_agg(col_name, ',' ORDER BY col_idx) FILTER (task = 'regression'), '') AS regression FROM r GROUP BY table_id")
+def _(spark, d):
+    c = profile.target_candidates(profiles(spark, d, STAR))
+    return c.select("table_id", F.array_join("classification", ",").alias("classification"), F.array_join("regression", ",").alias("regression"))
+
+
+@query("c4_classify_target_column", f"WITH {profile_sql(('part',))} SELECT col_name, {ROUTE} AS task FROM prof WHERE col_name = 'p_size'")
+def _(spark, d):
+    return profile.profile_table(read(spark, d, "part").select("p_size"), "part").select("col_name", profile.route().alias("task"))
+
+
+@query("c5_route_legacy", f"WITH {profile_sql(STAR)} SELECT table_id, col_name, {LEGACY} AS task FROM prof")
+def _(spark, d):
+    return profiles(spark, d, STAR).select("table_id", "col_name", profile.route_legacy().alias("task"))
+
+
+@query("c6_compare_routing", f"""WITH {profile_sql(STAR)}, r AS (SELECT *, {ROUTE} AS new, {LEGACY} AS old FROM prof),
+t AS (SELECT table_id, sum((old = 'regression' AND new = 'classification')::INT) AS recovered, sum((old = 'regression' AND new = 'none')::INT) AS degenerate, sum((old = 'classification' AND new = 'none')::INT) AS removed,
+ max((old = 'classification')::INT) AS old_classification, max((old = 'regression')::INT) AS old_regression, max((new = 'classification')::INT) AS new_classification, max((new = 'regression')::INT) AS new_regression FROM r GROUP BY table_id)
+SELECT sum(recovered)::BIGINT AS recovered, sum(degenerate)::BIGINT AS degenerate, sum(removed)::BIGINT AS removed, sum(old_classification)::BIGINT AS old_classification, sum(old_regression)::BIGINT AS old_regression, sum(new_classification)::BIGINT AS new_classification, sum(new_regression)::BIGINT AS new_regression FROM t""")
+def _(spark, d):
+    return profile.compare_routing(profiles(spark, d, STAR))
+
+
+LADDER = "CASE " + " ".join(f"WHEN n_distinct <= {b} THEN '<={b}'" for b in profile.BUCKETS) + " ELSE '>1000' END"
+
+
+@query("c7_cardinality_histogram", f"""WITH {profile_sql(STAR)}, f AS (SELECT CASE WHEN kind = 'number' THEN 'numeric' WHEN {LEGACY} = 'classification' THEN 'categorical' END AS family, {LADDER} AS bucket FROM prof)
+SELECT family, bucket, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY family), 6) AS pct FROM f WHERE family IS NOT NULL GROUP BY family, bucket""")
+def _(spark, d):
+    return profile.cardinality_histogram(profiles(spark, d, STAR)).withColumn("pct", F.round("pct", 6))
+
+
+WIDTHS = f"{O_SQL}, w AS (SELECT user_id, count(*) AS num_cols FROM events GROUP BY user_id)"
+
+
+def widths(spark, d):
+    """The number of a user's events stands for the width of a table."""
+    return read(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("num_cols"))
+
+
+@query("c8_width_distribution", f"WITH {WIDTHS} SELECT " + ", ".join(f"round(quantile_cont(num_cols, {p / 100}), 6) AS p{p}" for p in (50, 75, 90, 95, 99, 100)) + ", round(avg(num_cols), 6) AS mean_cols, max(num_cols) AS max_cols FROM w")
+def _(spark, d):
+    out = profile.width_distribution(widths(spark, d))
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "max_cols"})
+
+
+@query("c9_cap_impact", f"WITH {WIDTHS} SELECT cap, round(100.0 * avg((num_cols > cap)::INT), 6) AS pct_over, round(coalesce(avg(num_cols - cap) FILTER (num_cols > cap), 0), 6) AS mean_dropped FROM w, (SELECT unnest([5, 10, 20, 50, 128]) AS cap) GROUP BY cap")
+def _(spark, d):
+    return profile.cap_impact(widths(spark, d), (5, 10, 20, 50, 128)).withColumns({c: F.round(c, 6) for c in ("pct_over", "mean_dropped")})
+
+
+@query("c10_dtype_counts", f"WITH {profile_sql(STAR)} SELECT kind, count(*) AS n FROM prof GROUP BY kind")
+def _(spark, d):
+    return profiles(spark, d, STAR).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: (name, table, Spark expression, SQL expression, kind)
+LAST = (
+    ("price", "orders", "o_totalprice", "o_totalprice", "n"), ("price_text", "orders", "cast(cast(o_totalprice as decimal(20,2)) as string)", "CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS VARCHAR)", "t"), ("priority", "orders", "o_orderpriority", "o_orderpriority", "t"),
+    ("date", "orders", "o_orderdate", "o_orderdate", "d"), ("name_number", "customer", "substr(c_name, 10)", "substr(c_name, 10)", "t"), ("name", "customer", "c_name", "c_name", "t"), ("size", "part", "p_size", "p_size", "n"),
+    ("sparse", "orders", "case when o_orderkey % 10 < 3 then o_totalprice end", "CASE WHEN o_orderkey % 10 < 3 THEN o_totalprice END", "n"), ("nothing", "orders", "cast(null as string)", "CAST(NULL AS VARCHAR)", "t"),
+)
+NUM_RE = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)\s*$"
+
+
+def _last_sql() -> str:
+    parts = []
+    for name, t, _, e, k in LAST:
+        number = "v" if k == "n" else f"CASE WHEN regexp_full_match(lower(v), '{NUM_RE}') THEN TRY_CAST(trim(v) AS DOUBLE) END" if k == "t" else "NULL::DOUBLE"
+        every = "true" if k == "n" else f"coalesce(bool_and(regexp_full_match(lower(v), '{NUM_RE}')), false)" if k == "t" else "false"
+        parts.append(f"SELECT '{name}' AS table_id, {'true' if k == 'd' else 'false'} AS date_like, count(*) AS num_rows, count(v) AS n_non_null, count(DISTINCT v) AS k_text, count(DISTINCT {number}) AS k_number, {every} AS numeric, coalesce(bool_and(({number}) - floor({number}) < 1e-9), false) AS integer_like FROM (SELECT {e} AS v FROM {t})")
+    return "last AS (SELECT *, CASE WHEN numeric THEN k_number ELSE k_text END AS k FROM (" + " UNION ALL ".join(parts) + "))"
+
+
+REASON = """CASE WHEN num_rows = 0 THEN 'empty_table' WHEN n_non_null = 0 THEN 'all_null_target' WHEN date_like THEN 'date_like_target' WHEN (num_rows - n_non_null) / num_rows > 0.5 THEN 'missing_ratio_gt_50_percent'
+ WHEN numeric THEN CASE WHEN k / num_rows <= 0.2 THEN 'numeric_discrete_target' WHEN integer_like AND k <= 20 THEN 'numeric_integer_low_cardinality_target' ELSE 'numeric_continuous_target' END
+ WHEN k / num_rows <= 0.2 THEN 'categorical_discrete_target' WHEN k < n_non_null AND k <= 20 THEN 'categorical_low_cardinality_target' ELSE 'non_numeric_high_cardinality_target' END"""
+LABEL = f"(SELECT table_id, reason, CASE WHEN reason = 'numeric_continuous_target' THEN 'regression' WHEN reason LIKE '%discrete%' OR reason LIKE '%low_cardinality%' THEN 'classification' ELSE 'unknown' END AS label, numeric, integer_like, k FROM (SELECT *, {REASON} AS reason FROM last))"
+
+
+def last_columns(spark, d):
+    out = None
+    for name, t, e, _, _ in LAST:
+        p = profile.last_column_profile(read(spark, d, t).select(F.expr(e).alias("v")), "v", name)
+        out = p if out is None else out.unionByName(p)
+    return out.withColumn("r", profile.label_last_column())
+
+
+@query("c11_classify_last_column", f"WITH {_last_sql()} SELECT table_id, label, reason FROM {LABEL}")
+def _(spark, d):
+    return last_columns(spark, d).select("table_id", "r.label", "r.reason")
+
+
+@query("c12_coerce_numeric", f"WITH {_last_sql()} SELECT table_id, numeric, k FROM last")
+def _(spark, d):
+    return last_columns(spark, d).select("table_id", "numeric", "k")
+
+
+@query("c13_integer_like", f"WITH {_last_sql()} SELECT table_id, integer_like FROM last")
+def _(spark, d):
+    return last_columns(spark, d).select("table_id", "integer_like")
+
+
+@query("c14_summarize_labels", f"WITH {_last_sql()} SELECT label, count(table_id) AS n FROM (SELECT unnest(['classification', 'regression', 'unknown']) AS label) LEFT JOIN {LABEL} USING (label) GROUP BY label")
+def _(spark, d):
+    return profile.summarize_labels(last_columns(spark, d).select("r.label"))
+
+
+# --- filters and projections of tables -----------------------------------------------------------------------------
+
+
+def survivors(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("table_id", "col_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b1_drop_constant_columns", f"WITH {C_SQL}, k AS (SELECT table_id, col_name, count(*) AS n, count(DISTINCT {VALUE}) AS k FROM cells GROUP BY ALL) SELECT table_id, col_name, n FROM k WHERE k <> 1")
+def _(spark, d):
+    return survivors(tables.drop_constant_columns(order_cells(spark, d)))
+
+
+@query("b2_drop_all_null_columns", f"WITH {C_SQL}, k AS (SELECT table_id, col_name, count(*) AS n, count({VALUE}) FILTER (role = 'context') AS k FROM cells GROUP BY ALL) SELECT table_id, col_name, n FROM k WHERE k > 0")
+def _(spark, d):
+    return survivors(tables.drop_all_null_columns(order_cells(spark, d)))
+
+
+@query("b3_cap_columns", f"""WITH {C_SQL}, c AS (SELECT DISTINCT table_id, col_name FROM cells), r AS (SELECT *, count(*) OVER (PARTITION BY table_id) AS n, row_number() OVER (PARTITION BY table_id ORDER BY col_name = 'label', {H("'7'", 'table_id', 'col_name')}, col_name) AS rn FROM c)
+SELECT table_id, col_name FROM r WHERE n <= 4 OR col_name = 'label' OR rn < 4""")
+def _(spark, d):
+    return tables.cap_columns(order_cells(spark, d).select("table_id", "col_name").distinct(), 4, SEED, "label")
+
+
+@query("b4_feature_limit", f"WITH {WIDTHS} SELECT user_id, num_cols FROM w WHERE num_cols - 1 <= 10")
+def _(spark, d):
+    return tables.within_feature_limit(widths(spark, d), 10)
+
+
+@query("b5_min_rows", "SELECT o_custkey AS table_id, count(*) AS num_rows FROM orders GROUP BY o_custkey HAVING count(*) >= 10")
+def _(spark, d):
+    return tables.with_min_rows(read(spark, d, "orders").groupBy(F.col("o_custkey").alias("table_id")).agg(F.count(F.lit(1)).alias("num_rows")), 10)
+
+
+@query("b6_split_xy", "SELECT o_orderpriority FROM orders")
+def _(spark, d):
+    return tables.split_xy(read(spark, d, "orders"))[1]
+
+
+@query("b7_type_predicates", "SELECT * FROM (VALUES ('l_orderkey', true, false), ('l_discount', true, false), ('l_returnflag', false, false), ('l_shipdate', false, true)) t(column_name, numeric, date_like) WHERE (SELECT count(*) FROM lineitem) > 0")
+def _(spark, d):
+    df = read(spark, d, "lineitem")
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(core.is_numeric(df.schema[c].dataType)).alias("numeric"), F.lit(core.is_date_like(df.schema[c].dataType)).alias("date_like")) for c in ("l_orderkey", "l_discount", "l_returnflag", "l_shipdate")]
+    return df.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+@query("b9_missing_values", "SELECT sum((x IS NULL)::INT)::BIGINT AS na, sum((x IS NULL OR isinf(x))::INT)::BIGINT AS missing FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'inf'::DOUBLE ELSE o_totalprice END AS x FROM orders)")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    x = read(spark, d, "orders").select(F.when(k % 7 == 0, float("nan")).when(k % 11 == 0, float("inf")).otherwise(F.col("o_totalprice")).alias("x"))
+    return x.agg(F.sum(core.is_na(F.col("x"), True).cast("long")).alias("na"), F.sum(core.is_missing(F.col("x")).cast("long")).alias("missing"))
+
+
+# --- sources -------------------------------------------------------------------------------------------------------
+
+CHUNKS = f"{O_SQL}, i AS (SELECT table_id, row_idx AS own, row_number() OVER (PARTITION BY table_id ORDER BY row_idx) - 1 AS row_idx FROM o), ch AS (SELECT *, row_idx // 100 AS chunk_idx FROM i), ok AS (SELECT table_id, chunk_idx FROM ch GROUP BY ALL HAVING count(*) >= 60)"
+
+
+def numbered(spark, d):
+    o = orders(spark, d).withColumn("own", F.col("row_idx"))
+    return o.withColumn("row_idx", (F.row_number().over(W.partitionBy("table_id").orderBy("own")) - 1).cast("long"))
+
+
+@query("a2_row_chunks", f"WITH {CHUNKS} SELECT table_id, chunk_idx, own FROM ch JOIN ok USING (table_id, chunk_idx)")
+def _(spark, d):
+    return tables.row_chunks(numbered(spark, d), 100, 60).select("table_id", "chunk_idx", "own")
+
+
+@query("a3_probe", f"WITH {CHUNKS}, f AS (SELECT table_id, min(chunk_idx) AS chunk_idx FROM ok GROUP BY table_id) SELECT table_id, chunk_idx, own FROM ch JOIN f USING (table_id, chunk_idx)")
+def _(spark, d):
+    return tables.probe(tables.row_chunks(numbered(spark, d), 100, 60)).select("table_id", "chunk_idx", "own")
+
+
+def files(spark, d):
+    """Documents stand for files: 16 chunks, names that begin with a hash shared by two or three of them."""
+    k = F.col("doc_id")
+    return read(spark, d, "documents").select(F.concat(F.lit("c"), k % 16).alias("source_chunk"), F.concat(F.lit("h"), F.floor(k / 40) % 5, F.lit("=__"), k).alias("name"), F.format_string("p%010d", k).alias("source_path"), k.cast("string").alias("table_id"), F.col("n_chars").alias("size"))
+
+
+F_SQL = "f AS (SELECT 'c' || (doc_id % 16) AS source_chunk, 'h' || ((doc_id // 40) % 5) || '=__' || doc_id AS name, printf('p%010d', doc_id) AS source_path, CAST(doc_id AS VARCHAR) AS table_id, n_chars AS size FROM documents)"
+
+
+@query("a7_dedup_by_content_hash", f"WITH {F_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source_chunk, split_part(name, '=__', 1) ORDER BY source_path) AS rn FROM f) SELECT source_chunk, name, source_path FROM r WHERE rn = 1")
+def _(spark, d):
+    return shards.dedup_by_content_hash(files(spark, d)).select("source_chunk", "name", "source_path")
+
+
+@query("a5_pack_shards")
+def _(spark, d):
+    return shards.pack_shards(files(spark, d), 20_000)
+
+
+@query("a8_build_manifest", f"WITH {F_SQL}, p AS (SELECT source_chunk, count(*) AS n FROM f GROUP BY source_chunk) SELECT count(*) AS num_shards, sum(n)::BIGINT AS num_tables, string_agg(source_chunk || ':' || n, ',' ORDER BY source_chunk) AS shards FROM p")
+def _(spark, d):
+    parts = files(spark, d).groupBy(F.col("source_chunk").alias("chunk")).agg(F.first("source_chunk").alias("path"), F.count(F.lit(1)).alias("num_tables"), F.lit(0).cast("long").alias("num_skipped"))
+    m = shards.build_manifest(parts, "in", 384.0).select(F.from_json("manifest", shards.MANIFEST).alias("m"))
+    return m.select("m.num_shards", "m.num_tables", F.array_join(F.transform("m.shards", lambda s: F.concat_ws(":", s["path"], s["num_tables"].cast("string"))), ",").alias("shards"))
+
+
+@query("a9_unfinished_chunks", f"WITH {F_SQL} SELECT DISTINCT source_chunk AS chunk FROM f WHERE source_chunk NOT IN (SELECT source_chunk FROM f GROUP BY source_chunk HAVING sum(size) % 2 = 0)")
+def _(spark, d):
+    f = files(spark, d)
+    parts = f.groupBy(F.col("source_chunk").alias("chunk")).agg((F.sum("size") % 2 == 0).alias("valid"))
+    return shards.unfinished(f.select(F.col("source_chunk").alias("chunk")).distinct(), parts)
+
+
+@query("a10_last_column", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, d):
+    return collection.read_last_column(spark, f"{d}/orders.parquet").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a11_source_groups", "SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS grp FROM pages")
+def _(spark, d):
+    p = read(spark, d, "pages").select("page_id", F.concat(F.lit("/in/"), F.substring_index("url", "://", -1)).alias("path"))
+    return p.select("page_id", collection.source_group(F.col("path"), "/in")[0].alias("grp"))
+
+
+@query("a12_destinations", f"WITH {_last_sql()} SELECT table_id, CASE WHEN label = 'unknown' THEN 'unknown/' || table_id ELSE table_id || '-' || label END AS destination FROM {LABEL}")
+def _(spark, d):
+    return last_columns(spark, d).select("table_id", collection.destination(F.col("r.label"), F.col("table_id")).alias("destination"))
+
+
+@query("a13_sample_tables", f"WITH {F_SQL}, c AS (SELECT source_chunk, row_number() OVER (ORDER BY source_chunk) - 1 AS i FROM (SELECT DISTINCT source_chunk FROM f)), k AS (SELECT source_chunk FROM c WHERE i % 3 = 0 AND i / 3 < 5), r AS (SELECT f.*, row_number() OVER (PARTITION BY source_chunk ORDER BY source_path) AS rn FROM f JOIN k USING (source_chunk)) SELECT source_chunk AS chunk, source_path AS path FROM r WHERE rn <= 4")
+def _(spark, d):
+    return collection.sample_tables(files(spark, d).select(F.col("source_chunk").alias("chunk"), F.col("source_path").alias("path")), 5, 4, 16)
+
+
+@query("a1_read_collection")
+def _(spark, d):
+    """The Parquet files of the given tables that are small, decoded to cells and profiled."""
+    t = collection.read_tables(spark, d).where("error is null and num_rows <= 100000")
+    cells = collection.blobs_to_cells(t.select(F.element_at(F.split("path", "/"), -1).alias("table_id"), "table_bytes"))
+    return profile.profile_columns(cells)
