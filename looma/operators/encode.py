@@ -30,7 +30,7 @@ def quantize(rows: DataFrame, keys: list[str], bins: int = BINS, x: str = "x") -
     out = rows.join(quantile_edges(rows, keys, bins, x), keys).withColumn("idx", F.when(v.isNotNull(), idx))
     step = F.greatest(F.element_at(e, F.col("idx") + 2) - F.element_at(e, F.col("idx") + 1), F.lit(1e-10))
     delta = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - F.element_at(e, F.col("idx") + 1)) / step))
-    out = out.withColumns({"lower_bin": F.col("idx") - 1, "delta": delta})
+    out = out.withColumns({"lower_bin": F.col("idx") - 1, "delta": F.when(v.isNotNull(), delta)})
     return out.withColumn("bin", F.rint(F.col("lower_bin") + F.col("delta")).cast("int")).drop("idx", "edges", "mid")
 
 
@@ -39,7 +39,7 @@ def replace_inf(rows: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
     by = W.partitionBy(*keys, "role")
     v, f = F.col(x), finite(F.col(x))
     lo, hi = F.min(f).over(by), F.max(f).over(by)
-    return rows.withColumn(x, F.when(F.isnan(v) | lo.isNull(), None).otherwise(F.greatest(lo - 1, F.least(hi + 1, v))))
+    return rows.withColumn(x, F.when(v.isNull() | F.isnan(v) | lo.isNull(), None).otherwise(F.greatest(lo - 1, F.least(hi + 1, v))))
 
 
 def encode_numbers_binned(rows: DataFrame, keys: list[str], bins: int = BINS, x: str = "x") -> DataFrame:
@@ -49,7 +49,7 @@ def encode_numbers_binned(rows: DataFrame, keys: list[str], bins: int = BINS, x:
 
 def standard_scale(rows: DataFrame, keys: list[str], clip_q: float = 0.02, x: str = "x") -> DataFrame:
     """rows with z, and mean and std of the clipped context: clip to context quantiles, impute the mean, standardise."""
-    v = finite(F.greatest(F.lit(-1e100), F.least(F.lit(1e100), F.when(~is_missing(F.col(x)), F.col(x)))))
+    v = F.when(~is_missing(F.col(x)), F.greatest(F.lit(-1e100), F.least(F.lit(1e100), F.col(x))))
     base = rows.withColumn("_v", v)
     q = base.groupBy(*keys).agg(F.percentile(_context(F.col("_v")), F.array(F.lit(clip_q), F.lit(1 - clip_q))).alias("_q"))
     clipped = base.join(q, keys).withColumn("_c", F.when(F.col("_v").isNotNull() & F.col("_q")[0].isNotNull(), F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col("_v")))))

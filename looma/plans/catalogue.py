@@ -362,3 +362,569 @@ def _(spark, d):
     t = collection.read_tables(spark, d).where("error is null and num_rows <= 100000")
     cells = collection.blobs_to_cells(t.select(F.element_at(F.split("path", "/"), -1).alias("table_id"), "table_bytes"))
     return profile.profile_columns(cells)
+
+
+# --- sampling and splitting ----------------------------------------------------------------------------------------
+
+N_SQL = f"{O_SQL}, i AS (SELECT table_id, row_idx AS own, x, label, role, row_number() OVER (PARTITION BY table_id ORDER BY row_idx) - 1 AS row_idx, count(*) OVER (PARTITION BY table_id) AS n FROM o)"
+HR = H("'7'", "table_id", "row_idx")
+
+
+@query("e1_sample_rows", f"WITH {O_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY {HR}, row_idx) AS rn FROM o) SELECT table_id, row_idx FROM r WHERE rn <= 100")
+def _(spark, d):
+    return split.sample_rows(orders(spark, d), 100, SEED).select("table_id", "row_idx")
+
+
+@query("e1_sample_big", f"SELECT l_orderkey, l_linenumber FROM lineitem JOIN (SELECT o_orderkey FROM orders ORDER BY {H(chr(39) + '7' + chr(39), 'o_orderkey')}, o_orderkey LIMIT 500) ON l_orderkey = o_orderkey")
+def _(spark, d):
+    few = split.sample_big(read(spark, d, "orders"), "o_orderkey", 500, SEED).select("o_orderkey")
+    return read(spark, d, "lineitem").join(few, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber")
+
+
+@query("e2_shuffle_rows", f"WITH {O_SQL} SELECT table_id, row_idx AS own, row_number() OVER (PARTITION BY table_id ORDER BY {HR}, row_idx) - 1 AS row_idx FROM o")
+def _(spark, d):
+    return split.shuffle_rows(orders(spark, d).withColumn("own", F.col("row_idx")).withColumn("row_idx", F.col("own")), SEED).select("table_id", "own", "row_idx")
+
+
+@query("e3_split_fixed", f"WITH {N_SQL} SELECT table_id, own, CASE WHEN row_idx < CAST(floor(n * 0.8) AS BIGINT) THEN 'context' ELSE 'query' END AS role FROM i WHERE floor(n * 0.8) >= 1 AND floor(n * 0.8) < n")
+def _(spark, d):
+    return split.split_fixed(numbered(spark, d).drop("role"), 0.8).select("table_id", "own", "role")
+
+
+@query("e4_split_query_range", f"WITH {N_SQL}, q AS (SELECT *, least(50, n - 1) + {H(chr(39) + '7' + chr(39), 'table_id')} % (least(900, n - 1) - least(50, n - 1) + 1) AS q FROM i WHERE n >= 2) SELECT table_id, own, CASE WHEN row_idx < n - q THEN 'context' ELSE 'query' END AS role FROM q")
+def _(spark, d):
+    return split.split_query_range(numbered(spark, d).drop("role"), 50, 900, SEED).select("table_id", "own", "role")
+
+
+@query("e5_train_test_split", f"WITH {O_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY {HR}, row_idx) AS rn, count(*) OVER (PARTITION BY table_id) AS n FROM o) SELECT table_id, row_idx, CASE WHEN rn <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS role FROM r")
+def _(spark, d):
+    return split.train_test_split(orders(spark, d).drop("role"), 0.2, SEED).select("table_id", "row_idx", "role")
+
+
+def labels0(spark, d):
+    """Embeddings with row_idx 0 to n - 1 (vec_id is dense)."""
+    return read(spark, d, "embeddings").select(F.lit("t").alias("table_id"), F.col("vec_id").alias("row_idx"), "label")
+
+
+@query("e6_bootstrap_bags", f"WITH n AS (SELECT count(*) AS n FROM embeddings), b AS (SELECT i // 300 AS bag, i % 300 AS draw FROM range(1200) t(i)), r AS (SELECT bag, draw, {H(chr(39) + '7' + chr(39), 'bag', 'draw')} % n AS row_idx FROM b, n) SELECT bag, draw, row_idx, label FROM r JOIN embeddings ON vec_id = row_idx")
+def _(spark, d):
+    rows = labels0(spark, d)
+    return split.bootstrap_bags(rows, rows.count(), 4, 300, SEED).select("bag", "draw", "row_idx", "label")
+
+
+@query("e7_auto_bags", f"""WITH n AS (SELECT count(*) AS n FROM embeddings), p AS (SELECT vec_id AS row_idx, row_number() OVER (ORDER BY {H("'7'", "'t'", 'vec_id')}, vec_id) - 1 AS place FROM embeddings),
+g AS (SELECT n, least(16, CAST(ceil(n / 150.0) AS BIGINT)) AS bags FROM n), s AS (SELECT i AS bag, CAST(floor((n - 150) / (bags - 1) * i) AS BIGINT) AS start FROM g, range(16) t(i) WHERE i < bags)
+SELECT CAST(bag AS INT) AS bag, row_idx FROM s JOIN p ON place >= start AND place < start + 150""")
+def _(spark, d):
+    rows = labels0(spark, d)
+    return split.auto_bags(rows, rows.count(), 150, SEED).select("bag", "row_idx")
+
+
+@query("e8_single_bag", f"SELECT vec_id AS row_idx FROM embeddings ORDER BY {H(chr(39) + '7' + chr(39), 'vec_id')}, vec_id LIMIT 200")
+def _(spark, d):
+    return split.sample_big(labels0(spark, d), "row_idx", 200, SEED).select("row_idx")
+
+
+@query("e9_predict_chunks", f"WITH {N_SQL} SELECT table_id, row_idx // 100 AS chunk, count(*) AS n FROM i GROUP BY ALL")
+def _(spark, d):
+    return split.predict_chunks(numbered(spark, d), 100).groupBy("table_id", "chunk").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("e10_hidden_target", f"WITH {O_SQL} SELECT row_idx, CASE WHEN role = 'context' THEN label END AS label FROM o")
+def _(spark, d):
+    return split.hide_query_target(orders(spark, d), "label").select("row_idx", "label")
+
+
+# --- encoding ------------------------------------------------------------------------------------------------------
+
+MIDS = "[" + ", ".join(str((2 * i + 1) / 32) for i in range(16)) + "]"
+Q_SQL = f"""e AS (SELECT table_id, quantile_cont(x, {MIDS}) FILTER (role = 'context') AS mid, min(x) FILTER (role = 'context') AS lo, max(x) FILTER (role = 'context') AS hi FROM o GROUP BY table_id),
+g AS (SELECT table_id, mid, list_concat(list_concat([lo], mid), [hi]) AS e FROM e),
+q0 AS (SELECT o.*, g.e, g.mid, CASE WHEN x IS NOT NULL THEN greatest(1, least(15, len(list_filter(g.e, lambda y: y <= x)) - 1)) END AS idx FROM o JOIN g USING (table_id)),
+q AS (SELECT *, idx - 1 AS lower_bin, CASE WHEN x IS NOT NULL THEN greatest(0, least(1, (x - e[idx + 1]) / greatest(e[idx + 2] - e[idx + 1], 1e-10))) END AS delta FROM q0)"""
+
+
+@query("f1_quantize", f"WITH {O_SQL}, {Q_SQL} SELECT row_idx, CAST(lower_bin AS INT) AS lower_bin, round(delta, 6) AS delta, CAST(round_even(lower_bin + delta, 0) AS INT) AS bin FROM q")
+def _(spark, d):
+    return encode.quantize(orders(spark, d), ["table_id"]).select("row_idx", "lower_bin", F.round("delta", 6).alias("delta"), "bin")
+
+
+INF_SQL = "(SELECT o_orderkey AS row_idx, CASE WHEN o_orderkey % 5 = 0 THEN 'query' ELSE 'context' END AS role, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'inf'::DOUBLE WHEN o_orderkey % 13 = 0 THEN '-inf'::DOUBLE ELSE o_totalprice END AS x FROM orders)"
+
+
+def infinite(spark, d):
+    k = F.col("row_idx")
+    o = orders(spark, d)
+    return o.withColumn("x", F.when(k % 7 == 0, None).when(k % 11 == 0, float("inf")).when(k % 13 == 0, float("-inf")).otherwise(F.col("x")))
+
+
+@query("f2_replace_inf", f"WITH i AS (SELECT *, min(CASE WHEN NOT isinf(x) THEN x END) OVER (PARTITION BY role) AS lo, max(CASE WHEN NOT isinf(x) THEN x END) OVER (PARTITION BY role) AS hi FROM {INF_SQL}) SELECT row_idx, round(CASE WHEN x IS NULL OR lo IS NULL THEN NULL ELSE greatest(lo - 1, least(hi + 1, x)) END, 4) AS x FROM i")
+def _(spark, d):
+    o = infinite(spark, d).withColumn("table_id", F.lit("t"))
+    return encode.replace_inf(o, ["table_id"]).select("row_idx", F.round("x", 4).alias("x"))
+
+
+@query("f3_encode_binned", f"WITH {O_SQL}, {Q_SQL} SELECT row_idx, CAST(coalesce(lower_bin, 63) AS INT) AS lower_bin, round(coalesce(delta, 0), 6) AS delta FROM q")
+def _(spark, d):
+    return encode.encode_numbers_binned(orders(spark, d), ["table_id"]).select("row_idx", "lower_bin", F.round("delta", 6).alias("delta"))
+
+
+def scale_sql(x: str) -> str:
+    return f"""v AS (SELECT table_id, row_idx, role, {x} AS x FROM src),
+sq AS (SELECT table_id, quantile_cont(x, [0.02, 0.98]) FILTER (role = 'context') AS q FROM v GROUP BY table_id),
+sc AS (SELECT v.*, CASE WHEN x IS NOT NULL THEN greatest(q[1], least(q[2], x)) END AS c FROM v JOIN sq USING (table_id)),
+st AS (SELECT table_id, avg(c) FILTER (role = 'context') AS mean, stddev_pop(c) FILTER (role = 'context') AS std FROM sc GROUP BY table_id),
+z AS (SELECT row_idx, mean, std, (coalesce(c, mean) - mean) / CASE WHEN std = 0 THEN 1 ELSE std END AS z FROM sc JOIN st USING (table_id))"""
+
+
+@query("f4_standard_scale", f"WITH {O_SQL}, src AS (SELECT * FROM o), {scale_sql('x')} SELECT row_idx, round(z, 6) AS z, round(mean, 3) AS mean, round(std, 3) AS std FROM z")
+def _(spark, d):
+    return encode.standard_scale(orders(spark, d), ["table_id"]).select("row_idx", F.round("z", 6).alias("z"), F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
+
+
+@query("f5_encode_scaled", f"WITH {O_SQL}, m AS (SELECT table_id, avg(x) FILTER (role = 'context') AS m FROM o GROUP BY table_id), src AS (SELECT o.*, m FROM o JOIN m USING (table_id)), {scale_sql('coalesce(x, m)')} SELECT row_idx, round(z, 6) AS z FROM z")
+def _(spark, d):
+    return encode.encode_numbers_scaled(orders(spark, d), ["table_id"]).select("row_idx", F.round("z", 6).alias("z"))
+
+
+L_SQL = f"""lr AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 5 = 0 THEN 'query' ELSE 'context' END AS role FROM part),
+ln AS (SELECT p_name, count(*) AS n FROM lr WHERE role = 'context' GROUP BY p_name), lk AS (SELECT *, row_number() OVER (ORDER BY n DESC, p_name) AS rank FROM ln),
+li AS (SELECT p_name, row_number() OVER (ORDER BY {H("'7'", 'p_name')}, p_name) - 1 AS class_id FROM lk WHERE rank <= 62)"""
+
+
+def parts(spark, d):
+    return read(spark, d, "part").select(F.lit("t").alias("table_id"), "p_partkey", "p_name", F.when(F.col("p_partkey") % 5 == 0, "query").otherwise("context").alias("role"))
+
+
+@query("f6_encode_labels", f"WITH {L_SQL} SELECT p_partkey, CAST(coalesce(class_id, 62) AS INT) AS class_id FROM lr LEFT JOIN li USING (p_name)")
+def _(spark, d):
+    return encode.encode_labels(parts(spark, d), ["table_id"], "p_name", seed=SEED).select("p_partkey", "class_id")
+
+
+@query("f7_encode_target", f"WITH {L_SQL} SELECT p_partkey, CASE WHEN role = 'query' THEN -100.0 ELSE coalesce(class_id, 62)::DOUBLE END AS target, 0.0::DOUBLE AS delta FROM lr LEFT JOIN li USING (p_name)")
+def _(spark, d):
+    return encode.encode_target(parts(spark, d), ["table_id"], "classification", "p_name", seed=SEED).select("p_partkey", "target", "delta")
+
+
+@query("f8_disambiguate_classes", """WITH c AS (SELECT o_orderstatus AS t, o_orderpriority AS class, length(o_orderpriority) % 3 AS vector, min(o_orderkey) AS first_row FROM orders GROUP BY ALL),
+s AS (SELECT t, count(DISTINCT vector) < count(DISTINCT class) AS same FROM c GROUP BY t) SELECT t, class, CASE WHEN same THEN CAST(row_number() OVER (PARTITION BY t ORDER BY first_row, class) - 1 AS VARCHAR) || '_' || class ELSE class END AS name FROM c JOIN s USING (t)""")
+def _(spark, d):
+    c = read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("t"), F.col("o_orderpriority").alias("class")).agg(F.min("o_orderkey").alias("first_row")).withColumn("vector", F.length("class") % 3)
+    return encode.disambiguate_classes(c, ["t"]).select("t", "class", "name")
+
+
+@query("f9_encode_dates", "SELECT l_orderkey, l_linenumber, CAST(greatest(2000, least(2050, year(l_shipdate))) - 1999 AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, CAST(day(l_shipdate) AS INT) AS day, CAST(isodow(l_shipdate) AS INT) AS weekday FROM lineitem")
+def _(spark, d):
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *encode.date_parts(F.col("l_shipdate")))
+
+
+@query("f10_time_to_seconds", "SELECT event_id, round(hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)), 3)::DOUBLE AS seconds FROM events")
+def _(spark, d):
+    return read(spark, d, "events").select("event_id", core.time_to_seconds(F.date_format("ts", "HH:mm:ss")).alias("seconds"))
+
+
+@query("f14_shift_mask", "SELECT p_partkey, CASE WHEN p_size - 10 < 0 THEN 0 ELSE p_size - 9 END AS shifted FROM part")
+def _(spark, d):
+    return read(spark, d, "part").select("p_partkey", encode.shift_mask(F.col("p_size") - 10).alias("shifted"))
+
+
+@query("f15_interpolate_bins", f"WITH {O_SQL}, {Q_SQL} SELECT row_idx, round(lower_bin * (1 - delta) + least(lower_bin + 1, 63) * delta, 6) AS v0, round(lower_bin * lower_bin * (1 - delta) + least(lower_bin + 1, 63) * least(lower_bin + 1, 63) * delta, 6) AS v1 FROM q WHERE x IS NOT NULL")
+def _(spark, d):
+    rows = encode.quantize(orders(spark, d).where("x is not null"), ["table_id"]).select("row_idx", F.col("lower_bin").cast("int").alias("bin"), "delta")
+    vectors = spark.range(64).select(F.col("id").cast("int").alias("bin"), F.array(F.col("id").cast("double"), (F.col("id") * F.col("id")).cast("double")).alias("vector"))
+    out = encode.interpolate_bins(rows, vectors)
+    return out.select("row_idx", F.round(F.col("vector")[0], 6).alias("v0"), F.round(F.col("vector")[1], 6).alias("v1"))
+
+
+# --- texts ---------------------------------------------------------------------------------------------------------
+
+G4 = "printf('%.4g', {0})"
+
+
+@query("t1_fmt_num", f"SELECT l_orderkey, l_linenumber, {G4.format('l_extendedprice')} AS text FROM lineitem")
+def _(spark, d):
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"))
+    return verbalize.verbalize_numbers(rows, "s0").select("l_orderkey", "l_linenumber", "text")
+
+
+TENTHS = "[" + ", ".join(str(i / 10) for i in range(11)) + "]"
+T_SQL = f"{O_SQL}, te AS (SELECT table_id, quantile_cont(x, {TENTHS}) FILTER (role = 'context') AS e FROM o GROUP BY table_id), t AS (SELECT o.*, te.e, CAST(greatest(0, least(9, len(list_filter(te.e, lambda y: y <= x)) - 1)) AS INT) AS b FROM o JOIN te USING (table_id) WHERE x IS NOT NULL)"
+
+
+@query("t2_quantile_edges", f"WITH {T_SQL} SELECT table_id, " + ", ".join(f"round(e[{i + 1}], 4) AS e{i}" for i in range(11)) + " FROM te")
+def _(spark, d):
+    return verbalize.fit_edges(orders(spark, d), ["table_id"]).select("table_id", *(F.round(F.col("edges")[i], 4).alias(f"e{i}") for i in range(11)))
+
+
+@query("t3_quantile_bucket", f"WITH {T_SQL} SELECT row_idx, round(e[b + 1], 4) AS lo, round(e[b + 2], 4) AS hi, b * 10 AS p0, b * 10 + 10 AS p1 FROM t")
+def _(spark, d):
+    o = orders(spark, d).where("x is not null")
+    out = o.join(verbalize.fit_edges(orders(spark, d), ["table_id"]), "table_id").withColumn("b", verbalize.quantile_bucket(F.col("edges"), F.col("x")))
+    return out.select("row_idx", F.round("b.lo", 4).alias("lo"), F.round("b.hi", 4).alias("hi"), "b.p0", "b.p1")
+
+
+@query("t4_verbalize_number", f"WITH {T_SQL} SELECT row_idx, 'price: ' || {G4.format('e[b + 1]')} || '-' || {G4.format('e[b + 2]')} || ' (quantile ' || (b * 10) || '-' || (b * 10 + 10) || '%)' AS text FROM t")
+def _(spark, d):
+    out = verbalize.verbalize_numbers(orders(spark, d).withColumn("col_name", F.lit("price")), "s2", ["table_id"])
+    return out.where("x is not null").select("row_idx", "text")
+
+
+@query("t5_verbalize_date", "SELECT o_orderkey, 'd: year ' || year(o_orderdate) || ', ' || monthname(o_orderdate) || ', ' || dayname(o_orderdate) || ', Q' || quarter(o_orderdate) AS text FROM orders")
+def _(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", verbalize.verbalize_date(F.lit("d"), F.col("o_orderdate"), "s2").alias("text"))
+
+
+@query("t6_cell_texts", f"WITH {O_SQL} SELECT row_idx, 0 AS col_idx, 'x: ' || {G4.format('x')} AS text FROM o WHERE x IS NOT NULL UNION ALL SELECT row_idx, 3, 'ts: ' || strftime(ts, '%Y-%m-%d') FROM o")
+def _(spark, d):
+    return verbalize.cell_texts(order_cells(spark, d), "s1").select("row_idx", "col_idx", "text")
+
+
+@query("t7_placebo_channel")
+def _(spark, d):
+    texts = verbalize.cell_texts(order_cells(spark, d), "s1")
+    return verbalize.placebo_vectors(texts, 8, SEED).select("table_id", "row_idx", "col_idx", "vector")
+
+
+# --- tasks ---------------------------------------------------------------------------------------------------------
+
+
+def event_profiles(spark, d):
+    """Profiles of many tables: each user's events are a table."""
+    e = read(spark, d, "events")
+    cells = cells_mod.to_cells(e, F.col("user_id").cast("string"), F.col("event_id"), ["event_type", "value", "ts", "user_id"])
+    return profile.profile_columns(cells)
+
+
+E_SQL = f"""ec AS (SELECT CAST(user_id AS VARCHAR) AS table_id, 0 AS col_idx, 'event_type' AS col_name, 'text' AS kind, event_type AS v FROM events
+UNION ALL SELECT CAST(user_id AS VARCHAR), 1, 'value', 'number', CAST(value AS VARCHAR) FROM events UNION ALL SELECT CAST(user_id AS VARCHAR), 2, 'ts', 'date', CAST(ts AS VARCHAR) FROM events UNION ALL SELECT CAST(user_id AS VARCHAR), 3, 'user_id', 'number', CAST(user_id AS VARCHAR) FROM events),
+ep AS (SELECT *, (num_rows - n_non_null) / num_rows AS missing_ratio, n_distinct / num_rows AS unique_ratio FROM (SELECT table_id, col_idx, col_name, kind, count(*) AS num_rows, count(v) AS n_non_null, count(DISTINCT v) AS n_distinct FROM ec GROUP BY ALL)),
+er AS (SELECT *, {ROUTE} AS task FROM ep),
+ek AS (SELECT *, row_number() OVER (PARTITION BY table_id, task ORDER BY {H("'7'", 'table_id', "CASE WHEN task = 'regression' THEN 0 ELSE 1 END", 'col_name')}, col_name) AS rn FROM er WHERE task <> 'none'),
+specs AS (SELECT table_id, col_name AS target_column, task = 'regression' AS is_regression FROM ek WHERE rn = 1)"""
+
+
+def specs(spark, d):
+    return tasks.choose_targets(event_profiles(spark, d), SEED)
+
+
+@query("d1_choose_targets", f"WITH {E_SQL} SELECT * FROM specs")
+def _(spark, d):
+    return specs(spark, d)
+
+
+@query("d2_order_specs", f"WITH {E_SQL}, f AS (SELECT *, {H(chr(39) + '7' + chr(39), 'table_id', chr(39) + '2' + chr(39))} % 2 AS flip FROM specs) SELECT table_id, target_column, CAST(row_number() OVER (PARTITION BY table_id ORDER BY CASE WHEN flip = 0 THEN NOT is_regression ELSE is_regression END) - 1 AS INT) AS position FROM f")
+def _(spark, d):
+    return tasks.order_specs(specs(spark, d), SEED).select("table_id", "target_column", "position")
+
+
+@query("d3_fixed_target_specs", f"WITH {E_SQL} SELECT table_id, col_name AS target_column, task = 'regression' AS is_regression FROM er WHERE col_name = 'value' AND task <> 'none'")
+def _(spark, d):
+    return tasks.fixed_target_specs(event_profiles(spark, d), "value")
+
+
+@query("d4_balance_by_replay", f"WITH {E_SQL}, n AS (SELECT sum(is_regression::INT) AS r, sum((NOT is_regression)::INT) AS c FROM specs) SELECT is_regression, CASE WHEN r > 0 AND c > 0 THEN greatest(r, c) ELSE r + c END::BIGINT AS n FROM n, (SELECT DISTINCT is_regression FROM specs)")
+def _(spark, d):
+    return tasks.balance_by_replay(specs(spark, d), SEED).groupBy("is_regression").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d5_balance_by_skip", f"WITH {E_SQL}, n AS (SELECT avg(is_regression::INT) AS r FROM specs) SELECT table_id, target_column FROM specs, n WHERE {H(chr(39) + '7' + chr(39), 'table_id', 'target_column')} / 4294967296.0 >= 2 * (CASE WHEN is_regression THEN r ELSE 1 - r END - 0.5)")
+def _(spark, d):
+    return tasks.balance_by_skip(specs(spark, d), SEED).select("table_id", "target_column")
+
+
+@query("d6_routing_mix", "WITH s AS (SELECT event_id + 1 AS seq, value > 10 AS r FROM events), c AS (SELECT seq, sum(r::INT) OVER (ORDER BY seq) AS regression FROM s) SELECT seq AS specs, regression::BIGINT AS regression, (seq - regression)::BIGINT AS classification, round(regression / seq, 6) AS regression_share FROM c WHERE seq % 500 = 0")
+def _(spark, d):
+    s = read(spark, d, "events").select((F.col("event_id") + 1).alias("seq"), (F.col("value") > 10).alias("is_regression"))
+    return tasks.routing_mix(s, 500).withColumn("regression_share", F.round("regression_share", 6))
+
+
+@query("d7_mix_sources", f"""WITH a AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM customer), b AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part),
+n AS (SELECT (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS n), d AS (SELECT i AS draw, {H("'7'", 'i')} / 4294967296.0 < 0.8 AS from_a FROM n, range(n) t(i)),
+p AS (SELECT draw, from_a, row_number() OVER (PARTITION BY from_a ORDER BY draw) - 1 AS k FROM d), u AS (SELECT true AS from_a, id, k FROM a UNION ALL SELECT false, id, k FROM b)
+SELECT from_a, id, coalesce(draw, n + k) AS place FROM u LEFT JOIN p USING (from_a, k), n""")
+def _(spark, d):
+    k = lambda df, c: df.select(F.col(c).alias("id"), (F.row_number().over(W.orderBy(c)) - 1).cast("long").alias("k"))  # noqa: E731  keys number both small tables
+    a, b = k(read(spark, d, "customer"), "c_custkey"), k(read(spark, d, "part"), "p_partkey")
+    return tasks.mix_sources(a, b, a.count(), b.count(), 0.8, SEED).select("from_a", "id", "place")
+
+
+@query("d8_epoch_shuffle", f"SELECT o_orderkey FROM orders ORDER BY {H(chr(39) + '7' + chr(39), chr(39) + '3' + chr(39), 'o_orderkey')}, o_orderkey LIMIT 1000")
+def _(spark, d):
+    return tasks.epoch_order(read(spark, d, "orders"), "o_orderkey", SEED, 3).select("o_orderkey").limit(1000)
+
+
+@query("d10_assign_workers", f"WITH {F_SQL} SELECT source_path AS path, source_chunk AS chunk, CAST((row_number() OVER (ORDER BY source_chunk, source_path) - 1) % 4 AS INT) AS worker FROM f")
+def _(spark, d):
+    return tasks.assign_workers(files(spark, d).select(F.col("source_path").alias("path"), F.col("source_chunk").alias("chunk")), 4)
+
+
+# --- similarity, votes and measures --------------------------------------------------------------------------------
+
+#: A classifier reads at most so many context rows, drawn by hash.
+CONTEXT = 512
+
+
+def context(spark, d):
+    e = read(spark, d, "embeddings").where("vec_id % 5 <> 0").select(F.col("vec_id").alias("context_id"), "label", F.col("embedding").cast("array<double>").alias("vector"))
+    return split.sample_big(e, "context_id", CONTEXT, SEED)
+
+
+def asked(spark, d):
+    return read(spark, d, "embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("truth"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+S_SQL = f"""cx AS (SELECT vec_id AS context_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 <> 0 ORDER BY {H("'7'", 'vec_id')}, vec_id LIMIT {CONTEXT}),
+qx AS (SELECT vec_id AS query_id, label AS truth, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 = 0),
+sim AS (SELECT query_id, context_id, label, truth, list_cosine_similarity(qx.v, cx.v) AS s FROM qx, cx),
+cls AS (SELECT DISTINCT label FROM embeddings),
+best AS (SELECT query_id, label, max(s) AS score FROM sim GROUP BY ALL),
+sc AS (SELECT q.query_id, c.label, b.score FROM (SELECT DISTINCT query_id FROM sim) q CROSS JOIN cls c LEFT JOIN best b ON q.query_id = b.query_id AND c.label = b.label),
+lg AS (SELECT query_id, label, greatest(-1e4, least(1e4, ln(p / (1 - p)))) AS logit FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, coalesce((score + 1) / 2, 0))) AS p FROM sc))"""
+
+
+def class_list(spark, d):
+    return read(spark, d, "embeddings").select("label").distinct()
+
+
+def similarities(spark, d):
+    return embed.pairwise_similarity(asked(spark, d), context(spark, d))
+
+
+def scores(spark, d):
+    return embed.class_scores(similarities(spark, d), class_list(spark, d))
+
+
+def logits(spark, d):
+    s = F.when(F.col("score") == float("-inf"), 0.0).otherwise((F.col("score") + 1) / 2)
+    return scores(spark, d).select("query_id", "label", embed.similarity_logit(s).alias("logit"))
+
+
+@query("h1_embed_texts")
+def _(spark, d):
+    texts = read(spark, d, "conversations").select("conv_id", "turn", F.substring_index("text", " ", 3).alias("text"))
+    cache = embed.encode_distinct(texts.where("conv_id % 2 = 0").select("text").distinct(), embed.HashingEncoder())
+    return embed.embed_texts(texts, "text", embed.HashingEncoder(), cache)[0].select("conv_id", "turn", "vector")
+
+
+TOK = "tk AS (SELECT label AS k, vec_id AS pos, (vec_id % 3 <> 0)::INT AS mask, embedding AS v FROM embeddings)"
+
+
+def tokens(spark, d):
+    return read(spark, d, "embeddings").select(F.col("label").alias("k"), F.col("vec_id").alias("pos"), (F.col("vec_id") % 3 != 0).cast("int").alias("mask"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@query("h2_pool_tokens", f"WITH {TOK}, m AS (SELECT k, avg(v[1]) AS a, avg(v[64]) AS b FROM tk WHERE mask = 1 GROUP BY k), f AS (SELECT k, arg_min(v, pos) AS v FROM tk GROUP BY k), l AS (SELECT k, arg_max(v, pos) AS v FROM tk WHERE mask = 1 GROUP BY k) SELECT k, round(a, 5) AS mean_0, round(b, 5) AS mean_63, round(f.v[1]::DOUBLE, 5) AS cls_0, round(l.v[1]::DOUBLE, 5) AS last_0 FROM m JOIN f USING (k) JOIN l USING (k)")
+def _(spark, d):
+    t = tokens(spark, d)
+    at = lambda i, n: F.round(F.col("vector")[i], 5).alias(n)
+    mean = embed.pool_tokens(t, ["k"], "mean").select("k", at(0, "mean_0"), at(63, "mean_63"))
+    return mean.join(embed.pool_tokens(t, ["k"], "cls").select("k", at(0, "cls_0")), "k").join(embed.pool_tokens(t, ["k"], "last").select("k", at(0, "last_0")), "k")
+
+
+@query("h3_l2_normalize", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS v0 FROM embeddings")
+def _(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", F.round(core.l2_normalize(F.col("embedding").cast("array<double>"))[0], 6).alias("v0"))
+
+
+@query("h4_compare_backends", "WITH p AS (SELECT vec_id, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) + 1e-9) AS c FROM (SELECT vec_id, embedding::DOUBLE[] AS a, list_transform(embedding::DOUBLE[], lambda x: x + 0.01) AS b FROM embeddings)) SELECT round(avg(c), 6) AS mean_cosine, avg(c) >= 0.999 AS same FROM p")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("text"), F.col("embedding").cast("array<double>").alias("vector"))
+    other = e.withColumn("vector", F.transform("vector", lambda x: x + 0.01))
+    return embed.compare_backends(e, other)[1].withColumn("mean_cosine", F.round("mean_cosine", 6))
+
+
+@query("h5_pairwise_similarity", f"WITH {S_SQL} SELECT query_id, round(avg(s), 5) AS mean_similarity, round(max(s), 5) AS top FROM sim GROUP BY query_id")
+def _(spark, d):
+    return similarities(spark, d).groupBy("query_id").agg(F.round(F.avg("similarity"), 5).alias("mean_similarity"), F.round(F.max("similarity"), 5).alias("top"))
+
+
+@query("h6_class_scores", f"WITH {S_SQL} SELECT query_id, label, round(coalesce(score, -99), 5) AS score FROM sc")
+def _(spark, d):
+    return scores(spark, d).select("query_id", "label", F.round(F.greatest("score", F.lit(-99.0)), 5).alias("score"))
+
+
+@query("h7_similarity_logits", f"WITH {S_SQL} SELECT query_id, label, round(logit, 4) AS logit FROM lg")
+def _(spark, d):
+    return logits(spark, d).withColumn("logit", F.round("logit", 4))
+
+
+@query("h8_score_batches", f"WITH {S_SQL} SELECT query_id, (SELECT count(*) FROM cx) AS n_context FROM qx")
+def _(spark, d):
+    import pandas as pd
+
+    def scorer(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": q["query_id"], "n_context": [len(c)] * len(q)})
+
+    chunked = lambda df: df.withColumn("table_id", F.lit("t"))
+    q = asked(spark, d).withColumn("chunk", F.floor(F.col("query_id") / 1000)).select("query_id", "chunk")
+    chunks = q.select("chunk").distinct().withColumn("chunk", F.col("chunk") + 0)
+    c = chunked(context(spark, d).select("context_id")).crossJoin(F.broadcast(chunks))
+    return embed.score_batches(chunked(q), c, scorer, "query_id long, n_context long", ["table_id", "chunk"])
+
+
+def bag_logits(spark, d):
+    """Three bags: each leaves out the classes whose label is the bag's number modulo 3."""
+    return logits(spark, d).withColumn("bag", F.explode(F.array(*map(F.lit, range(3))))).where("label % 3 <> bag").withColumn("logit", F.col("logit") * (F.col("bag") + 1))
+
+
+B_SQL = f"{S_SQL}, bl0 AS (SELECT query_id, bag, label, logit * (bag + 1) AS logit FROM lg, (SELECT unnest([0, 1, 2]) AS bag) WHERE label % 3 <> bag), bl AS (SELECT q.query_id, q.bag, c.label, coalesce(b.logit, '-inf'::DOUBLE) AS logit FROM (SELECT DISTINCT query_id, bag FROM bl0) q CROSS JOIN cls c LEFT JOIN bl0 b ON b.query_id = q.query_id AND b.bag = q.bag AND b.label = c.label)"
+
+
+def aligned(spark, d):
+    return embed.align_classes(bag_logits(spark, d), class_list(spark, d), ["query_id", "bag"])
+
+
+@query("m1_align_classes", f"WITH {B_SQL} SELECT query_id, bag, label, round(greatest(logit, -1e5), 4) AS logit FROM bl")
+def _(spark, d):
+    return aligned(spark, d).select("query_id", "bag", "label", F.round(F.greatest("logit", F.lit(-1e5)), 4).alias("logit"))
+
+
+SM = "exp(logit - max(logit) OVER (PARTITION BY {0}))"
+
+
+@query("m2_softmax", f"WITH {S_SQL}, e AS (SELECT query_id, label, {SM.format('query_id')} AS e FROM lg) SELECT query_id, label, round(e / sum(e) OVER (PARTITION BY query_id), 6) AS p FROM e")
+def _(spark, d):
+    return embed.softmax(logits(spark, d), ["query_id"]).select("query_id", "label", F.round("p", 6).alias("p"))
+
+
+MEAN_SQL = f"{B_SQL}, be AS (SELECT *, {SM.format('query_id, bag')} AS e FROM bl), bp AS (SELECT query_id, label, avg(e / t) AS p FROM (SELECT *, sum(e) OVER (PARTITION BY query_id, bag) AS t FROM be) GROUP BY ALL)"
+
+
+@query("m3_combine_bags_mean", f"WITH {MEAN_SQL} SELECT query_id, label, round(p, 6) AS p FROM bp")
+def _(spark, d):
+    return embed.combine_bags(aligned(spark, d)).withColumn("p", F.round("p", 6))
+
+
+@query("m4_combine_bags_max", f"WITH {B_SQL}, x AS (SELECT query_id, label, max(logit) AS logit FROM bl GROUP BY ALL), e AS (SELECT *, {SM.format('query_id')} AS e FROM x) SELECT query_id, label, round(e / sum(e) OVER (PARTITION BY query_id), 6) AS p FROM e")
+def _(spark, d):
+    return embed.combine_bags(aligned(spark, d), "max").withColumn("p", F.round("p", 6))
+
+
+@query("m5_predict_label", f"WITH {MEAN_SQL}, r AS (SELECT query_id, label, round(p, 9) AS p FROM bp), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, label) AS rn FROM r) SELECT query_id, label, round(p, 6) AS p FROM k WHERE rn = 1")
+def _(spark, d):
+    p = embed.combine_bags(aligned(spark, d)).withColumn("p", F.round("p", 9))
+    return embed.predict_label(p).withColumn("p", F.round("p", 6))
+
+
+@query("m5_predict_proba", f"WITH {MEAN_SQL} SELECT query_id, " + ", ".join(f"round(max(p) FILTER (label = {i}), 6) AS p{i}" for i in range(10)) + " FROM bp GROUP BY query_id")
+def _(spark, d):
+    wide = embed.predict_proba(embed.combine_bags(aligned(spark, d)), list(range(10)))
+    return wide.select("query_id", *(F.round(F.col(str(i)), 6).alias(f"p{i}") for i in range(10)))
+
+
+BIN_SQL = "bn AS (SELECT o_orderkey AS query_id, b AS bin, o_totalprice / 100000 - abs(b - o_orderkey % 16) AS logit FROM orders, range(16) t(b)), be AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY query_id)) AS e FROM bn)"
+
+
+@query("m6_predict_value_binned", f"WITH {BIN_SQL} SELECT query_id, round(sum(e * bin * 10) / sum(e), 5) AS value FROM be GROUP BY query_id")
+def _(spark, d):
+    mids = spark.range(16).select(F.col("id").alias("bin"), (F.col("id") * 10.0).alias("mid"))
+    o = read(spark, d, "orders").crossJoin(F.broadcast(spark.range(16).withColumnRenamed("id", "bin")))
+    s = o.select(F.col("o_orderkey").alias("query_id"), "bin", (F.col("o_totalprice") / 100000 - F.abs(F.col("bin") - F.col("o_orderkey") % 16)).alias("logit"))
+    return embed.predict_value_binned(s, mids).withColumn("value", F.round("value", 5))
+
+
+@query("m7_predict_value_scaled", f"WITH {O_SQL}, src AS (SELECT * FROM o), {scale_sql('x')} SELECT row_idx, round(z * std + mean, 3) AS value FROM z")
+def _(spark, d):
+    z = encode.standard_scale(orders(spark, d), ["table_id"])
+    return z.select("row_idx", F.round(embed.predict_value_scaled(F.col("z"), F.col("mean"), F.col("std")), 3).alias("value"))
+
+
+@query("m8_combine_regression", "SELECT user_id AS query_id, round(avg(value), 6) AS value FROM events GROUP BY user_id")
+def _(spark, d):
+    return embed.combine_regression(read(spark, d, "events").select(F.col("user_id").alias("query_id"), "value")).withColumn("value", F.round("value", 6))
+
+
+LABELLED = "lb AS (SELECT vec_id, label, CASE WHEN vec_id % 5 = 0 THEN 'query' ELSE 'context' END AS role, CASE WHEN vec_id % 3 = 0 THEN (label + 1) % 10 ELSE label END AS prediction FROM embeddings)"
+
+
+@query("m9_accuracy", f"WITH {LABELLED}, t AS (SELECT label AS dummy FROM lb WHERE role = 'context' GROUP BY label ORDER BY count(*) DESC, label LIMIT 1), a AS (SELECT avg((label = prediction)::INT) AS acc, avg((label = dummy)::INT) AS dum FROM lb, t WHERE role = 'query') SELECT round(acc, 6) AS accuracy, round(dum, 6) AS dummy_accuracy, round(greatest(0, least(1, (acc - dum) / (1 - dum + 1e-5))), 6) AS skill FROM a")
+def _(spark, d):
+    k = F.col("vec_id")
+    rows = read(spark, d, "embeddings").select("label", F.when(k % 5 == 0, "query").otherwise("context").alias("role"), F.when(k % 3 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("prediction"))
+    out = metrics.accuracy(rows)
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@query("m10_log_loss", f"WITH {S_SQL}, x AS (SELECT query_id, ln(sum(exp(logit - m))) + any_value(m) - max(logit) FILTER (label = truth) AS loss FROM (SELECT lg.*, truth, max(logit) OVER (PARTITION BY query_id) AS m FROM lg JOIN qx USING (query_id)) GROUP BY query_id) SELECT round(avg(loss), 5) AS log_loss FROM x")
+def _(spark, d):
+    rows = logits(spark, d).join(asked(spark, d).select("query_id", "truth"), "query_id")
+    return metrics.log_loss(rows).withColumn("log_loss", F.round("log_loss", 5))
+
+
+PRED = "pr AS (SELECT o_orderkey, o_totalprice / 100000 AS truth, o_totalprice / 100000 + (o_orderkey % 7 - 3) * 0.1 AS prediction FROM orders)"
+
+
+def predictions(spark, d):
+    t = F.col("o_totalprice") / 100000
+    return read(spark, d, "orders").select("o_orderkey", t.alias("truth"), (t + (F.col("o_orderkey") % 7 - 3) * 0.1).alias("prediction"))
+
+
+@query("m11_scaled_errors", f"WITH {PRED}, m AS (SELECT avg(truth) AS m FROM pr) SELECT round(greatest(0, least(10, avg(pow(prediction - truth, 2)))), 6) AS mse, round(greatest(-1, least(1, 1 - sum(pow(prediction - truth, 2)) / sum(pow(truth - m, 2)))), 6) AS r2 FROM pr, m")
+def _(spark, d):
+    out = metrics.scaled_errors(predictions(spark, d).withColumnRenamed("prediction", "logit"))
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@query("m12_regression_report", f"WITH {PRED}, m AS (SELECT avg(truth) AS m FROM pr) SELECT count(*) AS n, round(avg(abs(truth - prediction)), 6) AS mae, round(sqrt(avg(pow(truth - prediction, 2))), 6) AS rmse, round(1 - sum(pow(truth - prediction, 2)) / sum(pow(truth - m, 2)), 6) AS r2 FROM pr, m")
+def _(spark, d):
+    out = metrics.regression_report(predictions(spark, d))
+    return out.select("n", *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "r2")))
+
+
+@query("m12_residuals", f"WITH {PRED} SELECT o_orderkey, round(truth - prediction, 6) AS residual FROM pr")
+def _(spark, d):
+    return metrics.residuals(predictions(spark, d)).select("o_orderkey", F.round("residual", 6).alias("residual"))
+
+
+@query("m13_pair_cluster_metrics", f"WITH {S_SQL}, x AS (SELECT label = truth AS same, s > 0.5 AS said, greatest(1e-7, least(1 - 1e-7, (s + 1) / 2)) AS p, (s + 1) / 2 > 0.5 AS said2 FROM sim) SELECT round(sum((same AND said2)::INT) / greatest(sum((same OR said2)::INT), 1), 6) AS precision, round(3 * avg(-CASE WHEN same THEN ln(p) ELSE ln(1 - p) END), 5) AS loss FROM x")
+def _(spark, d):
+    pairs = similarities(spark, d).join(asked(spark, d).select("query_id", "truth"), "query_id")
+    out = metrics.pair_cluster_metrics(pairs.select(F.col("label").alias("label_a"), F.col("truth").alias("label_b"), ((F.col("similarity") + 1) / 2).alias("p")))
+    return out.select(F.round("precision", 6).alias("precision"), F.round("loss", 5).alias("loss"))
+
+
+@query("m14_task_mix_report", f"WITH {E_SQL} SELECT sum(is_regression::INT)::BIGINT AS regression, sum((NOT is_regression)::INT)::BIGINT AS classification, round(avg(is_regression::INT), 6) AS regression_share FROM specs")
+def _(spark, d):
+    return metrics.task_mix_report(specs(spark, d)).withColumn("regression_share", F.round("regression_share", 6))
+
+
+@query("m15_additive_score", "SELECT o_orderkey, round(0.001 * o_totalprice + CASE o_orderstatus WHEN 'F' THEN 1.5 WHEN 'O' THEN -0.5 ELSE 0 END + 2.0 * sin(2 * pi() * dayofyear(o_orderdate) / 365.0) + 3.0 * ln(1 + o_totalprice) + 0.1 * sqrt(o_totalprice), 3) AS score FROM orders")
+def _(spark, d):
+    s = metrics.additive_score({"o_totalprice": 0.001}, {"o_orderstatus": {"F": 1.5, "O": -0.5}}, season=("o_orderdate", 2.0), logs={"o_totalprice": 3.0}, roots={"o_totalprice": 0.1}, digits=3)
+    return read(spark, d, "orders").select("o_orderkey", s.alias("score"))
+
+
+# --- estimators ----------------------------------------------------------------------------------------------------
+
+
+@query("p1_classifier")
+def _(spark, d):
+    from .estimator import Classifier
+
+    o = read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    model = Classifier(bagging=2, max_context_size=64, seed=SEED).fit(o.where("o_orderkey % 5 <> 0"), "o_orderpriority", "o_orderkey")
+    return model.predict(o.where("o_orderkey % 5 = 0").drop("o_orderpriority"))
+
+
+@query("p2_regressor")
+def _(spark, d):
+    from .estimator import Regressor
+
+    e = read(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    model = Regressor(bagging=2, max_context_size=64, seed=SEED).fit(e.where("event_id % 5 <> 0"), "value", "event_id")
+    return model.predict(e.where("event_id % 5 = 0").drop("value"))
+
+
+@query("p4_build_tasks")
+def _(spark, d):
+    from .jobs import build_tasks
+
+    return build_tasks(order_cells(spark, d).drop("role"), profile.TableRules(), SEED)[1].select("table_id", "row_idx", "col_idx", "role", "place", "z")
+
+
+@query("p8_demo_report")
+def _(spark, d):
+    from .estimator import demo_report
+
+    rows = read(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_retailprice")
+    return demo_report(rows, "p_retailprice", "p_partkey")[1]
