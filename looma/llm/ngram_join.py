@@ -6,8 +6,10 @@
 2. Order i sorts shingles by (logarithm of the count, i-th hash). A document of n shingles can only be similar to one with
    which it shares one of its first n - ceil(0.8 n) + 1, under every order. Unique shingles come first in all of them, so
    a document with that many of them has no partner and leaves here; exact copies are reduced to one of them.
-3. Documents are tied to the hub (smallest id) of the prefix shingles they share with it most, candidates are verified and
-   components taken; then again between components. Last, every remaining pair of documents in different components that
+3. A hub of a prefix shingle is the document with the fewest shingles of its own, which in a group of copies is the one that
+   the others were made from. Documents are tied to the hub that they share most prefix shingles with, candidates are
+   verified and components taken; then again between components. Shingles that the same documents have in their prefixes
+   (as those of one common line) count as one. Last, every remaining pair of documents in different components that
    shares a prefix shingle under both orders is verified. Pairs inside a component cannot change the result, so a group of
    copies or near copies costs as many pairs as it has members, and no link between components is missed.
 
@@ -33,7 +35,7 @@ from .shingles import Shingler
 SIMILAR = 80
 #: Shingles of a block that a task packs together, and of a bucket as planned from the number of characters.
 BLOCK, BUCKET, CHARS_A_SHINGLE = 1_000_000, 400_000, 5
-ORDERS = (1, 2)
+ORDERS = (1, 2, 3)
 
 
 def prefix(n):
@@ -60,7 +62,7 @@ def pack(docs: DataFrame, buckets: int, make_sets=Shingler) -> DataFrame:
                 whole = np.zeros(len(n), np.uint64)
                 np.add.at(whole, owner, mix(v, 3))
                 whole = mix(whole + n.astype(np.uint64), 4)
-            bucket = ((v >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = ((mix(v, 5) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, v, owner = bucket[order], v[order], owner[order]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -167,26 +169,30 @@ def shared_sets(docs: DataFrame) -> DataFrame:
     return back.groupBy("block").applyInArrow(_sets, "doc_id long, n long, whole long, shingles binary, logs binary")
 
 
-def _sorted(v: np.ndarray, g: np.ndarray, order: int) -> np.ndarray:
-    return v[np.lexsort((mix(v, 20 + order), g))]
-
-
 def _entries(sets: DataFrame, order: int) -> DataFrame:
-    """shingle, doc_id, n: the prefix of each set under an order; of the unique shingles only their number counts."""
+    """shingle, doc_id, n, left, rank: the prefix of each set under an order; of the unique shingles only their number counts.
+
+    left is the number of the set's shingles from this one on. rank is small for sets with few unique shingles, then for those whose shingles are in many documents. Of the shingles
+    that are in the prefixes of the same documents the first in the order stays, and none that is in one prefix only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
                 doc, n = piece.column(0).to_numpy(), piece.column(1).to_numpy()
-                first = []
+                parts: list[tuple] = []
                 for size, v, g in zip(n.tolist(), piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True):
-                    v = np.frombuffer(v, np.uint64)
-                    first.append(_sorted(v, np.frombuffer(g, np.uint8), order)[: max(0, prefix(size) - (size - len(v)))])
-                k = [len(f) for f in first]
-                yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate(first).view(np.int64)), "doc_id": pa.array(np.repeat(doc, k)), "n": pa.array(np.repeat(n, k))})
+                    v, g = np.frombuffer(v, np.uint64), np.frombuffer(g, np.uint8)
+                    own, h = size - len(v), mix(v, 20 + order) >> np.uint64(1)
+                    first = np.lexsort((h, g))[: max(0, prefix(size) - own)]
+                    parts.append((v[first], g[first], h[first], size - own - np.arange(len(first)), (own << 32) - int(g.sum())))
+                k = [len(p[0]) for p in parts]
+                column = lambda i: np.concatenate([p[i] for p in parts]).astype(np.uint64).view(np.int64)  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict({"shingle": pa.array(column(0)), "doc_id": pa.array(np.repeat(doc, k)), "n": pa.array(np.repeat(n, k)), "left": pa.array(column(3)), "rank": pa.array(np.repeat(np.array([p[4] for p in parts], np.int64), k)), "log": pa.array(column(1)), "h": pa.array(column(2))})
 
-    return sets.select("doc_id", "n", "shingles", "logs").mapInArrow(run, "shingle long, doc_id long, n long")
+    every = written(sets.select("doc_id", "n", "shingles", "logs").mapInArrow(run, "shingle long, doc_id long, n long, left long, rank long, log long, h long"), "prefix")
+    members = every.groupBy("shingle", "log", "h").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("b")).where("m > 1")
+    return every.join(members.groupBy("m", "a", "b").agg(F.min(F.struct("log", "h", "shingle")).alias("first")).select("first.shingle"), "shingle", "left_semi").drop("log", "h")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -213,17 +219,19 @@ def _meeting(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     return of_v.join(entries.select(F.col("doc_id").alias("u"), "shingle"), ["u", "shingle"], "left_semi").select("u", "v").distinct()
 
 
-def _fits(a: str, b: str):
-    return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
+def _fits(a: str, b: str, left_a: str, left_b: str):
+    """Sizes a and b may be similar: neither is too large for the other, and from the shared shingle on both have enough
+    shingles for the intersection that the two need. The first shingle that similar sets share always meets this."""
+    return (100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)) & ((100 + SIMILAR) * F.least(left_a, left_b) >= SIMILAR * (F.col(a) + F.col(b)))
 
 
 def _stars(entries: DataFrame) -> DataFrame:
     """Every document with the hub that it shares most prefix shingles with."""
-    hubs = entries.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    tied = entries.join(hubs.drop("members"), "shingle").where((F.col("doc_id") > F.col("hub.doc_id")) & _fits("n", "hub.n"))
+    hubs = entries.groupBy("shingle").agg(F.min(F.struct("rank", "doc_id", "n", "left")).alias("hub"))
+    tied = entries.join(hubs, "shingle").where((F.col("doc_id") != F.col("hub.doc_id")) & _fits("n", "hub.n", "left", "hub.left"))
     counted = tied.groupBy("doc_id", F.col("hub.doc_id").alias("hub")).count()
     best = counted.groupBy("doc_id").agg(F.min(F.struct((-F.col("count")).alias("c"), "hub")).alias("best"))
-    return best.select(F.col("best.hub").alias("u"), F.col("doc_id").alias("v"))
+    return best.select(F.least("best.hub", "doc_id").alias("u"), F.greatest("best.hub", "doc_id").alias("v")).distinct()
 
 
 def _labelled(entries: DataFrame, roots: DataFrame) -> DataFrame:
@@ -232,20 +240,27 @@ def _labelled(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _between(entries: list[DataFrame]) -> DataFrame:
     """Every component's first member in a prefix bucket with the bucket's first, where a component is another's."""
-    of_comp = entries[0].groupBy("shingle", "root").agg(F.min(F.struct("doc_id", "n")).alias("m"))
-    hubs = of_comp.groupBy("shingle").agg(F.min(F.struct("m.doc_id", "m.n", "root")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    tied = of_comp.join(hubs, "shingle").where((F.col("root") != F.col("hub.root")) & _fits("m.n", "hub.n"))
+    of_comp = entries[0].groupBy("shingle", "root").agg(F.min(F.struct("rank", "doc_id", "n", "left")).alias("m"))
+    hubs = of_comp.groupBy("shingle").agg(F.min(F.struct("m.rank", "m.doc_id", "m.n", "m.left", "root")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    tied = of_comp.join(hubs, "shingle").where((F.col("root") != F.col("hub.root")) & _fits("m.n", "hub.n", "m.left", "hub.left"))
     return tied.select(F.least("m.doc_id", "hub.doc_id").alias("u"), F.greatest("m.doc_id", "hub.doc_id").alias("v")).distinct()
 
 
 def _rest(entries: DataFrame) -> DataFrame:
     """All pairs of documents of different components that share a prefix shingle under one order."""
-    comps = entries.groupBy("shingle", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    far = lambda c: comps.select("shingle", F.col("root").alias(f"root_{c}"), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"))
-    near = (100 * F.col("high_a") >= SIMILAR * F.col("low_b")) & (100 * F.col("high_b") >= SIMILAR * F.col("low_a"))
-    meet = far("a").join(far("b"), "shingle").where((F.col("root_a") < F.col("root_b")) & near).select("shingle", "root_a", "root_b")
-    side = lambda c: entries.select("shingle", F.col("root").alias(f"root_{c}"), F.col("doc_id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"))
-    pairs = meet.join(side("a"), ["shingle", "root_a"]).join(side("b"), ["shingle", "root_b"]).where(_fits("n_a", "n_b"))
+    comps = entries.groupBy("shingle", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("most"))
+    far = lambda c: comps.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in ("root", "low", "high", "most")))
+
+    def near(a: str, low: str, high: str, most: str):
+        """A set (or component) a may be similar to one among those between low and high."""
+        enough = (100 + SIMILAR) * F.least(f"most_{a}", most) >= SIMILAR * (F.col(f"low_{a}") + F.col(low))
+        return (100 * F.col(f"high_{a}") >= SIMILAR * F.col(low)) & (100 * F.col(high) >= SIMILAR * F.col(f"low_{a}")) & enough
+
+    meet = far("a").join(far("b"), "shingle").where((F.col("root_a") < F.col("root_b")) & near("a", "low_b", "high_b", "most_b"))
+    side = lambda c: entries.select("shingle", F.col("root").alias(f"root_{c}"), F.col("doc_id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"), F.col("left").alias(f"left_{c}"))
+    one = meet.drop("low_a", "high_a", "most_a").join(side("a"), ["shingle", "root_a"])
+    one = one.withColumns({"low_a": F.col("n_a"), "high_a": F.col("n_a"), "most_a": F.col("left_a")}).where(near("a", "low_b", "high_b", "most_b"))
+    pairs = one.select("shingle", "root_b", "id_a", "n_a", "left_a").join(side("b"), ["shingle", "root_b"]).where(_fits("n_a", "n_b", "left_a", "left_b"))
     return pairs.select(F.least("id_a", "id_b").alias("u"), F.greatest("id_a", "id_b").alias("v")).distinct()
 
 
@@ -256,7 +271,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     classes = written(able.groupBy("whole", "n").agg(F.min("doc_id").alias("rep")), "classes")
     sets = written(able.join(classes.select(F.col("rep").alias("doc_id"), "whole", "n"), ["doc_id", "whole", "n"]).dropDuplicates(["doc_id", "whole"]), "reps")
     sets = sets.select("doc_id", "n", "shingles", "logs")
-    entries = [written(_entries(sets, i), f"prefix{i}") for i in ORDERS]
+    entries = [written(_entries(sets, i), f"entries{i}") for i in ORDERS]
 
     def all_orders(pairs: DataFrame) -> DataFrame:
         for other in entries[1:]:
