@@ -1,14 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Spark counts, over all passages of all documents, in how many of them each hashed word is: the IDF table (fixed size).
+1. Spark counts in how many of all documents each hashed word is: the IDF table (fixed size).
 2. A randomised SVD of the TF-IDF matrix of the benchmark's passages is computed by Spark: every task sums A^T (A x) over
    its items, the driver only orthogonalises a matrix of fixed size. Rare words weigh most, words in more than
-   `COMMON` of all passages weigh nothing.
+   `COMMON` of all documents weigh nothing.
 3. Every whole document is read once. Windows of 16, 32, ... words (as long as the longest item) are folded into the
    latent space and compared with all items of a block by cosine; a window whose benchmark words are too little of its
    norm is skipped first, which loses nothing.
 4. A candidate is checked on the words around it: the longest common subsequence must cover `LCS` of the item, and
-   `ANSWERS` of the item's rarest words must be there. Both allow for paraphrases.
+   `ANSWERS` of the item's rarest words must be there; from `SURE` on the subsequence alone is enough. Both allow for
+   paraphrases.
 
 The benchmark is the stated query set; it is taken in blocks of `ITEMS`, so what goes to the tasks has a fixed bound.
 Defined results: null or empty texts of documents or items match nothing, nor do items of fewer than `LEAST_WORDS` words;
@@ -27,7 +28,7 @@ from .common import map_batches, table
 from .subword import WordValues, core
 
 TERMS, FEATURES, RANK, EXTRA = 1 << 16, 1 << 14, 96, 16
-PASSAGE, COMMON, COSINE, LCS, ANSWERS, LEAST_WORDS, ITEMS = 64, 0.1, 0.3, 0.6, 0.6, 5, 5000
+COMMON, COSINE, LCS, SURE, ANSWERS, LEAST_WORDS, ITEMS = 0.3, 0.5, 0.6, 0.75, 0.5, 5, 5000
 SLICE, CHUNK = 200, 1 << 13
 
 
@@ -36,7 +37,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _term(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
 
 
 def _summed(parts: DataFrame) -> np.ndarray:
@@ -56,34 +57,21 @@ def _in_chunks(x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(at)), pa.int64()), "values": pa.array([x[i : i + CHUNK].astype(np.float64).tobytes() for i in at], pa.binary())})
 
 
-def passage_counts(docs: DataFrame) -> np.ndarray:
-    """For each hashed word the number of passages (PASSAGE words each) that hold it; at the end the number of passages."""
-
-    def run(batches):
-        counts = np.zeros(TERMS + 1)
-        known = WordValues(lambda chunks: np.array([[_term(c) % TERMS if (c := core(w)) else TERMS] for w in chunks], float), 1)
-        for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                found = known.of([(t or "").lower().split() for t in batch.column(0).slice(i, SLICE).to_pylist()])
-                sizes = np.array([len(x) for x in found])
-                passages = -(-sizes // PASSAGE)
-                first = np.concatenate([[0], np.cumsum(passages)])
-                if not first[-1]:
-                    continue
-                term = known.rows[np.concatenate(found), 0].astype(np.int64)
-                place = np.arange(len(term)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes)
-                key = np.unique((np.repeat(first[:-1], sizes) + place // PASSAGE) * (TERMS + 1) + term) % (TERMS + 1)
-                counts += np.bincount(key[key < TERMS], minlength=TERMS + 1)
-                counts[TERMS] += first[-1]
-        if counts[TERMS]:
-            yield _in_chunks(counts)
-
-    return _summed(docs.select("text").mapInArrow(run, "chunk long, values binary"))
+def document_counts(docs: DataFrame) -> np.ndarray:
+    """For each hashed word the number of documents that hold it; at the end the number of documents. DataFrame functions
+    only: the words are those of words_of() but for signs that are neither letters, digits nor ASCII (words with such signs
+    count as unseen), the hash is the same as _term()."""
+    plain = F.translate(F.lower("text"), "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "")
+    words = docs.select(F.explode(F.array_distinct(F.split(plain, r"\s+"))).alias("w")).where("w <> ''")
+    rows = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(TERMS)).alias("t")).count().collect()  # TERMS rows at most
+    counts = np.zeros(TERMS + 1)
+    for t, n in rows:
+        counts[t] = n
+    counts[TERMS] = docs.count()
+    return counts
 
 
 def _idf(counts: np.ndarray) -> np.ndarray:
-    if not len(counts):
-        return np.ones(TERMS, np.float32)
     n = counts[TERMS]
     idf = np.log((n + 1) / (counts[:TERMS] + 1))
     return np.where(counts[:TERMS] > max(COMMON * n, 5), 0.0, np.maximum(idf, 0.1)).astype(np.float32)
@@ -168,15 +156,16 @@ class Searcher:
         self.use = norm > 0.05
         self.latent = (latent / np.maximum(norm, 1e-9)[:, None] ** 2).T  # relative to what the space keeps of the item
         self.longest = max((len(w) for _, w in self.items), default=0)
-        self.known = WordValues(self._values, 3)
+        self.known = WordValues(self._values, 3, 600_000)
 
     def _values(self, chunks: list[str]) -> np.ndarray:
         """Feature (-1: not a benchmark word), IDF, and whether there is a word at all."""
-        out = np.zeros((len(chunks), 3))
-        for i, chunk in enumerate(chunks):
-            w = core(chunk)
-            t = _term(w) if w else 0
-            out[i] = t % FEATURES if w in self.vocab else -1, self.idf[t % TERMS] if w else 0, bool(w)
+        cores = list(map(core, chunks))
+        terms = np.array([_term(w) for w in cores], np.uint64)
+        out = np.empty((len(chunks), 3))
+        out[:, 0] = np.where(np.fromiter(map(self.vocab.__contains__, cores), bool, len(cores)), (terms % np.uint64(FEATURES)).astype(np.int64), -1)
+        out[:, 2] = np.fromiter(map(bool, cores), bool, len(cores))
+        out[:, 1] = self.idf[(terms % np.uint64(TERMS)).astype(np.int64)] * out[:, 2]
         return out
 
     def __call__(self, texts: list[str | None]) -> list[tuple]:
@@ -184,68 +173,83 @@ class Searcher:
         if not self.items:
             return []
         chunks = [(t or "").lower().split() for t in texts]
-        out = []
-        for i, at in enumerate(self.known.of(chunks)):
-            rows = self.known.rows[at]
-            place = np.flatnonzero(rows[:, 2] > 0)
-            feature, idf = rows[place, 0].astype(np.int64), rows[place, 1]
-            if len(place) and (feature >= 0).sum() >= 3:
-                out += [(i, *hit) for hit in self._search(feature, idf, [chunks[i][p] for p in place])]
-        return out
-
-    def _search(self, feature: np.ndarray, idf: np.ndarray, raw: list[str]):
+        rows = self.known.of(chunks)
+        size = np.array([len(r) for r in rows])
+        if not size.sum():
+            return []
+        rows = self.known.rows[np.concatenate(rows)]
+        word = rows[:, 2] > 0
+        owner = np.repeat(np.arange(len(size)), size)[word]
+        place = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))[word]
+        return self._search(rows[word, 0].astype(np.int64), rows[word, 1], owner, place, chunks)
+
+    def _search(self, feature: np.ndarray, idf: np.ndarray, owner: np.ndarray, place: np.ndarray, chunks: list[list[str]]) -> list[tuple]:
+        """All texts of a slice at once; windows end where their text does."""
         n = len(feature)
-        known = feature >= 0
+        if not n:
+            return []
+        stop = np.searchsorted(owner, owner, side="right")
+        known = (feature >= 0) & (idf > 0)
         total = np.concatenate([[0], np.cumsum(idf**2)])
         mass = np.concatenate([[0], np.cumsum(np.where(known, idf**2, 0))])
         spans = []
         size = 16
         while True:
-            starts = np.arange(0, max(1, n - size + size // 4), size // 4)
-            ends = np.minimum(starts + size, n)
+            starts = np.arange(0, n, size // 4)
+            ends = np.minimum(starts + size, stop[starts])
             norm2 = total[ends] - total[starts]
-            keep = (norm2 > 0) & (mass[ends] - mass[starts] >= COSINE**2 * norm2)
+            keep = (norm2 > 1e-9) & (mass[ends] - mass[starts] >= COSINE**2 * norm2)
             spans.append(np.stack([starts[keep], ends[keep]]))
-            if size >= min(self.longest, n):
+            if size >= self.longest:
                 break
             size *= 2
+        # short texts begin between the places above: each text is a window of its own from its first word on
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        ends = np.minimum(first + max(16, self.longest), stop[first])
+        norm2 = total[ends] - total[first]
+        spans.append(np.stack([first, ends])[:, (norm2 > 1e-9) & (mass[ends] - mass[first] >= COSINE**2 * norm2)])
         starts, ends = np.concatenate(spans, 1)
         if not len(starts):
-            return
-        at = np.flatnonzero(known)
-        run = np.zeros((len(at) + 1, self.space.shape[1]))
-        np.cumsum(self.space[feature[at]] * idf[at, None], axis=0, out=run[1:])
-        latent = run[np.searchsorted(at, ends)] - run[np.searchsorted(at, starts)]
-        norm = np.sqrt(total[ends] - total[starts])
-        best: dict[int, list] = {}
-        for b in range(0, len(starts), 4096):
-            cosine = (latent[b : b + 4096].astype(np.float32) @ self.latent) / norm[b : b + 4096, None]
+            return []
+        cover = np.zeros(n + 1, np.int64)
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, ends, -1)
+        at = np.flatnonzero(known & (np.cumsum(cover[:-1]) > 0))
+        run = np.zeros((len(at) + 1, self.space.shape[1]), np.float32)
+        np.cumsum(self.space[feature[at]] * idf[at, None].astype(np.float32), axis=0, out=run[1:])
+        best: dict[tuple[int, int], list] = {}
+        for b in range(0, len(starts), 8192):
+            s, e = starts[b : b + 8192], ends[b : b + 8192]
+            latent = (run[np.searchsorted(at, e)] - run[np.searchsorted(at, s)]) / np.sqrt(total[e] - total[s])[:, None].astype(np.float32)
+            cosine = latent @ self.latent
             for w, q in zip(*np.nonzero((cosine >= COSINE) & self.use), strict=True):
-                best.setdefault(int(q), []).append((float(cosine[w, q]), int(starts[b + w]), int(ends[b + w])))
-        plain = None
-        for q, found in best.items():
+                best.setdefault((int(owner[s[w]]), int(q)), []).append((float(cosine[w, q]), int(s[w]), int(e[w])))
+        out = []
+        for (doc, q), found in sorted(best.items()):
             item, words = self.items[q]
-            if plain is None:
-                plain = [core(x) for x in raw]
-            m, top = len(words), None
-            tried = set()
+            low, high = int(np.searchsorted(owner, doc)), int(np.searchsorted(owner, doc, side="right"))
+            m, top, tried = len(words), None, set()
             for c, s, e in sorted(found, reverse=True):
                 mid = (s + e) // 2
                 if any(abs(mid - x) <= m // 2 for x in tried):
                     continue
                 tried.add(mid)
-                region = plain[max(0, mid - m - m // 4) : mid + m + m // 4]
+                region = [core(chunks[doc][p]) for p in place[max(low, mid - m - m // 4) : min(high, mid + m + m // 4)]]
+                there = set(region)
+                if sum(map(there.__contains__, words)) < LCS * m:  # no common subsequence can be longer
+                    continue
+                answers = len(self.rare[q] & there) / len(self.rare[q])
                 share = lcs(words, region) / m
-                answers = len(self.rare[q] & set(region)) / len(self.rare[q])
-                if share >= LCS and answers >= ANSWERS:
+                if share >= SURE or (share >= LCS and answers >= ANSWERS):
                     top = max(top or (0, 0, 0), (share, answers, c))
             if top:
-                yield item, min(1.0, top[2]), top[0], top[1]
+                out.append((doc, item, min(1.0, top[2]), top[0], top[1]))
+        return out
 
 
 def _blocks(benchmark: DataFrame, docs: DataFrame):
     """Searcher parts (items, idf, space) of each block of ITEMS items, in order of ids."""
-    idf = _idf(passage_counts(docs))
+    idf = _idf(document_counts(docs))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     last = None
     while True:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -47,13 +48,16 @@ class WordValues:
         """For each list of white-space separated stretches, the indexes of their rows in self.rows."""
         if self.used > self.limit:
             self.clear()
-        index = self.index
-        new = [w for w in {w for t in texts for w in t} if w not in index]
-        if new:
-            new.sort()
+        index, flat = self.index, list(chain.from_iterable(texts))
+        ids = np.fromiter(map(index.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(ids < 0).tolist()
+        if missing:
+            new = sorted({flat[i] for i in missing})
             while self.used + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[self.used : self.used + len(new)] = self.compute(new)
             index.update(zip(new, range(self.used, self.used + len(new)), strict=True))
             self.used += len(new)
-        return [np.fromiter(map(index.__getitem__, t), np.int64, len(t)) for t in texts]
+            ids[missing] = [index[flat[i]] for i in missing]
+        ends = np.cumsum([len(t) for t in texts]).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
