@@ -32,8 +32,10 @@ from .common import mix, partitions, table, written
 from .ngram_join import gathered, pack, repeated
 
 LENGTH, K = 100, 40
-#: Bytes of stretches in a bucket and anchors in a bucket, as planned from the number of bytes of all texts.
-BUCKET_BYTES = 3_000_000
+#: Bytes of stretches in a bucket, as planned from the number of bytes of all texts (about a quarter of them repeat); bytes
+#: and known repeats that a task holds before it passes them on; documents it unpacks at once.
+
+BUCKET_BYTES, HELD_BYTES, HELD_KNOWN, SLICE = 250_000, 6_000_000, 100_000, 200
 _P = 0xD6E8FEB86659FD93
 _INV = pow(_P, -1, 1 << 64)
 _POWERS: dict[int, list[np.ndarray]] = {}
@@ -69,13 +71,13 @@ def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first window, last window) of every anchor: a window's anchor is the first least-hash K-gram in it."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first window, last window, hash) of every anchor: a window's anchor is the first least-hash K-gram in it."""
     h = rolling(data, K)
     w = LENGTH - K + 1
     if len(h) < w:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, h[:0]
     low = _sliding(h, w, np.minimum)
     # candidates are the places that are least in some window; the first of them in each window is its anchor
     padded = np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)])
@@ -90,7 +92,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at[wrong] += 1
     place, start = np.unique(at, return_index=True)
     end = np.append(start[1:], len(low)) - 1
-    return least[place], start, end
+    return least[place], start, end, value[place]
 
 
 class AnchorSets:
@@ -99,9 +101,7 @@ class AnchorSets:
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         found = []
         for t in texts:
-            data = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)
-            place, _, _ = anchors(data)
-            found.append(np.unique(rolling(data, K)[place]) if len(place) else np.zeros(0, np.uint64))
+            found.append(np.unique(anchors(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8))[3]))
         return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.array([len(f) for f in found], np.int64)
 
 
@@ -131,21 +131,20 @@ def _stretches(joined: DataFrame, buckets: int) -> DataFrame:
         held: dict = {}
         known: list = []
         size = 0
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             for doc, text, listed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                data = np.frombuffer(raw, np.uint8)
-                place, first, last = anchors(data)
+                place, first, last, h = anchors(np.frombuffer(raw, np.uint8))
                 if not len(place):
                     continue
-                h = rolling(data, K)[place]
+                bucket = (mix(h, 6) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # anchors are least hashes, so not spread
                 _, back, often = np.unique(h, return_inverse=True, return_counts=True)
                 take = often[back] > 1
                 if listed is not None:
                     take |= np.isin(h, np.frombuffer(listed, np.uint64))
                 for i in np.flatnonzero(take).tolist():
-                    s, e, a = int(first[i]), int(last[i]), int(h[i])
-                    key = ((a >> 32) * buckets >> 32, int(place[i]) - s, raw[s : e + LENGTH])
+                    s, e = int(first[i]), int(last[i])
+                    key = (int(bucket[i]), int(place[i]) - s, raw[s : e + LENGTH])
                     here, old = (doc, s, e - s + 1), held.get(key)
                     if old is None:
                         held[key] = here
@@ -155,7 +154,7 @@ def _stretches(joined: DataFrame, buckets: int) -> DataFrame:
                     else:
                         held[key] = min(old, here)
                         known.append(max(old, here))
-                if size > 24_000_000:
+                if size > HELD_BYTES or len(known) > HELD_KNOWN:
                     yield flush(held, known)
                     held, known, size = {}, [], 0
         if held or known:
@@ -209,19 +208,23 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     of_doc = written(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             out: list[tuple] = []
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            runs = batch.column(2)
+            first, last = (runs.values.field(c).to_numpy(zero_copy_only=False) for c in ("first", "last"))
+            cuts = runs.offsets.to_numpy().tolist()
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                change = np.zeros(len(raw) + 1, np.int64)
-                for r in runs or ():
-                    if r["first"] < len(raw):
-                        change[r["first"]] += 1
-                        change[min(len(raw), r["last"] + LENGTH)] -= 1
-                gone = np.cumsum(change[:-1]) > 0
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+                gone: list[list[int]] = []
+                for s, e in sorted(zip(first[cuts[i] : cuts[i + 1]].tolist(), last[cuts[i] : cuts[i + 1]].tolist(), strict=True)):
+                    e = min(len(raw), e + LENGTH)
+                    if gone and s <= gone[-1][1]:
+                        gone[-1][1] = max(gone[-1][1], e)
+                    elif s < len(raw):
+                        gone.append([s, e])
+                edges = [0, *(x for g in gone for x in g), len(raw)]
+                kept = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+                out.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             columns = {"doc_id": batch.column(0)} | {c: pa.array([o[i] for o in out], pa.int64()) for i, c in enumerate(("n_bytes", "n_removed", "n_spans"))}
             columns["kept_sha256"] = pa.array([o[3] for o in out], pa.string())
             if texts:
