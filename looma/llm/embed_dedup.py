@@ -155,7 +155,7 @@ def _pairs(vectors: DataFrame, size: int, threshold: float, tile: int) -> DataFr
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row with an id."""
     usable = written(_usable(vectors).distinct(), "vectors")
-    sizes = [r[0] for r in usable.select(F.size("v").alias("k")).groupBy("k").count().orderBy("k").limit(1000).collect()]
+    sizes = [r[0] for r in usable.select(F.size("v").alias("k")).distinct().orderBy("k").collect()]
     found = None
     for k in sizes:
         part = _pairs(usable.where(F.size("v") == k), k, threshold, tile)
