@@ -36,6 +36,7 @@ SIMILAR = 80
 #: Shingles of a block that a task packs together, and of a bucket as planned from the number of characters.
 BLOCK, BUCKET, CHARS_A_SHINGLE = 1_000_000, 400_000, 5
 ORDERS = (1, 2, 3)
+FEW = 1_000_000
 
 
 def prefix(n):
@@ -298,9 +299,11 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose component holds one with a smaller id; columns stay as they are."""
-    gone = join_documents(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """docs without the documents whose component holds one with a smaller id; columns stay as they are.
+
+    Up to FEW ids (a checked size) are broadcast, so that no text is shuffled; more meet the documents by a shuffled join."""
+    gone = written(join_documents(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
