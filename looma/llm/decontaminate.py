@@ -3,13 +3,16 @@
 1. Spark counts in how many of all documents each hashed word is: the IDF table (fixed size).
 2. A randomised SVD of the TF-IDF matrix of the benchmark's passages is computed by Spark: every task sums A^T (A x) over
    its items, the driver only orthogonalises a matrix of fixed size. Rare words weigh most, words in more than
-   `COMMON` of all documents weigh nothing.
+   `COMMON` of all documents weigh nothing here (see 5).
 3. Every whole document is read once. Windows of 16, 32, ... words (as long as the longest item) are folded into the
    latent space and compared with all items of a block by cosine; a window whose benchmark words are too little of its
    norm is skipped first, which loses nothing.
 4. A candidate is checked on the words around it: the longest common subsequence must cover `LCS` of the item, and
    `ANSWERS` of the item's rarest words must be there; from `SURE` on the subsequence alone is enough. Both allow for
    paraphrases.
+5. Items whose copies the windows could miss (their words are frequent, as in a corpus full of copies, so the words around
+   them outweigh them; or the latent space keeps little of them) take another path to the same checks: a document is a
+   candidate if it holds enough of an item's rarest words that the subsequence can cover `LCS` of it. Nothing is lost.
 
 The benchmark is the stated query set; it is taken in blocks of `ITEMS`, so what goes to the tasks has a fixed bound.
 Defined results: null or empty texts of documents or items match nothing, nor do items of fewer than `LEAST_WORDS` words;
@@ -18,6 +21,9 @@ repeated rows and ids give a row for each match and id; empty tables give no row
 
 from __future__ import annotations
 
+import math
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,7 +34,8 @@ from .common import map_batches, table
 from .subword import WordValues, core
 
 TERMS, FEATURES, RANK, EXTRA = 1 << 16, 1 << 14, 96, 16
-COMMON, COSINE, LCS, SURE, ANSWERS, LEAST_WORDS, ITEMS = 0.3, 0.5, 0.6, 0.75, 0.5, 5, 5000
+COMMON, LEAST_IDF, COSINE, LCS, SURE, ANSWERS, LEAST_WORDS, ITEMS = 0.3, 0.1, 0.5, 0.6, 0.75, 0.5, 5, 5000
+SAFE, LEAST_NORM = 0.6, 0.3
 SLICE, CHUNK = 200, 1 << 13
 
 
@@ -71,10 +78,12 @@ def document_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def _idf(counts: np.ndarray) -> np.ndarray:
+def _idf(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The IDF of every hashed word, and the weights of the latent space, in which frequent words are 0."""
     n = counts[TERMS]
     idf = np.log((n + 1) / (counts[:TERMS] + 1))
-    return np.where(counts[:TERMS] > max(COMMON * n, 5), 0.0, np.maximum(idf, 0.1)).astype(np.float32)
+    idf = np.maximum(idf, LEAST_IDF).astype(np.float32)
+    return idf, np.where(counts[:TERMS] > max(COMMON * n, 5), 0, idf)
 
 
 def _vector(terms: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,35 +146,70 @@ def lcs(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
+def _least_cosine(e: np.ndarray, top: float, longest: int) -> float:
+    """A bound of the cosine of an item (squared weights e of its words) and the best window over a copy of it, wherever the
+    windows begin and if all words around it have the squared weight top."""
+    run, best, size = np.concatenate([[0.0], np.cumsum(e)]), 0.0, 16
+    while True:
+        step = size // 4
+        s = np.arange(-size + 1, len(e) + (-(size + len(e) - 1)) % step)  # whole steps
+        a, b = s.clip(0, len(e)), (s + size).clip(0, len(e))
+        own = run[b] - run[a]
+        c = own / np.sqrt(np.maximum(run[-1] * (own + (size - b + a) * top), 1e-12))
+        best = max(best, float(c.reshape(-1, step).max(0).min()))
+        if size >= longest:
+            return best
+        size *= 2
+
+
 class Searcher:
     """The items of one block, ready for comparison with whole texts."""
 
-    def __init__(self, items: list[tuple[int, str]], idf: np.ndarray, space: np.ndarray):
-        self.idf, self.space = idf, space
+    def __init__(self, items: list[tuple[int, str]], idf: np.ndarray, weights: np.ndarray, space: np.ndarray):
+        self.idf, self.weights, self.space = idf, weights, space
         self.items = [(i, w) for i, t in items if len(w := words_of(t)) >= LEAST_WORDS]
         self.vocab = {w for _, words in self.items for w in words}
         rows = []
         self.rare = []
         for _, words in self.items:
-            feature, w = _vector([_term(x) for x in words], idf)
+            feature, w = _vector([_term(x) for x in words], weights)
             rows.append(w @ space[feature])
-            weights = sorted(set(words), key=lambda x: (-idf[_term(x) % TERMS], x))
-            self.rare.append(set(weights[: max(2, len(weights) // 4)]))
+            rarest = sorted(set(words), key=lambda x: (-idf[_term(x) % TERMS], x))
+            self.rare.append(set(rarest[: max(2, len(rarest) // 4)]))
         latent = np.array(rows, np.float32).reshape(len(rows), space.shape[1])
         norm = np.linalg.norm(latent, axis=1)
-        self.use = norm > 0.05
         self.latent = (latent / np.maximum(norm, 1e-9)[:, None] ** 2).T  # relative to what the space keeps of the item
         self.longest = max((len(w) for _, w in self.items), default=0)
-        self.known = WordValues(self._values, 3, 600_000)
+        top = float(idf.max()) ** 2
+        bound = [_least_cosine(weights[[_term(x) % TERMS for x in words]].astype(float) ** 2, top, self.longest) for _, words in self.items]
+        self.use = (norm > LEAST_NORM) & (np.array(bound) >= SAFE)
+        self._anchor()
+        self.known = WordValues(self._values, 4, 600_000)
+
+    def _anchor(self) -> None:
+        """For the items that windows could miss: which (item, times) hang on a word. A text in which the subsequence covers LCS
+        of an item lacks at most 1 - LCS of its words, so it holds at least `need` of the rarest ones taken here."""
+        hung: dict[str, dict[int, int]] = {}
+        self.need = np.zeros(len(self.items), np.int64)
+        for q in np.flatnonzero(~self.use).tolist():
+            words = sorted(self.items[q][1], key=lambda x: (-self.idf[_term(x) % TERMS], x))
+            self.need[q] = max(1, len(words) // 4)
+            for w in words[: len(words) - math.ceil(LCS * len(words)) + int(self.need[q])]:
+                own = hung.setdefault(w, {})
+                own[q] = own.get(q, 0) + 1
+        self.anchors = {w: i for i, w in enumerate(hung)}
+        self.hung = np.array([(q, n) for own in hung.values() for q, n in own.items()], np.int64).reshape(-1, 2)
+        self.hung_at = np.concatenate([[0], np.cumsum([len(own) for own in hung.values()])]).astype(np.int64)
 
     def _values(self, chunks: list[str]) -> np.ndarray:
-        """Feature (-1: not a benchmark word), IDF, and whether there is a word at all."""
+        """Feature (-1: not a benchmark word), weight, whether there is a word at all, and the anchor (-1: none)."""
         cores = list(map(core, chunks))
         terms = np.array([_term(w) for w in cores], np.uint64)
-        out = np.empty((len(chunks), 3))
+        out = np.empty((len(chunks), 4))
         out[:, 0] = np.where(np.fromiter(map(self.vocab.__contains__, cores), bool, len(cores)), (terms % np.uint64(FEATURES)).astype(np.int64), -1)
         out[:, 2] = np.fromiter(map(bool, cores), bool, len(cores))
-        out[:, 1] = self.idf[(terms % np.uint64(TERMS)).astype(np.int64)] * out[:, 2]
+        out[:, 1] = self.weights[(terms % np.uint64(TERMS)).astype(np.int64)] * out[:, 2]
+        out[:, 3] = np.fromiter(map(self.anchors.get, cores, repeat(-1)), np.int64, len(cores))
         return out
 
     def __call__(self, texts: list[str | None]) -> list[tuple]:
@@ -181,7 +225,52 @@ class Searcher:
         word = rows[:, 2] > 0
         owner = np.repeat(np.arange(len(size)), size)[word]
         place = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))[word]
-        return self._search(rows[word, 0].astype(np.int64), rows[word, 1], owner, place, chunks)
+        found = self._search(rows[word, 0].astype(np.int64), rows[word, 1], owner, place, chunks)
+        return sorted(found + self._exact(rows[word, 3].astype(np.int64), owner, place, chunks)) if self.anchors else found
+
+    def _exact(self, anchor: np.ndarray, owner: np.ndarray, place: np.ndarray, chunks: list[list[str]]) -> list[tuple]:
+        """The items that windows could miss: by their rarest words, then in every region with enough of their words."""
+        doc, a = np.divmod(np.unique(owner[(there := anchor >= 0)] * len(self.anchors) + anchor[there]), len(self.anchors))
+        n = self.hung_at[a + 1] - self.hung_at[a]
+        at = np.repeat(self.hung_at[a] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pairs, back = np.unique(np.repeat(doc, n) * len(self.items) + self.hung[at, 0], return_inverse=True)
+        enough = np.bincount(back, self.hung[at, 1], len(pairs)) >= self.need[pairs % len(self.items)]
+        out, last = [], -1
+        for doc, q in zip(*(x.tolist() for x in np.divmod(pairs[enough], len(self.items))), strict=True):
+            if doc != last:
+                low, high = np.searchsorted(owner, [doc, doc + 1])
+                text, last = [core(chunks[doc][p]) for p in place[low:high].tolist()], doc
+                distinct = set(text)
+            item, words = self.items[q]
+            m = len(words)
+            if sum(map(distinct.__contains__, words)) < LCS * m:
+                continue
+            run = np.concatenate([[0], np.cumsum(np.fromiter(map(set(words).__contains__, text), np.int64, len(text)))])
+            starts = np.arange(0, max(1, len(text) - 2 * m + m // 2), max(1, m // 2))
+            stops = np.minimum(starts + 2 * m + m // 2, len(text))
+            n = run[stops] - run[starts]
+            top = None
+            for k in np.argsort(-n, kind="stable").tolist():
+                if n[k] < LCS * m or (top and top[0] == 1.0):
+                    break
+                region = text[starts[k] : stops[k]]
+                there = set(region)
+                if sum(map(there.__contains__, words)) < LCS * m:
+                    continue
+                answers = len(self.rare[q] & there) / len(self.rare[q])
+                share = lcs(words, region) / m
+                if (share >= SURE or (share >= LCS and answers >= ANSWERS)) and (top is None or (share, answers) > top[:2]):
+                    top = (share, answers, int(starts[k]), int(stops[k]))
+            if top:
+                begins = np.arange(top[2], max(top[2], top[3] - m) + 1)
+                b = int(begins[np.argmax(run[np.minimum(begins + m, len(text))] - run[begins])])
+                out.append((doc, item, self._cosine(words, text[b : b + m]), top[0], top[1]))
+        return out
+
+    def _cosine(self, a: list[str], b: list[str]) -> float:
+        (fa, wa), (fb, wb) = (_vector([_term(w) for w in x], self.idf) for x in (a, b))
+        _, i, j = np.intersect1d(fa, fb, True, True)
+        return min(1.0, float(wa[i] @ wb[j]))
 
     def _search(self, feature: np.ndarray, idf: np.ndarray, owner: np.ndarray, place: np.ndarray, chunks: list[list[str]]) -> list[tuple]:
         """All texts of a slice at once; windows end where their text does."""
@@ -248,8 +337,8 @@ class Searcher:
 
 
 def _blocks(benchmark: DataFrame, docs: DataFrame):
-    """Searcher parts (items, idf, space) of each block of ITEMS items, in order of ids."""
-    idf = _idf(document_counts(docs))
+    """Searcher parts (items, idf, weights, space) of each block of ITEMS items, in order of ids."""
+    idf, weights = _idf(document_counts(docs))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     last = None
     while True:
@@ -258,7 +347,7 @@ def _blocks(benchmark: DataFrame, docs: DataFrame):
         if not ids:
             return
         own = rest.where(F.col("item_id") <= ids[-1])
-        yield [(r[0], r[1]) for r in own.collect()], idf, latent_space(own, idf)
+        yield [(r[0], r[1]) for r in own.collect()], idf, weights, latent_space(own, weights)
         last = ids[-1]
 
 

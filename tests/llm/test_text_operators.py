@@ -175,3 +175,29 @@ def test_lcs_and_leaks(spark):
     kept = decontaminate.clean(d, bench)
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {*range(9), 11}
     assert decontaminate.matches(d.limit(0), bench).count() == 0 and decontaminate.matches(d, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", (8, 30, 70))
+def test_items_that_a_third_of_the_documents_hold(spark, size):
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    items = [fill(size) for _ in range(3)]
+    common = [word() for _ in range(12)]
+    items.append(" ".join(rng.choice(common) for _ in range(size)))  # of words that nearly all documents hold
+    texts, leaks = [], set()
+    for i in range(300):
+        text = [fill(rng.randrange(5, 80)), " ".join(rng.sample(common, 3)), fill(20)]
+        if i % 3 == 0:
+            text.insert(1, items[0])
+            leaks.add((i, 0))
+        if i % 100 == 50:
+            text = [items[1]] if i == 50 else [*text, items[1], fill(9)]
+            leaks.add((i, 1))
+        if i % 100 == 70:
+            text.insert(1, items[3])
+            leaks.add((i, 3))
+        texts.append(" ".join(text))
+    d, bench = docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, bench).collect()} == leaks
+    assert {r["doc_id"] for r in decontaminate.clean(d, bench).collect()} == set(range(300)) - {i for i, _ in leaks}
