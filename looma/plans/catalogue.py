@@ -701,7 +701,7 @@ def logits(spark, d):
 
 @query("h1_embed_texts")
 def _(spark, d):
-    texts = read(spark, d, "conversations").select("conv_id", "turn", F.substring_index("text", " ", 3).alias("text"))
+    texts = read(spark, d, "conversations").select("conv_id", "turn", "text")
     cache = embed.encode_distinct(texts.where("conv_id % 2 = 0").select("text").distinct(), embed.HashingEncoder())
     return embed.embed_texts(texts, "text", embed.HashingEncoder(), cache)[0].select("conv_id", "turn", "vector")
 
