@@ -902,7 +902,7 @@ def _(spark, d):
     from .estimator import Classifier
 
     o = read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority")
-    model = Classifier(bagging=2, max_context_size=64, seed=SEED).fit(o.where("o_orderkey % 5 <> 0"), "o_orderpriority", "o_orderkey")
+    model = Classifier(bagging=2, seed=SEED).fit(o.where("o_orderkey % 5 <> 0"), "o_orderpriority", "o_orderkey")
     return model.predict(o.where("o_orderkey % 5 = 0").drop("o_orderpriority"))
 
 
@@ -911,7 +911,7 @@ def _(spark, d):
     from .estimator import Regressor
 
     e = read(spark, d, "events").select("event_id", "event_type", "ts", "value")
-    model = Regressor(bagging=2, max_context_size=64, seed=SEED).fit(e.where("event_id % 5 <> 0"), "value", "event_id")
+    model = Regressor(bagging=2, seed=SEED).fit(e.where("event_id % 5 <> 0"), "value", "event_id")
     return model.predict(e.where("event_id % 5 = 0").drop("value"))
 
 

@@ -36,21 +36,25 @@ class _Estimator:
         return self
 
     def _scores(self, query: DataFrame) -> DataFrame:
-        """query_id, bag, context label, similarity."""
+        """query_id, bag, context label, similarity, and how often the bag holds the context row. An int bagging above 1 draws
+        max_context_size rows with replacement, 1 so many without, 'auto' takes windows; whatever the number of rows."""
         both = self.context.select(self.key, *self.features, F.lit("context").alias("role")).unionByName(query.select(self.key, *self.features, F.lit("query").alias("role")))
         vectors = row_vectors(both, self.features, self.key)
         known = self.context.select(self.key, F.col(self.target).alias("label"))
         rows = known.select(F.lit("t").alias("table_id"), F.col(self.key).alias("row_idx"), "label")
         dense = split.shuffle_rows(rows.withColumn("own", F.col("row_idx")), self.seed)
-        size = min(self.max_context_size, self.n)
-        if self.bagging == "auto" or self.n > size:
+        size = self.max_context_size
+        if self.bagging == "auto":
             bags = split.auto_bags(dense, self.n, size, self.seed)
+        elif int(self.bagging) > 1:
+            bags = split.bootstrap_bags(dense, self.n, int(self.bagging), size, self.seed) if self.n else dense.withColumn("bag", F.lit(0))
         else:
-            bags = split.bootstrap_bags(dense, self.n, int(self.bagging), size, self.seed) if int(self.bagging) > 1 else dense.withColumn("bag", F.lit(0))
-        context = bags.select("bag", F.col("own").alias(self.key), "label").join(vectors, self.key).select("bag", F.col(self.key).alias("context_id"), "label", "vector")
+            bags = dense.where(F.col("row_idx") < size).withColumn("bag", F.lit(0))
+        bags = bags.groupBy("bag", F.col("own").alias(self.key), "label").agg(F.count(F.lit(1)).alias("times"))  # a row may be drawn several times
+        context = bags.join(vectors, self.key).select("bag", F.col(self.key).alias("context_id"), "label", "times", "vector")
         asked = query.select(self.key).join(vectors, self.key).select(F.col(self.key).alias("query_id"), embed.l2_normalize(F.col("vector")).alias("q"))
-        context = context.select("bag", "context_id", "label", embed.l2_normalize(F.col("vector")).alias("c"))  # bags x max_context_size rows
-        return asked.crossJoin(F.broadcast(context)).select("query_id", "bag", "label", embed.dot(F.col("q"), F.col("c")).alias("similarity"))
+        context = context.select("bag", "context_id", "label", "times", embed.l2_normalize(F.col("vector")).alias("c"))  # bags x max_context_size rows
+        return asked.crossJoin(F.broadcast(context)).select("query_id", "bag", "label", "times", embed.dot(F.col("q"), F.col("c")).alias("similarity"))
 
 
 class Classifier(_Estimator):
@@ -68,7 +72,7 @@ class Classifier(_Estimator):
 class Regressor(_Estimator):
     def predict(self, query: DataFrame) -> DataFrame:
         """query_id, value: in each bag the mean of labels weighted by softmaxed similarity, then the mean over bags."""
-        w = F.exp(10 * F.col("similarity"))
+        w = F.col("times") * F.exp(10 * F.col("similarity"))
         per = self._scores(query).groupBy("query_id", "bag").agg((F.sum(w * F.col("label")) / F.sum(w)).alias("value"))
         return embed.combine_regression(per)
 

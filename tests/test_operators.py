@@ -191,3 +191,19 @@ def test_streams(spark, tree, tmp_path):
     q = streaming.task_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("counts").collect()} == {(True, 360), (False, 40)}
+
+
+@pytest.mark.parametrize("bagging, size, bags, rows", [(3, 20, 3, 20), (3, 50, 3, 50), ("auto", 20, 2, 20), ("auto", 50, 1, 30), (1, 20, 1, 20), (1, 50, 1, 30)])
+def test_bags_follow_bagging_above_and_below_the_context_size(spark, bagging, size, bags, rows):
+    from looma.plans.estimator import Regressor
+
+    df = spark.createDataFrame([(i, float(i), float(i % 7)) for i in range(30)], "id long, x double, y double")
+    query = df.where("id < 2").drop("y").withColumn("id", F.col("id") + 100)
+    model = Regressor(bagging=bagging, max_context_size=size, seed=5).fit(df, "y", "id")
+    n = {}
+    for r in model._scores(query).collect():
+        n.setdefault((r["query_id"], r["bag"]), []).append(r["times"] if "times" in r else 1)
+    assert len(n) == 2 * bags and all(sum(x) == rows for x in n.values())
+    if bagging != 3:
+        assert all(set(x) == {1} for x in n.values())
+    assert model.predict(query).count() == 2
