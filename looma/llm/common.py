@@ -58,6 +58,21 @@ def crc_mod(doc_id, mod: int = 5):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def fitting(rows: list, group: str, budget: int) -> list:
+    """Of rows (n, group) in order, those whose n fit into the budget of their group one after the other; one that does not
+    fit is left out. Where none of a group fits, its shortest stays, to be cut to the budget."""
+    used: dict = {}
+    out, least = [], {}
+    for r in rows:
+        g, n = r[group], r["n"] or 0
+        if used.get(g, 0) + n <= budget:
+            used[g] = used.get(g, 0) + n
+            out.append(r)
+        if g not in least or n < (least[g]["n"] or 0):
+            least[g] = r
+    return out + [r for g, r in least.items() if g not in used]
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them (the splitmix64 finaliser)."""
     with np.errstate(over="ignore"):

@@ -5,7 +5,7 @@ one-versus-one linear support vector machines (squared hinge) separate its langu
 average, so a word carries one number for each classifier, computed once and cached; the weights have a fixed size and go
 to the tasks. No text is shuffled.
 
-Training reads a bounded sample: at most `PER_LANG` texts of each learned language (the `MAX_LANGS` most frequent ones), in
+Training reads a bounded sample: every language, at most `PER_LANG` texts of each (fewer beyond `MAX_TEXTS` in all), in
 the order of a hash of the id, read after the ids are chosen; short stretches of them are added, for short texts.
 Defined results: a null text or one without letters is `und` with score 0; rows with null lang teach nothing; without any
 labelled text everything is `und`; with one language all is that one, score 1. Repeated rows stay; other columns are
@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, table
+from .common import crc_mod, fitting, map_batches, table
 from .subword import WordValues, grams
 
-BUCKETS, GRAMS, PER_LANG, MAX_LANGS, MAX_CHARS = 1 << 13, (1, 2, 3), 250, 64, 8_000_000
+BUCKETS, GRAMS, PER_LANG, MAX_TEXTS, MAX_CHARS = 1 << 13, (1, 2, 3), 250, 16_000, 8_000_000
 LETTER = re.compile(r"[^\W\d_]")
 SLICE = 200
 # Languages (ISO 639-1) of the families; a code that is in none is of the family "other".
@@ -160,13 +160,14 @@ def predictor(model: dict):
     return lambda texts: [x for i in range(0, len(texts), SLICE) for x in few(texts[i : i + SLICE])]
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, max_chars: int = MAX_CHARS) -> dict:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -> dict:
     """The model from texts and languages of documents whose crc32(doc_id) mod 5 is not 0."""
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id")) != 0))
-    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not n:
         return train([], [])
+    per_lang, budget = max(1, min(per_lang, MAX_TEXTS // len(n))), max(1, max_chars // len(n))
     # ids whose hash is small, about twice as many of each language as are wanted, then the first of them
     share = F.create_map([x for lang, c in n.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * per_lang + 20) / c)))])
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
@@ -174,13 +175,9 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, m
     first = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
     ids = spark.createDataFrame([(r["doc_id"],) for r in some.withColumn("rn", first).where(F.col("rn") <= per_lang).select("doc_id").collect()], "doc_id long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(F.broadcast(ids), "doc_id").where("text is not null and lang is not null")
-    small, total = [], 0
-    for r in rows.select("doc_id", F.length("text").alias("n")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(per_lang * max_langs).collect():
-        total += r["n"]
-        if total > max_chars and small:
-            break
-        small.append((r["doc_id"],))
-    few = {r["doc_id"]: (r["text"], r["lang"]) for r in rows.join(F.broadcast(spark.createDataFrame(small, "doc_id long")), "doc_id").collect()}
+    sizes = rows.select("doc_id", "lang", F.length("text").alias("n")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(per_lang * len(n)).collect()
+    small = spark.createDataFrame([(r["doc_id"],) for r in fitting(sizes, "lang", budget)], "doc_id long")
+    few = {r["doc_id"]: (r["text"], r["lang"]) for r in rows.join(F.broadcast(small), "doc_id").withColumn("text", F.substring("text", 1, budget)).collect()}
     order = [i for i in sorted(few) if LETTER.search(few[i][0])]
     return train([few[i][0] for i in order], [few[i][1] for i in order])
 

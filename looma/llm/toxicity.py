@@ -6,8 +6,8 @@ windows by a soft maximum, so that one insult in a long text is not averaged awa
 from the labels of texts. With two classes the softmax is a logistic in the difference of its rows, and the mean over a
 window is linear, so scoring needs one number for each n-gram; these (a fixed number of buckets) go to the tasks.
 
-Training reads a bounded sample: at most `PER_CLASS` labelled texts of each class and `MAX_CHARS` characters in all, in the
-order of a hash of the id. Scoring reads every whole text and shuffles none.
+Training reads a bounded sample: at most `PER_CLASS` labelled texts of each class and half of `MAX_CHARS` characters a class,
+in the order of a hash of the id; texts that do not fit are skipped. Scoring reads every whole text and shuffles none.
 Defined results: null and empty texts and texts without words get the score of an empty text, which is below 0.5; null or
 repeated labels: nulls are left out, the largest of several counts; without labels of both classes every score is the base
 rate, at most 0.49; repeated rows stay; other columns are kept by `reject` and ignored by `score`.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, table
+from .common import crc_mod, fitting, map_batches, table
 from .subword import WordValues, core, grams
 
 BUCKETS, DIM, GRAMS, WINDOW = 1 << 16, 8, (3, 4, 5, 6), 5
@@ -138,14 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_char
         return train([], [], rate)
     ids = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int")  # per_class rows of a class at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    sizes, total = [], 0
-    for r in rows.select("doc_id", F.length("text").alias("n")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(2 * per_class).collect():
-        total += r["n"] or 0
-        if total > max_chars and sizes:
-            break
-        sizes.append((r["doc_id"],))
-    few = spark.createDataFrame(sizes, "doc_id long")
-    texts = {r["doc_id"]: (r["text"], r["toxic"]) for r in rows.join(F.broadcast(few), "doc_id").collect()}
+    budget = max_chars // 2
+    sizes = rows.select("doc_id", "toxic", F.length("text").alias("n")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(2 * per_class).collect()
+    few = spark.createDataFrame([(r["doc_id"],) for r in fitting(sizes, "toxic", budget)], "doc_id long")
+    texts = {r["doc_id"]: (r["text"], r["toxic"]) for r in rows.join(F.broadcast(few), "doc_id").withColumn("text", F.substring("text", 1, budget)).collect()}
     order = sorted(texts)
     return train([texts[i][0] or "" for i in order], [texts[i][1] for i in order], rate)
 

@@ -3,6 +3,7 @@
 import random
 import re
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,19 @@ def test_items_that_a_third_of_the_documents_hold(spark, size):
     d, bench = docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, bench).collect()} == leaks
     assert {r["doc_id"] for r in decontaminate.clean(d, bench).collect()} == set(range(300)) - {i for i, _ in leaks}
+
+
+def test_one_huge_training_text_ends_no_sample(spark):
+    rng = random.Random(8)
+    clean, bad = ["river", "stone", "morning", "garden", "window"], ["zgrumpf", "blorkat", "vexnit"]
+    texts = [" ".join(rng.choices(clean, k=12) + (rng.choices(bad, k=3) if i % 2 else [])) for i in range(200)]
+    d = docs(spark, texts)
+    order = [r["doc_id"] for r in d.select("doc_id").orderBy(F.xxhash64("doc_id")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).collect()]
+    texts[order[0]] = (texts[order[0]] + " ") * 200
+    d = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "xx").otherwise("en"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(d, toxicity.fit(d, labels, max_chars=16_000)).collect()}
+    assert sum((scores[i] >= 0.5) == (i % 2 == 1) for i in scores) > 190
+    assert langid.fit(d, max_chars=16_000)["names"] == ["en", "xx"]
+    many = d.withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 66).cast("string")))
+    assert len(langid.fit(many, max_chars=100_000)["names"]) == 66
