@@ -15,6 +15,7 @@ ignored.
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -31,7 +32,7 @@ SAMPLE, MAX_CHARS = 300, 4_000_000
 NEAR, SAME = 0.5, 0.7  # capacities of edges: next block; next block of the same container
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[!?][^>]*>", re.S)
-PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>", re.S)
+TAG, EVENT = re.compile(r"</?[a-zA-Z]"), re.compile(r">|=\s*([\"'])")
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # Kinds of elements and the words of classes, ids and roles that hint at content or at its surroundings.
@@ -77,6 +78,24 @@ class Element:
             self.article |= around.article
 
 
+def _closing(page: str):
+    """Function of the place of a '<': False if it begins a tag that never ends by the grammar of TOKEN (quoted '>' do not
+    count). Computed once for all places, from the end of the page."""
+    events = [(m.start(), m.end(), m[1]) for m in EVENT.finditer(page)]
+    firsts = [e[0] for e in events]
+    quotes = {q: [m.start() for m in re.finditer(q, page)] for q in "\"'"}
+    ends = [False] * (len(events) + 1)
+    for k in range(len(events) - 1, -1, -1):
+        _, stop, quote = events[k]
+        if quote is None:
+            ends[k] = True
+            continue
+        shut = bisect.bisect_left(quotes[quote], stop)
+        # a quote that is not shut is a sign like others
+        ends[k] = ends[k + 1] if shut == len(quotes[quote]) else ends[bisect.bisect_left(firsts, quotes[quote][shut] + 1)]
+    return lambda at: not TAG.match(page, at) or ends[bisect.bisect_left(firsts, at)]
+
+
 def blocks(page: str | None) -> list[tuple[str, Element | None, int, int]]:
     """(text, innermost open element, characters in links, container) of every block of text. Linear in the page."""
     found: list = []
@@ -114,7 +133,7 @@ def blocks(page: str | None) -> list[tuple[str, Element | None, int, int]]:
             linked += len(piece.strip())
 
     at, size = 0, len(page)
-    low, failed, last = "", 0, page.rfind(">")
+    low, open_tags, last = "", None, page.rfind(">")
     while at < size:
         start = page.find("<", at)
         if start < 0 or start > last:
@@ -122,9 +141,10 @@ def blocks(page: str | None) -> list[tuple[str, Element | None, int, int]]:
             break
         if start > at:
             text(page[at:start])
-        m = (TOKEN if failed < 100 else PLAIN).match(page, start)
+        m = TOKEN.match(page, start) if open_tags is None or open_tags(start) else None
         if m is None:
-            failed += 1
+            if open_tags is None and TAG.match(page, start):  # a tag without an end: later ones are not scanned to the end again
+                open_tags = _closing(page)
             text("<")
             at = start + 1
             continue

@@ -204,6 +204,24 @@ def test_items_that_a_third_of_the_documents_hold(spark, size):
     assert {r["doc_id"] for r in decontaminate.clean(d, bench).collect()} == set(range(300)) - {i for i, _ in leaks}
 
 
+def test_html_long_pages_have_the_same_grammar():
+    end = '<p title="a>b">One sentence here.</p><div data-x="a>b" class="comments"><p>Other words.</p></div>'
+    want = [(t, e.comments) for t, e, _, _ in html_extract.blocks(end)]
+    assert want == [("One sentence here.", False), ("Other words.", True)]
+    assert [(t, e.comments) for t, e, _, _ in html_extract.blocks("<p>" + "a < b <3 " * 200 + "</p>" + end)][1:] == want
+    # a tag whose end is quoted never ends; those before it are read as text, in linear time
+    t = time.monotonic()
+    assert html_extract.blocks('<p>x</p>' + "<a " * 50_000 + '="b>"')[0][0] == "x"
+    assert html_extract.blocks("<p>x</p>" + "<a ='" * 50_000 + '="b>"')[0][0] == "x"
+    assert time.monotonic() - t < 10
+    rng = random.Random(3)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<a ", "</p", "<", ">", "=", '"', "'", " ", "x", "3"]) for _ in range(rng.randrange(1, 25)))
+        closing = html_extract._closing(page)
+        for at in (i for i, c in enumerate(page) if c == "<" and html_extract.TAG.match(page, i)):
+            assert closing(at) == (html_extract.TOKEN.match(page, at) is not None), (page, at)
+
+
 def test_one_huge_training_text_ends_no_sample(spark):
     rng = random.Random(8)
     clean, bad = ["river", "stone", "morning", "garden", "window"], ["zgrumpf", "blorkat", "vexnit"]
