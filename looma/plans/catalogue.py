@@ -358,9 +358,8 @@ def _(spark, d):
 
 @query("a1_read_collection")
 def _(spark, d):
-    """The Parquet files of the given tables that are small, decoded to cells and profiled."""
-    t = collection.read_tables(spark, d).where("error is null and num_rows <= 100000")
-    cells = collection.blobs_to_cells(t.select(F.element_at(F.split("path", "/"), -1).alias("table_id"), "table_bytes"))
+    """The Parquet files of the given tables, decoded to cells and profiled."""
+    cells = collection.files_to_cells(collection.list_files(spark, d).select(F.element_at(F.split("path", "/"), -1).alias("table_id"), "content"))
     return profile.profile_columns(cells)
 
 

@@ -56,38 +56,64 @@ def from_blob(blob: bytes) -> pa.Table:
 CELLS = "table_id string, row_idx long, col_idx int, col_name string, kind string, num double, txt string, ts timestamp"
 
 
+def _kind_of(t: pa.DataType) -> str | None:
+    if pa.types.is_integer(t) or pa.types.is_floating(t):
+        return "number"
+    if pa.types.is_date(t) or pa.types.is_timestamp(t):
+        return "date"
+    return None if pa.types.is_binary(t) or pa.types.is_large_binary(t) else "text"
+
+
+def _cells(table_id: str, at: int, part: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The cells of a part of a table whose first row has the number at."""
+    for i, f in enumerate(part.schema):
+        kind = _kind_of(f.type)
+        if kind is None:
+            continue
+        n, c = part.num_rows, part.column(i)
+        num = c.cast(pa.float64()) if kind == "number" else pa.nulls(n, pa.float64())
+        txt = pa.array([None if v is None else str(v) for v in c.to_pylist()], pa.string()) if kind == "text" else pa.nulls(n, pa.string())
+        ts = c.cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC")) if kind == "date" else pa.nulls(n, pa.timestamp("us", "UTC"))
+        one = lambda v, k: pa.array([v] * n, k)  # noqa: B023, E731
+        whole = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+        yield pa.RecordBatch.from_arrays([one(table_id, pa.string()), pa.array(range(at, at + n), pa.int64()), one(i, pa.int32()), one(f.name, pa.string()), one(kind, pa.string()), whole(num), whole(txt), whole(ts)], names=["table_id", "row_idx", "col_idx", "col_name", "kind", "num", "txt", "ts"])
+
+
 def blobs_to_cells(tables: DataFrame, first_rows: int | None = None, rows: int = 20_000) -> DataFrame:
     """tables (table_id, table_bytes) -> cells; with first_rows only so many rows of each table."""
 
-    def kind_of(t: pa.DataType) -> str | None:
-        if pa.types.is_integer(t) or pa.types.is_floating(t):
-            return "number"
-        if pa.types.is_date(t) or pa.types.is_timestamp(t):
-            return "date"
-        return None if pa.types.is_binary(t) or pa.types.is_large_binary(t) else "text"
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for table_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = from_blob(blob)
                 t = t if first_rows is None else t.slice(0, first_rows)
                 for at in range(0, t.num_rows, rows):
-                    part = t.slice(at, rows)
-                    for i, f in enumerate(part.schema):
-                        kind = kind_of(f.type)
-                        if kind is None:
-                            continue
-                        n, c = part.num_rows, part.column(i)
-                        num = c.cast(pa.float64()) if kind == "number" else pa.nulls(n, pa.float64())
-                        txt = pa.array([None if v is None else str(v) for v in c.to_pylist()], pa.string()) if kind == "text" else pa.nulls(n, pa.string())
-                        ts = c.cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC")) if kind == "date" else pa.nulls(n, pa.timestamp("us", "UTC"))
-                        one = lambda v, k: pa.array([v] * n, k)  # noqa: B023, E731
-                        whole = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-                        yield pa.RecordBatch.from_arrays([one(table_id, pa.string()), pa.array(range(at, at + n), pa.int64()), one(i, pa.int32()), one(f.name, pa.string()), one(kind, pa.string()), whole(num), whole(txt), whole(ts)], names=["table_id", "row_idx", "col_idx", "col_name", "kind", "num", "txt", "ts"])
+                    yield from _cells(table_id, at, t.slice(at, rows))
 
     return tables.select("table_id", "table_bytes").mapInArrow(run, CELLS)
 
 
+def files_to_cells(files: DataFrame, rows: int = 20_000) -> DataFrame:
+    """files (table_id, content) -> cells. Files are decoded by row groups, so no table is ever whole in memory; unreadable
+    ones are skipped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for table_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    f = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
+                    for g in range(f.num_row_groups):  # a file that breaks off gives no cells at all
+                        f.read_row_group(g)
+                except Exception:  # any broken file
+                    continue
+                at = 0
+                for part in f.iter_batches(rows):
+                    yield from _cells(table_id, at, pa.Table.from_batches([part]))
+                    at += part.num_rows
+
+    return files.select("table_id", "content").mapInArrow(run, CELLS)
+
+
 def read_last_column(spark: SparkSession, path: str) -> DataFrame:
     """Only the last column; the scan reads no other."""
     df = spark.read.parquet(path)
