@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Spark counts in how many of all documents each hashed word is: the IDF table (fixed size).
+1. Every task counts in how many of its documents each hashed word is, Spark adds the counts up: the IDF table (fixed size).
 2. A randomised SVD of the TF-IDF matrix of the benchmark's passages is computed by Spark: every task sums A^T (A x) over
    its items, the driver only orthogonalises a matrix of fixed size. Rare words weigh most, words in more than
    `COMMON` of all documents weigh nothing here (see 5).
@@ -13,25 +13,25 @@
 5. Items whose copies the windows could miss (their words are frequent, as in a corpus full of copies, so the words around
    them outweigh them; or the latent space keeps little of them) take another path to the same checks: a document is a
    candidate if it holds enough of an item's rarest words that the subsequence can cover `LCS` of it. Nothing is lost.
+   Items of fewer than `LEAST_WORDS` words are found by all their words, and must stand in the text as they are.
 
 The benchmark is the stated query set; it is taken in blocks of `ITEMS`, so what goes to the tasks has a fixed bound.
-Defined results: null or empty texts of documents or items match nothing, nor do items of fewer than `LEAST_WORDS` words;
+Defined results: null or empty texts of documents or items match nothing;
 repeated rows and ids give a row for each match and id; empty tables give no rows; other columns are kept by `clean`.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import repeat
+import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, table
-from .subword import WordValues, core
+from .words import word_hashes
 
 TERMS, FEATURES, RANK, EXTRA = 1 << 16, 1 << 14, 96, 16
 COMMON, LEAST_IDF, COSINE, LCS, SURE, ANSWERS, LEAST_WORDS, ITEMS = 0.3, 0.1, 0.5, 0.6, 0.75, 0.5, 5, 5000
@@ -39,12 +39,27 @@ SAFE, LEAST_NORM = 0.6, 0.3
 SLICE, CHUNK = 200, 1 << 13
 
 
-def words_of(text: str | None) -> list[str]:
-    return [c for w in (text or "").lower().split() if (c := core(w))]
+#: ASCII white space becomes a blank, other signs of ASCII go; those beyond it are found by SIGN.
+BLANKS = bytes(32 if chr(b).isspace() and b < 128 else b for b in range(256))
+DROPPED = bytes(b for b in range(128) if not chr(b).isalnum() and not chr(b).isspace())
+SIGN = re.compile(r"[^\w\x00-\x7f]+")
 
 
-def _term(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+def _plain(text: str | None) -> bytes:
+    """The text in lower case, with blanks for white space and without what is neither letter nor digit."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = SIGN.sub(lambda m: " " if any(map(str.isspace, m[0])) else "", text)
+    return text.encode("utf-8", "surrogatepass").translate(BLANKS, DROPPED)
+
+
+def hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the text) of every word of the texts."""
+    return word_hashes([_plain(t) for t in texts])
+
+
+def terms_of(text: str | None) -> list[int]:
+    return hashes_of([text])[0].tolist()
 
 
 def _summed(parts: DataFrame) -> np.ndarray:
@@ -65,16 +80,24 @@ def _in_chunks(x: np.ndarray) -> pa.RecordBatch:
 
 
 def document_counts(docs: DataFrame) -> np.ndarray:
-    """For each hashed word the number of documents that hold it; at the end the number of documents. DataFrame functions
-    only: the words are those of words_of() but for signs that are neither letters, digits nor ASCII (words with such signs
-    count as unseen), the hash is the same as _term()."""
-    plain = F.translate(F.lower("text"), "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "")
-    words = docs.select(F.explode(F.array_distinct(F.split(plain, r"\s+"))).alias("w")).where("w <> ''")
-    rows = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(TERMS)).alias("t")).count().collect()  # TERMS rows at most
+    """For each hashed word the number of documents that hold it; at the end the number of documents. A task counts its own
+    documents; Spark adds the tasks' counts up by word."""
+
+    def run(batches):
+        total = np.zeros(TERMS + 1, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                texts = batch.column(0).slice(at, SLICE).to_pylist()
+                h, owner = hashes_of(texts)
+                seen = np.unique(owner * np.int64(TERMS) + (h % np.uint64(TERMS)).astype(np.int64))
+                total += np.bincount(seen % TERMS, minlength=TERMS + 1)
+                total[TERMS] += len(texts)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"t": pa.array(some), "n": pa.array(total[some])})
+
     counts = np.zeros(TERMS + 1)
-    for t, n in rows:
+    for t, n in docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n")).collect():  # TERMS + 1 rows at most
         counts[t] = n
-    counts[TERMS] = docs.count()
     return counts
 
 
@@ -109,7 +132,7 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
             x, total = shared.value, None
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    if terms := [_term(w) for w in words_of(text)]:
+                    if terms := terms_of(text):
                         if total is None:
                             total = np.zeros(x.shape if gram else (x.shape[1], x.shape[1]))
                         feature, w = _vector(terms, shared_idf.value)
@@ -163,74 +186,77 @@ def _least_cosine(e: np.ndarray, top: float, longest: int) -> float:
 
 
 class Searcher:
-    """The items of one block, ready for comparison with whole texts."""
+    """The items of one block, ready for comparison with whole texts.
+
+    A text becomes one number for each word: the place of a benchmark word in the vocabulary, or -1, with the squared weight
+    of the word. Everything that follows (windows, subsequences, answers) works on these numbers."""
 
     def __init__(self, items: list[tuple[int, str]], idf: np.ndarray, weights: np.ndarray, space: np.ndarray):
-        self.idf, self.weights, self.space = idf, weights, space
-        self.items = [(i, w) for i, t in items if len(w := words_of(t)) >= LEAST_WORDS]
-        self.vocab = {w for _, words in self.items for w in words}
-        rows = []
-        self.rare = []
-        for _, words in self.items:
-            feature, w = _vector([_term(x) for x in words], weights)
+        self.idf, self.weights, self.space = idf, weights.astype(np.float64) ** 2, space
+        own = [(i, terms) for i, t in items if (terms := terms_of(t))]
+        self.vocab = np.unique(np.array([h for _, terms in own for h in terms], np.uint64))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.vocab & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.feature = (self.vocab % np.uint64(FEATURES)).astype(np.int64)
+        term = (self.vocab % np.uint64(TERMS)).astype(np.int64)
+        self.rarity, self.weight = idf[term].astype(np.float64), weights[term].astype(np.float64)
+        self.items = [(i, np.searchsorted(self.vocab, np.array(terms, np.uint64)).tolist()) for i, terms in own]
+        self.distinct = [set(words) for _, words in self.items]
+        rows, self.rare = [], []
+        for (_, terms), (_, words) in zip(own, self.items, strict=True):
+            feature, w = _vector(terms, weights)
             rows.append(w @ space[feature])
-            rarest = sorted(set(words), key=lambda x: (-idf[_term(x) % TERMS], x))
-            self.rare.append(set(rarest[: max(2, len(rarest) // 4)]))
+            self.rare.append(set(self._rarest(list(set(words)))[: max(2, len(set(words)) // 4)]))
         latent = np.array(rows, np.float32).reshape(len(rows), space.shape[1])
         norm = np.linalg.norm(latent, axis=1)
         self.latent = (latent / np.maximum(norm, 1e-9)[:, None] ** 2).T  # relative to what the space keeps of the item
         self.longest = max((len(w) for _, w in self.items), default=0)
         top = float(idf.max()) ** 2
-        bound = [_least_cosine(weights[[_term(x) % TERMS for x in words]].astype(float) ** 2, top, self.longest) for _, words in self.items]
-        self.use = (norm > LEAST_NORM) & (np.array(bound) >= SAFE)
-        self._anchor()
-        self.known = WordValues(self._values, 4, 600_000)
+        bound = [_least_cosine(self.weight[words] ** 2, top, self.longest) for _, words in self.items]
+        long_enough = np.array([len(w) >= LEAST_WORDS for _, w in self.items], bool)
+        self.use = long_enough & (norm > LEAST_NORM) & (np.array(bound) >= SAFE)
+        self._anchor(long_enough)
 
-    def _anchor(self) -> None:
+    def _rarest(self, words: list[int]) -> list[int]:
+        return sorted(words, key=lambda x: (-self.rarity[x], x))
+
+    def _anchor(self, long_enough: np.ndarray) -> None:
         """For the items that windows could miss: which (item, times) hang on a word. A text in which the subsequence covers LCS
-        of an item lacks at most 1 - LCS of its words, so it holds at least `need` of the rarest ones taken here."""
-        hung: dict[str, dict[int, int]] = {}
+        of an item lacks at most 1 - LCS of its words, so it holds at least `need` of the rarest ones taken here. Of a shorter
+        item all words must be there."""
+        hung: dict[int, dict[int, int]] = {}
         self.need = np.zeros(len(self.items), np.int64)
         for q in np.flatnonzero(~self.use).tolist():
-            words = sorted(self.items[q][1], key=lambda x: (-self.idf[_term(x) % TERMS], x))
-            self.need[q] = max(1, len(words) // 4)
-            for w in words[: len(words) - math.ceil(LCS * len(words)) + int(self.need[q])]:
+            words = self._rarest(self.items[q][1])
+            self.need[q] = max(1, len(words) // 4) if long_enough[q] else len(words)
+            for w in words[: len(words) - math.ceil(LCS * len(words)) + int(self.need[q])] if long_enough[q] else words:
                 own = hung.setdefault(w, {})
                 own[q] = own.get(q, 0) + 1
-        self.anchors = {w: i for i, w in enumerate(hung)}
+        self.anchor = np.full(len(self.vocab) + 1, -1, np.int64)  # the last one is for words out of the vocabulary
+        self.anchor[list(hung)] = np.arange(len(hung))
+        self.anchors = len(hung)
         self.hung = np.array([(q, n) for own in hung.values() for q, n in own.items()], np.int64).reshape(-1, 2)
         self.hung_at = np.concatenate([[0], np.cumsum([len(own) for own in hung.values()])]).astype(np.int64)
 
-    def _values(self, chunks: list[str]) -> np.ndarray:
-        """Feature (-1: not a benchmark word), weight, whether there is a word at all, and the anchor (-1: none)."""
-        cores = list(map(core, chunks))
-        terms = np.array([_term(w) for w in cores], np.uint64)
-        out = np.empty((len(chunks), 4))
-        out[:, 0] = np.where(np.fromiter(map(self.vocab.__contains__, cores), bool, len(cores)), (terms % np.uint64(FEATURES)).astype(np.int64), -1)
-        out[:, 2] = np.fromiter(map(bool, cores), bool, len(cores))
-        out[:, 1] = self.weights[(terms % np.uint64(TERMS)).astype(np.int64)] * out[:, 2]
-        out[:, 3] = np.fromiter(map(self.anchors.get, cores, repeat(-1)), np.int64, len(cores))
-        return out
-
     def __call__(self, texts: list[str | None]) -> list[tuple]:
         """(index of the text, item, cosine, share of the common subsequence, share of the rarest words)."""
         if not self.items:
             return []
-        chunks = [(t or "").lower().split() for t in texts]
-        rows = self.known.of(chunks)
-        size = np.array([len(r) for r in rows])
-        if not size.sum():
+        h, owner = hashes_of(texts)
+        if not len(h):
             return []
-        rows = self.known.rows[np.concatenate(rows)]
-        word = rows[:, 2] > 0
-        owner = np.repeat(np.arange(len(size)), size)[word]
-        place = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))[word]
-        found = self._search(rows[word, 0].astype(np.int64), rows[word, 1], owner, place, chunks)
-        return sorted(found + self._exact(rows[word, 3].astype(np.int64), owner, place, chunks)) if self.anchors else found
-
-    def _exact(self, anchor: np.ndarray, owner: np.ndarray, place: np.ndarray, chunks: list[list[str]]) -> list[tuple]:
+        some = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        place = np.searchsorted(self.vocab, h[some]).clip(0, len(self.vocab) - 1)
+        word = np.full(len(h), -1, np.int32)
+        word[some] = np.where(self.vocab[place] == h[some], place, -1)
+        found = self._search(word, self.weights[(h % np.uint64(TERMS)).astype(np.int64)], owner)
+        return sorted(found + self._exact(word, owner)) if self.anchors else found
+
+    def _exact(self, word: np.ndarray, owner: np.ndarray) -> list[tuple]:
         """The items that windows could miss: by their rarest words, then in every region with enough of their words."""
-        doc, a = np.divmod(np.unique(owner[(there := anchor >= 0)] * len(self.anchors) + anchor[there]), len(self.anchors))
+        anchor = self.anchor[word]
+        there = np.flatnonzero(anchor >= 0)
+        doc, a = np.divmod(np.unique(owner[there].astype(np.int64) * self.anchors + anchor[there]), self.anchors)
         n = self.hung_at[a + 1] - self.hung_at[a]
         at = np.repeat(self.hung_at[a] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         pairs, back = np.unique(np.repeat(doc, n) * len(self.items) + self.hung[at, 0], return_inverse=True)
@@ -239,13 +265,26 @@ class Searcher:
         for doc, q in zip(*(x.tolist() for x in np.divmod(pairs[enough], len(self.items))), strict=True):
             if doc != last:
                 low, high = np.searchsorted(owner, [doc, doc + 1])
-                text, last = [core(chunks[doc][p]) for p in place[low:high].tolist()], doc
-                distinct = set(text)
+                text, last = word[low:high], doc
+                places = np.flatnonzero(text >= 0)
+                inside = text[places]
+                counts = np.bincount(inside, minlength=len(self.vocab))
             item, words = self.items[q]
             m = len(words)
-            if sum(map(distinct.__contains__, words)) < LCS * m:
+            if m < LEAST_WORDS:  # so short that only the same words in the same order count
+                match = np.ones(max(0, len(text) - m + 1), bool)
+                for k, w in enumerate(words):
+                    match &= text[k : len(text) - m + 1 + k] == w
+                if match.any():
+                    out.append((doc, item, 1.0, 1.0, 1.0))
                 continue
-            run = np.concatenate([[0], np.cumsum(np.fromiter(map(set(words).__contains__, text), np.int64, len(text)))])
+            if np.count_nonzero(counts[words]) < LCS * m:
+                continue
+            mark = np.zeros(len(self.vocab), np.int64)
+            mark[words] = 1
+            run = np.zeros(len(text) + 1, np.int64)
+            run[places + 1] = mark[inside]
+            np.cumsum(run, out=run)
             starts = np.arange(0, max(1, len(text) - 2 * m + m // 2), max(1, m // 2))
             stops = np.minimum(starts + 2 * m + m // 2, len(text))
             n = run[stops] - run[starts]
@@ -253,13 +292,8 @@ class Searcher:
             for k in np.argsort(-n, kind="stable").tolist():
                 if n[k] < LCS * m or (top and top[0] == 1.0):
                     break
-                region = text[starts[k] : stops[k]]
-                there = set(region)
-                if sum(map(there.__contains__, words)) < LCS * m:
-                    continue
-                answers = len(self.rare[q] & there) / len(self.rare[q])
-                share = lcs(words, region) / m
-                if (share >= SURE or (share >= LCS and answers >= ANSWERS)) and (top is None or (share, answers) > top[:2]):
+                share, answers = self._checked(q, text[starts[k] : stops[k]], top[0] if top else 0)
+                if share and (top is None or (share, answers) > top[:2]):
                     top = (share, answers, int(starts[k]), int(stops[k]))
             if top:
                 begins = np.arange(top[2], max(top[2], top[3] - m) + 1)
@@ -267,45 +301,58 @@ class Searcher:
                 out.append((doc, item, self._cosine(words, text[b : b + m]), top[0], top[1]))
         return out
 
-    def _cosine(self, a: list[str], b: list[str]) -> float:
-        (fa, wa), (fb, wb) = (_vector([_term(w) for w in x], self.idf) for x in (a, b))
-        _, i, j = np.intersect1d(fa, fb, True, True)
-        return min(1.0, float(wa[i] @ wb[j]))
-
-    def _search(self, feature: np.ndarray, idf: np.ndarray, owner: np.ndarray, place: np.ndarray, chunks: list[list[str]]) -> list[tuple]:
+    def _checked(self, q: int, region: np.ndarray, beat: float) -> tuple[float, float]:
+        """Shares of the common subsequence and of the rarest words if the item is in the region (and its subsequence is not
+        shorter than `beat`), else zeros."""
+        words, region = self.items[q][1], region[region >= 0].tolist()
+        there = self.distinct[q].intersection(region)
+        if sum(map(there.__contains__, words)) < max(LCS, beat) * len(words):  # no common subsequence can be longer
+            return 0.0, 0.0
+        answers = len(self.rare[q] & there) / len(self.rare[q])
+        share = lcs(words, region) / len(words)
+        return (share, answers) if share >= SURE or (share >= LCS and answers >= ANSWERS) else (0.0, 0.0)
+
+    def _cosine(self, words: list[int], region: np.ndarray) -> float:
+        """Of the item and the benchmark words of a region, in TF-IDF with the weights of all words."""
+        idf = np.maximum(self.weight, LEAST_IDF)
+        a = np.bincount(words, minlength=len(idf)) * idf
+        b = np.bincount(region[region >= 0], minlength=len(idf)) * idf
+        return min(1.0, float(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-9)))
+
+    def _search(self, word: np.ndarray, mass: np.ndarray, owner: np.ndarray) -> list[tuple]:
         """All texts of a slice at once; windows end where their text does."""
-        n = len(feature)
+        n = len(word)
         if not n:
             return []
-        stop = np.searchsorted(owner, owner, side="right")
-        known = (feature >= 0) & (idf > 0)
-        total = np.concatenate([[0], np.cumsum(idf**2)])
-        mass = np.concatenate([[0], np.cumsum(np.where(known, idf**2, 0))])
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        stop = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
+        known = (word >= 0) & (mass > 0)
+        total = np.concatenate([[0], np.cumsum(mass)])
+        own = np.concatenate([[0], np.cumsum(np.where(known, mass, 0))])
         spans = []
-        size = 16
-        while True:
-            starts = np.arange(0, n, size // 4)
+
+        def add(starts: np.ndarray, size: int) -> None:
+            """The windows from these starts whose benchmark words are enough of their norm for the cosine."""
+            starts = starts[own[np.minimum(starts + size, n)] > own[starts]]
             ends = np.minimum(starts + size, stop[starts])
             norm2 = total[ends] - total[starts]
-            keep = (norm2 > 1e-9) & (mass[ends] - mass[starts] >= COSINE**2 * norm2)
+            keep = (norm2 > 1e-9) & (own[ends] - own[starts] >= COSINE**2 * norm2)
             spans.append(np.stack([starts[keep], ends[keep]]))
+
+        size = 16
+        while True:
+            add(np.arange(0, n, size // 4), size)
             if size >= self.longest:
                 break
             size *= 2
-        # short texts begin between the places above: each text is a window of its own from its first word on
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        ends = np.minimum(first + max(16, self.longest), stop[first])
-        norm2 = total[ends] - total[first]
-        spans.append(np.stack([first, ends])[:, (norm2 > 1e-9) & (mass[ends] - mass[first] >= COSINE**2 * norm2)])
+        add(first, max(16, self.longest))  # short texts begin between the places above: each text is a window of its own
         starts, ends = np.concatenate(spans, 1)
         if not len(starts):
             return []
-        cover = np.zeros(n + 1, np.int64)
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, ends, -1)
+        cover = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
         at = np.flatnonzero(known & (np.cumsum(cover[:-1]) > 0))
         run = np.zeros((len(at) + 1, self.space.shape[1]), np.float32)
-        np.cumsum(self.space[feature[at]] * idf[at, None].astype(np.float32), axis=0, out=run[1:])
+        np.cumsum(self.space[self.feature[word[at]]] * self.weight[word[at], None].astype(np.float32), axis=0, out=run[1:])
         best: dict[tuple[int, int], list] = {}
         for b in range(0, len(starts), 8192):
             s, e = starts[b : b + 8192], ends[b : b + 8192]
@@ -315,21 +362,15 @@ class Searcher:
                 best.setdefault((int(owner[s[w]]), int(q)), []).append((float(cosine[w, q]), int(s[w]), int(e[w])))
         out = []
         for (doc, q), found in sorted(best.items()):
-            item, words = self.items[q]
-            low, high = int(np.searchsorted(owner, doc)), int(np.searchsorted(owner, doc, side="right"))
-            m, top, tried = len(words), None, set()
+            low, high = np.searchsorted(owner, [doc, doc + 1]).tolist()
+            item, m, top, tried = self.items[q][0], len(self.items[q][1]), None, set()
             for c, s, e in sorted(found, reverse=True):
                 mid = (s + e) // 2
                 if any(abs(mid - x) <= m // 2 for x in tried):
                     continue
                 tried.add(mid)
-                region = [core(chunks[doc][p]) for p in place[max(low, mid - m - m // 4) : min(high, mid + m + m // 4)]]
-                there = set(region)
-                if sum(map(there.__contains__, words)) < LCS * m:  # no common subsequence can be longer
-                    continue
-                answers = len(self.rare[q] & there) / len(self.rare[q])
-                share = lcs(words, region) / m
-                if share >= SURE or (share >= LCS and answers >= ANSWERS):
+                share, answers = self._checked(q, word[max(low, mid - m - m // 4) : min(high, mid + m + m // 4)], top[0] if top else 0)
+                if share:
                     top = max(top or (0, 0, 0), (share, answers, c))
             if top:
                 out.append((doc, item, min(1.0, top[2]), top[0], top[1]))

@@ -4,7 +4,8 @@ A word is the mean of the vectors of its character n-grams (hashed), so a misspe
 its model. Word vectors are averaged over windows of a few words into a two-class linear softmax; a text's logit pools its
 windows by a soft maximum, so that one insult in a long text is not averaged away. Vectors and softmax are trained jointly
 from the labels of texts. With two classes the softmax is a logistic in the difference of its rows, and the mean over a
-window is linear, so scoring needs one number for each n-gram; these (a fixed number of buckets) go to the tasks.
+window is linear, so scoring needs one number for each n-gram; these (a fixed number of buckets) go to the tasks. Training
+takes mini-batches of texts and holds vectors only for n-grams of several texts.
 
 Training reads a bounded sample: at most `PER_CLASS` labelled texts of each class and half of `MAX_CHARS` characters a class,
 in the order of a hash of the id; texts that do not fit are skipped. Scoring reads every whole text and shuffles none.
@@ -15,8 +16,6 @@ rate, at most 0.49; repeated rows stay; other columns are kept by `reject` and i
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +24,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, fitting, map_batches, table
 from .subword import WordValues, core, grams
 
-BUCKETS, DIM, GRAMS, WINDOW = 1 << 16, 8, (3, 4, 5, 6), 5
+BUCKETS, DIM, GRAMS, WINDOW = 1 << 19, 8, (3, 4, 5, 6), 5
 PER_CLASS, MAX_CHARS = 2000, 6_000_000
 SLICE, LEAST_TEXTS, DECAY = 200, 3, 1e-5
+EPOCHS, BATCH, LEAST_STEPS, RATE = 8, 200, 100, 0.05
 
 
 def _pool(z: np.ndarray, starts: np.ndarray, of: np.ndarray, sharp: float) -> tuple[np.ndarray, np.ndarray]:
@@ -51,65 +51,109 @@ def _slips(text: str, rng: np.random.Generator) -> str:
     return " ".join(chunks)
 
 
-def train(texts: list[str], labels: list[int], rate: float, epochs: int = 120, seed: int = 7) -> dict:
-    """N-gram scores, bias and scale. rate: the share of label 1 among all labels, to which the bias is set."""
+def _word_grams(words: list[str], texts_with: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of n-grams that are in LEAST_TEXTS texts or more (those of fewer say nothing about others and stay at
+    zero); for every word the places of its n-grams among them, as offsets and values; how many n-grams a word has in all."""
+    parts = range(0, len(words), 20_000)
+    often = np.zeros(BUCKETS)
+    for i in parts:
+        gram, owner = grams(words[i : i + 20_000], GRAMS, BUCKETS)
+        often += np.bincount(gram, texts_with[i : i + 20_000][owner], BUCKETS)
+    buckets = np.flatnonzero(often >= LEAST_TEXTS)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[buckets] = np.arange(len(buckets), dtype=np.int32)
+    values, sizes, every = [], [], []
+    for i in parts:
+        gram, owner = grams(words[i : i + 20_000], GRAMS, BUCKETS)
+        n = len(words[i : i + 20_000])
+        every.append(np.bincount(owner, minlength=n).astype(np.float32))
+        order = np.argsort(owner, kind="stable")
+        at = place[gram[order]]
+        sizes.append(np.bincount(owner[order][at >= 0], minlength=n))
+        values.append(at[at >= 0])
+    return buckets, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(values), np.concatenate(every)
+
+
+class _Batch:
+    """Some training texts: their words once each, with their n-grams, and the windows of the texts."""
+
+    def __init__(self, pieces: list[np.ndarray], offsets: np.ndarray, values: np.ndarray, every: np.ndarray):
+        n = np.array([len(p) for p in pieces])
+        words, self.tokens = np.unique(np.concatenate(pieces), return_inverse=True)
+        size = offsets[words + 1] - offsets[words]
+        self.gram = values[np.repeat(offsets[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self.owner, self.count = np.repeat(np.arange(len(words)), size), every[words]
+        # windows: one starts at each word that has WINDOW - 1 followers in its text, or at the first of a shorter text
+        wins = np.maximum(n - WINDOW + 1, 1)
+        self.starts = np.concatenate([[0], np.cumsum(wins)])[:-1]
+        self.of = np.repeat(np.arange(len(n)), wins)
+        self.first = np.repeat(np.cumsum(n) - n - self.starts, wins) + np.arange(wins.sum())
+        self.width = np.minimum(WINDOW, n)[self.of]
+
+    def windows(self, q: np.ndarray) -> np.ndarray:
+        s = np.bincount(self.owner, q[self.gram], len(self.count)) / self.count
+        run = np.concatenate([[0], np.cumsum(s[self.tokens])])
+        return (run[self.first + self.width] - run[self.first]) / self.width * WINDOW
+
+    def gradient(self, dz: np.ndarray, size: int) -> np.ndarray:
+        """Of a loss with derivatives dz by the windows: its derivatives by the n-grams' numbers."""
+        dz, n = dz / self.width * WINDOW, len(self.tokens)
+        delta = np.bincount(self.first, dz, n + 1) - np.bincount(self.first + self.width, dz, n + 1)
+        ds = np.bincount(self.tokens, np.cumsum(delta)[:-1], len(self.count)) / self.count
+        return np.bincount(self.gram, ds[self.owner], size)
+
+
+def train(texts: list[str], labels: list[int], rate: float, epochs: int = EPOCHS, seed: int = 7) -> dict:
+    """N-gram scores, bias and scale. rate: the share of label 1 among all labels, to which the bias is set. The texts are
+    taken in batches of BATCH, so memory beside their words is that of a batch."""
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
-    flat, sizes, marks = array("i"), [], []
+    pieces: list[np.ndarray] = []
+    marks: list[int] = []
     for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
         for version in (text, _slips(text, rng)) if i % 3 == 0 else (text,):
-            before = len(flat)
-            flat.extend(vocab.setdefault(c, len(vocab)) for w in version.lower().split() if (c := core(w)))
-            if len(flat) > before:
-                sizes.append(len(flat) - before)
+            own = np.array([vocab.setdefault(c, len(vocab)) for w in version.lower().split() if (c := core(w))], np.int32)
+            if len(own):
+                pieces.append(own)
                 marks.append(label)
-    y, n = np.array(marks, float), np.array(sizes)
     if len(set(marks)) < 2:
         return {"q": np.zeros(BUCKETS, np.float32), "bias": float(np.log(min(rate, 0.49) / (1 - min(rate, 0.49)))) if rate > 0 else -4.0, "scale": 1.0}
-    tokens = np.frombuffer(flat, np.int32)
-    at = np.concatenate([[0], np.cumsum(n)])
-    gram, owner = grams(list(vocab), GRAMS, BUCKETS)
-    count = np.bincount(owner, minlength=len(vocab))
-    # n-grams of one text only say nothing about others: they stay at zero
-    spread = np.unique(np.repeat(np.arange(len(n)), n) * len(vocab) + tokens)
-    text_of, word_of = np.divmod(spread, len(vocab))
-    texts_with = np.bincount(gram, np.bincount(word_of, minlength=len(vocab))[owner], BUCKETS)
-    gram, owner = gram[(often := texts_with[gram] >= LEAST_TEXTS)], owner[often]
-    # windows: one starts at each word that has WINDOW - 1 followers in its text, or at the first of a shorter text
-    wins = np.maximum(n - WINDOW + 1, 1)
-    starts = np.concatenate([[0], np.cumsum(wins)])[:-1]
-    of = np.repeat(np.arange(len(n)), wins)
-    first = np.repeat(at[:-1] - starts, wins) + np.arange(wins.sum())
-    width = np.minimum(WINDOW, n)[of]
-    vectors, u, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, DIM), 0.0
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, u, np.zeros(1))]
+    texts_with = np.zeros(len(vocab))
+    for own in pieces:
+        texts_with[np.unique(own)] += 1
+    buckets, offsets, values, every = _word_grams(list(vocab), texts_with)
+    del vocab
+    y = np.array(marks, float)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     test = np.arange(len(y)) % 5 == 0
-    weight_fit = weight * ~test
-    for epoch in range(epochs):
-        sharp = 0.5 + 4.5 * min(1.0, epoch / (0.6 * epochs))
-        s = np.bincount(owner, (vectors @ u)[gram], len(vocab)) / count
-        run = np.concatenate([[0], np.cumsum(s[tokens])])
-        z = (run[first + width] - run[first]) / width * WINDOW
-        pooled, share = _pool(z, starts, of, sharp)
-        p = 1 / (1 + np.exp(-(pooled + bias)))
-        d = weight_fit * (p - y)
-        dz = d[of] * share / width * WINDOW
-        delta = np.bincount(first, dz, len(tokens) + 1) - np.bincount(first + width, dz, len(tokens) + 1)
-        ds = np.bincount(tokens, np.cumsum(delta)[:-1], len(vocab)) / count
-        dq = np.bincount(gram, ds[owner], BUCKETS)
-        grads = [np.outer(dq, u) + DECAY * vectors, vectors.T @ dq + DECAY * u, np.array([d.sum()])]
-        steps = []
-        for (m, v), g in zip(moments, grads, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            steps.append(0.03 * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.99 ** (epoch + 1))) + 1e-9))
-        vectors, u, bias = vectors - steps[0], u - steps[1], bias - float(steps[2][0])
+    train_on = np.flatnonzero(~test)
+    steps = max(1, -(-len(train_on) // BATCH))
+    size = len(buckets)
+    vectors, u, bias = rng.normal(0, 0.1, (size, DIM)).astype(np.float32), rng.normal(0, 0.5, DIM).astype(np.float32), 0.0
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, u, np.zeros(1, np.float32))]
+    total, k = max(epochs, LEAST_STEPS // steps) * steps, 0
+    while k < total:
+        for part in np.array_split(rng.permutation(train_on), steps):
+            batch = _Batch([pieces[i] for i in part], offsets, values, every)
+            sharp = 0.5 + 4.5 * min(1.0, k / (0.6 * total))
+            pooled, share = _pool(batch.windows(vectors @ u), batch.starts, batch.of, sharp)
+            d = weight[part] / weight[part].sum() * (1 / (1 + np.exp(-(pooled + bias).clip(-60, 60))) - y[part])
+            dq = batch.gradient(d[batch.of] * share, size).astype(np.float32)
+            grads = [np.outer(dq, u) + DECAY * vectors, vectors.T @ dq + DECAY * u, np.array([d.sum()], np.float32)]
+            k += 1
+            for (m, v), g, p in zip(moments, grads, (vectors, u, None), strict=True):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                step = RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
+                if p is None:
+                    bias -= float(step[0])
+                else:
+                    p -= step
+    numbers = (vectors @ u).astype(np.float32)
+    del vectors, moments
+    top = np.concatenate([np.maximum.reduceat(b.windows(numbers), b.starts) for i in range(0, len(pieces), BATCH) if (b := _Batch(pieces[i : i + BATCH], offsets, values, every))])
     q = np.zeros(BUCKETS, np.float32)
-    q[gram] = (vectors @ u)[gram]
-    s = np.bincount(owner, q[gram], len(vocab)) / count
-    run = np.concatenate([[0], np.cumsum(s[tokens])])
-    top = np.maximum.reduceat((run[first + width] - run[first]) / width * WINDOW, starts)
+    q[buckets] = numbers
     # Platt scaling at the true rate, on the fifth that was not trained on, or on all where that has one class only
     use = test if len(set(y[test])) == 2 else np.ones(len(y), bool)
     w = np.where(y == 1, rate / max(y[use].sum(), 1), (1 - rate) / max((1 - y[use]).sum(), 1)) * use
@@ -141,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_char
     budget = max_chars // 2
     sizes = rows.select("doc_id", "toxic", F.length("text").alias("n")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(2 * per_class).collect()
     few = spark.createDataFrame([(r["doc_id"],) for r in fitting(sizes, "toxic", budget)], "doc_id long")
-    texts = {r["doc_id"]: (r["text"], r["toxic"]) for r in rows.join(F.broadcast(few), "doc_id").withColumn("text", F.substring("text", 1, budget)).collect()}
+    cut = rows.join(F.broadcast(few), "doc_id").withColumn("text", F.substring("text", 1, budget))
+    texts = {r["doc_id"]: (r["text"], r["toxic"]) for r in cut.toLocalIterator()}  # one partition at a time in the driver
     order = sorted(texts)
     return train([texts[i][0] or "" for i in order], [texts[i][1] for i in order], rate)
 
