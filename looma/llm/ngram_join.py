@@ -19,6 +19,7 @@ repeat an id give a row each, in the component of both texts; an empty table giv
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +45,32 @@ def prefix(n):
     return n - (SIMILAR * n + 99) // 100 + 1
 
 
+def first_of_each(whole: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """True for the first of equal sets of a block, and for none that is empty."""
+    first = np.zeros(len(n), bool)
+    first[np.unique(whole, return_index=True)[1]] = True
+    return first & (n > 0)
+
+
+def _packed(owner: np.ndarray, n: int) -> bytes:
+    """Ascending numbers below n, as they are or as a count for each, whichever is shorter."""
+    counts = np.bincount(owner, minlength=n)
+    kind = "u1" if counts.max() < 1 << 8 else "u2" if counts.max() < 1 << 16 else "u4"
+    if 2 * len(owner) < n * int(kind[1]):
+        return b"id" + owner.astype(np.uint16).tobytes()
+    return kind.encode() + counts.astype(f"<{kind}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if data[:2] == b"id":
+        return np.frombuffer(data, np.uint16, offset=2)
+    counts = np.frombuffer(data, f"<{data[:2].decode()}", offset=2)
+    return np.repeat(np.arange(len(counts), dtype=np.uint16), counts)
+
+
 def pack(docs: DataFrame, buckets: int, make_sets=Shingler) -> DataFrame:
-    """bucket, block, docs (arrays of the block's documents: id, n, set hash; in bucket -1 only), counts, shingles."""
+    """bucket, block, data and owners: the block's shingles in a bucket and whose they are; in the buckets from `buckets` on
+    the block's documents (id, n, set hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, part, at = make_sets(), TaskContext.get().partitionId(), 0
@@ -60,23 +85,22 @@ def pack(docs: DataFrame, buckets: int, make_sets=Shingler) -> DataFrame:
                 x.clear()
             owner = np.repeat(np.arange(len(n)), n)
             with np.errstate(over="ignore"):
-                whole = np.zeros(len(n), np.uint64)
-                np.add.at(whole, owner, mix(v, 3))
-                whole = mix(whole + n.astype(np.uint64), 4)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(v, 3))])
+                ends = np.cumsum(n)
+                whole = mix(total[ends] - total[ends - n] + n.astype(np.uint64), 4)
+            # of equal sets in this block only the first is dealt out, however many there are
+            keep = first_of_each(whole, n)[owner]
+            v, owner = v[keep], owner[keep]
             bucket = ((mix(v, 5) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, v, owner = bucket[order], v[order], owner[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            filled, cuts = np.unique(bucket, return_index=True)
             number = part * (1 << 20) + at
             at += 1
             rows = [(buckets + number % buckets, np.stack([doc.view(np.uint64), n.astype(np.uint64), whole]).tobytes(), b"")]
-            for b in range(buckets):
-                if cuts[b] < cuts[b + 1]:
-                    own = owner[cuts[b] : cuts[b + 1]]
-                    counts = np.bincount(own, minlength=len(n))
-                    kind = "<u2" if counts.max() < 1 << 16 else "<u4"
-                    rows.append((b, v[cuts[b] : cuts[b + 1]].tobytes(), kind.encode() + counts.astype(kind).tobytes()))
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([number] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+            for b, low, high in zip(filled.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(v)], strict=True):
+                rows.append((b, v[low:high].tobytes(), _packed(owner[low:high], len(n))))
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([number] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary()), "owners": pa.array([r[2] for r in rows], pa.binary())})
 
         for batch in batches:
             for i in range(0, batch.num_rows, 300):
@@ -90,7 +114,7 @@ def pack(docs: DataFrame, buckets: int, make_sets=Shingler) -> DataFrame:
         if ids:
             yield block()
 
-    return docs.mapInArrow(run, "bucket long, block long, data binary, counts binary")
+    return docs.mapInArrow(run, "bucket long, block long, data binary, owners binary")
 
 
 def repeated(buckets: int):
@@ -98,18 +122,15 @@ def repeated(buckets: int):
 
     def run(rows: pa.Table) -> pa.Table:
         block = rows.column("block").to_numpy()
-        data, counts = rows.column("data").to_pylist(), rows.column("counts").to_pylist()
+        data, owners = rows.column("data").to_pylist(), rows.column("owners").to_pylist()
         out: list[tuple] = []
         if rows.column("bucket")[0].as_py() >= buckets:  # the list of documents of a block passes through
             out = [(b, d, b"", b"") for b, d in zip(block.tolist(), data, strict=True)]
         else:
             v = np.concatenate([np.frombuffer(d, np.uint64) for d in data])
-            own, where = [], []
-            for i, c in enumerate(counts):
-                c = np.frombuffer(c[3:], c[:3].decode())
-                own.append(np.repeat(np.arange(len(c)), c))
-                where.append(np.full(len(own[-1]), i))
-            own, where = np.concatenate(own), np.concatenate(where)
+            own = [_unpacked(c) for c in owners]
+            where = np.repeat(np.arange(len(owners)), [len(x) for x in own])
+            own = np.concatenate(own)
             order = np.argsort(v, kind="stable")
             v = v[order]
             new = np.ones(len(v), bool)
@@ -145,10 +166,11 @@ def gathered(rows: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 def _sets(rows: pa.Table) -> pa.Table:
-    """Of one block: doc_id, n, whole, and the shared shingles with their logarithms where a partner is possible."""
+    """Of one block: doc_id, n, whole, and the shared shingles with their logarithms where a partner is possible; of equal
+    sets the first has them."""
     doc, n, whole, o, v, g = gathered(rows)
     shared = np.bincount(o, minlength=len(n))
-    able = (n > 0) & (n - shared < prefix(n))
+    able = first_of_each(whole, n) & (n - shared < prefix(n))
     keep = able[o]
     o, v, g = o[keep], v[keep], g[keep]
     order = np.argsort(o, kind="stable")
@@ -162,7 +184,8 @@ def _sets(rows: pa.Table) -> pa.Table:
 
 
 def shared_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, whole (hash of the set), shingles, logs: the last two are null where no other document can be similar."""
+    """doc_id, n, whole (hash of the set), shingles, logs: the last two are null where no other set can be similar, and where
+    another document of the block has the same set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), int(chars / CHARS_A_SHINGLE / BUCKET) + 1)
@@ -193,7 +216,8 @@ def _entries(sets: DataFrame, order: int) -> DataFrame:
 
     every = written(sets.select("doc_id", "n", "shingles", "logs").mapInArrow(run, "shingle long, doc_id long, n long, left long, rank long, log long, h long"), "prefix")
     members = every.groupBy("shingle", "log", "h").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("b")).where("m > 1")
-    return every.join(members.groupBy("m", "a", "b").agg(F.min(F.struct("log", "h", "shingle")).alias("first")).select("first.shingle"), "shingle", "left_semi").drop("log", "h")
+    first = written(members.groupBy("m", "a", "b").agg(F.min(F.struct("log", "h", "shingle")).alias("first")).select("first.shingle"), "shingles")
+    return every.join(first, "shingle", "left_semi").drop("log", "h")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -228,7 +252,8 @@ def _fits(a: str, b: str, left_a: str, left_b: str):
 
 def _stars(entries: DataFrame) -> DataFrame:
     """Every document with the hub that it shares most prefix shingles with."""
-    hubs = entries.groupBy("shingle").agg(F.min(F.struct("rank", "doc_id", "n", "left")).alias("hub"))
+    # written, so that adaptive execution may split the join where one shingle has very many entries
+    hubs = written(entries.groupBy("shingle").agg(F.min(F.struct("rank", "doc_id", "n", "left")).alias("hub")), "hubs")
     tied = entries.join(hubs, "shingle").where((F.col("doc_id") != F.col("hub.doc_id")) & _fits("n", "hub.n", "left", "hub.left"))
     counted = tied.groupBy("doc_id", F.col("hub.doc_id").alias("hub")).count()
     best = counted.groupBy("doc_id").agg(F.min(F.struct((-F.col("count")).alias("c"), "hub")).alias("best"))
@@ -241,23 +266,25 @@ def _labelled(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _between(entries: list[DataFrame]) -> DataFrame:
     """Every component's first member in a prefix bucket with the bucket's first, where a component is another's."""
-    of_comp = entries[0].groupBy("shingle", "root").agg(F.min(F.struct("rank", "doc_id", "n", "left")).alias("m"))
-    hubs = of_comp.groupBy("shingle").agg(F.min(F.struct("m.rank", "m.doc_id", "m.n", "m.left", "root")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    of_comp = written(entries[0].groupBy("shingle", "root").agg(F.min(F.struct("rank", "doc_id", "n", "left")).alias("m")), "first")
+    hubs = written(of_comp.groupBy("shingle").agg(F.min(F.struct("m.rank", "m.doc_id", "m.n", "m.left", "root")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "hubs")
     tied = of_comp.join(hubs, "shingle").where((F.col("root") != F.col("hub.root")) & _fits("m.n", "hub.n", "m.left", "hub.left"))
     return tied.select(F.least("m.doc_id", "hub.doc_id").alias("u"), F.greatest("m.doc_id", "hub.doc_id").alias("v")).distinct()
 
 
 def _rest(entries: DataFrame) -> DataFrame:
-    """All pairs of documents of different components that share a prefix shingle under one order."""
-    comps = entries.groupBy("shingle", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("most"))
-    far = lambda c: comps.select("shingle", *(F.col(x).alias(f"{x}_{c}") for x in ("root", "low", "high", "most")))
+    """All pairs of documents of different components that share a prefix shingle under one order. Similar sets differ in size
+    by 100 / SIMILAR at most, so components meet by shingle and band of sizes."""
+    band = lambda n: F.floor(F.log(F.col(n).cast("double")) / math.log(100 / SIMILAR)).cast("int")
+    comps = written(entries.groupBy("shingle", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("most")), "rest")
+    far = lambda c, more: comps.select("shingle", F.explode(F.sequence(band("low") - more, band("high") + more)).alias("band"), *(F.col(x).alias(f"{x}_{c}") for x in ("root", "low", "high", "most")))
 
     def near(a: str, low: str, high: str, most: str):
         """A set (or component) a may be similar to one among those between low and high."""
         enough = (100 + SIMILAR) * F.least(f"most_{a}", most) >= SIMILAR * (F.col(f"low_{a}") + F.col(low))
         return (100 * F.col(f"high_{a}") >= SIMILAR * F.col(low)) & (100 * F.col(high) >= SIMILAR * F.col(f"low_{a}")) & enough
 
-    meet = far("a").join(far("b"), "shingle").where((F.col("root_a") < F.col("root_b")) & near("a", "low_b", "high_b", "most_b"))
+    meet = far("a", 0).join(far("b", 1), ["shingle", "band"]).where((F.col("root_a") < F.col("root_b")) & near("a", "low_b", "high_b", "most_b")).drop("band").distinct()
     side = lambda c: entries.select("shingle", F.col("root").alias(f"root_{c}"), F.col("doc_id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"), F.col("left").alias(f"left_{c}"))
     one = meet.drop("low_a", "high_a", "most_a").join(side("a"), ["shingle", "root_a"])
     one = one.withColumns({"low_a": F.col("n_a"), "high_a": F.col("n_a"), "most_a": F.col("left_a")}).where(near("a", "low_b", "high_b", "most_b"))
@@ -265,13 +292,21 @@ def _rest(entries: DataFrame) -> DataFrame:
     return pairs.select(F.least("id_a", "id_b").alias("u"), F.greatest("id_a", "id_b").alias("v")).distinct()
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has FEW rows at most (counted), else to be joined by a shuffle, with the same result."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document with an id."""
     every = written(shared_sets(docs), "sets")
-    able = every.where("shingles is not null")
-    classes = written(able.groupBy("whole", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    sets = written(able.join(classes.select(F.col("rep").alias("doc_id"), "whole", "n"), ["doc_id", "whole", "n"]).dropDuplicates(["doc_id", "whole"]), "reps")
-    sets = sets.select("doc_id", "n", "shingles", "logs")
+    same = every.where("n > 0").groupBy("whole", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    copies = written(same.where("members > 1").drop("members"), "copies")
+    held = every.join(_few(copies), ["whole", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    sets = written(held.where("shingles is not null").dropDuplicates(["rep", "whole"]).select(F.col("rep").alias("doc_id"), "n", "shingles", "logs"), "reps")
+    # rows that repeat an id tie the sets of that id together
+    repeated_ids = every.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    tied = held.select("doc_id", "rep").where("doc_id <> rep").join(repeated_ids, "doc_id", "left_semi").select(F.least("doc_id", "rep").alias("u"), F.greatest("doc_id", "rep").alias("v"))
     entries = [written(_entries(sets, i), f"entries{i}") for i in ORDERS]
 
     def all_orders(pairs: DataFrame) -> DataFrame:
@@ -279,7 +314,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
             pairs = _meeting(pairs, other)
         return pairs
 
-    links = written(_verified(all_orders(_stars(entries[0])), sets), "links")
+    links = written(_verified(all_orders(_stars(entries[0])), sets).unionByName(tied), "links")
     for last in (False, True):
         roots = components(links)
         named = [_labelled(e, roots) for e in entries]
@@ -293,17 +328,16 @@ def join_documents(docs: DataFrame) -> DataFrame:
     roots = components(links)
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     of_rep = written(roots.join(least, "root").select(F.col("node").alias("rep"), "component_id"), "components")
-    tied = able.select("doc_id", "n", "whole").join(classes, ["whole", "n"]).join(of_rep, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
-    alone = every.where("shingles is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return alone.unionByName(tied)
+    return held.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(_few(of_rep), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the documents whose component holds one with a smaller id; columns stay as they are.
 
-    Up to FEW ids (a checked size) are broadcast, so that no text is shuffled; more meet the documents by a shuffled join."""
-    gone = written(join_documents(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    Up to FEW ids (a checked size) are broadcast, so that no text is shuffled; more meet the documents by a shuffled join. Rows
+    with a null id stay; of rows that repeat an id all stay or all go; an empty table stays empty."""
+    gone = written(join_documents(docs).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(_few(gone), docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

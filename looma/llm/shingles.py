@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-from .common import Cache, mix
+from .common import mix
+from .words import word_hashes
 
 WORDS = 5
 _P = np.uint64(0x9FB21C651E98DF25)
+#: A-Z in lower case, ASCII white space as blanks.
+PLAIN = bytes(32 if b in b"\t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class Shingler:
@@ -18,25 +20,18 @@ class Shingler:
     hashes are; among n shingles two different ones share a hash with probability n^2 / 2^65.
     """
 
-    def __init__(self, limit: int = 400_000):
-        self.hash = Cache(xxhash.xxh64_intdigest, limit)
-
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(shingles of all texts, number of each text's shingles); those of one text are sorted and distinct."""
-        split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        n = np.array([len(w) for w in split], np.int64)
-        get = self.hash.__getitem__
-        h = np.fromiter((get(w) for words in split for w in words), np.uint64, int(n.sum()))
-        full = n >= WORDS
-        starts = np.concatenate([[0], np.cumsum(n)])[:-1]
+        h, owner = word_hashes([(t or "").encode("utf-8", "surrogatepass").translate(PLAIN) for t in texts])
+        n = np.bincount(owner, minlength=len(texts))
+        starts = np.cumsum(n) - n
         with np.errstate(over="ignore"):
             rolled = np.zeros(max(len(h) - WORDS + 1, 0), np.uint64)
             for k in range(WORDS):
                 rolled = rolled * _P + mix(h[k : k + len(rolled)], k)
-            owner = np.repeat(np.arange(len(n)), n)
             whole = owner[: len(rolled)] == owner[WORDS - 1 :] if len(rolled) else np.zeros(0, bool)
             values, owners = [mix(rolled[whole], 9)], [owner[: len(rolled)][whole]]
-            for i in np.flatnonzero(~full & (n > 0)):
+            for i in np.flatnonzero((n < WORDS) & (n > 0)):
                 x = np.uint64(n[i])
                 for v in h[starts[i] : starts[i] + n[i]]:
                     x = x * _P + v

@@ -9,13 +9,14 @@ shared by all; here each repeated string is instead brought together in one buck
 2. Documents meet their list by a join on the id. For every anchor that is repeated (in another document or in the same
    one) the stretch of windows that have it as anchor goes to the anchor's bucket; of equal stretches in one batch only
    the first goes on, the others are known to be repeats.
-3. A bucket compares all windows of its stretches by a 64-bit hash; whatever is not the first is a repeat.
+3. A bucket groups all windows of its stretches by a 64-bit hash and compares their bytes; whatever is not the first is a
+   repeat.
 4. The repeats' places meet the documents by a join on the id.
 
 Counts cover all documents; matches never cross documents. Memory of a task is bounded by the bucket size, which is planned
 from the number of bytes. Defined results: null and empty texts and those under 100 bytes keep all; rows with a null id are
-left out; rows that repeat an id are judged each, strings at the same place of the same id not being earlier than one
-another; an empty table gives no rows; other columns are ignored.
+left out; rows that repeat an id are judged each, none of them being earlier than another; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ LENGTH, K = 100, 40
 #: and known repeats that a task holds before it passes them on; documents it unpacks at once.
 
 BUCKET_BYTES, HELD_BYTES, HELD_KNOWN, SLICE = 250_000, 6_000_000, 100_000, 200
+EVERY = b"*"
 _P = 0xD6E8FEB86659FD93
 _INV = pow(_P, -1, 1 << 64)
 _POWERS: dict[int, list[np.ndarray]] = {}
@@ -106,24 +108,28 @@ class AnchorSets:
 
 
 def _shared(rows: pa.Table) -> pa.Table:
-    """Of one block of documents: id and the anchors that other documents hold too."""
-    doc, n, _, o, v, _ = gathered(rows)
+    """Of one block of documents: id, key and the anchors that other documents hold too. Documents of the block that have all
+    their anchors in common get EVERY instead."""
+    doc, n, whole, o, v, _ = gathered(rows)
     order = np.argsort(o, kind="stable")
     o, v = o[order], v[order]
     cuts = np.searchsorted(o, np.arange(len(n) + 1))
-    some = np.flatnonzero(np.diff(cuts))
-    return pa.table({"doc_id": pa.array(doc[some]), "anchors": pa.array([v[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())})
+    _, back, often = np.unique(whole, return_inverse=True, return_counts=True)
+    alike = (often[back] > 1) & (n > 0)
+    some = np.flatnonzero((np.diff(cuts) > 0) | alike)
+    return pa.table({"doc_id": pa.array(doc[some]), "anchors": pa.array([EVERY if alike[i] else v[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())})
 
 
 def _stretches(joined: DataFrame, buckets: int) -> DataFrame:
-    """bucket, doc (ids), start (first windows), n (windows), data (bytes one after another): packed; bucket -1: repeats known already."""
+    """bucket, at (id, row, first window, windows of every stretch), data (bytes one after another); bucket -1: repeats known
+    already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: dict, known: list) -> pa.RecordBatch:
             rows: dict[int, list] = {}
-            for (bucket, _, piece), (doc, start, n) in held.items():
-                rows.setdefault(bucket, []).append((doc, start, n, piece))
-            packed = [(b, [x[:3] for x in own], b"".join(x[3] for x in own)) for b, own in rows.items()]
+            for key, at in held.items():
+                rows.setdefault(key[0], []).append((at, key[2]))
+            packed = [(b, [x for x, _ in own], b"".join(x for _, x in own)) for b, own in rows.items()]
             if known:
                 packed.append((-1, known, b""))
             return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in packed], pa.int64()), "at": pa.array([np.array(r[1], np.int64).tobytes() for r in packed], pa.binary()), "data": pa.array([r[2] for r in packed], pa.binary())})
@@ -132,7 +138,7 @@ def _stretches(joined: DataFrame, buckets: int) -> DataFrame:
         known: list = []
         size = 0
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            for doc, text, listed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, row, text, listed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 place, first, last, h = anchors(np.frombuffer(raw, np.uint8))
                 if not len(place):
@@ -140,18 +146,21 @@ def _stretches(joined: DataFrame, buckets: int) -> DataFrame:
                 bucket = (mix(h, 6) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # anchors are least hashes, so not spread
                 _, back, often = np.unique(h, return_inverse=True, return_counts=True)
                 take = often[back] > 1
-                if listed is not None:
+                if listed == EVERY:
+                    take[:] = True
+                elif listed is not None:
                     take |= np.isin(h, np.frombuffer(listed, np.uint64))
                 for i in np.flatnonzero(take).tolist():
                     s, e = int(first[i]), int(last[i])
                     key = (int(bucket[i]), int(place[i]) - s, raw[s : e + LENGTH])
-                    here, old = (doc, s, e - s + 1), held.get(key)
+                    here, old = (doc, row, s, e - s + 1), held.get(key)
+                    if old is not None and old[0] == doc and old[1] != row:  # neither is before the other
+                        key = (*key, row)
+                        old = held.get(key)
                     if old is None:
                         held[key] = here
                         size += e - s + LENGTH
-                    elif old[:2] == here[:2]:
-                        pass
-                    else:
+                    elif old[:3] != here[:3]:
                         held[key] = min(old, here)
                         known.append(max(old, here))
                 if size > HELD_BYTES or len(known) > HELD_KNOWN:
@@ -160,52 +169,79 @@ def _stretches(joined: DataFrame, buckets: int) -> DataFrame:
         if held or known:
             yield flush(held, known)
 
-    return joined.select("doc_id", "text", "anchors").mapInArrow(run, "bucket long, at binary, data binary")
+    return joined.select("doc_id", "row", "text", "anchors").mapInArrow(run, "bucket long, at binary, data binary")
 
 
-def _runs(doc: np.ndarray, start: np.ndarray) -> pa.Table:
-    """Windows (doc, start) as runs of neighbouring starts."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+def _runs(doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> pa.Table:
+    """Windows (doc, row, start) as runs of neighbouring starts."""
+    order = np.lexsort((start, row, doc))
+    doc, row, start = doc[order], row[order], start[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)
     at = np.flatnonzero(new)
-    return pa.table({"doc_id": pa.array(doc[at]), "first": pa.array(start[at]), "last": pa.array(start[np.append(at[1:], len(doc)) - 1] if len(doc) else start)})
+    return pa.table({"doc_id": pa.array(doc[at]), "row": pa.array(row[at]), "first": pa.array(start[at]), "last": pa.array(start[np.append(at[1:], len(doc)) - 1] if len(doc) else start)})
+
+
+def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that brings equal numbers together and keeps them in order; where in it each one's group begins."""
+    order = np.argsort(x, kind="stable")
+    new = np.ones(len(x), bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    return order, np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+
+
+def _alike(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_groups() of the LENGTH bytes from each place on: by a hash, then compared byte by byte with the first of the group.
+    Where that follows from the window before, only the last byte is."""
+    order, head = _groups(rolling(data, LENGTH)[place])
+    first = np.empty(len(place), np.int64)
+    first[order] = place[order[head]]
+    follows = np.zeros(len(place), bool)
+    follows[1:] = (place[1:] == place[:-1] + 1) & (first[1:] == first[:-1] + 1)
+    equal = data[place + LENGTH - 1] == data[first + LENGTH - 1]
+    for i in np.flatnonzero(~follows & (first != place)).tolist():
+        equal[i] = np.array_equal(data[place[i] : place[i] + LENGTH], data[first[i] : first[i] + LENGTH])
+    if equal.all():
+        return order, head
+    text, seen = data.tobytes(), {}
+    return _groups(np.array([seen.setdefault(text[p : p + LENGTH], len(seen)) for p in place.tolist()]))
 
 
 def _repeats(rows: pa.Table) -> pa.Table:
-    """Of one bucket: the windows that are not the first of their kind."""
+    """Of one bucket: the windows that are not the first of their kind. Rows of the same id are not before one another."""
+    at = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in rows.column("at").to_pylist()])
     if rows.column("bucket")[0].as_py() < 0:
-        known = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in rows.column("at").to_pylist()])
-        return pa.table({"doc_id": pa.array(known[:, 0].copy()), "first": pa.array(known[:, 1].copy()), "last": pa.array(known[:, 1] + known[:, 2] - 1)})
-    at = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in rows.column("at").to_pylist()])
+        doc, row, start, n = (at[:, i].copy() for i in range(4))
+        return pa.table({"doc_id": pa.array(doc), "row": pa.array(row), "first": pa.array(start), "last": pa.array(start + n - 1)})
     data = np.frombuffer(b"".join(rows.column("data").to_pylist()), np.uint8)
-    size = at[:, 2] + LENGTH - 1
-    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    n = at[:, 2]
-    step = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
-    h = rolling(data, LENGTH)[np.repeat(begin, n) + step]
-    doc, start = np.repeat(at[:, 0], n), np.repeat(at[:, 1], n) + step
-    order = np.lexsort((start, doc, h))
-    h, doc, start = h[order], doc[order], start[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    later = (doc != doc[head]) | (start != start[head])
-    return _runs(doc[later], start[later])
+    size = at[:, 3] + LENGTH - 1
+    sorted_ = np.lexsort((at[:, 2], at[:, 1], at[:, 0]))
+    begin, at = (np.cumsum(size) - size)[sorted_], at[sorted_]
+    n = at[:, 3]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    order, head = _alike(data, np.repeat(begin, n) + step)
+    doc, row, start = np.repeat(at[:, 0], n)[order], np.repeat(at[:, 1], n)[order], (np.repeat(at[:, 2], n) + step)[order]
+    again = np.zeros(len(order), bool)  # the row has the string at an earlier place; a row that came twice is one
+    again[1:] = (head[1:] == head[:-1]) & (doc[1:] == doc[:-1]) & (row[1:] == row[:-1]) & (start[1:] != start[:-1])
+    twice = np.zeros(len(order), bool)
+    twice[1:] = (head[1:] == head[:-1]) & (doc[1:] == doc[:-1]) & (row[1:] == row[:-1]) & (start[1:] == start[:-1])
+    for i in np.flatnonzero(twice).tolist():  # the same place once more is as the one before it
+        again[i] = again[i - 1]
+    later = (doc != doc[head]) | again
+    return _runs(doc[later], row[later], start[later])
 
 
 def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if texts, kept (binary) of every document with an id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), int(size / (4 * BUCKET_BYTES)) + 1)
-    back = pack(docs, buckets, AnchorSets).groupBy("bucket").applyInArrow(repeated(buckets), "block long, own binary, data binary, log binary")
+    back = pack(docs.select("doc_id", "text"), buckets, AnchorSets).groupBy("bucket").applyInArrow(repeated(buckets), "block long, own binary, data binary, log binary")
     shared = written(back.groupBy("block").applyInArrow(_shared, "doc_id long, anchors binary"), "anchors")
     packed = _stretches(docs.join(shared, "doc_id", "left"), buckets)
     spread = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("at"), F.lit(buckets))).otherwise(F.col("bucket"))
-    found = packed.withColumn("bucket", spread).groupBy("bucket").applyInArrow(_repeats, "doc_id long, first long, last long")
-    of_doc = written(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
+    found = packed.withColumn("bucket", spread).groupBy("bucket").applyInArrow(_repeats, "doc_id long, row long, first long, last long")
+    of_doc = written(found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
@@ -232,7 +268,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
-    return docs.join(of_doc, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(run, schema)
+    return docs.join(of_doc, ["doc_id", "row"], "left").select("doc_id", "text", "runs").mapInArrow(run, schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

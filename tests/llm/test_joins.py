@@ -55,12 +55,26 @@ def test_jaccard_components(spark):
     d = docs(spark, texts).repartition(3)
     out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_documents(d).collect()}
     assert out == {i: (len(s), want[i]) for i, s in enumerate(sets)}
-    kept = ngram_join.one_of_each(d)
-    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == set(want)
+    clash = d.withColumnsRenamed({"score": "gone_id", "ids": "rep"})
+    kept = ngram_join.one_of_each(clash)
+    assert kept.columns == clash.columns and {r["doc_id"] for r in kept.collect()} == set(want)
     odd = d.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
     assert ngram_join.join_documents(odd).count() == 0 and ngram_join.join_documents(d.limit(0)).count() == 0
 
 
+def test_jaccard_rows_that_repeat_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(2, a), (5, a), (5, b), (5, ""), (7, b), (8, None), (8, None), (9, "x"), (9, "x")]
+    out = ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == [(2, 26, 2), (5, 0, 2), (5, 26, 2), (5, 26, 2), (7, 26, 2), (8, 0, 8), (8, 0, 8), (9, 1, 9), (9, 1, 9)]
+
+
+@pytest.mark.parametrize("owners", [[0, 0, 3], [5] * 300, list(range(1000)), []])
+def test_packed_owners(owners):
+    x = np.array(owners, np.int64)
+    assert not len(x) or ngram_join._unpacked(ngram_join._packed(x, 1000)).tolist() == owners
+
+
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 40)], [(5, 9), (9, 2), (7, 8), (3, 3)]])
 def test_components(spark, edges):
     out = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -92,6 +106,24 @@ def test_repeated_strings(spark):
     assert suffix_dedup.remove_repeats(d.limit(0)).count() == 0 and "kept" in suffix_dedup.remove_repeats(d).columns
 
 
+def test_repeated_strings_of_rows_that_repeat_an_id(spark):
+    rng = random.Random(4)
+    p, u, v = ("".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(3))
+    rows = [(0, p), (1, p + "zz"), (1, u), (3, v), (3, v), (3, v + v), (4, v)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), texts=False).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in out) == [(0, 150, 0), (1, 150, 0), (1, 152, 150), (3, 150, 0), (3, 150, 0), (3, 300, 150), (4, 150, 150)]
+
+
+def test_windows_of_one_hash_are_compared(monkeypatch):
+    data = np.frombuffer(b"".join(bytes(random.Random(i).choices(b"ab", k=130)) for i in (1, 2, 1)), np.uint8)
+    place = np.concatenate([np.arange(31) + 130 * i for i in range(3)])
+    want = suffix_dedup._alike(data, place)
+    monkeypatch.setattr(suffix_dedup, "rolling", lambda d, k: np.arange(len(d) - k + 1).astype(np.uint64) % 7)
+    order, head = suffix_dedup._alike(data, place)
+    kinds = lambda o, h: {frozenset(o[h == x].tolist()) for x in set(h.tolist())}
+    assert kinds(order, head) == kinds(*want)
+
+
 @pytest.mark.parametrize("tile", [8192, 64])
 def test_vectors(spark, tile):
     rng = np.random.default_rng(4)
