@@ -6,6 +6,8 @@ is searched by a scan, its right boundary deleted, and the two neighbouring rank
 `SHORT` parts would make that scan quadratic, so they take the same merges from a heap.
 
 Tasks are independent (no shuffle); the vocabulary has a fixed size, and a bounded cache holds the words met lately.
+Letters, numbers and lower case are those of Python's Unicode tables (15.1) and what the library's newer tables add. Decoding
+starts from the ids.
 Defined results: a null text counts as empty (no ids, empty decoded text). Repeated rows stay; other columns are ignored.
 """
 
@@ -18,15 +20,27 @@ import re
 import struct
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Cache, map_batches, table
+from .common import Cache, class_of, map_batches, table
 
 SHORT = 128
-#: The vocabulary's word pattern and the characters that count as white space.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The vocabulary's word pattern (L letters, N numbers; it meets no white space) and the characters that count as
+# white space.
+WORD = "'s|'t|'re|'ve|'m|'ll|'d|[L]+|[N]|[^LN]+"
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+# Letters, numbers and lower-case forms of the Unicode versions after 15.1 that the library knows (letters and
+# numbers of 16.0, lower case of 17.0).
+LATER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+LATER_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -51,7 +65,9 @@ class Codec:
         self.names = {i: t for t, i in [*self.ids.items(), *self.added.items()]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.chars = byte_chars()
-        self.words = regex.compile(WORD)
+        later = {"L": LATER_LETTERS, "N": LATER_NUMBERS}
+        kinds = {k: class_of(k) + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in later[k]) for k in "LN"}
+        self.words = re.compile("".join(kinds.get(c, c) for c in WORD))
         self.chunks, self.known = Cache(self._chunk, limit), Cache(self._word, limit)
 
     def merge(self, parts: list[str]) -> list[str]:
@@ -97,43 +113,45 @@ class Codec:
         parts[-1] += self.end
         return self.merge(parts)
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids and decoded text of a stretch without white space; no word reaches over white space."""
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a stretch without white space; no word reaches over white space."""
         if chunk.isalpha() and chunk.isascii():
             return self.known[chunk]
-        found = [self.known[w] for w in self.words.findall(chunk)]
-        return b"".join([i for i, _ in found]), " ".join([t for _, t in found])
+        if not chunk.isascii():
+            chunk = chunk.translate(LATER_LOWER)
+        return b"".join([self.known[w] for w in self.words.findall(chunk)])
 
-    def _word(self, word: str) -> tuple[bytes, str]:
+    def _word(self, word: str) -> bytes:
         tokens = self.word(word)
-        return struct.pack(f"<{len(tokens)}I", *map(self.ids.__getitem__, tokens)), " ".join(tokens)
+        return struct.pack(f"<{len(tokens)}I", *map(self.ids.__getitem__, tokens))
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+    def _plain(self, text: str) -> list[bytes]:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         if NOT_SPACE.search(text):  # str.split() takes them for white space, the vocabulary's pattern does not
-            pieces = [p for p in regex.split(r"[\t-\r \x85\xa0  -     　]+", text.replace("Σ", "σ").lower()) if p]
+            pieces = [p for p in SPACE.split(text.replace("Σ", "σ").lower()) if p]
         else:
             pieces = text.replace("Σ", "σ").lower().split()
         return list(map(self.chunks.__getitem__, pieces))
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the text that they decode to."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if not text:
-            return b"", ""
+            return b""
         if self.cut is None or not any(t in text for t in self.added):
             found = self._plain(text)
         else:
             found = []
             for piece in self.cut.split(text):
                 if piece in self.added:
-                    found.append((struct.pack("<I", self.added[piece]), piece))
+                    found.append(struct.pack("<I", self.added[piece]))
                 elif piece:
                     found += self._plain(piece)
-        return b"".join([x for x, _ in found]), " ".join([y for x, y in found if x])
+        return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
-        return " ".join(self.names[i] for (i,) in struct.iter_unpack("<I", ids) if i in self.names)
+        """The text of ids; those that the vocabulary does not have are left out."""
+        return " ".join([t for t in map(self.names.get, np.frombuffer(ids, "<u4").tolist()) if t is not None])
 
 
 def vocabulary() -> str:
@@ -159,12 +177,14 @@ def _encoded(docs: DataFrame, path: str | None, whole: bool) -> DataFrame:
         codec = Codec(path)
 
         def run(batch: pa.RecordBatch) -> dict:
-            found = [codec.encode(t) for t in batch.column(1).to_pylist()]
-            out = {"doc_id": batch.column(0), "n_tokens": pa.array([len(i) // 4 for i, _ in found], pa.int64())}
+            ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
+            texts = map(codec.decode, ids)
+            out = {"doc_id": batch.column(0), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64())}
             if whole:
-                out |= {"ids": pa.array([i for i, _ in found], pa.binary()), "decoded": pa.array([t for _, t in found], pa.string())}
-            out["ids_sha256"] = pa.array([hashlib.sha256(i).hexdigest() for i, _ in found], pa.string())
-            out["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in found], pa.string())
+                texts = list(texts)
+                out |= {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(texts, pa.string())}
+            out["ids_sha256"] = pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string())
+            out["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
             return out
 
         return run

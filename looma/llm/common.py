@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none (tests) a local one is set."""
+    """The folder that driver and executors share. Only a session that runs in this one process gets a local one where it names
+    none; on a cluster executors would not see that, so it is an error there."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="looma-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf
@@ -73,6 +79,20 @@ def fitting(rows: list, group: str, budget: int) -> list:
     return out + [r for g, r in least.items() if g not in used]
 
 
+@cache
+def class_of(category: str) -> str:
+    """The code points whose Unicode category begins with this letter, as ranges for a class of a regular expression."""
+    out, first = [], None
+    for cp in range(sys.maxunicode + 2):
+        inside = cp <= sys.maxunicode and unicodedata.category(chr(cp))[0] == category
+        if inside and first is None:
+            first = cp
+        elif not inside and first is not None:
+            out.append(f"\\U{first:08x}-\\U{cp - 1:08x}")
+            first = None
+    return "".join(out)
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them (the splitmix64 finaliser)."""
     with np.errstate(over="ignore"):

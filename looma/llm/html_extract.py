@@ -37,10 +37,14 @@ NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # Kinds of elements and the words of classes, ids and roles that hint at content or at its surroundings.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style title noscript template textarea iframe object svg math select option button canvas audio video noframes head".split()) - {"head"}
+RAW = frozenset("script style title template textarea iframe select option button canvas audio video noframes".split())
+CLOSED = {tag: re.compile(f"</{tag}(?:[\\s/>]|\\Z)", re.I | re.A) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SURROUNDINGS = frozenset("nav aside footer form menu dialog fieldset search".split())
 NEGATIVE = frozenset("nav navbar navigation menu header masthead topbar footer sidebar aside ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies notice notices consent gdpr popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar login signup search contentinfo complementary alert dialog copyright legal disclaimer tags teaser".split())
+# words that say nothing inside an article, whose forms and menus are elements of their own; words that only name a box
+OUTSIDE = frozenset("search login signup legal tags overlay".split())
+PLACES = frozenset("area bar block body bottom box buttons card cards col column container entries fixed float form global group home icons inner inline item items layout left level line link links list lists lower main mobile outer page panel posts articles stories primary region right row secondary section site small sticky text top upper wrap wrapper".split())
 COMMENTS = frozenset("comment comments reply replies disqus respond discussion commentlist".split())
 POSITIVE = frozenset("article content main post entry story maincontent articlebody".split())
 # The classifier's weights before training.
@@ -48,23 +52,33 @@ FEATURES = ("bias", "inside", "surroundings", "negative", "comments", "outside",
 WEIGHTS = np.array([-0.5, 4.0, -7.0, -7.0, -9.0, -6.0, -3.0, 0.6, 0.6, 0.5, -0.3])
 
 
+def _beside(words: set[str], article: bool) -> bool:
+    """A class, id or role of these words names surroundings: all of them do or only name a place, and it isn't the header of
+    the article itself ("related-work" and "article-header" are not, "related-posts" and "site-header" are)."""
+    bad = words & NEGATIVE - (OUTSIDE if article else frozenset())
+    return bool(bad) and words <= NEGATIVE | PLACES | POSITIVE and not (bad == {"header"} and words & POSITIVE - {"main"})
+
+
 class Element:
     """An open element; apart from the tag it holds what is true of it or of any element around it."""
 
     __slots__ = ("tag", "negative", "comments", "positive", "article", "surroundings", "header")
 
     def __init__(self, tag: str, attrs: str, around: Element | None):
-        self.tag, words = tag, set()
+        self.tag, words, tokens = tag, set(), []
         self.negative = tag in SURROUNDINGS
         for name, a, b, c in NAMED.findall(attrs) if attrs else ():
             name, value = name.lower(), a or b or c
             if name in ("class", "id", "role"):
-                words.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
+                for token in value.split():
+                    parts = {x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if x}
+                    tokens.append(parts)
+                    words |= parts
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
                 self.negative = True
         self.comments = not words.isdisjoint(COMMENTS)
         self.positive = tag in ("article", "main") or not words.isdisjoint(POSITIVE)
-        if not words.isdisjoint(NEGATIVE) and tag not in ("html", "body", "article", "main"):
+        if tag not in ("html", "body", "article", "main") and any(_beside(x, bool(around and around.article)) for x in tokens):
             self.negative = True
         own = not self.comments
         self.article, self.surroundings, self.header = tag in ("article", "main"), tag in SURROUNDINGS, tag == "header"
@@ -133,7 +147,7 @@ def blocks(page: str | None) -> list[tuple[str, Element | None, int, int]]:
             linked += len(piece.strip())
 
     at, size = 0, len(page)
-    low, open_tags, last = "", None, page.rfind(">")
+    open_tags, last = None, page.rfind(">")
     while at < size:
         start = page.find("<", at)
         if start < 0 or start > last:
@@ -161,13 +175,9 @@ def blocks(page: str | None) -> list[tuple[str, Element | None, int, int]]:
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                low = low or page.lower()
-                end = low.find(f"</{tag}", at)
-                if end < 0:
-                    at = size
-                else:
-                    stop = page.find(">", end)
-                    at = size if stop < 0 else stop + 1
+                end = CLOSED[tag].search(page, at)
+                stop = page.find(">", end.end() - 1) if end else -1
+                at = size if stop < 0 else stop + 1
             parts.append(" ")
         elif tag == "br":
             parts.append(" ")
@@ -277,7 +287,8 @@ def main_text(page: str | None, weights: np.ndarray = WEIGHTS) -> str:
 
 
 def train(pages: list[str], steps: int = 200, pull: float = 0.02) -> np.ndarray:
-    """Weights that fit the blocks inside semantic containers, held near the fixed ones."""
+    """Weights that fit the blocks inside semantic containers, held near the fixed ones. Each block counts twice: as it is, and
+    without the features that say in which container it lies, so that those of its text are learned from the others' labels."""
     x = [features(b) for p in pages if (b := blocks(p))]
     x = np.concatenate(x) if x else np.zeros((0, len(WEIGHTS)))
     inside, around = FEATURES.index("inside"), [FEATURES.index(c) for c in ("surroundings", "negative", "comments", "outside")]
@@ -285,6 +296,9 @@ def train(pages: list[str], steps: int = 200, pull: float = 0.02) -> np.ndarray:
     if not good.any() or not bad.any():
         return WEIGHTS
     x, y = np.concatenate([x[good], x[bad]]), np.concatenate([np.ones(good.sum()), np.zeros(bad.sum())])
+    bare = x.copy()
+    bare[:, [inside, *around]] = 0
+    x, y = np.concatenate([x, bare]), np.concatenate([y, y])
     n = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w = WEIGHTS.copy()
     for _ in range(steps):

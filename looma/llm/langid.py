@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fitting, map_batches, table
+from .common import class_of, crc_mod, fitting, map_batches, table
 from .subword import WordValues, grams
 
 BUCKETS, GRAMS, PER_LANG, MAX_TEXTS, MAX_CHARS = 1 << 13, (1, 2, 3), 250, 16_000, 8_000_000
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 SLICE = 200
 # Languages (ISO 639-1) of the families; a code that is in none is of the family "other".
 FAMILIES = {
@@ -46,6 +46,11 @@ def family(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if base in langs.split()), "other")
 
 
+def has_letters(text: str) -> bool:
+    """Whether a code point of the Unicode categories L is in the text."""
+    return bool(ASCII_LETTER.search(text) or (not text.isascii() and re.search(f"[{class_of('L')}]", text)))
+
+
 def counts(texts: list[str]) -> np.ndarray:
     """Average n-gram vectors of texts."""
     x = np.zeros((len(texts), BUCKETS), np.float32)
@@ -150,7 +155,7 @@ def predictor(model: dict):
     def few(texts: list[str | None]) -> list[tuple[str, float]]:
         out = []
         for text, at in zip(texts, known.of([(t or "").lower().split() for t in texts]), strict=True):
-            if not model["names"] or not text or not LETTER.search(text):
+            if not model["names"] or not text or not has_letters(text):
                 out.append(("und", 0.0))
             else:
                 total = known.rows[at].sum(0)
@@ -178,7 +183,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -
     sizes = rows.select("doc_id", "lang", F.length("text").alias("n")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(per_lang * len(n)).collect()
     small = spark.createDataFrame([(r["doc_id"],) for r in fitting(sizes, "lang", budget)], "doc_id long")
     few = {r["doc_id"]: (r["text"], r["lang"]) for r in rows.join(F.broadcast(small), "doc_id").withColumn("text", F.substring("text", 1, budget)).collect()}
-    order = [i for i in sorted(few) if LETTER.search(few[i][0])]
+    order = [i for i in sorted(few) if has_letters(few[i][0])]
     return train([few[i][0] for i in order], [few[i][1] for i in order])
 
 

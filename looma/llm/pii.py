@@ -3,7 +3,7 @@
 Every text is scanned once for spans that may be personal data: the four base patterns, their failing matches, and looser
 forms (obfuscated addresses, local telephone numbers, bank accounts, social security numbers). Regex, gazetteer and
 context labelers vote on each (+1, 0, -1). Spark counts the votes by pattern over all documents; the table of patterns has
-a fixed bound (kinds x 3^labelers x shapes), so the driver runs expectation-maximisation on it: it estimates how reliable
+a fixed bound (kinds x 3^labelers x forms of a span), so the driver runs expectation-maximisation on it: it estimates how reliable
 each labeler is and how likely each pattern is personal, and a logistic span classifier is trained on those posteriors.
 Base spans always stay; the classifier adds valid candidates that overlap none of them. A span that fails its check (sum,
 number of digits) is evidence for the labelers, never a finding.
@@ -14,7 +14,6 @@ columns are ignored. Offsets are code points. Scans are linear in the text, what
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -53,7 +52,7 @@ CUES = {
     "ssn": re.compile(r"ssn|social|security|insurance|sozial", re.I),
 }
 COUNTER = re.compile(r"version|isbn|issn|invoice|order|token|secret|key|hash|sha|md5|uuid|serial|build|section|fig", re.I)
-WINDOW = 32
+WINDOW, SEPARATED = 32, "n-.bm"
 
 
 def emails(text: str):
@@ -91,7 +90,7 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, bool]]:
     if "@" in text:
         found += [(0, s, e, True, True) for s, e in emails(text)]
     for m in IP.finditer(text) if text.count(".") >= 3 else ():
-        ok = all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))
+        ok = all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))
         found.append((1, m.start(), m.end(), ok, ok))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19:
@@ -101,16 +100,16 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, bool]]:
         found.append((3, m.start(), m.end(), ok, ok))
     if VEIL.search(text):
         found += [(0, m.start(), m.end(), False, True) for m in VEILED.finditer(text)]
-    if text.count("-") >= 2 or text.count(" ") >= 2 or text.count(".") >= 2:
-        found += [(2, m.start(), m.end(), False, luhn(m[0])) for m in RUN.finditer(text)]
-        found += [(3, m.start(), m.end(), False, True) for m in NATIONAL.finditer(text)]
-        found += [(5, m.start(), m.end(), False, m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000") for m in SSN.finditer(text)]
-        found += [(4, m.start(), m.end(), False, _iban(m[0])) for m in IBAN.finditer(text)]
+    found += [(2, m.start(), m.end(), False, luhn(m[0])) for m in RUN.finditer(text)]
+    found += [(3, m.start(), m.end(), False, True) for m in NATIONAL.finditer(text)]
+    found += [(5, m.start(), m.end(), False, m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000") for m in SSN.finditer(text)]
+    found += [(4, m.start(), m.end(), False, _iban(m[0])) for m in IBAN.finditer(text)]
     return found
 
 
 def votes(text: str, kind: int, start: int, end: int, valid: bool) -> str:
-    """One character for each labeler: + for, - against, 0 no vote; then the shape (number of digits, in threes)."""
+    """One character for each labeler: + for, - against, 0 no vote; then what the classifier sees of the span itself: how its
+    parts are separated, whether it begins a line, and the number of its digits, in threes."""
     span, name = text[start:end], KINDS[kind]
     digits = _digits(span)
     left = text[max(0, start - WINDOW) : start]
@@ -124,7 +123,13 @@ def votes(text: str, kind: int, start: int, end: int, valid: bool) -> str:
     }[name]()
     around = text[start - 1 : start] + text[end : end + 1]
     glued = any(c.isalnum() or c in "_=/#" for c in around)
-    return ("+" if valid else "-") + gazetteer + ("+" if CUES[name].search(left) else "0") + ("-" if COUNTER.search(left) else "0") + ("-" if glued else "+") + str(min(9, len(digits) // 3))
+    return ("+" if valid else "-") + gazetteer + ("+" if CUES[name].search(left) else "0") + ("-" if COUNTER.search(left) else "0") + ("-" if glued else "+") + _separated(span) + ("l" if not left or left[-1] == "\n" else "i") + str(min(9, len(digits) // 3))
+
+
+def _separated(span: str) -> str:
+    """The one sign that separates the parts of a span, n for none, m for several."""
+    signs = set(span) & set("-. ()")
+    return "n" if not signs else "m" if len(signs) > 1 else {" ": "b", "(": "m", ")": "m"}.get(next(iter(signs)), next(iter(signs)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -184,7 +189,8 @@ def fit(pattern_counts: list[tuple[str, int]], rounds: int = 30) -> dict[str, fl
             prior[k] = (post[own] @ n[own] + 3) / (n[own].sum() + 5)
         prior = prior.clip(0.05, 0.95)
     digits = np.array([int(p[-1]) for p in names])
-    x = np.hstack([np.eye(len(KINDS))[kinds], (v > 0), (v < 0), np.eye(10)[digits] * 0.3]).astype(float)
+    own = np.array([[p[-3] == c for c in SEPARATED] + [p[-2] == "l"] for p in names], float)
+    x = np.hstack([np.eye(len(KINDS))[kinds], (v > 0), (v < 0), np.eye(10)[digits] * 0.3, own * 0.3]).astype(float)
     w, weight = np.zeros(x.shape[1]), np.sqrt(n) / np.sqrt(n).sum()
     for step in range(400):
         p = 1 / (1 + np.exp(-(x @ w)))
@@ -193,7 +199,7 @@ def fit(pattern_counts: list[tuple[str, int]], rounds: int = 30) -> dict[str, fl
 
 
 def learn(scanned: DataFrame) -> dict[str, float]:
-    """The classifier as a probability for each pattern of votes. At most kinds x 3^labelers x 10 patterns exist."""
+    """The classifier as a probability for each pattern of votes. At most kinds x 3^labelers x 100 patterns exist."""
     counts = scanned.select(F.explode("patterns").alias("p")).groupBy("p").count()
     return fit(sorted((r["p"], r["count"]) for r in counts.collect()))
 
@@ -252,7 +258,3 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     everything = F.transform(F.array_sort(F.transform(F.concat("base", "added"), _order)), lambda x: x["t"])
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"), F.array_join(everything, ",").alias("spans"), F.size("added").cast("long").alias("n_added"))
-
-
-def sha256_of_spans(spans: list[str]) -> str:
-    return hashlib.sha256(",".join(spans).encode()).hexdigest()

@@ -36,15 +36,25 @@ def test_bpe_equals_the_library(spark):
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["a" * 3000, "<|endoftext|>x<|startoftext|>", *[e for e in EDGE if e]]
     for s in texts:
         e = t.encode(s, add_special_tokens=False)
-        ids, text = c.encode(s)
+        ids = c.encode(s)
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == e.ids
-        assert text == t.decode(e.ids, skip_special_tokens=False) == c.decode(ids)
+        assert c.decode(ids) == t.decode(e.ids, skip_special_tokens=False)
     out = bpe.token_digests(docs(spark, EDGE)).orderBy("doc_id").collect()
     assert [r["n_tokens"] for r in out[:3]] == [0, 0, 0] and len(out) == len(EDGE)
     assert bpe.encode_texts(docs(spark, ["Hello there"])).first()["decoded"] == "hello</w> there</w>"
     assert bpe.token_digests(docs(spark, EDGE).limit(0)).count() == 0
 
 
+def test_bpe_takes_code_points_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    t, c = Tokenizer.from_file(bpe.vocabulary()), bpe.Codec(bpe.vocabulary())
+    points = [0x558, 0x88F, 0x1C89, 0xA7CB, *range(0x80, 0x110000, 17)]
+    for i in range(0, len(points), 500):
+        s = " ".join(f"a{chr(p)}1{chr(p)}" for p in points[i : i + 500] if not 0xD800 <= p < 0xE000)
+        assert c.encode(s) == struct.pack(f"<{len(e := t.encode(s, add_special_tokens=False).ids)}I", *e)
+
+
 def test_small_vocabulary_scan_equals_heap():
     c = bpe.Codec(bpe.vocabulary())
     rng = random.Random(2)
@@ -72,7 +82,7 @@ def test_base_spans_equal_the_patterns(spark):
     for t in texts:
         want = sorted((m.start(), pii.KINDS.index(k), m.end()) for k, r in BASE.items() for m in re.finditer(r, t) if fits(k, m[0]))
         assert sorted((s, k, e) for k, s, e, base, _ in pii.candidates(t) if base) == want
-    for t in ("1" * 100_000, "a." * 50_000, "@" * 50_000, "+1" * 50_000, "1." * 50_000, "(at)" * 20_000):
+    for t in ("0" * 5000 + ".1.1.1", "1." * 3 + "9" * 5000, "1" * 100_000, "a." * 50_000, "@" * 50_000, "+1" * 50_000, "1." * 50_000, "(at)" * 20_000):
         pii.candidates(t)
 
 
@@ -84,6 +94,8 @@ def test_pii_finds_and_redacts(spark):
     clean = {r["doc_id"]: r for r in pii.redact(d).collect()}
     assert clean[9]["text"] == "mail me: <email> or <email>" and clean[9]["n_chars"] == len(clean[9]["text"])
     assert clean[11]["text"].startswith("card <card>, bad 4111") and clean[0]["text"] is None and clean[1]["text"] == ""
+    kinds = lambda t: [pii.KINDS[k] for k, *_, valid in pii.candidates(t) if valid]
+    assert kinds("DE89370400440532013000") == ["iban"] and "card" in kinds("4111111111111111") and kinds("123-45-6789") == ["ssn"]
     assert pii.redact(d).columns == d.columns and pii.find(d.limit(0)).count() == 0
 
 
@@ -100,6 +112,8 @@ def test_language(spark):
     assert model["names"] == ["de", "en", "es", "fr"] and model["families"] == ["germanic", "romance"]
     out = {r["doc_id"]: r for r in langid.predict(docs(spark, [None, "", "123 !!", "the dog and the cat", "der hund und das haus", "le chien dans la rue", "el perro en la calle", "x" * 100_000]), model).collect()}
     assert [out[i]["lang_pred"] for i in range(7)] == ["und", "und", "und", "en", "de", "fr", "es"] and all(0 <= r["score"] <= 1 for r in out.values())
+    odd = langid.predict(docs(spark, ["²½①", "12 ² !", "² a"]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] == "und" for r in odd] == [True, True, False]
     nothing = langid.fit(train.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in langid.predict(train, nothing).collect()} == {"und"}
     assert langid.predict(train.limit(0), model).count() == 0
@@ -139,6 +153,22 @@ def test_main_text(spark):
     assert html_extract.extract(p.limit(0), html_extract.fit(p.limit(0))).count() == 0
 
 
+def test_main_text_keeps_what_belongs_to_the_article():
+    page = lambda inner: f"<body><nav><a href=x>Menu</a></nav><article><p>First one is here.</p>{inner}<p>Last one is here.</p></article><footer>End</footer></body>"
+    text = lambda inner: html_extract.main_text(page(inner)).split("\n")[1:-1]
+    for inner, want in (
+        ("<p>" + "İ" * 60 + "</p><script>x('<p>')</script><p>Next words.</p>", ["İ" * 60, "Next words."]),
+        ("<p>Let <math><mi>x</mi></math> be it.</p><noscript><p>Plain words.</p></noscript>", ["Let x be it.", "Plain words."]),
+        ("<object><p>An object.</p></object><p><svg><text>Label</text></svg> here.</p>", ["An object.", "Label here."]),
+        ('<div class="article-header"><h1>Head</h1></div><div class="related-work"><p>Others did it.</p></div>', ["Head", "Others did it."]),
+        ('<section class="search"><p>How to search.</p></section>', ["How to search."]),
+        ('<div class="related-posts"><a href=x>More</a></div><div class="share-bar">Share</div><div id="adBox2">Buy</div>', []),
+        ("<SCRIPT>a</SCRIPTX></script ><style>p</style><textarea>t</textarea><p>Seen.</p>", ["Seen."]),
+        ("<p>a < b " * 150 + '<p title="x > y" class="k">Text here.</p>', ["a < b"] * 150 + ["Text here."]),
+    ):
+        assert text(inner) == want, inner[:80]
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(2)
 
