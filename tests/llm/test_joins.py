@@ -139,3 +139,21 @@ def test_vectors(spark, tile):
     out = {r["vec_id"]: tuple(r)[1:] for r in embed_dedup.near_duplicates(df, tile=tile).collect()}
     assert out == {i: (int(near[i].sum()) if i < 300 else 0, want[i], want[i] == i) for i in range(306)}
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_vectors_of_rows_without_or_with_repeated_ids(spark):
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.1]), (3, [0.1, 1.0]), (7, [1.0, 0.0, 0.0]), (8, [1.0, 0.1, 0.0])]
+    out = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(tuple(r) for r in out) == [(1, 2, 1, True)] * 3 + [(2, 1, 1, False), (3, 1, 1, False), (7, 1, 7, True), (8, 1, 7, False)]
+
+
+def test_vectors_at_the_threshold_do_not_depend_on_their_tile(spark):
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(1, 8)), 3000, axis=0) * rng.uniform(0.5, 2, (3000, 1))
+    y = embed_dedup._unit(x)
+    cosine = np.einsum("ij,ij->i", y[:1000], y[1000:2000])
+    ids = np.arange(len(y))
+    for threshold in (float(np.median(cosine)), 1.0):
+        whole, _, _ = embed_dedup.compare(ids, y, ids, y, np.eye(8), threshold, True)
+        want = np.array([np.einsum("ij,ij->i", np.repeat(y[i : i + 1], len(y), 0), y) >= threshold for i in range(0, 3000, 100)])
+        assert (whole[::100] == want.sum(1) - want[np.arange(30), np.arange(0, 3000, 100)]).all()
