@@ -77,10 +77,6 @@ def fmt_num(x: Column) -> Column:
     return _four_digits(x.cast("double"))
 
 
-def rint_half_even(x: Column) -> Column:
-    return F.rint(x)
-
-
 def l2_normalize(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     return F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-12)))

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.core import dot, l2_normalize, sigmoid
 
-#: Models, the length of their vectors and how they pool tokens.
-REGISTRY = {"MiniLM-L6": (384, "mean"), "MiniLM-L12": (384, "mean"), "e5-small": (384, "mean"), "gte-multilingual": (768, "cls"), "Qwen3-0.6B": (1024, "last")}
 Encoder = Callable[[list[str]], list]
 
 
@@ -105,10 +103,27 @@ def compare_backends(a: DataFrame, b: DataFrame, limit: float = 0.999) -> tuple[
     return per, total.withColumn("same", F.col("mean_cosine") >= limit)
 
 
+#: Rows of a context that are broadcast at most; a larger one is an error of the caller, who bounds contexts.
+MAX_CONTEXT = 131_072
+
+
+def bounded(df: DataFrame, limit: int = MAX_CONTEXT) -> DataFrame:
+    """df to be broadcast, after its rows are counted up to the limit."""
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} rows are not broadcast")
+    return F.broadcast(df)
+
+
+def symmetrised(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, similarity) of one set of rows -> the mean of both directions."""
+    other = pairs.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("similarity").alias("back"))
+    return pairs.join(other, ["a", "b"]).select("a", "b", ((F.col("similarity") + F.col("back")) / 2).alias("similarity"))
+
+
 def pairwise_similarity(query: DataFrame, context: DataFrame, kind: str = "cosine", with_sigmoid: bool = False) -> DataFrame:
-    """query (query_id, vector) x context (context_id, label, vector), which holds max_context_size rows at most."""
+    """query (query_id, vector) x context (context_id, label, vector), which holds MAX_CONTEXT rows at most."""
     q = l2_normalize(F.col("vector")) if kind == "cosine" else F.col("vector")
-    pairs = query.select("query_id", q.alias("_q")).crossJoin(F.broadcast(context.select("context_id", "label", q.alias("_c"))))
+    pairs = query.select("query_id", q.alias("_q")).crossJoin(bounded(context.select("context_id", "label", q.alias("_c"))))
     s = dot(F.col("_q"), F.col("_c"))
     return pairs.select("query_id", "context_id", "label", (sigmoid(s) if with_sigmoid else s).alias("similarity"))
 
@@ -116,7 +131,7 @@ def pairwise_similarity(query: DataFrame, context: DataFrame, kind: str = "cosin
 def class_scores(similarities: DataFrame, classes: DataFrame) -> DataFrame:
     """Per query and class of classes (label) the largest similarity; -inf where the context lacks the class."""
     best = similarities.groupBy("query_id", "label").agg(F.max("similarity").alias("score"))
-    every = similarities.select("query_id").distinct().crossJoin(F.broadcast(classes))
+    every = similarities.select("query_id").distinct().crossJoin(bounded(classes))
     return every.join(best, ["query_id", "label"], "left").withColumn("score", F.coalesce("score", F.lit(float("-inf"))))
 
 
@@ -133,7 +148,7 @@ def score_batches(query: DataFrame, context: DataFrame, scorer: Callable, schema
 
 def align_classes(scores: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
     """scores (keys, label, logit) with every class of classes; missing ones -inf."""
-    every = scores.select(*keys).distinct().crossJoin(F.broadcast(classes))
+    every = scores.select(*keys).distinct().crossJoin(bounded(classes))
     return every.join(scores, [*keys, "label"], "left").withColumn("logit", F.coalesce("logit", F.lit(float("-inf"))))
 
 

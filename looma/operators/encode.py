@@ -36,10 +36,10 @@ def quantize(rows: DataFrame, keys: list[str], bins: int = BINS, x: str = "x") -
 
 def replace_inf(rows: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
     """Infinities to one beyond the finite range of their own role; without finite values all is null."""
-    by = W.partitionBy(*keys, "role")
     v, f = F.col(x), finite(F.col(x))
-    lo, hi = F.min(f).over(by), F.max(f).over(by)
-    return rows.withColumn(x, F.when(v.isNull() | F.isnan(v) | lo.isNull(), None).otherwise(F.greatest(lo - 1, F.least(hi + 1, v))))
+    ranges = rows.groupBy(*keys, "role").agg(F.min(f).alias("_lo"), F.max(f).alias("_hi"))
+    clipped = F.when(v.isNotNull() & ~F.isnan(v) & F.col("_lo").isNotNull(), F.greatest(F.col("_lo") - 1, F.least(F.col("_hi") + 1, v)))
+    return rows.join(ranges, [*keys, "role"]).withColumn(x, clipped).drop("_lo", "_hi")
 
 
 def encode_numbers_binned(rows: DataFrame, keys: list[str], bins: int = BINS, x: str = "x") -> DataFrame:
@@ -81,14 +81,14 @@ def encode_labels(rows: DataFrame, keys: list[str], label: str, limit: int | Non
     return rows.join(ids, [*keys, label], "left").withColumn("class_id", F.coalesce("class_id", F.lit(MAX_CLASSES)).cast("int"))
 
 
-def encode_target(rows: DataFrame, keys: list[str], task: str, x: str, seed: int = 0) -> DataFrame:
-    """rows with target and delta; query rows are hidden: target -100, delta 0."""
+def encode_target(rows: DataFrame, keys: list[str], task: str, x: str, seed: int = 0, clip_q: float = 0.02) -> DataFrame:
+    """rows with target and delta (task: classification, binned or scaled); query rows are hidden: target -100, delta 0."""
     if task == "classification":
         out = encode_labels(rows, keys, x, seed=seed).withColumns({"target": F.col("class_id").cast("double"), "delta": F.lit(0.0)}).drop("class_id")
     elif task == "binned":
         out = quantize(rows, keys, x=x).withColumn("target", F.col("lower_bin").cast("double")).drop("lower_bin", "bin")
     else:
-        out = standard_scale(rows, keys, x=x).withColumns({"target": F.col("z"), "delta": F.lit(0.0)}).drop("z", "mean", "std")
+        out = standard_scale(rows, keys, clip_q, x).withColumns({"target": F.col("z"), "delta": F.lit(0.0)}).drop("z", "mean", "std")
     hidden = F.col("role") == "query"
     return out.withColumns({"target": F.when(hidden, HIDDEN).otherwise(F.col("target")), "delta": F.when(hidden, 0.0).otherwise(F.col("delta"))})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.core import feature_kind, is_date_like, is_numeric, nan_to_null, number_text
@@ -36,17 +37,24 @@ def with_ratios(profile: DataFrame) -> DataFrame:
 
 
 def profile_table(df: DataFrame, name: str) -> DataFrame:
-    """One big table: a single aggregate with three expressions a column, then one row a column. No melt of the data."""
+    """One big table in one scan: every row gives a (column, hash of the value) for each column that has one; distinct pairs are
+    counted. Values are hashed to 128 bits first, so no text travels, and partial aggregation leaves each task's distinct
+    values only. A count of each column comes from the same pass."""
     fields = df.schema.fields
     kinds = ["date" if is_date_like(f.dataType) else "number" if is_numeric(f.dataType) else "text" if feature_kind(f.dataType) else "other" for f in fields]
-    aggs = [F.count(F.lit(1)).alias("n")]
+    made = []
     for i, (f, k) in enumerate(zip(fields, kinds, strict=True)):
         c = F.col(f"`{f.name}`")
-        c = nan_to_null(c) if k == "number" else F.to_json(c) if f.dataType.typeName() in ("array", "struct", "map") else c
-        aggs += [F.count(c).alias(f"c{i}"), F.count_distinct(c).alias(f"d{i}")]
-    rows = [F.struct(F.lit(i).alias("col_idx"), F.lit(f.name).alias("col_name"), F.lit(k).alias("kind"), F.col(f"c{i}").alias("n_non_null"), F.col(f"d{i}").alias("n_distinct")) for i, (f, k) in enumerate(zip(fields, kinds, strict=True))]
-    out = df.agg(*aggs).select(F.lit(name).alias("table_id"), F.col("n").alias("num_rows"), F.explode(F.array(*rows)).alias("r"))
-    return with_ratios(out.select("table_id", "num_rows", "r.*"))
+        c = nan_to_null(c) + 0.0 if f.dataType.typeName() in ("float", "double") else F.to_json(c) if f.dataType.typeName() in ("array", "struct", "map") else c
+        h = F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("a"), F.xxhash64(c, F.lit(i)).alias("b")))
+        made.append(F.struct(F.lit(i).alias("col_idx"), h.alias("h")))
+    pairs = df.select(F.explode(F.array(*made)).alias("c")).groupBy("c.col_idx", "c.h").agg(F.count(F.lit(1)).alias("n"))
+    have = F.col("h").isNotNull()
+    counts = pairs.groupBy("col_idx").agg(F.sum("n").alias("num_rows"), F.coalesce(F.sum(F.when(have, F.col("n"))), F.lit(0)).alias("n_non_null"), F.count("h").alias("n_distinct"))
+    columns = F.explode(F.array(*(F.struct(F.lit(i).alias("col_idx"), F.lit(f.name).alias("col_name"), F.lit(k).alias("kind")) for i, (f, k) in enumerate(zip(fields, kinds, strict=True)))))
+    every = df.sparkSession.range(1).select(columns.alias("c")).select("c.*")
+    out = every.join(counts, "col_idx", "left").fillna(0, ["num_rows", "n_non_null", "n_distinct"])
+    return with_ratios(out.select(F.lit(name).alias("table_id"), "num_rows", "col_idx", "col_name", "kind", "n_non_null", "n_distinct"))
 
 
 def route(rules: TableRules = TableRules()) -> Column:
@@ -78,6 +86,7 @@ def compare_routing(profile: DataFrame) -> DataFrame:
     return per.agg(*(F.sum(c).alias(c) for c in per.columns if c != "table_id"))
 
 
+# Limits of the histogram.
 BUCKETS = (1, 2, 3, 5, 10, 15, 20, 30, 50, 62, 100, 200, 500, 1000)
 
 
@@ -89,8 +98,8 @@ def cardinality_histogram(profile: DataFrame) -> DataFrame:
         bucket = F.when(k <= b, f"<={b}").otherwise(bucket)
     p = profile.withColumn("family", F.when(F.col("kind") == "number", "numeric").when(route_legacy() == "classification", "categorical")).where("family is not null")
     counts = p.groupBy("family", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    total = p.groupBy("family").agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(F.broadcast(total), "family").select("family", "bucket", "n", (100.0 * F.col("n") / F.col("total")).alias("pct"))
+    total = F.sum("n").over(W.partitionBy("family"))  # over a row for each bucket
+    return counts.select("family", "bucket", "n", (100.0 * F.col("n") / total).alias("pct"))
 
 
 def width_distribution(widths: DataFrame) -> DataFrame:
@@ -125,6 +134,7 @@ def label_last_column(missing_thr: float = 0.5, discrete_thr: float = 0.2, few:
     """struct(label, reason) of a row of last_column_profile()."""
     n, k, have = F.col("num_rows"), F.col("k"), F.col("n_non_null")
     ratio = k / F.greatest(n, F.lit(1))
+    # fixed values: the reasons
     pair = lambda label, reason: F.struct(F.lit(label).alias("label"), F.lit(reason).alias("reason"))
     number = F.when(ratio <= discrete_thr, pair("classification", "numeric_discrete_target")).when(F.col("integer_like") & (k <= few), pair("classification", "numeric_integer_low_cardinality_target")).otherwise(pair("regression", "numeric_continuous_target"))
     other = F.when(ratio <= discrete_thr, pair("classification", "categorical_discrete_target")).when((k < have) & (k <= few), pair("classification", "categorical_low_cardinality_target")).otherwise(pair("unknown", "non_numeric_high_cardinality_target"))

@@ -12,10 +12,14 @@ from .cells import value
 
 def drop_constant_columns(cells: DataFrame, target: str | None = None) -> DataFrame:
     """Features with exactly one distinct value that is not null go, over context and query together; all-null ones stay."""
-    k = cells.groupBy("table_id", "col_idx").agg(F.count_distinct(value()).alias("k"))
-    kept = k.where("k <> 1").drop("k")
-    out = cells.join(kept, ["table_id", "col_idx"], "left_semi")
-    return out if target is None else out.unionByName(cells.where(F.col("col_name") == target).join(k.where("k = 1"), ["table_id", "col_idx"], "left_semi"))
+    kept = constant_columns(cells, ["table_id"]).where(~F.col("constant") | F.coalesce(F.col("col_name") == F.lit(target), F.lit(False)))
+    return cells.join(kept.select("table_id", "col_idx"), ["table_id", "col_idx"], "left_semi")
+
+
+def constant_columns(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, col_idx, col_name, constant: whether the column's least value that is not null is its largest, too."""
+    ends = cells.groupBy(*keys, "col_idx", "col_name").agg(F.min(value()).alias("least"), F.max(value()).alias("most"))
+    return ends.withColumn("constant", F.coalesce(F.col("least") == F.col("most"), F.lit(False)))
 
 
 def drop_all_null_columns(cells: DataFrame) -> DataFrame:
