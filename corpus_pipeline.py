@@ -1,7 +1,11 @@
 """The corpus pipeline: every stage takes all that the one before kept, and its decisions take effect.
 
 STAGES is a list of (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's docs. All but the last return the columns of documents.
+Parquet and read again as the next one's docs. All but the last return the columns of documents, whatever their names; an
+empty table stays empty, and the last stage gives its columns without rows. Null and empty texts pass every stage (they are
+not toxic, similar to nothing, hold no item and no personal data, and have no token); rows with a null id are judged by their
+text alone and stay where a stage compares ids; rows that repeat stay together or go together in the stages that judge a text,
+and in the Jaccard join while theirs is the smallest id of its group.
 """
 
 from __future__ import annotations

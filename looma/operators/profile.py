@@ -130,6 +130,22 @@ def last_column_profile(df: DataFrame, column: str, name: str) -> DataFrame:
     ).select(F.lit(name).alias("table_id"), F.lit(column).alias("column_name"), F.lit(is_date_like(kind)).alias("date_like"), "num_rows", "n_non_null", F.when(F.col("numeric"), F.col("k_number")).otherwise(F.col("k_text")).alias("k"), "numeric", "integer_like")
 
 
+def last_columns(values: DataFrame) -> DataFrame:
+    """values (path, column_name, kind, value, n) of many files -> a row of last_column_profile() for each path."""
+    number = F.col("kind") == "number"
+    v = F.when(~(number & (F.lower("value") == "nan")), F.col("value"))
+    one = values.groupBy("path", "column_name", "kind", v.alias("v")).agg(F.sum("n").alias("n"))
+    have = F.col("v").isNotNull()
+    x = F.when(F.col("kind").isin("number", "text"), number_text(F.col("v")))
+    rest = x - F.floor(x)
+    numeric = F.when(F.first("kind") == "number", True).when(F.first("kind") == "text", F.bool_and(F.when(have, x.isNotNull()))).otherwise(False)
+    out = one.groupBy("path").agg(
+        F.first("column_name", True).alias("column_name"), F.first("kind", True).isin("date", "other").alias("date_like"), F.sum("n").alias("num_rows"), F.coalesce(F.sum(F.when(have, F.col("n"))), F.lit(0)).alias("n_non_null"),
+        F.count("v").alias("k_text"), F.count_distinct(x).alias("k_number"), F.coalesce(numeric, F.lit(False)).alias("numeric"), F.coalesce(F.bool_and(F.when(x.isNotNull(), (F.abs(x) < float("inf")) & (rest < 1e-9))), F.lit(False)).alias("integer_like"),
+    )
+    return out.select(F.col("path").alias("table_id"), "column_name", F.coalesce("date_like", F.lit(False)).alias("date_like"), "num_rows", "n_non_null", F.when(F.col("numeric"), F.col("k_number")).otherwise(F.col("k_text")).alias("k"), "numeric", "integer_like")
+
+
 def label_last_column(missing_thr: float = 0.5, discrete_thr: float = 0.2, few: int = 20) -> Column:
     """struct(label, reason) of a row of last_column_profile()."""
     n, k, have = F.col("num_rows"), F.col("k"), F.col("n_non_null")

@@ -31,6 +31,19 @@ def shuffle_rows(rows: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("row_idx", (F.row_number().over(W.partitionBy("table_id").orderBy(*_by(seed))) - 1).cast("long"))
 
 
+def number_rows(rows: DataFrame, seed: int | None, parts: int = 1024) -> DataFrame:
+    """row_idx of one big table replaced by its place in a random order (or in order, without a seed): places are counted within
+    parts of the order and the parts' first places come from their counts, so no window holds all rows."""
+    if seed is None:
+        by, key = [F.col("row_idx")], F.floor(F.col("row_idx").cast("double") / F.lit(65536.0))
+    else:
+        by, key = [*_by(seed)], F.floor(_by(seed)[0] / F.lit(4294967296 // parts))
+    keyed = rows.withColumn("_part", key.cast("long"))
+    before = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.sum("_n").over(W.orderBy("_part")) - F.col("_n"))  # a row a part
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*by)) - 1 + F.col("_first")
+    return keyed.join(before, "_part").withColumn("row_idx", place.cast("long")).drop("_part", "_n", "_first")
+
+
 def context_size(n, fit_size):
     """Number of context rows: an int, or a share of n."""
     if isinstance(fit_size, bool) or (isinstance(fit_size, float) and not 0 < fit_size < 1) or (isinstance(fit_size, int) and fit_size < 1):
@@ -77,10 +90,16 @@ def bag_starts(n: int, size: int, limit: int = 16) -> list[tuple[int, int]]:
 
 def auto_bags(rows: DataFrame, n_rows: int, size: int, seed: int, limit: int = 16) -> DataFrame:
     """bag and its rows: windows of size places over one permutation of the table's rows (row_idx 0 to n_rows - 1)."""
-    placed = shuffle_rows(rows.withColumn("own_idx", F.col("row_idx")), seed).withColumnRenamed("row_idx", "place")
+    placed = number_rows(rows.withColumn("own_idx", F.col("row_idx")), seed)
+    return bags_of_places(placed, n_rows, size, limit).withColumnRenamed("row_idx", "place").withColumnRenamed("own_idx", "row_idx")
+
+
+def bags_of_places(placed: DataFrame, n_rows: int, size: int, limit: int = 16) -> DataFrame:
+    """bag and its rows, where row_idx is a place in a permutation."""
+    placed = placed.withColumnRenamed("row_idx", "place")
     starts = bag_starts(n_rows, size, limit)
     bags = F.explode(F.array(*(F.when((F.col("place") >= s) & (F.col("place") < s + max(size, 1) if n_rows > size else F.lit(True)), F.lit(b)) for b, s in starts)))
-    return placed.withColumn("bag", bags).where("bag is not null").withColumnRenamed("own_idx", "row_idx")
+    return placed.withColumn("bag", bags).where("bag is not null").withColumnRenamed("place", "row_idx")
 
 
 def predict_chunks(query: DataFrame, size: int) -> DataFrame:

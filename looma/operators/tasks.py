@@ -86,6 +86,28 @@ def mix_sources(a: DataFrame, b: DataFrame, n_a: int, n_b: int, ratio: float, se
     return both.join(placed, ["from_a", "k"], "left").withColumn("place", late).drop("draw")
 
 
+def numbered(df: DataFrame, key: str, parts: int = 65536) -> DataFrame:
+    """df with k, its place in the order of a number: counted within ranges of `parts` keys, then a running sum over them."""
+    keyed = df.withColumn("_part", F.floor(F.col(key).cast("double") / parts).cast("long"))
+    before = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.sum("_n").over(W.orderBy("_part")) - F.col("_n"))
+    k = F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1 + F.col("_first")
+    return keyed.join(before, "_part").withColumn("k", k.cast("long")).drop("_part", "_n", "_first")
+
+
+def epoch_places(items: DataFrame, key: str, seed: int, epoch: int, parts: int = 1024) -> DataFrame:
+    """items with place, their place in the order of an epoch; no window holds all items."""
+    h = h32(seed, epoch, F.col(key))
+    keyed = items.withColumn("_part", F.floor(h / F.lit(4294967296 // parts)).cast("long"))
+    before = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.sum("_n").over(W.orderBy("_part")) - F.col("_n"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(h, F.col(key))) - 1 + F.col("_first")
+    return keyed.join(before, "_part").withColumn("place", place.cast("long")).drop("_part", "_n", "_first")
+
+
+def buffered_shuffle(items: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """items in a random order; a size of 1 or less keeps their order. Spark sorts with spill, so the size bounds nothing else."""
+    return items.orderBy(key) if size <= 1 else epoch_order(items, key, seed, 0)
+
+
 def epoch_order(items: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     """items in the order of an epoch; a distributed sort, which also is the shuffle of rows."""
     return items.orderBy(h32(seed, epoch, F.col(key)), F.col(key))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import core
 from ..operators import cells as cells_mod
-from ..operators import embed, encode, metrics, profile, split, tables, tasks, verbalize
+from ..operators import assemble, embed, encode, metrics, profile, split, tables, tasks, verbalize
 from ..sources import collection, shards
+from ..sources.scratch import scratch_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +76,7 @@ COLUMNS = {
     "part": "p_partkey:n p_name:t p_brand:t p_type:t p_size:n p_retailprice:n", "orders": "o_orderkey:n o_custkey:n o_orderstatus:t o_totalprice:n o_orderdate:d o_orderpriority:t",
     "lineitem": "l_orderkey:n l_partkey:n l_suppkey:n l_linenumber:n l_quantity:n l_extendedprice:n l_discount:n l_tax:n l_returnflag:t l_linestatus:t l_shipdate:d",
     "events": "event_id:n ts:d user_id:n event_type:t value:n props:t", "labels": "doc_id:n quality:n toxic:n", "conversations": "conv_id:n turn:n role:t text:t", "documents": "doc_id:n text:t lang:t source:t n_chars:n",
+    "supplier": "s_suppkey:n s_name:t s_nationkey:n s_acctbal:n", "embeddings": "vec_id:n embedding:t label:n", "pages": "page_id:n url:t html:t", "benchmark": "item_id:n text:t",
 }
 KIND = {"n": "number", "t": "text", "d": "date"}
 
@@ -253,9 +255,9 @@ def _(spark, d):
     return tables.cap_columns(order_cells(spark, d).select("table_id", "col_name").distinct(), 4, SEED, "label")
 
 
-@query("b4_feature_limit", f"WITH {WIDTHS} SELECT user_id, num_cols FROM w WHERE num_cols - 1 <= 10")
+@query("b4_feature_limit", f"WITH {WIDTHS} SELECT user_id, num_cols FROM w WHERE num_cols - 1 <= 65")
 def _(spark, d):
-    return tables.within_feature_limit(widths(spark, d), 10)
+    return tables.within_feature_limit(widths(spark, d), 65)
 
 
 @query("b5_min_rows", "SELECT o_custkey AS table_id, count(*) AS num_rows FROM orders GROUP BY o_custkey HAVING count(*) >= 10")
@@ -275,6 +277,20 @@ def _(spark, d):
     return df.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+KIND_SQL = "CASE WHEN data_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') THEN 'number' WHEN data_type = 'DATE' OR data_type LIKE 'TIMESTAMP%' THEN 'date' ELSE 'text' END"
+
+
+@query("b8_feature_kind", f"SELECT table_name AS table_id, column_name, {KIND_SQL} AS kind FROM information_schema.columns WHERE table_name IN {ALL}")
+def _(spark, d):
+    """The kinds of the columns of all given tables, from their schemas."""
+    out = None
+    for t in ALL:
+        columns = [F.struct(F.lit(f.name).alias("column_name"), F.lit(core.feature_kind(f.dataType)).alias("kind")) for f in read(spark, d, t).schema.fields]
+        part = spark.range(1).select(F.lit(t).alias("table_id"), F.explode(F.array(*columns)).alias("c")).select("table_id", "c.*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("b9_missing_values", "SELECT sum((x IS NULL)::INT)::BIGINT AS na, sum((x IS NULL OR isinf(x))::INT)::BIGINT AS missing FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'inf'::DOUBLE ELSE o_totalprice END AS x FROM orders)")
 def _(spark, d):
     k = F.col("o_orderkey")
@@ -356,6 +372,55 @@ def _(spark, d):
     return collection.sample_tables(files(spark, d).select(F.col("source_chunk").alias("chunk"), F.col("source_path").alias("path")), 5, 4, 16)
 
 
+def file_stem(path: str):
+    """The name of a file or folder of the given tables."""
+    return F.regexp_extract(path, r"([^/]+)\.parquet", 1)
+
+
+WIDTH_SQL = "(SELECT count(*) FROM information_schema.columns WHERE table_name = '{0}')"
+
+
+@query("a4_read_shards", " UNION ALL ".join(f"SELECT '{t}' AS table_id, count(*)::BIGINT AS num_rows, {WIDTH_SQL.format(t)}::BIGINT AS num_cols FROM {t}" for t in ALL))
+def _(spark, d):
+    """All given tables packed into shards with a manifest (P6), and read back from there (A4)."""
+    from .jobs import repack
+
+    out = scratch_folder(spark, "shards")
+    manifest = repack(spark, d, out, 8.0).first()[0]
+    parts = shards.read_shards(spark, manifest, out).groupBy(file_stem("source_path").alias("table_id"))
+    return parts.agg(F.sum("num_rows").alias("num_rows"), F.max("num_cols").alias("num_cols"))
+
+
+@query("a6_encode_table_blob", f"WITH {O_SQL} SELECT table_id, count(*) AS num_rows, count(x) AS n_x, round(sum(x), 2) AS total, count(DISTINCT label) AS labels FROM o GROUP BY table_id")
+def _(spark, d):
+    """The order tables as blobs, decoded again."""
+    cells = collection.blobs_to_cells(collection.encode_tables(orders(spark, d).select("table_id", "row_idx", "x", "label")))
+    x = F.when(F.col("col_name") == "x", F.col("num"))
+    return cells.groupBy("table_id").agg((F.max("row_idx") + 1).alias("num_rows"), F.count(x).alias("n_x"), F.round(F.sum(x), 2).alias("total"), F.count_distinct(F.when(F.col("col_name") == "label", F.col("txt"))).alias("labels"))
+
+
+@query("p5_classify_inputs", "WITH " + "last AS (SELECT *, CASE WHEN numeric THEN k_number ELSE k_text END AS k FROM (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_id, {'true' if k == 'd' else 'false'} AS date_like, count(*) AS num_rows, count({c}) AS n_non_null, count(DISTINCT {c}) AS k_text, " + (f"count(DISTINCT {c}) AS k_number, true AS numeric, coalesce(bool_and({c} - floor({c}) < 1e-9), false) AS integer_like" if k == "n" else f"count(DISTINCT CASE WHEN regexp_full_match(lower({c}), '{NUM_RE}') THEN TRY_CAST(trim({c}) AS DOUBLE) END) AS k_number, coalesce(bool_and(regexp_full_match(lower({c}), '{NUM_RE}')), false) AS numeric, false AS integer_like") + f" FROM {t}"
+    for t in ALL for c, k in [(f"CAST({x[:-2]} AS VARCHAR)" if x[-1] == "d" else x[:-2], x[-1]) for x in COLUMNS[t].split()[-1:]]
+) + f")) SELECT table_id, label, reason, CASE WHEN label = 'unknown' THEN 'unknown/' || table_id ELSE table_id || '-' || label END AS destination FROM {LABEL}")
+def _(spark, d):
+    from .jobs import classify_inputs
+
+    found, _ = classify_inputs(spark, d)
+    name = file_stem("path")
+    return found.select(name.alias("table_id"), "label", "reason", collection.destination(F.col("label"), name).alias("destination"))
+
+
+@query("p7_diagnose", f"WITH {C_SQL}, k AS (SELECT DISTINCT table_id, col_idx, kind FROM cells), w AS (SELECT table_id, count(*) AS num_cols FROM k GROUP BY table_id) SELECT 'kind ' || kind AS item, count(*)::DOUBLE AS value FROM k GROUP BY kind UNION ALL SELECT 'max_cols', max(num_cols)::DOUBLE FROM w UNION ALL SELECT 'cap ' || cap, 100.0 * avg((num_cols > cap)::INT) FROM w, (SELECT unnest([32, 64, 128, 256, 500]) AS cap) GROUP BY cap")
+def _(spark, d):
+    from .jobs import diagnose
+
+    found = diagnose(order_cells(spark, d))
+    kinds = found["kinds"].select(F.concat(F.lit("kind "), "kind").alias("item"), F.col("count").cast("double").alias("value"))
+    widest = found["widths"].select(F.lit("max_cols").alias("item"), F.col("max_cols").cast("double").alias("value"))
+    return kinds.unionByName(widest).unionByName(found["caps"].select(F.concat(F.lit("cap "), F.col("cap").cast("string")).alias("item"), F.col("pct_over").alias("value")))
+
+
 @query("a1_read_collection")
 def _(spark, d):
     """The Parquet files of the given tables, decoded to cells and profiled."""
@@ -505,6 +570,66 @@ def _(spark, d):
     return encode.encode_target(parts(spark, d), ["table_id"], "classification", "p_name", seed=SEED).select("p_partkey", "target", "delta")
 
 
+def words_sql(table: str, key: str, text: str, dim: int) -> str:
+    """The vectors of HashingEncoder(dim) for a power of two up to 256: words by md5, the first byte says where, the last which sign."""
+    parts = ", ".join(f"sum(CASE WHEN slot = {i} THEN plus ELSE 0 END) AS s{i}" for i in range(dim))
+    norm = "greatest(sqrt(" + " + ".join(f"s{i} * s{i}" for i in range(dim)) + "), 1e-12)"
+    unit = ", ".join(f"s{i} / {norm} AS v{i}" for i in range(dim))
+    return f"""we AS (SELECT DISTINCT {text} AS text FROM {table} WHERE {text} IS NOT NULL),
+ww AS (SELECT text, unnest(CASE WHEN length(trim(text)) = 0 THEN [' '] ELSE string_split_regex(trim(lower(text)), '[ \t\n\r\f\v]+') END) AS w FROM we),
+wh AS (SELECT text, ('0x' || substr(md5(w), 1, 2))::INT % {dim} AS slot, CASE WHEN ('0x' || substr(md5(w), 15, 2))::INT >= 128 THEN 1.0::DOUBLE ELSE -1.0 END AS plus FROM ww),
+ws AS (SELECT text, {parts} FROM wh GROUP BY text),
+wv AS (SELECT text, {unit} FROM ws)"""
+
+
+@query("f7_regression_targets", f"WITH {O_SQL}, {Q_SQL} SELECT row_idx, CASE WHEN role = 'query' THEN -100.0 ELSE lower_bin END::DOUBLE AS target, round(CASE WHEN role = 'query' THEN 0 ELSE delta END, 6)::DOUBLE AS delta FROM q")
+def _(spark, d):
+    return encode.encode_target(orders(spark, d), ["table_id"], "binned", "x").select("row_idx", "target", F.round("delta", 6).alias("delta"))
+
+
+@query("f7_scaled_targets", f"WITH {O_SQL}, src AS (SELECT * FROM o), {scale_sql('x')} SELECT row_idx, CASE WHEN role = 'query' THEN -100.0 ELSE round(z, 5) END::DOUBLE AS target FROM z JOIN o USING (row_idx)")
+def _(spark, d):
+    return encode.encode_target(orders(spark, d), ["table_id"], "scaled", "x").select("row_idx", F.round("target", 5).alias("target"))
+
+
+@query("f11_encode_text", f"WITH {words_sql('part', 'p_partkey', 'p_type', 4)} SELECT p_partkey, " + ", ".join(f"round(coalesce(v{i}, 0), 6) AS v{i}" for i in range(4)) + " FROM part LEFT JOIN wv ON wv.text = p_type")
+def _(spark, d):
+    cells = cells_mod.to_cells(read(spark, d, "part"), F.lit("t"), F.col("p_partkey"), ["p_type"])
+    out = assemble.encode_texts(cells, embed.HashingEncoder(4), 4)
+    return out.select(F.col("row_idx").alias("p_partkey"), *(F.round(F.col("vector")[i], 6).alias(f"v{i}") for i in range(4)))
+
+
+@query("f12_column_names", f"WITH {C_SQL}, cn AS (SELECT DISTINCT table_id, col_idx, col_name FROM cells), {words_sql('cn', 'col_name', 'col_name', 4)} SELECT table_id, col_name, CAST(row_number() OVER (PARTITION BY table_id ORDER BY col_name = 'label', col_idx) - 1 AS INT) AS place, " + ", ".join(f"round(v{i}, 6) AS v{i}" for i in range(4)) + " FROM cn JOIN wv ON wv.text = col_name")
+def _(spark, d):
+    out = assemble.encode_column_names(order_cells(spark, d), "label", embed.HashingEncoder(4))
+    return out.select("table_id", "col_name", "place", *(F.round(F.col("vector")[i], 6).alias(f"v{i}") for i in range(4)))
+
+
+def _encoded_sql() -> str:
+    """Long form of the encoded orders: target label (class ids by table), numbers scaled, dates in parts, texts as vectors."""
+    text = "coalesce(CASE WHEN c.kind = 'text' THEN {} END, 0)"
+    return f"""WITH {C_SQL}, filled AS (SELECT table_id, col_idx FROM cells WHERE role = 'context' AND {VALUE} IS NOT NULL AND col_name <> 'label' GROUP BY ALL),
+m AS (SELECT table_id, avg(x) FILTER (role = 'context') AS m FROM o GROUP BY table_id), src AS (SELECT o.*, m FROM o JOIN m USING (table_id)), {scale_sql('coalesce(x, m)')},
+{words_sql('cells', 'row_idx', 'txt', 4)},
+lc AS (SELECT table_id, txt, count(*) AS n FROM cells WHERE col_name = 'label' AND role = 'context' AND txt IS NOT NULL GROUP BY ALL),
+li AS (SELECT table_id, txt, row_number() OVER (PARTITION BY table_id ORDER BY {H("'7'", 'txt')}, txt) - 1 AS class_id FROM lc)
+SELECT c.table_id, c.row_idx, c.col_idx, c.kind, round(CASE WHEN c.kind = 'number' THEN z.z WHEN c.kind = 'date' THEN greatest(2000, least(2050, year(c.ts))) - 1999 ELSE {text.format('v0')} END, 5)::DOUBLE + 0.0 AS v0,
+ round(CASE WHEN c.kind = 'number' THEN 0 WHEN c.kind = 'date' THEN month(c.ts) ELSE {text.format('v1')} END, 5)::DOUBLE AS v1, round(CASE WHEN c.kind = 'number' THEN 0 WHEN c.kind = 'date' THEN day(c.ts) ELSE {text.format('v2')} END, 5)::DOUBLE AS v2,
+ round(CASE WHEN c.kind = 'number' THEN 0 WHEN c.kind = 'date' THEN isodow(c.ts) ELSE {text.format('v3')} END, 5)::DOUBLE AS v3
+FROM cells c JOIN filled USING (table_id, col_idx) LEFT JOIN z ON z.row_idx = c.row_idx LEFT JOIN wv ON wv.text = c.txt
+UNION ALL SELECT c.table_id, row_idx, col_idx, 'target', CASE WHEN role = 'query' THEN -100 ELSE coalesce(class_id, 62) END::DOUBLE, 0, CASE WHEN role = 'query' THEN 0 ELSE round(v2, 5) END, CASE WHEN role = 'query' THEN 0 ELSE round(v3, 5) END FROM cells c LEFT JOIN li ON li.table_id = c.table_id AND li.txt = c.txt LEFT JOIN wv ON wv.text = c.txt WHERE col_name = 'label'"""
+
+
+@query("f13_encode_table", _encoded_sql())
+def _(spark, d):
+    cells = order_cells(spark, d)
+    targets = cells.select("table_id").distinct().select("table_id", F.lit("label").alias("target_column"), F.lit(False).alias("is_regression"))
+    out = assemble.encode_table(cells, targets, embed.HashingEncoder(4), 4, seed=SEED)
+    number, zero = F.col("kind") == "number", F.lit(0.0)
+    v = lambda i: F.when(number, F.col("value") if i == 0 else zero).when(F.col("kind") == "date", F.col("parts")[i].cast("double")).when(F.col("kind") == "target", (F.col("value"), F.col("delta"))[i] if i < 2 else F.col("vector")[i]).otherwise(F.col("vector")[i])
+    return out.select("table_id", "row_idx", "col_idx", "kind", *((F.round(v(i), 5) + 0.0).alias(f"v{i}") for i in range(4)))
+
+
 @query("f8_disambiguate_classes", """WITH c AS (SELECT o_orderstatus AS t, o_orderpriority AS class, length(o_orderpriority) % 3 AS vector, min(o_orderkey) AS first_row FROM orders GROUP BY ALL),
 s AS (SELECT t, count(DISTINCT vector) < count(DISTINCT class) AS same FROM c GROUP BY t) SELECT t, class, CASE WHEN same THEN CAST(row_number() OVER (PARTITION BY t ORDER BY first_row, class) - 1 AS VARCHAR) || '_' || class ELSE class END AS name FROM c JOIN s USING (t)""")
 def _(spark, d):
@@ -578,10 +703,15 @@ def _(spark, d):
     return verbalize.cell_texts(order_cells(spark, d), "s1").select("row_idx", "col_idx", "text")
 
 
-@query("t7_placebo_channel")
+def _normal(i: int) -> str:
+    u = lambda salt: f"({H(chr(39) + '7' + chr(39), 'table_id', 'row_idx', 'col_idx', str(i), chr(39) + salt + chr(39))} + 1) / 4294967297.0"
+    return f"round(sqrt(-2 * ln({u('a')})) * cos(6.283185307179586 * {u('b')}), 6)"
+
+
+@query("t7_placebo_channel", f"WITH {C_SQL} SELECT table_id, row_idx, col_idx, {_normal(1)} AS v0, {_normal(2)} AS v1 FROM cells WHERE kind IN ('number', 'date') AND {VALUE} IS NOT NULL")
 def _(spark, d):
     texts = verbalize.cell_texts(order_cells(spark, d), "s1")
-    return verbalize.placebo_vectors(texts, 8, SEED).select("table_id", "row_idx", "col_idx", "vector")
+    return verbalize.placebo_vectors(texts, 8, SEED).select("table_id", "row_idx", "col_idx", *(F.round(F.col("vector")[i], 6).alias(f"v{i}") for i in range(2)))
 
 
 # --- tasks ---------------------------------------------------------------------------------------------------------
@@ -621,14 +751,22 @@ def _(spark, d):
     return tasks.fixed_target_specs(event_profiles(spark, d), "value")
 
 
-@query("d4_balance_by_replay", f"WITH {E_SQL}, n AS (SELECT sum(is_regression::INT) AS r, sum((NOT is_regression)::INT) AS c FROM specs) SELECT is_regression, CASE WHEN r > 0 AND c > 0 THEN greatest(r, c) ELSE r + c END::BIGINT AS n FROM n, (SELECT DISTINCT is_regression FROM specs)")
+SKEW_SQL = f"{E_SQL}, skewed AS (SELECT * FROM specs WHERE NOT is_regression OR CAST(table_id AS BIGINT) % 3 = 0)"
+
+
+def skewed_specs(spark, d):
+    """Specs of which a quarter are regression: two tables in three offer none."""
+    return specs(spark, d).where("not is_regression or cast(table_id as long) % 3 = 0")
+
+
+@query("d4_balance_by_replay", f"WITH {SKEW_SQL}, n AS (SELECT sum(is_regression::INT) AS r, sum((NOT is_regression)::INT) AS c FROM skewed) SELECT is_regression, CASE WHEN r > 0 AND c > 0 THEN greatest(r, c) ELSE r + c END::BIGINT AS n FROM n, (SELECT DISTINCT is_regression FROM skewed)")
 def _(spark, d):
-    return tasks.balance_by_replay(specs(spark, d), SEED).groupBy("is_regression").agg(F.count(F.lit(1)).alias("n"))
+    return tasks.balance_by_replay(skewed_specs(spark, d), SEED).groupBy("is_regression").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d5_balance_by_skip", f"WITH {E_SQL}, n AS (SELECT avg(is_regression::INT) AS r FROM specs) SELECT table_id, target_column FROM specs, n WHERE {H(chr(39) + '7' + chr(39), 'table_id', 'target_column')} / 4294967296.0 >= 2 * (CASE WHEN is_regression THEN r ELSE 1 - r END - 0.5)")
+@query("d5_balance_by_skip", f"WITH {SKEW_SQL}, n AS (SELECT avg(is_regression::INT) AS r FROM skewed) SELECT table_id, target_column FROM skewed, n WHERE {H(chr(39) + '7' + chr(39), 'table_id', 'target_column')} / 4294967296.0 >= 2 * (CASE WHEN is_regression THEN r ELSE 1 - r END - 0.5)")
 def _(spark, d):
-    return tasks.balance_by_skip(specs(spark, d), SEED).select("table_id", "target_column")
+    return tasks.balance_by_skip(skewed_specs(spark, d), SEED).select("table_id", "target_column")
 
 
 @query("d6_routing_mix", "WITH s AS (SELECT event_id + 1 AS seq, value > 10 AS r FROM events), c AS (SELECT seq, sum(r::INT) OVER (ORDER BY seq) AS regression FROM s) SELECT seq AS specs, regression::BIGINT AS regression, (seq - regression)::BIGINT AS classification, round(regression / seq, 6) AS regression_share FROM c WHERE seq % 500 = 0")
@@ -642,14 +780,24 @@ n AS (SELECT (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS n), d AS (SE
 p AS (SELECT draw, from_a, row_number() OVER (PARTITION BY from_a ORDER BY draw) - 1 AS k FROM d), u AS (SELECT true AS from_a, id, k FROM a UNION ALL SELECT false, id, k FROM b)
 SELECT from_a, id, coalesce(draw, n + k) AS place FROM u LEFT JOIN p USING (from_a, k), n""")
 def _(spark, d):
-    k = lambda df, c: df.select(F.col(c).alias("id"), (F.row_number().over(W.orderBy(c)) - 1).cast("long").alias("k"))  # noqa: E731  keys number both small tables
+    k = lambda df, c: tasks.numbered(df.select(F.col(c).alias("id")), "id")
     a, b = k(read(spark, d, "customer"), "c_custkey"), k(read(spark, d, "part"), "p_partkey")
     return tasks.mix_sources(a, b, a.count(), b.count(), 0.8, SEED).select("from_a", "id", "place")
 
 
-@query("d8_epoch_shuffle", f"SELECT o_orderkey FROM orders ORDER BY {H(chr(39) + '7' + chr(39), chr(39) + '3' + chr(39), 'o_orderkey')}, o_orderkey LIMIT 1000")
+@query("d8_epoch_shuffle", f"SELECT o_orderkey, row_number() OVER (ORDER BY {H(chr(39) + '7' + chr(39), chr(39) + '3' + chr(39), 'o_orderkey')}, o_orderkey) - 1 AS place FROM orders")
+def _(spark, d):
+    return tasks.epoch_places(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", SEED, 3)
+
+
+@query("d9_buffered_shuffle", f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {H(chr(39) + '7' + chr(39), chr(39) + '0' + chr(39), 'doc_id')}, doc_id) AS a, row_number() OVER (ORDER BY doc_id) AS b FROM labels) SELECT doc_id, a - b AS moved FROM r")
 def _(spark, d):
-    return tasks.epoch_order(read(spark, d, "orders"), "o_orderkey", SEED, 3).select("o_orderkey").limit(1000)
+    """How far each row moves in a shuffled order; the rows of a file of one partition are numbered as they come."""
+    ids = read(spark, d, "labels").select("doc_id")
+    shuffled = tasks.buffered_shuffle(ids, "doc_id", 1000, SEED).withColumn("at", F.monotonically_increasing_id())
+    kept = tasks.buffered_shuffle(ids, "doc_id", 1, SEED).withColumn("at", F.monotonically_increasing_id())
+    place = lambda df, c: tasks.numbered(df, "at").select("doc_id", F.col("k").alias(c))
+    return place(shuffled, "a").join(place(kept, "b"), "doc_id").select("doc_id", (F.col("a") - F.col("b")).alias("moved"))
 
 
 @query("d10_assign_workers", f"WITH {F_SQL} SELECT source_path AS path, source_chunk AS chunk, CAST((row_number() OVER (ORDER BY source_chunk, source_path) - 1) % 4 AS INT) AS worker FROM f")
@@ -659,8 +807,8 @@ def _(spark, d):
 
 # --- similarity, votes and measures --------------------------------------------------------------------------------
 
-#: A classifier reads at most so many context rows, drawn by hash.
-CONTEXT = 512
+#: A classifier reads at most so many context rows, drawn by hash: the estimators' default.
+CONTEXT = 8192
 
 
 def context(spark, d):
@@ -916,9 +1064,12 @@ def _(spark, d):
 
 @query("p4_build_tasks")
 def _(spark, d):
-    from .jobs import build_tasks
+    from .jobs import RunConfiguration, build_tasks
 
-    return build_tasks(order_cells(spark, d).drop("role"), profile.TableRules(), SEED)[1].select("table_id", "row_idx", "col_idx", "role", "place", "z")
+    e = read(spark, d, "events")
+    second = cells_mod.to_cells(e, F.concat(F.lit("user "), "user_id"), F.col("event_id"), ["event_type", "value", "ts"])
+    config = RunConfiguration(seed=SEED, rules=profile.TableRules(min_rows=10), cell_text="s1", workers=4)
+    return build_tasks(order_cells(spark, d).drop("role"), config, embed.HashingEncoder(4), 4, second)[1]
 
 
 @query("p8_demo_report")

@@ -2,65 +2,139 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import embed, encode, metrics, split
+from ..functions.core import h32
+from ..operators import assemble, embed, metrics, split, tables
 from ..operators.cells import to_cells
 
+DIM = 8
 
-def row_vectors(df: DataFrame, features: list[str], key: str) -> DataFrame:
-    """One vector for each row of df (role, key, features): scaled numbers, date parts over 50, texts hashed."""
-    cells = to_cells(df, F.lit("t"), F.col(key), features).join(df.select(F.col(key).alias("row_idx"), "role"), "row_idx")
-    numbers = encode.encode_numbers_scaled(cells.where("kind = 'number'").withColumnRenamed("num", "x"), ["table_id", "col_idx"])
-    numbers = numbers.select("row_idx", "col_idx", F.array("z").alias("v"))
-    dates = cells.where("kind = 'date'").select("row_idx", "col_idx", F.transform(F.array(*encode.date_parts(F.col("ts"))), lambda x: x / 50.0).alias("v"))
-    encoder = embed.HashingEncoder(8)
-    texts = cells.where("kind = 'text'").select("row_idx", "col_idx", F.col("txt").alias("text"))
-    texts, _ = embed.embed_texts(texts, "text", encoder)
-    texts = texts.select("row_idx", "col_idx", F.coalesce("vector", F.array_repeat(F.lit(0.0), 8)).alias("v"))
-    parts = numbers.unionByName(dates).unionByName(texts)
-    rows = parts.groupBy("row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "v"))).alias("p"))
-    return rows.select(F.col("row_idx").alias(key), F.flatten(F.transform("p", lambda s: s["v"])).alias("vector"))
+
+def _flat(kind: str = "kind"):
+    """The numbers of an encoded feature cell: a scaled number, the parts of a date over 50, the vector of a text."""
+    return F.when(F.col(kind) == "number", F.array("value")).when(F.col(kind) == "date", F.transform("parts", lambda x: x / 50.0)).otherwise(F.col("vector"))
 
 
 class _Estimator:
-    def __init__(self, bagging: int | str = 8, max_context_size: int = 8192, test_chunk_size: int = 1000, seed: int = 0):
+    """fit() keeps the context; predict() draws bags (E6 to E8), drops constant columns and caps them for context and chunk of
+    the query together (B1, B3), encodes (F13), compares each chunk with each bag (H8) and combines the bags.
+
+    A bag holds max_context_size rows at most, so bags x max_context_size distinct rows are the bound of what goes to the
+    tasks."""
+
+    def __init__(self, bagging: int | str = 8, max_context_size: int = 8192, test_chunk_size: int = 1000, seed: int = 0, drop_constant: bool = True, max_columns: int = 500, clip_q: float = 0.005):
         self.bagging, self.max_context_size, self.test_chunk_size, self.seed = bagging, max_context_size, test_chunk_size, seed
+        self.drop_constant, self.max_columns, self.clip_q = drop_constant, max_columns, clip_q
 
     def fit(self, context: DataFrame, target: str, key: str, features: list[str] | None = None):
-        """context: labelled rows; features default to all other columns."""
-        self.context, self.target, self.key = context.where(F.col(target).isNotNull()), target, key
+        """context: labelled rows; features default to all other columns. A row without a key is left out."""
+        self.context, self.target, self.key = context.where(F.col(target).isNotNull() & F.col(key).isNotNull()), target, key
         self.features = features or [c for c in context.columns if c not in (target, key)]
         self.n = self.context.count()
         return self
 
-    def _scores(self, query: DataFrame) -> DataFrame:
-        """query_id, bag, context label, similarity, and how often the bag holds the context row. An int bagging above 1 draws
-        max_context_size rows with replacement, 1 so many without, 'auto' takes windows; whatever the number of rows."""
-        both = self.context.select(self.key, *self.features, F.lit("context").alias("role")).unionByName(query.select(self.key, *self.features, F.lit("query").alias("role")))
-        vectors = row_vectors(both, self.features, self.key)
-        known = self.context.select(self.key, F.col(self.target).alias("label"))
-        rows = known.select(F.lit("t").alias("table_id"), F.col(self.key).alias("row_idx"), "label")
-        dense = split.shuffle_rows(rows.withColumn("own", F.col("row_idx")), self.seed)
+    def bags(self) -> DataFrame:
+        """bag, context_id, label, times. An int bagging above 1 draws max_context_size rows with replacement, 1 so many without,
+        'auto' takes windows; whatever the number of rows."""
         size = self.max_context_size
-        if self.bagging == "auto":
-            bags = split.auto_bags(dense, self.n, size, self.seed)
-        elif int(self.bagging) > 1:
-            bags = split.bootstrap_bags(dense, self.n, int(self.bagging), size, self.seed) if self.n else dense.withColumn("bag", F.lit(0))
-        else:
-            bags = dense.where(F.col("row_idx") < size).withColumn("bag", F.lit(0))
-        bags = bags.groupBy("bag", F.col("own").alias(self.key), "label").agg(F.count(F.lit(1)).alias("times"))  # a row may be drawn several times
-        context = bags.join(vectors, self.key).select("bag", F.col(self.key).alias("context_id"), "label", "times", "vector")
-        asked = query.select(self.key).join(vectors, self.key).select(F.col(self.key).alias("query_id"), embed.l2_normalize(F.col("vector")).alias("q"))
-        context = context.select("bag", "context_id", "label", "times", embed.l2_normalize(F.col("vector")).alias("c"))  # bags x max_context_size rows
-        return asked.crossJoin(F.broadcast(context)).select("query_id", "bag", "label", "times", embed.dot(F.col("q"), F.col("c")).alias("similarity"))
+        known = self.context.select(F.lit("t").alias("table_id"), F.col(self.key).alias("row_idx"), F.col(self.target).alias("label"))
+        if self.bagging != "auto" and int(self.bagging) == 1:
+            own = split.sample_big(known, "row_idx", size, self.seed) if self.n > size else known
+            return own.select(F.lit(0).cast("long").alias("bag"), F.col("row_idx").alias("context_id"), "label", F.lit(1).cast("long").alias("times"))
+        if self.n == 0:
+            return known.select(F.lit(0).cast("long").alias("bag"), F.col("row_idx").alias("context_id"), "label", F.lit(1).cast("long").alias("times"))
+        dense = split.number_rows(known.withColumn("own", F.col("row_idx")), self.seed)
+        bags = split.bags_of_places(dense, self.n, size) if self.bagging == "auto" else split.bootstrap_bags(dense, self.n, int(self.bagging), size, self.seed)
+        return bags.groupBy(F.col("bag").cast("long").alias("bag"), F.col("own").alias("context_id"), "label").agg(F.count(F.lit(1)).alias("times"))
+
+    def _cells(self, query: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Cells of context and query (role, chunk), and query_id, chunk: consecutive chunks in the order of the key."""
+        both = self.context.select(self.key, *self.features, F.lit("context").alias("role")).unionByName(query.select(self.key, *self.features, F.lit("query").alias("role")))
+        placed = split.number_rows(query.select(F.lit("t").alias("table_id"), F.col(self.key).alias("row_idx")).withColumn("own", F.col("row_idx")), None)
+        chunks = split.predict_chunks(placed, self.test_chunk_size).select(F.col("own").alias("query_id"), "chunk")
+        roles = both.select(F.col(self.key).alias("row_idx"), "role")
+        cells = to_cells(both.drop("role"), F.lit("t"), F.col(self.key), self.features).join(roles, "row_idx")
+        return cells, chunks
+
+    def _kept(self, cells: DataFrame, chunks: DataFrame) -> DataFrame:
+        """chunk, col_idx: what is left of the features for a chunk, after B1 and B3 over context and chunk."""
+        ends = lambda df, *keys: tables.constant_columns(df, [*keys]).select(*keys, "col_idx", "col_name", "least", "most")
+        context = ends(cells.where("role = 'context'")).select("col_idx", F.col("least").alias("c_least"), F.col("most").alias("c_most"))
+        own = ends(cells.where("role = 'query'").join(chunks.withColumnRenamed("query_id", "row_idx"), "row_idx"), "chunk").join(context, "col_idx", "left")
+        constant = F.coalesce(F.least("least", "c_least") == F.greatest("most", "c_most"), F.lit(False)) if self.drop_constant else F.lit(False)
+        columns = own.where(~constant).select(F.col("chunk").cast("string").alias("table_id"), "col_idx", "col_name")
+        rank = F.row_number().over(embed.W.partitionBy("table_id").orderBy(h32(self.seed, F.col("col_name")), "col_name"))
+        n = F.count(F.lit(1)).over(embed.W.partitionBy("table_id"))
+        kept = columns.withColumns({"rank": rank, "n": n}).where((F.col("n") + 1 <= self.max_columns) | (F.col("rank") < self.max_columns))
+        return kept.select(F.col("table_id").cast("long").alias("chunk"), "col_idx")
+
+    def _scored(self, query: DataFrame, score, schema: str) -> DataFrame:
+        """score(similarities of some queries to the bag's rows, their labels, how often they are in the bag) -> columns, for
+        every bag; similarities are cosines over the columns that the query's chunk keeps."""
+        cells, chunks = self._cells(query)
+        encoded = assemble.encode_features(cells.where("role is not null"), embed.HashingEncoder(DIM), DIM, "scaled", self.clip_q)
+        rows = encoded.groupBy("row_idx", "role").agg(F.array_sort(F.collect_list(F.struct("col_idx", _flat().alias("v")))).alias("p"))
+        drawn = self.bags().select("bag", "context_id", "label", "times").collect()  # bags x max_context_size rows at most
+        ids = self.context.sparkSession.createDataFrame([(i,) for i in {r["context_id"] for r in drawn}], f"row_idx {self.context.schema[self.key].dataType.simpleString()}")
+        found = {r["row_idx"]: r["p"] for r in rows.where("role = 'context'").join(F.broadcast(ids), "row_idx").collect()}
+        names = sorted({c["col_idx"]: len(c["v"]) for p in found.values() for c in p}.items())
+        starts = dict(zip([c for c, _ in names], np.cumsum([0, *(k for _, k in names)]).tolist(), strict=False))
+        width = sum(k for _, k in names)
+
+        def matrix(parts: list) -> np.ndarray:
+            x = np.zeros((len(parts), width))
+            for i, p in enumerate(parts):
+                for c in p or ():
+                    if c["col_idx"] in starts:
+                        x[i, starts[c["col_idx"]] : starts[c["col_idx"]] + len(c["v"])] = c["v"]
+            return x
+
+        order = sorted(found)
+        place = {k: i for i, k in enumerate(order)}
+        members: dict = {}
+        for r in sorted(drawn, key=lambda r: (r["bag"], str(r["label"]), r["context_id"])):
+            if r["context_id"] in place:
+                members.setdefault(r["bag"], []).append((place[r["context_id"]], r["label"], r["times"]))
+        shared = query.sparkSession.sparkContext.broadcast((matrix([found[k] for k in order]), members, names))
+        kept = self._kept(cells, chunks).groupBy("chunk").agg(F.sort_array(F.collect_list("col_idx")).alias("kept"))
+        asked = chunks.join(kept, "chunk", "left").join(rows.where("role = 'query'").select(F.col("row_idx").alias("query_id"), "p"), "query_id")
+
+        def run(batches):
+            context, members, names = shared.value
+            unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+                ids, vectors, wanted = batch.column("query_id").to_pylist(), matrix(batch.column("p").to_pylist()), batch.column("kept").to_pylist()
+                for columns in {tuple(w or ()) for w in wanted}:
+                    own = [i for i, w in enumerate(wanted) if tuple(w or ()) == columns]
+                    mask = np.repeat([c in columns for c, _ in names], [k for _, k in names]) if names else np.zeros(0, bool)
+                    s = unit(vectors[own] * mask) @ unit(context * mask).T
+                    for bag, rows in members.items():
+                        at, labels, times = zip(*rows, strict=True)
+                        out = score(s[:, list(at)], list(labels), np.array(times))
+                        n = len(next(iter(out.values()))) // len(own)
+                        yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[i] for i in own for _ in range(n)], batch.schema.field("query_id").type), "bag": pa.array([bag] * (n * len(own)), pa.int64())} | out)
+
+        kind = query.schema[self.key].dataType.simpleString()
+        return asked.select("query_id", "kept", "p").mapInArrow(run, f"query_id {kind}, bag long, {schema}")
 
 
 class Classifier(_Estimator):
     def predict_proba(self, query: DataFrame) -> DataFrame:
-        """query_id, label, p."""
-        scores = self._scores(query).groupBy("query_id", "bag", "label").agg(F.max("similarity").alias("s"))
+        """query_id, label, p: of every class of the whole context."""
+        kind = self.context.schema[self.target].dataType
+        arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[kind.simpleString()]
+
+        def score(s: np.ndarray, labels: list, times: np.ndarray) -> dict:
+            """The largest similarity to each class; rows come ordered by class."""
+            first = [i for i, x in enumerate(labels) if i == 0 or x != labels[i - 1]]
+            best = np.maximum.reduceat(s, first, axis=1)
+            return {"label": pa.array([labels[i] for i in first] * len(s), arrow), "s": pa.array(best.ravel(), pa.float64())}
+
+        scores = self._scored(query, score, f"label {kind.simpleString()}, s double")
         logits = scores.select("query_id", "bag", "label", embed.similarity_logit((F.col("s") + 1) / 2).alias("logit"))
         classes = self.context.select(F.col(self.target).alias("label")).distinct()
         return embed.combine_bags(embed.align_classes(logits, classes, ["query_id", "bag"]))
@@ -72,15 +146,20 @@ class Classifier(_Estimator):
 class Regressor(_Estimator):
     def predict(self, query: DataFrame) -> DataFrame:
         """query_id, value: in each bag the mean of labels weighted by softmaxed similarity, then the mean over bags."""
-        w = F.col("times") * F.exp(10 * F.col("similarity"))
-        per = self._scores(query).groupBy("query_id", "bag").agg((F.sum(w * F.col("label")) / F.sum(w)).alias("value"))
-        return embed.combine_regression(per)
+
+        def score(s: np.ndarray, labels: list, times: np.ndarray) -> dict:
+            w = times * np.exp(10 * s)
+            return {"value": pa.array((w @ np.array(labels, float)) / w.sum(1), pa.float64())}
+
+        return embed.combine_regression(self._scored(query, score, "value double"))
 
 
 def demo_report(rows: DataFrame, target: str, key: str, test_share: float = 0.2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Predictions with residuals for a random test share, and their measures."""
-    marked = split.train_test_split(rows.withColumn("table_id", F.lit("t")).withColumn("row_idx", F.col(key)), test_share, seed).drop("table_id", "row_idx")
-    train, test = marked.where("role = 'train'").drop("role"), marked.where("role = 'test'").drop("role")
+    n = rows.count()
+    placed = split.number_rows(rows.withColumns({"table_id": F.lit("t"), "row_idx": F.col(key)}), seed)
+    test, train = placed.where(F.col("row_idx") < F.ceil(F.lit(n * test_share))), placed.where(F.col("row_idx") >= F.ceil(F.lit(n * test_share)))
+    test, train = test.drop("table_id", "row_idx"), train.drop("table_id", "row_idx")
     found = Regressor(bagging=1, seed=seed).fit(train, target, key).predict(test.drop(target))
     out = metrics.residuals(test.select(F.col(key).alias("query_id"), F.col(target).alias("truth")).join(found, "query_id").withColumnRenamed("value", "prediction"))
     return out, metrics.regression_report(out)

@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import encode, profile, split, tasks
+from ..operators import assemble, embed, profile, split, tables, tasks
 from ..sources import collection, shards
 
 
-def classify_inputs(spark: SparkSession, paths: list[str], root: str) -> tuple[DataFrame, DataFrame]:
-    """(path, group, label, reason, destination) of every file's last column, and the counts of labels."""
-    out = None
-    for path in paths:
-        try:
-            last = collection.read_last_column(spark, path)
-            column = last.columns[0]
-            row = profile.last_column_profile(last, column, path).withColumn("r", profile.label_last_column()).select(F.lit(path).alias("path"), "r.label", "r.reason")
-        except Exception:  # an unreadable file is a result of its own
-            row = spark.createDataFrame([(path, "unknown", "read_error")], "path string, label string, reason string")
-        out = row if out is None else out.unionByName(row)
+def classify_inputs(spark: SparkSession, root: str, pattern: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
+    """(path, group, label, reason, destination) of every file's last column, and the counts of labels. Tasks decode the last
+    column of their files; it is aggregated by path."""
+    values = collection.last_column_values(collection.list_files(spark, root, pattern))
+    out = profile.last_columns(values).withColumn("r", profile.label_last_column())
+    broken = F.max("error").isNotNull()
+    errors = values.groupBy("path").agg(broken.alias("broken"))
+    label = lambda c, v: F.when(F.col("broken"), v).otherwise(F.col(f"r.{c}"))
+    out = errors.join(out.withColumnRenamed("table_id", "path"), "path").select("path", label("label", "unknown").alias("label"), label("reason", "read_error").alias("reason"))
     group, _ = collection.source_group(F.col("path"), root)
     out = out.withColumn("group", group).withColumn("destination", collection.destination(F.col("label"), F.col("group")))
     return out, profile.summarize_labels(out)
 
 
+def route_inputs(spark: SparkSession, root: str, out: str) -> None:
+    """The files below root with their labels, in folders by destination."""
+    files = collection.list_files(spark, root).select("path", "content")
+    collection.write_routed(files.join(classify_inputs(spark, root)[0], "path"), out)
+
+
 def repack(spark: SparkSession, root: str, out: str, shard_mb: float, finished: DataFrame | None = None) -> DataFrame:
     """Tables under root, one of each content hash, packed into shards; returns the manifest document."""
     tables = collection.read_tables(spark, root).withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("source_chunk", F.element_at(F.split("path", "/"), -2))
@@ -50,11 +57,65 @@ def diagnose(cells: DataFrame) -> dict[str, DataFrame]:
     return {"routing": profile.compare_routing(p), "cardinality": profile.cardinality_histogram(p), "widths": profile.width_distribution(widths), "caps": profile.cap_impact(widths, (32, 64, 128, 256, 500)), "kinds": p.groupBy("kind").count()}
 
 
-def build_tasks(cells: DataFrame, rules: profile.TableRules, seed: int, max_rows: int = 1000, query: tuple[int, int] = (50, 900)) -> tuple[DataFrame, DataFrame]:
-    """specs, and the sampled, shuffled and split cells with encoded numbers of each table."""
-    specs = tasks.order_specs(tasks.choose_targets(profile.profile_columns(cells), seed, rules), seed)
-    rows = cells.select("table_id", "row_idx").distinct()
-    kept = split.split_query_range(split.shuffle_rows(split.sample_rows(rows.withColumn("own_idx", F.col("row_idx")), max_rows, seed), seed), *query, seed)
-    placed = kept.select("table_id", F.col("own_idx").alias("row_idx"), "role", F.col("row_idx").alias("place"))
-    numbers = cells.where("kind = 'number'").join(placed, ["table_id", "row_idx"]).withColumnRenamed("num", "x")
-    return specs, encode.encode_numbers_scaled(numbers, ["table_id", "col_idx"])
+@dataclass(frozen=True)
+class RunConfiguration:
+    """Settings of a run that builds tasks; the defaults are those of the published configuration."""
+
+    rules: profile.TableRules = profile.TableRules()
+    query_rows: tuple[int, int] = (50, 900)
+    target: str | None = None
+    seed: int = 42
+    balance: bool = True
+    max_rows: int = 1000
+    mixing_ratio: float = 0.8
+    mode: str = "scaled"
+    cell_text: str | None = None
+    clip_q: float = 0.02
+    workers: int = 1
+
+
+def build_tasks(cells: DataFrame, config: RunConfiguration, encoder: embed.Encoder, dim: int, second: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """specs (task_id, table_id, target_column, is_regression, position, replay, from_a, place, worker), and the encoded cells of
+    every task: tables within the limits of the rules (B4, B5), targets (C, D1 or D3), tasks balanced by replay (D4), a second
+    source mixed in (D7), rows sampled, shuffled and split (E), cells encoded (F13). Tables of both sources have ids of their
+    own."""
+    own, specs = _specs(cells, config)
+    if second is None:
+        specs = tasks.epoch_places(specs, "task_id", config.seed, 0).withColumn("from_a", F.lit(True))
+        every = own
+    else:
+        other, more = _specs(second, config)
+        a, b = (tasks.epoch_places(x, "task_id", config.seed, 0).withColumnRenamed("place", "k") for x in (specs, more))
+        specs = tasks.mix_sources(a, b, a.count(), b.count(), config.mixing_ratio, config.seed).drop("k")
+        every = own.unionByName(other)
+    specs = specs.withColumn("worker", F.pmod(F.col("place"), F.lit(config.workers)).cast("int"))
+    rows = every.select("table_id", "row_idx").distinct()
+    kept = split.split_query_range(split.shuffle_rows(split.sample_rows(rows.withColumn("own_idx", F.col("row_idx")), config.max_rows, config.seed), config.seed), *config.query_rows, config.seed)
+    placed = kept.select("table_id", F.col("own_idx").alias("row_idx"), F.col("row_idx").alias("place"), "role")
+    cut = every.join(placed, ["table_id", "row_idx"]).withColumn("row_idx", F.col("place")).drop("place")
+    # a task is a table with a target; replays are the same task again, so it is encoded once
+    once = specs.where("not replay").select("table_id", "target_column", "is_regression", F.concat_ws("/", "table_id", "target_column").alias("task"))
+    of_task = cut.join(once.select("table_id", "task"), "table_id").drop("table_id").withColumnRenamed("task", "table_id")
+    targets = once.select(F.col("task").alias("table_id"), "target_column", "is_regression")
+    encoded = assemble.encode_table(of_task, targets, encoder, dim, config.mode, config.cell_text, config.seed, config.clip_q)
+    return specs, encoded.withColumnRenamed("table_id", "task_id")
+
+
+def _specs(cells: DataFrame, config: RunConfiguration) -> tuple[DataFrame, DataFrame]:
+    """The cells of the tables within the rules' limits, and the specs of their tasks."""
+    p = profile.profile_columns(cells)
+    sizes = p.groupBy("table_id").agg(F.max("num_rows").alias("num_rows"), F.count(F.lit(1)).alias("num_cols"))
+    fit = tables.with_min_rows(tables.within_feature_limit(sizes, config.rules.max_columns), config.rules.min_rows).select("table_id")
+    p = p.join(fit, "table_id", "left_semi")
+    chosen = tasks.choose_targets(p, config.seed, config.rules) if config.target is None else tasks.fixed_target_specs(p, config.target, config.rules)
+    specs = tasks.order_specs(chosen, config.seed)
+    specs = tasks.balance_by_replay(specs, config.seed) if config.balance else specs.withColumn("replay", F.lit(False))
+    task = F.concat_ws("/", "table_id", "target_column")
+    copy = F.row_number().over(W.partitionBy("table_id", "target_column").orderBy("replay")) - 1
+    return cells.join(fit, "table_id", "left_semi"), specs.withColumn("task_id", F.when(F.col("replay"), F.concat_ws("#", task, copy.cast("string"))).otherwise(task))
+
+
+def write_tasks(specs: DataFrame, encoded: DataFrame, out: str) -> None:
+    """Specs and encoded cells as Parquet, the cells in folders by target."""
+    specs.write.mode("overwrite").parquet(f"{out}/specs")
+    encoded.write.mode("overwrite").parquet(f"{out}/cells")

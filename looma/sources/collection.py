@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
+def list_files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
     """path, length, content of every Parquet file under root. Reading goes through Spark, so any store will do."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 
 
 def read_tables(spark: SparkSession, root: str, errors: str = "skip") -> DataFrame:
@@ -49,6 +49,17 @@ def to_blob(t: pa.Table) -> bytes:
     return sink.getvalue()
 
 
+def encode_tables(rows: DataFrame, keys: str = "table_id") -> DataFrame:
+    """rows of many small tables -> table_id, num_rows, num_cols, table_bytes (Arrow IPC of the other columns); a table must fit
+    into a task's memory."""
+
+    def one(t: pa.Table) -> pa.Table:
+        own = t.drop_columns([keys])
+        return pa.table({"table_id": t.column(keys)[:1].cast(pa.string()), "num_rows": [t.num_rows], "num_cols": [own.num_columns], "table_bytes": pa.array([to_blob(own)], pa.binary())})
+
+    return rows.groupBy(keys).applyInArrow(one, "table_id string, num_rows long, num_cols long, table_bytes binary")
+
+
 def from_blob(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
@@ -79,14 +90,13 @@ def _cells(table_id: str, at: int, part: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([one(table_id, pa.string()), pa.array(range(at, at + n), pa.int64()), one(i, pa.int32()), one(f.name, pa.string()), one(kind, pa.string()), whole(num), whole(txt), whole(ts)], names=["table_id", "row_idx", "col_idx", "col_name", "kind", "num", "txt", "ts"])
 
 
-def blobs_to_cells(tables: DataFrame, first_rows: int | None = None, rows: int = 20_000) -> DataFrame:
-    """tables (table_id, table_bytes) -> cells; with first_rows only so many rows of each table."""
+def blobs_to_cells(tables: DataFrame, rows: int = 20_000) -> DataFrame:
+    """tables (table_id, table_bytes) -> cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for table_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = from_blob(blob)
-                t = t if first_rows is None else t.slice(0, first_rows)
                 for at in range(0, t.num_rows, rows):
                     yield from _cells(table_id, at, t.slice(at, rows))
 
@@ -114,6 +124,37 @@ def files_to_cells(files: DataFrame, rows: int = 20_000) -> DataFrame:
     return files.select("table_id", "content").mapInArrow(run, CELLS)
 
 
+LAST = "path string, column_name string, kind string, value string, n long, error string"
+
+
+def last_column_values(files: DataFrame, rows: int = 20_000) -> DataFrame:
+    """files (path, content) -> of each file's last column the values as texts and how often a batch of rows holds them; a file
+    without rows gives one line with n 0, an unreadable one its error. Only the last column is decoded."""
+
+    def one(path: str, content: pa.Scalar) -> Iterator[list]:
+        try:
+            f = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
+            field = f.schema_arrow[-1]
+            kind = "boolean" if pa.types.is_boolean(field.type) else "other" if pa.types.is_time(field.type) or pa.types.is_duration(field.type) else _kind_of(field.type) or "text"
+            yield [path, field.name, kind, None, 0, None]
+            for part in f.iter_batches(rows, columns=[field.name]):
+                c = part.column(0)
+                text = pa.array([None if v is None else str(v) for v in c.to_pylist()], pa.string()) if kind in ("text", "boolean", "other") else c.cast(pa.string())
+                for pair in text.value_counts().to_pylist():
+                    yield [path, field.name, kind, pair["values"], pair["counts"], None]
+        except Exception as e:  # any broken file
+            yield [path, None, None, None, 0, str(e)[:200]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("path", "column_name", "kind", "value", "n", "error")
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held = list(one(path, content))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.int64() if i == 4 else pa.string()) for i in range(6)], names=list(names))
+
+    return files.select("path", "content").mapInArrow(run, LAST)
+
+
 def read_last_column(spark: SparkSession, path: str) -> DataFrame:
     """Only the last column; the scan reads no other."""
     df = spark.read.parquet(path)

