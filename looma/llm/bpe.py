@@ -54,7 +54,7 @@ def byte_chars() -> list[str]:
 class Codec:
     """Encoder and decoder of one vocabulary file (kind: BPE with word ends)."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

@@ -35,7 +35,7 @@ from .shingles import Shingler
 #: Similar: 100 * shared >= SIMILAR * all.
 SIMILAR = 80
 #: Shingles of a block that a task packs together, and of a bucket as planned from the number of characters.
-BLOCK, BUCKET, CHARS_A_SHINGLE = 1_000_000, 400_000, 5
+BLOCK, BUCKET, CHARS_A_SHINGLE = 400_000, 400_000, 5
 ORDERS = (1, 2, 3)
 FEW = 1_000_000
 

@@ -36,7 +36,7 @@ def grams(words: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[np.nd
 class WordValues:
     """Rows of numbers for words, computed in bulk for the words not met before; holds `limit` words at most between calls."""
 
-    def __init__(self, compute, width: int, limit: int = 400_000):
+    def __init__(self, compute, width: int, limit: int = 250_000):
         self.compute, self.width, self.limit = compute, width, limit
         self.clear()
 
