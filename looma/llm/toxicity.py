@@ -8,7 +8,8 @@ window is linear, so scoring needs one number for each n-gram; these (a fixed nu
 takes mini-batches of texts and holds vectors only for n-grams of several texts.
 
 Training reads a bounded sample: at most `PER_CLASS` labelled texts of each class and half of `MAX_CHARS` characters a class,
-in the order of a hash of the id; texts that do not fit are skipped. Scoring reads every whole text and shuffles none.
+in the order of a hash of the id; texts that do not fit are skipped. One task trains on it, so that the driver holds no
+text. Scoring reads every whole text and shuffles none.
 Defined results: null and empty texts and texts without words get the score of an empty text, which is below 0.5; null or
 repeated labels: nulls are left out, the largest of several counts; without labels of both classes every score is the base
 rate, at most 0.49; repeated rows stay; other columns are kept by `reject` and ignored by `score`.
@@ -186,9 +187,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_char
     sizes = rows.select("doc_id", "toxic", F.length("text").alias("n")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(2 * per_class).collect()
     few = spark.createDataFrame([(r["doc_id"],) for r in fitting(sizes, "toxic", budget)], "doc_id long")
     cut = rows.join(F.broadcast(few), "doc_id").withColumn("text", F.substring("text", 1, budget))
-    texts = {r["doc_id"]: (r["text"], r["toxic"]) for r in cut.toLocalIterator()}  # one partition at a time in the driver
-    order = sorted(texts)
-    return train([texts[i][0] or "" for i in order], [texts[i][1] for i in order], rate)
+
+    def run(batches):
+        """Trains on the sample, which has a bound; only the model's numbers go to the driver."""
+        texts = {i: (t, y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)}
+        order = sorted(texts)
+        model = train([texts[i][0] or "" for i in order], [texts[i][1] for i in order], rate)
+        yield pa.RecordBatch.from_pydict({"q": pa.array([model["q"].tobytes()], pa.binary()), "bias": pa.array([model["bias"]]), "scale": pa.array([model["scale"]])})
+
+    model = cut.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "q binary, bias double, scale double").first()
+    return {"q": np.frombuffer(model["q"], np.float32), "bias": model["bias"], "scale": model["scale"]}
 
 
 def scorer(model: dict):
