@@ -196,6 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_char
         yield pa.RecordBatch.from_pydict({"q": pa.array([model["q"].tobytes()], pa.binary()), "bias": pa.array([model["bias"]]), "scale": pa.array([model["scale"]])})
 
     model = cut.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "q binary, bias double, scale double").first()
+    if model is None:  # no labelled id has a row, and Spark ran no task
+        return train([], [], rate)
     return {"q": np.frombuffer(model["q"], np.float32), "bias": model["bias"], "scale": model["scale"]}
 
 
