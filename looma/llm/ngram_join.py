@@ -193,8 +193,8 @@ def shared_sets(docs: DataFrame) -> DataFrame:
     return back.groupBy("block").applyInArrow(_sets, "doc_id long, n long, whole long, shingles binary, logs binary")
 
 
-def _entries(sets: DataFrame, order: int) -> DataFrame:
-    """shingle, doc_id, n, left, rank: the prefix of each set under an order; of the unique shingles only their number counts.
+def _entries(sets: DataFrame) -> DataFrame:
+    """place, shingle, doc_id, n, left, rank: the prefix of each set under every order; of the unique shingles only their number counts.
 
     left is the number of the set's shingles from this one on. rank is small for sets with few unique shingles, then for those whose shingles are in many documents. Of the shingles
     that are in the prefixes of the same documents the first in the order stays, and none that is in one prefix only."""
@@ -204,20 +204,21 @@ def _entries(sets: DataFrame, order: int) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
                 doc, n = piece.column(0).to_numpy(), piece.column(1).to_numpy()
-                parts: list[tuple] = []
-                for size, v, g in zip(n.tolist(), piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True):
-                    v, g = np.frombuffer(v, np.uint64), np.frombuffer(g, np.uint8)
-                    own, h = size - len(v), mix(v, 20 + order) >> np.uint64(1)
-                    first = np.lexsort((h, g))[: max(0, prefix(size) - own)]
-                    parts.append((v[first], g[first], h[first], size - own - np.arange(len(first)), (own << 32) - int(g.sum())))
-                k = [len(p[0]) for p in parts]
-                column = lambda i: np.concatenate([p[i] for p in parts]).astype(np.uint64).view(np.int64)  # noqa: B023, E731
-                yield pa.RecordBatch.from_pydict({"shingle": pa.array(column(0)), "doc_id": pa.array(np.repeat(doc, k)), "n": pa.array(np.repeat(n, k)), "left": pa.array(column(3)), "rank": pa.array(np.repeat(np.array([p[4] for p in parts], np.int64), k)), "log": pa.array(column(1)), "h": pa.array(column(2))})
-
-    every = written(sets.select("doc_id", "n", "shingles", "logs").mapInArrow(run, "shingle long, doc_id long, n long, left long, rank long, log long, h long"), "prefix")
-    members = every.groupBy("shingle", "log", "h").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("b")).where("m > 1")
-    first = written(members.groupBy("m", "a", "b").agg(F.min(F.struct("log", "h", "shingle")).alias("first")).select("first.shingle"), "shingles")
-    return every.join(first, "shingle", "left_semi").drop("log", "h")
+                of_set = [(size, np.frombuffer(v, np.uint64), np.frombuffer(g, np.uint8)) for size, v, g in zip(n.tolist(), piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True)]
+                for order in ORDERS:
+                    parts: list[tuple] = []
+                    for size, v, g in of_set:
+                        own, h = size - len(v), mix(v, 20 + order) >> np.uint64(1)
+                        first = np.lexsort((h, g))[: max(0, prefix(size) - own)]
+                        parts.append((v[first], g[first], h[first], size - own - np.arange(len(first)), (own << 32) - int(g.sum())))
+                    k = [len(p[0]) for p in parts]
+                    column = lambda i: np.concatenate([p[i] for p in parts]).astype(np.uint64).view(np.int64)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_pydict({"place": pa.array(np.full(sum(k), order, np.int32)), "shingle": pa.array(column(0)), "doc_id": pa.array(np.repeat(doc, k)), "n": pa.array(np.repeat(n, k)), "left": pa.array(column(3)), "rank": pa.array(np.repeat(np.array([p[4] for p in parts], np.int64), k)), "log": pa.array(column(1)), "h": pa.array(column(2))})
+
+    every = written(sets.select("doc_id", "n", "shingles", "logs").mapInArrow(run, "place int, shingle long, doc_id long, n long, left long, rank long, log long, h long"), "prefix")
+    members = every.groupBy("place", "shingle", "log", "h").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("b")).where("m > 1")
+    first = written(members.groupBy("place", "m", "a", "b").agg(F.min(F.struct("log", "h", "shingle")).alias("first")).select("place", "first.shingle"), "shingles")
+    return every.join(first, ["place", "shingle"], "left_semi").drop("log", "h")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -238,10 +239,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def _in_all(found: DataFrame, places: int) -> DataFrame:
+    """The pairs (u, v) that were found (place, u, v) under so many orders: the filters of the orders are intersected."""
+    return found.distinct().groupBy("u", "v").count().where(F.col("count") == places).select("u", "v")
+
+
 def _meeting(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """The pairs (u, v) that share a prefix shingle under the order of these entries as well."""
-    of_v = pairs.join(entries.select(F.col("doc_id").alias("v"), "shingle"), "v")
-    return of_v.join(entries.select(F.col("doc_id").alias("u"), "shingle"), ["u", "shingle"], "left_semi").select("u", "v").distinct()
+    """The pairs (u, v) that share a prefix shingle under every order but the first, from which they come."""
+    others = entries.where(F.col("place") != ORDERS[0])
+    of_v = pairs.join(others.select("place", F.col("doc_id").alias("v"), "shingle"), "v")
+    found = of_v.join(others.select("place", F.col("doc_id").alias("u"), "shingle"), ["place", "u", "shingle"], "left_semi")
+    return _in_all(found.select("place", "u", "v"), len(ORDERS) - 1)
 
 
 def _fits(a: str, b: str, left_a: str, left_b: str):
@@ -251,7 +259,8 @@ def _fits(a: str, b: str, left_a: str, left_b: str):
 
 
 def _stars(entries: DataFrame) -> DataFrame:
-    """Every document with the hub that it shares most prefix shingles with."""
+    """Every document with the hub that it shares most prefix shingles with under the first order."""
+    entries = entries.where(F.col("place") == ORDERS[0])
     # written, so that adaptive execution may split the join where one shingle has very many entries
     hubs = written(entries.groupBy("shingle").agg(F.min(F.struct("rank", "doc_id", "n", "left")).alias("hub")), "hubs")
     tied = entries.join(hubs, "shingle").where((F.col("doc_id") != F.col("hub.doc_id")) & _fits("n", "hub.n", "left", "hub.left"))
@@ -264,32 +273,32 @@ def _labelled(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return entries.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
 
 
-def _between(entries: list[DataFrame]) -> DataFrame:
-    """Every component's first member in a prefix bucket with the bucket's first, where a component is another's."""
-    of_comp = written(entries[0].groupBy("shingle", "root").agg(F.min(F.struct("rank", "doc_id", "n", "left")).alias("m")), "first")
+def _between(entries: DataFrame) -> DataFrame:
+    """Every component's first member in a prefix bucket of the first order with the bucket's first, where a component is another's."""
+    of_comp = written(entries.where(F.col("place") == ORDERS[0]).groupBy("shingle", "root").agg(F.min(F.struct("rank", "doc_id", "n", "left")).alias("m")), "first")
     hubs = written(of_comp.groupBy("shingle").agg(F.min(F.struct("m.rank", "m.doc_id", "m.n", "m.left", "root")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "hubs")
     tied = of_comp.join(hubs, "shingle").where((F.col("root") != F.col("hub.root")) & _fits("m.n", "hub.n", "m.left", "hub.left"))
     return tied.select(F.least("m.doc_id", "hub.doc_id").alias("u"), F.greatest("m.doc_id", "hub.doc_id").alias("v")).distinct()
 
 
 def _rest(entries: DataFrame) -> DataFrame:
-    """All pairs of documents of different components that share a prefix shingle under one order. Similar sets differ in size
+    """All pairs of documents of different components that share a prefix shingle under every order. Similar sets differ in size
     by 100 / SIMILAR at most, so components meet by shingle and band of sizes."""
     band = lambda n: F.floor(F.log(F.col(n).cast("double")) / math.log(100 / SIMILAR)).cast("int")
-    comps = written(entries.groupBy("shingle", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("most")), "rest")
-    far = lambda c, more: comps.select("shingle", F.explode(F.sequence(band("low") - more, band("high") + more)).alias("band"), *(F.col(x).alias(f"{x}_{c}") for x in ("root", "low", "high", "most")))
+    comps = written(entries.groupBy("place", "shingle", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("most")), "rest")
+    far = lambda c, more: comps.select("place", "shingle", F.explode(F.sequence(band("low") - more, band("high") + more)).alias("band"), *(F.col(x).alias(f"{x}_{c}") for x in ("root", "low", "high", "most")))
 
     def near(a: str, low: str, high: str, most: str):
         """A set (or component) a may be similar to one among those between low and high."""
         enough = (100 + SIMILAR) * F.least(f"most_{a}", most) >= SIMILAR * (F.col(f"low_{a}") + F.col(low))
         return (100 * F.col(f"high_{a}") >= SIMILAR * F.col(low)) & (100 * F.col(high) >= SIMILAR * F.col(f"low_{a}")) & enough
 
-    meet = far("a", 0).join(far("b", 1), ["shingle", "band"]).where((F.col("root_a") < F.col("root_b")) & near("a", "low_b", "high_b", "most_b")).drop("band").distinct()
-    side = lambda c: entries.select("shingle", F.col("root").alias(f"root_{c}"), F.col("doc_id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"), F.col("left").alias(f"left_{c}"))
-    one = meet.drop("low_a", "high_a", "most_a").join(side("a"), ["shingle", "root_a"])
+    meet = far("a", 0).join(far("b", 1), ["place", "shingle", "band"]).where((F.col("root_a") < F.col("root_b")) & near("a", "low_b", "high_b", "most_b")).drop("band").distinct()
+    side = lambda c: entries.select("place", "shingle", F.col("root").alias(f"root_{c}"), F.col("doc_id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"), F.col("left").alias(f"left_{c}"))
+    one = meet.drop("low_a", "high_a", "most_a").join(side("a"), ["place", "shingle", "root_a"])
     one = one.withColumns({"low_a": F.col("n_a"), "high_a": F.col("n_a"), "most_a": F.col("left_a")}).where(near("a", "low_b", "high_b", "most_b"))
-    pairs = one.select("shingle", "root_b", "id_a", "n_a", "left_a").join(side("b"), ["shingle", "root_b"]).where(_fits("n_a", "n_b", "left_a", "left_b"))
-    return pairs.select(F.least("id_a", "id_b").alias("u"), F.greatest("id_a", "id_b").alias("v")).distinct()
+    pairs = one.select("place", "shingle", "root_b", "id_a", "n_a", "left_a").join(side("b"), ["place", "shingle", "root_b"]).where(_fits("n_a", "n_b", "left_a", "left_b"))
+    return _in_all(pairs.select("place", F.least("id_a", "id_b").alias("u"), F.greatest("id_a", "id_b").alias("v")), len(ORDERS))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -307,23 +316,11 @@ def join_documents(docs: DataFrame) -> DataFrame:
     # rows that repeat an id tie the sets of that id together
     repeated_ids = every.groupBy("doc_id").count().where("count > 1").select("doc_id")
     tied = held.select("doc_id", "rep").where("doc_id <> rep").join(repeated_ids, "doc_id", "left_semi").select(F.least("doc_id", "rep").alias("u"), F.greatest("doc_id", "rep").alias("v"))
-    entries = [written(_entries(sets, i), f"entries{i}") for i in ORDERS]
-
-    def all_orders(pairs: DataFrame) -> DataFrame:
-        for other in entries[1:]:
-            pairs = _meeting(pairs, other)
-        return pairs
-
-    links = written(_verified(all_orders(_stars(entries[0])), sets).unionByName(tied), "links")
+    entries = written(_entries(sets), "entries")
+    links = written(_verified(_meeting(_stars(entries), entries), sets).unionByName(tied), "links")
     for last in (False, True):
-        roots = components(links)
-        named = [_labelled(e, roots) for e in entries]
-        if last:
-            pairs = _rest(named[0])
-            for other in named[1:]:
-                pairs = pairs.join(_rest(other), ["u", "v"])
-        else:
-            pairs = all_orders(_between(named))
+        named = _labelled(entries, components(links))
+        pairs = _rest(named) if last else _meeting(_between(named), named)
         links = links.unionByName(written(_verified(pairs, sets), "links"))
     roots = components(links)
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
