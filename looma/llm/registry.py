@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embed_dedup, html_extract, langid, ngram_join, pii, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, embed_dedup, html_extract, langid, ngram_join, pii, rp_forest, suffix_dedup, token_align, toxicity, url_filter, whiten
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_embed_dedup": embed_dedup.op9_embed_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_whiten": whiten.op11_whiten,
+    "op12_rp_forest": rp_forest.op12_rp_forest,
+    "op13_token_align": token_align.op13_token_align,
 }
 
 ORACLES = {
