@@ -66,6 +66,23 @@ def encode_numbers_scaled(rows: DataFrame, keys: list[str], clip_q: float = 0.02
     return standard_scale(filled.join(mean, keys).withColumn(x, F.coalesce(F.col(x), F.col("_mean"))).drop("_mean"), keys, clip_q, x)
 
 
+def number_statistics(rows: DataFrame, keys: list[str], clip_q: float = 0.02, x: str = "x") -> DataFrame:
+    """What encode_numbers_scaled() takes from a table's context, apart from its rows: keys, fill (mean of finite values), low and
+    high (quantiles of the filled ones), mean and std of the clipped ones. All null without a finite value."""
+    own = rows.where("role = 'context'").withColumn("_v", finite(F.col(x)))
+    fill = own.groupBy(*keys).agg(F.avg("_v").alias("fill"))
+    filled = own.join(fill, keys).withColumn("_v", F.coalesce("_v", "fill"))
+    ends = filled.groupBy(*keys).agg(F.percentile("_v", F.array(F.lit(clip_q), F.lit(1 - clip_q))).alias("_q"))
+    clipped = filled.join(ends, keys).withColumn("_c", F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col("_v"))))
+    return clipped.groupBy(*keys).agg(F.first("fill").alias("fill"), F.first(F.col("_q")[0]).alias("low"), F.first(F.col("_q")[1]).alias("high"), F.avg("_c").alias("mean"), F.stddev_pop("_c").alias("std"))
+
+
+def scaled(x: Column, s: Column) -> Column:
+    """The number that encode_numbers_scaled() makes of x, given a struct of number_statistics()."""
+    v = F.greatest(s["low"], F.least(s["high"], F.coalesce(finite(x), s["fill"])))
+    return F.when(s["fill"].isNull(), 0.0).otherwise((v - s["mean"]) / F.when(s["std"] == 0, 1.0).otherwise(s["std"]))
+
+
 def label_ids(rows: DataFrame, keys: list[str], label: str, limit: int | None = MAX_CLASSES, seed: int = 0) -> DataFrame:
     """keys, label, class_id: the most frequent context labels (ties: least label) numbered in a random order."""
     n = rows.where((F.col("role") == "context") & F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))

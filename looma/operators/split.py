@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.core import h32
+from .places import ordered_places
 
 
 def _by(seed: int, key: str = "row_idx"):
@@ -35,12 +36,10 @@ def number_rows(rows: DataFrame, seed: int | None, parts: int = 1024) -> DataFra
     """row_idx of one big table replaced by its place in a random order (or in order, without a seed): places are counted within
     parts of the order and the parts' first places come from their counts, so no window holds all rows."""
     if seed is None:
-        by, key = [F.col("row_idx")], F.floor(F.col("row_idx").cast("double") / F.lit(65536.0))
-    else:
-        by, key = [*_by(seed)], F.floor(_by(seed)[0] / F.lit(4294967296 // parts))
-    keyed = rows.withColumn("_part", key.cast("long"))
+        return ordered_places(rows, ["row_idx"], "_place").withColumn("row_idx", F.col("_place")).drop("_place")
+    keyed = rows.withColumn("_part", F.floor(_by(seed)[0] / F.lit(4294967296 // parts)).cast("long"))
     before = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.sum("_n").over(W.orderBy("_part")) - F.col("_n"))  # a row a part
-    place = F.row_number().over(W.partitionBy("_part").orderBy(*by)) - 1 + F.col("_first")
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*_by(seed))) - 1 + F.col("_first")
     return keyed.join(before, "_part").withColumn("row_idx", place.cast("long")).drop("_part", "_n", "_first")
 
 

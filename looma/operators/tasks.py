@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.core import h32
+from .places import ordered_places
 from .profile import TableRules, route
 
 MAX = 4294967296.0
@@ -86,12 +87,9 @@ def mix_sources(a: DataFrame, b: DataFrame, n_a: int, n_b: int, ratio: float, se
     return both.join(placed, ["from_a", "k"], "left").withColumn("place", late).drop("draw")
 
 
-def numbered(df: DataFrame, key: str, parts: int = 65536) -> DataFrame:
-    """df with k, its place in the order of a number: counted within ranges of `parts` keys, then a running sum over them."""
-    keyed = df.withColumn("_part", F.floor(F.col(key).cast("double") / parts).cast("long"))
-    before = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.sum("_n").over(W.orderBy("_part")) - F.col("_n"))
-    k = F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1 + F.col("_first")
-    return keyed.join(before, "_part").withColumn("k", k.cast("long")).drop("_part", "_n", "_first")
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with k, its place in the order of a key."""
+    return ordered_places(df, [key], "k")
 
 
 def epoch_places(items: DataFrame, key: str, seed: int, epoch: int, parts: int = 1024) -> DataFrame:

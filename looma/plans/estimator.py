@@ -1,4 +1,8 @@
-"""Classifier and regressor by similarity to labelled context rows, bagged; composition of operators only."""
+"""Classifier and regressor by similarity to labelled context rows, bagged; composition of operators only.
+
+A bag is a table of its own: its rows are drawn first, and what depends on them (constant and empty columns, the sample of
+columns, statistics of numbers) comes from them alone. Context and query never share a frame, so their keys may overlap.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +10,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.core import h32
-from ..operators import assemble, embed, metrics, split, tables
+from ..functions.core import feature_kind, h32
+from ..operators import embed, encode, metrics, split, tables
 from ..operators.cells import to_cells
+from ..sources.scratch import written
 
-DIM = 8
-
-
-def _flat(kind: str = "kind"):
-    """The numbers of an encoded feature cell: a scaled number, the parts of a date over 50, the vector of a text."""
-    return F.when(F.col(kind) == "number", F.array("value")).when(F.col(kind) == "date", F.transform("parts", lambda x: x / 50.0)).otherwise(F.col("vector"))
+#: Numbers of a text's vector, of a block of context rows, and rows of a tile of query rows: a block and a tile meet in one task.
+DIM, BLOCK, TILE = 8, 1 << 22, 16_384
+STATS = "struct<fill:double,low:double,high:double,mean:double,std:double>"
 
 
 class _Estimator:
-    """fit() keeps the context; predict() draws bags (E6 to E8), drops constant columns and caps them for context and chunk of
-    the query together (B1, B3), encodes (F13), compares each chunk with each bag (H8) and combines the bags.
+    """fit() keeps the context; predict() draws bags (E6 to E8), drops columns that are empty in the bag (B2), constant ones and
+    those over the cap for a bag and a chunk of the query together (B1, B3), encodes numbers with the bag's statistics (F5), compares
+    each chunk with each bag (H8) and combines the bags.
 
-    A bag holds max_context_size rows at most, so bags x max_context_size distinct rows are the bound of what goes to the
-    tasks."""
+    Bags hold bags x max_context_size rows at most. They travel to tiles of query rows in blocks; nothing is collected. A key names a row of
+    its side: rows that share a key are drawn, and answered, together; rows without a key are left out."""
 
     def __init__(self, bagging: int | str = 8, max_context_size: int = 8192, test_chunk_size: int = 1000, seed: int = 0, drop_constant: bool = True, max_columns: int = 500, clip_q: float = 0.005):
         self.bagging, self.max_context_size, self.test_chunk_size, self.seed = bagging, max_context_size, test_chunk_size, seed
@@ -35,107 +40,122 @@ class _Estimator:
         self.context, self.target, self.key = context.where(F.col(target).isNotNull() & F.col(key).isNotNull()), target, key
         self.features = features or [c for c in context.columns if c not in (target, key)]
         self.n = self.context.count()
+        width = {"number": 1, "date": 4, "text": DIM}
+        kinds = [feature_kind(context.schema[c].dataType) for c in self.features]
+        #: (column, kind) of every number of an encoded row
+        self.layout = [(i, k) for i, k in enumerate(kinds) if k for _ in range(width[k])]
+        if not self.layout:
+            raise ValueError("no column gives a feature")
         return self
 
     def bags(self) -> DataFrame:
-        """bag, context_id, label, times. An int bagging above 1 draws max_context_size rows with replacement, 1 so many without,
-        'auto' takes windows; whatever the number of rows."""
+        """bag, draw, context_id, label: a row for each draw. An int bagging above 1 draws max_context_size rows with replacement, 1
+        so many without, 'auto' takes windows; whatever the number of rows."""
         size = self.max_context_size
         known = self.context.select(F.lit("t").alias("table_id"), F.col(self.key).alias("row_idx"), F.col(self.target).alias("label"))
-        if self.bagging != "auto" and int(self.bagging) == 1:
-            own = split.sample_big(known, "row_idx", size, self.seed) if self.n > size else known
-            return own.select(F.lit(0).cast("long").alias("bag"), F.col("row_idx").alias("context_id"), "label", F.lit(1).cast("long").alias("times"))
-        if self.n == 0:
-            return known.select(F.lit(0).cast("long").alias("bag"), F.col("row_idx").alias("context_id"), "label", F.lit(1).cast("long").alias("times"))
+        single = self.bagging != "auto" and int(self.bagging) == 1
+        if single and self.n > size:
+            known = split.sample_big(known, "row_idx", size, self.seed)
         dense = split.number_rows(known.withColumn("own", F.col("row_idx")), self.seed)
-        bags = split.bags_of_places(dense, self.n, size) if self.bagging == "auto" else split.bootstrap_bags(dense, self.n, int(self.bagging), size, self.seed)
-        return bags.groupBy(F.col("bag").cast("long").alias("bag"), F.col("own").alias("context_id"), "label").agg(F.count(F.lit(1)).alias("times"))
-
-    def _cells(self, query: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Cells of context and query (role, chunk), and query_id, chunk: consecutive chunks in the order of the key."""
-        both = self.context.select(self.key, *self.features, F.lit("context").alias("role")).unionByName(query.select(self.key, *self.features, F.lit("query").alias("role")))
-        placed = split.number_rows(query.select(F.lit("t").alias("table_id"), F.col(self.key).alias("row_idx")).withColumn("own", F.col("row_idx")), None)
+        if single or self.n == 0:
+            bags = dense.withColumns({"bag": F.lit(0), "draw": F.col("row_idx")})
+        elif self.bagging == "auto":
+            bags = split.bags_of_places(dense, self.n, size).withColumn("draw", F.col("row_idx"))
+        else:
+            bags = split.bootstrap_bags(dense, self.n, int(self.bagging), size, self.seed)
+        return bags.select(F.col("bag").cast("long").alias("bag"), F.col("draw").cast("long").alias("draw"), F.col("own").alias("context_id"), "label")
+
+    def _rows(self, cells: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, v: the numbers of each row's cells in the order of self.layout. Numbers stay as they are; null texts are zeros."""
+        texts, _ = embed.embed_texts(cells, "txt", embed.HashingEncoder(DIM))
+        parts = F.transform(F.array(*encode.date_parts(F.col("ts"))), lambda x: x / 50.0)
+        v = F.when(F.col("kind") == "number", F.array("num")).when(F.col("kind") == "date", parts).otherwise(F.coalesce("vector", F.array_repeat(F.lit(0.0), DIM)))
+        whole = texts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col_idx", v.alias("v")))).alias("p"))
+        return whole.select(*keys, F.flatten(F.transform("p", lambda c: c["v"])).alias("v"))
+
+    def _kept(self, drawn: DataFrame, asked: DataFrame, grid: DataFrame) -> DataFrame:
+        """grid (bag, chunk) with kept, what is left of the features. drawn: cells with bag, asked: cells with chunk."""
+        ends = lambda df, key: tables.constant_columns(df, [key]).select(key, "col_idx", "col_name", "least", "most")
+        own = ends(drawn, "bag").where("least is not null").select("bag", "col_idx", "col_name", F.col("least").alias("c_least"), F.col("most").alias("c_most"))
+        both = own.join(ends(asked, "chunk").drop("col_name"), "col_idx")  # a row for each bag, chunk and column
+        constant = F.least("least", "c_least") == F.greatest("most", "c_most") if self.drop_constant else F.lit(False)
+        by = embed.W.partitionBy("bag", "chunk")
+        rank = F.row_number().over(by.orderBy(h32(F.col("bag") + self.seed, F.col("col_name")), "col_name"))
+        left = both.where(~constant).withColumns({"rank": rank, "n": F.count(F.lit(1)).over(by)}).where((F.col("n") + 1 <= self.max_columns) | (F.col("rank") < self.max_columns))
+        kept = left.groupBy("bag", "chunk").agg(F.sort_array(F.collect_list("col_idx")).alias("kept"))
+        return grid.join(kept, ["bag", "chunk"], "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
+
+    def _encoded(self, rows: DataFrame, drawn: DataFrame) -> DataFrame:
+        """rows (bag, v) with numbers scaled by the statistics of their column in their bag."""
+        own = encode.number_statistics(drawn.where("kind = 'number'").withColumn("role", F.lit("context")), ["bag", "col_idx"], self.clip_q, "num")
+        found = own.groupBy("bag").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", F.struct("fill", "low", "high", "mean", "std")))).alias("by"))  # an entry for each column
+        none = F.lit(None).cast(STATS)
+        stats = found.select("bag", F.array(*(F.try_element_at("by", F.lit(i)) if k == "number" else none for i, k in self.layout)).alias("stats"))
+        out = rows.join(stats, "bag", "left")
+        v = F.zip_with("v", F.coalesce("stats", F.array_repeat(none, len(self.layout))), lambda x, s: F.when(s.isNull(), x).otherwise(encode.scaled(x, s)))
+        return out.withColumn("v", v).drop("stats")
+
+    def _scored(self, query: DataFrame, score, kinds: list[tuple[str, T.DataType]]) -> DataFrame:
+        """query_id, bag and what score(cosines of some queries to some rows of a bag, the rows' labels in order) returns, for every tile of
+        queries and block of a bag; cosines are over the columns that bag and chunk keep."""
+        key = F.col(self.key)
+        drawn = written(self.bags(), "bags")
+        cells = to_cells(self.context.select(self.key, *self.features).join(drawn.select(F.col("context_id").alias(self.key)).distinct(), self.key, "left_semi"), F.lit("t"), key, self.features)
+        cells = cells.withColumnRenamed("row_idx", "context_id")
+        of_bags = written(cells.join(drawn, "context_id").select("bag", "col_idx", "col_name", "kind", "num", "txt", "ts"), "bag-cells")
+        placed = split.number_rows(query.where(key.isNotNull()).select(F.lit("t").alias("table_id"), key.alias("row_idx")).distinct().withColumn("own", F.col("row_idx")), None)
         chunks = split.predict_chunks(placed, self.test_chunk_size).select(F.col("own").alias("query_id"), "chunk")
-        roles = both.select(F.col(self.key).alias("row_idx"), "role")
-        cells = to_cells(both.drop("role"), F.lit("t"), F.col(self.key), self.features).join(roles, "row_idx")
-        return cells, chunks
-
-    def _kept(self, cells: DataFrame, chunks: DataFrame) -> DataFrame:
-        """chunk, col_idx: what is left of the features for a chunk, after B1 and B3 over context and chunk."""
-        ends = lambda df, *keys: tables.constant_columns(df, [*keys]).select(*keys, "col_idx", "col_name", "least", "most")
-        context = ends(cells.where("role = 'context'")).select("col_idx", F.col("least").alias("c_least"), F.col("most").alias("c_most"))
-        own = ends(cells.where("role = 'query'").join(chunks.withColumnRenamed("query_id", "row_idx"), "row_idx"), "chunk").join(context, "col_idx", "left")
-        constant = F.coalesce(F.least("least", "c_least") == F.greatest("most", "c_most"), F.lit(False)) if self.drop_constant else F.lit(False)
-        columns = own.where(~constant).select(F.col("chunk").cast("string").alias("table_id"), "col_idx", "col_name")
-        rank = F.row_number().over(embed.W.partitionBy("table_id").orderBy(h32(self.seed, F.col("col_name")), "col_name"))
-        n = F.count(F.lit(1)).over(embed.W.partitionBy("table_id"))
-        kept = columns.withColumns({"rank": rank, "n": n}).where((F.col("n") + 1 <= self.max_columns) | (F.col("rank") < self.max_columns))
-        return kept.select(F.col("table_id").cast("long").alias("chunk"), "col_idx")
-
-    def _scored(self, query: DataFrame, score, schema: str) -> DataFrame:
-        """score(similarities of some queries to the bag's rows, their labels, how often they are in the bag) -> columns, for
-        every bag; similarities are cosines over the columns that the query's chunk keeps."""
-        cells, chunks = self._cells(query)
-        encoded = assemble.encode_features(cells.where("role is not null"), embed.HashingEncoder(DIM), DIM, "scaled", self.clip_q)
-        rows = encoded.groupBy("row_idx", "role").agg(F.array_sort(F.collect_list(F.struct("col_idx", _flat().alias("v")))).alias("p"))
-        drawn = self.bags().select("bag", "context_id", "label", "times").collect()  # bags x max_context_size rows at most
-        ids = self.context.sparkSession.createDataFrame([(i,) for i in {r["context_id"] for r in drawn}], f"row_idx {self.context.schema[self.key].dataType.simpleString()}")
-        found = {r["row_idx"]: r["p"] for r in rows.where("role = 'context'").join(F.broadcast(ids), "row_idx").collect()}
-        names = sorted({c["col_idx"]: len(c["v"]) for p in found.values() for c in p}.items())
-        starts = dict(zip([c for c, _ in names], np.cumsum([0, *(k for _, k in names)]).tolist(), strict=False))
-        width = sum(k for _, k in names)
-
-        def matrix(parts: list) -> np.ndarray:
-            x = np.zeros((len(parts), width))
-            for i, p in enumerate(parts):
-                for c in p or ():
-                    if c["col_idx"] in starts:
-                        x[i, starts[c["col_idx"]] : starts[c["col_idx"]] + len(c["v"])] = c["v"]
-            return x
-
-        order = sorted(found)
-        place = {k: i for i, k in enumerate(order)}
-        members: dict = {}
-        for r in sorted(drawn, key=lambda r: (r["bag"], str(r["label"]), r["context_id"])):
-            if r["context_id"] in place:
-                members.setdefault(r["bag"], []).append((place[r["context_id"]], r["label"], r["times"]))
-        shared = query.sparkSession.sparkContext.broadcast((matrix([found[k] for k in order]), members, names))
-        kept = self._kept(cells, chunks).groupBy("chunk").agg(F.sort_array(F.collect_list("col_idx")).alias("kept"))
-        asked = chunks.join(kept, "chunk", "left").join(rows.where("role = 'query'").select(F.col("row_idx").alias("query_id"), "p"), "query_id")
-
-        def run(batches):
-            context, members, names = shared.value
-            unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
-                ids, vectors, wanted = batch.column("query_id").to_pylist(), matrix(batch.column("p").to_pylist()), batch.column("kept").to_pylist()
-                for columns in {tuple(w or ()) for w in wanted}:
-                    own = [i for i, w in enumerate(wanted) if tuple(w or ()) == columns]
-                    mask = np.repeat([c in columns for c, _ in names], [k for _, k in names]) if names else np.zeros(0, bool)
-                    s = unit(vectors[own] * mask) @ unit(context * mask).T
-                    for bag, rows in members.items():
-                        at, labels, times = zip(*rows, strict=True)
-                        out = score(s[:, list(at)], list(labels), np.array(times))
-                        n = len(next(iter(out.values()))) // len(own)
-                        yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[i] for i in own for _ in range(n)], batch.schema.field("query_id").type), "bag": pa.array([bag] * (n * len(own)), pa.int64())} | out)
-
-        kind = query.schema[self.key].dataType.simpleString()
-        return asked.select("query_id", "kept", "p").mapInArrow(run, f"query_id {kind}, bag long, {schema}")
+        asked = to_cells(query.select(self.key, *self.features), F.lit("t"), key, self.features).withColumnRenamed("row_idx", "query_id").join(chunks, "query_id")
+        grid = chunks.select("chunk").distinct().crossJoin(embed.bounded(drawn.select("bag").distinct()))  # bags are few
+        kept = self._kept(of_bags, asked, grid)
+        block, tile = max(1, BLOCK // len(self.layout)), max(1, TILE // self.test_chunk_size)
+        context = self._encoded(self._rows(cells, ["context_id"]).join(drawn, "context_id"), of_bags).select("bag", F.floor(F.col("draw") / block).alias("block"), "label", "v")
+        queries = self._encoded(self._rows(asked, ["query_id", "chunk"]).join(kept, "chunk"), of_bags).select("bag", F.floor(F.col("chunk") / tile).alias("tile"), "query_id", "kept", "v")
+        blocks = drawn.select("bag", F.floor(F.col("draw") / block).alias("block")).distinct()
+        tiles = grid.select("bag", F.floor(F.col("chunk") / tile).alias("tile")).distinct()
+        left = queries.join(F.broadcast(blocks), "bag")  # bags x max_context_size / block rows
+        right = context.join(tiles, "bag").select(F.col("bag").alias("_bag"), F.col("tile").alias("_tile"), F.col("block").alias("_block"), "label", F.col("v").alias("_v"))
+        column, width = np.array([i for i, _ in self.layout]), len(self.layout)
+        schema = T.StructType([T.StructField("query_id", query.schema[self.key].dataType), T.StructField("bag", T.LongType()), *(T.StructField(*k) for k in kinds)])
+        arrow = to_arrow_schema(schema)
+
+        def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+            out = []
+            if asked.num_rows and known.num_rows:
+                matrix = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                known = known.take(pa.compute.sort_indices(known.column("label")))
+                c, q, labels = matrix(known.column("_v")), matrix(asked.column("v")), known.column("label").to_pylist()
+                same: dict = {}
+                for i, names in enumerate(asked.column("kept").to_pylist()):
+                    same.setdefault(tuple(names), []).append(i)
+                for names, rows in same.items():
+                    mask = np.isin(column, names)
+                    near = unit(c * mask).T
+                    for some in (rows[at : at + 512] for at in range(0, len(rows), 512)):
+                        found = score(unit(q[some] * mask) @ near, labels)
+                        n = len(next(iter(found.values()))) // len(some)
+                        ids = asked.column("query_id").take(pa.array(np.repeat(some, n)))
+                        columns = {"query_id": ids, "bag": pa.array([asked.column("bag")[0].as_py()] * len(ids)), **found}
+                        out.append(pa.table([pa.array(x, arrow.field(k).type) if not isinstance(x, pa.ChunkedArray) else x.cast(arrow.field(k).type) for k, x in columns.items()], schema=arrow))
+            return pa.concat_tables(out) if out else arrow.empty_table()
+
+        return left.groupBy("bag", "tile", "block").cogroup(right.groupBy("_bag", "_tile", "_block")).applyInArrow(run, schema)
 
 
 class Classifier(_Estimator):
     def predict_proba(self, query: DataFrame) -> DataFrame:
         """query_id, label, p: of every class of the whole context."""
-        kind = self.context.schema[self.target].dataType
-        arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[kind.simpleString()]
 
-        def score(s: np.ndarray, labels: list, times: np.ndarray) -> dict:
+        def score(s: np.ndarray, labels: list) -> dict:
             """The largest similarity to each class; rows come ordered by class."""
             first = [i for i, x in enumerate(labels) if i == 0 or x != labels[i - 1]]
             best = np.maximum.reduceat(s, first, axis=1)
-            return {"label": pa.array([labels[i] for i in first] * len(s), arrow), "s": pa.array(best.ravel(), pa.float64())}
+            return {"label": [labels[i] for i in first] * len(s), "s": best.ravel()}
 
-        scores = self._scored(query, score, f"label {kind.simpleString()}, s double")
-        logits = scores.select("query_id", "bag", "label", embed.similarity_logit((F.col("s") + 1) / 2).alias("logit"))
+        scores = self._scored(query, score, [("label", self.context.schema[self.target].dataType), ("s", T.DoubleType())])
+        best = scores.groupBy("query_id", "bag", "label").agg(F.max("s").alias("s"))  # over the blocks of a bag
+        logits = best.select("query_id", "bag", "label", embed.similarity_logit((F.col("s") + 1) / 2).alias("logit"))
         classes = self.context.select(F.col(self.target).alias("label")).distinct()
         return embed.combine_bags(embed.align_classes(logits, classes, ["query_id", "bag"]))
 
@@ -147,11 +167,13 @@ class Regressor(_Estimator):
     def predict(self, query: DataFrame) -> DataFrame:
         """query_id, value: in each bag the mean of labels weighted by softmaxed similarity, then the mean over bags."""
 
-        def score(s: np.ndarray, labels: list, times: np.ndarray) -> dict:
-            w = times * np.exp(10 * s)
-            return {"value": pa.array((w @ np.array(labels, float)) / w.sum(1), pa.float64())}
+        def score(s: np.ndarray, labels: list) -> dict:
+            w = np.exp(10 * s)
+            return {"total": w @ np.array(labels, float), "weight": w.sum(1)}
 
-        return embed.combine_regression(self._scored(query, score, "value double"))
+        sums = self._scored(query, score, [("total", T.DoubleType()), ("weight", T.DoubleType())])
+        per = sums.groupBy("query_id", "bag").agg((F.sum("total") / F.sum("weight")).alias("value"))  # over the blocks of a bag
+        return embed.combine_regression(per)
 
 
 def demo_report(rows: DataFrame, target: str, key: str, test_share: float = 0.2, seed: int = 0) -> tuple[DataFrame, DataFrame]:

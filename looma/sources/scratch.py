@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession, what: str) -> str:
@@ -17,3 +17,10 @@ def scratch_folder(spark: SparkSession, what: str) -> str:
         folder = tempfile.mkdtemp(prefix="looma-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder}/looma/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df written to that folder and read back: it is computed once and survives lost executors."""
+    path = scratch_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -100,7 +100,7 @@ def test_labels_and_dates(spark):
     assert {tuple(r) for r in d.select(*encode.date_parts(F.col("t"))).collect()} == {(1, 3, 5, 7), (0, 0, 0, 0)}
 
 
-def test_bags():
+def test_bags(spark):
     assert split.bag_starts(10, 4) == [(0, 0), (1, 3), (2, 6)] and split.bag_starts(4, 4) == [(0, 0)]
     with pytest.raises(ValueError):
         split.context_size(F.lit(3), True)
@@ -209,10 +209,10 @@ def test_bags_follow_bagging_above_and_below_the_context_size(spark, bagging, si
     model = Regressor(bagging=bagging, max_context_size=size, seed=5).fit(df, "y", "id")
     n = {}
     for r in model.bags().collect():
-        n.setdefault(r["bag"], []).append(r["times"])
-    assert len(n) == bags and all(sum(x) == rows for x in n.values())
+        n.setdefault(r["bag"], []).append(r["context_id"])
+    assert len(n) == bags and all(len(x) == rows for x in n.values())
     if bagging != 3:
-        assert all(set(x) == {1} for x in n.values())
+        assert all(len(set(x)) == rows for x in n.values())
     assert bagging == "auto" or size == 50 or model.predict(query).count() == 2
 
 
@@ -224,48 +224,61 @@ def encoded(v, context):
     return (np.clip(np.mean([x for x in context if x is not None]) if v is None else v, low, high) - c.mean()) / (c.std() or 1)
 
 
-@pytest.mark.parametrize("chunk, columns", [(1000, 500), (2, 3)])
-def test_estimators_against_brute_force(spark, chunk, columns):
+@pytest.mark.parametrize("bagging, size, chunk, columns, block", [(1, 100, 1000, 500, 1 << 22), (1, 100, 2, 3, 1 << 22), (2, 12, 3, 4, 100), (3, 60, 1000, 500, 1 << 22), ("auto", 12, 4, 500, 200), (1, 12, 1000, 500, 1 << 22)])
+def test_estimators_against_brute_force(spark, monkeypatch, bagging, size, chunk, columns, block):
+    """Every bag by itself; the query's keys are also keys of the context."""
     from looma.functions.core import h32
-    from looma.plans.estimator import Classifier, Regressor
+    from looma.plans import estimator
 
+    monkeypatch.setattr(estimator, "BLOCK", block)
     rng = np.random.default_rng(3)
-    table = [(i, float(rng.normal()), None if i % 5 == 0 else float(i % 4), "red" if i % 3 else "blue", "same", float(i % 7), "abc"[i % 3]) for i in range(40)]
-    df = spark.createDataFrame(table, "id long, a double, b double, colour string, constant string, y double, label string")
-    context, query = df.where("id < 30"), df.where("id >= 30").drop("y", "label")
-    names = ["a", "b", "colour", "constant"]
-    rank = {r["c"]: r["h"] for r in spark.createDataFrame([(c,) for c in names], "c string").select("c", h32(0, F.col("c")).alias("h")).collect()}
+    schema = "id long, a double, b double, colour string, constant string, rare double, only string, y double, label string"
+    make = lambda i: (i, float(rng.normal()), None if i % 5 == 0 else float(i % 4), None if i % 11 == 0 else "red" if i % 3 else "blue", "same", 9.0 if i == 3 else 1.0, None if i < 30 else "q", float(i % 7), "abc"[i % 3])
+    table = [make(i) for i in range(40)]
+    context = spark.createDataFrame(table[:30], schema)
+    shifted = [(r[0] - 25, *r[1:]) for r in table[30:]]  # ids 5 to 14, which the context has, too
+    query = spark.createDataFrame(shifted, schema).drop("y", "label")
+    names = ["a", "b", "colour", "constant", "rare", "only"]
+    rank = {(b, c): h for b in range(5) for c, h in ((r["c"], r["h"]) for r in spark.createDataFrame([(c,) for c in names], "c string").select("c", h32(b, F.col("c")).alias("h")).collect())}
     encoder = embed.HashingEncoder(8)
+    value = lambda r, c: r[1 + names.index(c)]
 
-    def vector(row, kept):
+    def vector(row, kept, bag):
         out = []
-        for c in names:
-            if c in kept:
-                v = row[1 + names.index(c)]
-                out += encoder([v])[0] if isinstance(v, str) else [encoded(v, [r[1 + names.index(c)] for r in table[:30]])]
+        for c in kept:
+            v = value(row, c)
+            text = c in ("colour", "constant", "only")
+            out += ([0.0] * 8 if v is None else encoder([v])[0]) if text else [encoded(v, [value(r, c) for r in bag])]
         return np.array(out) / max(np.linalg.norm(out), 1e-12)
 
+    options = {"bagging": bagging, "max_context_size": size, "test_chunk_size": chunk, "max_columns": columns}
+    model = estimator.Regressor(**options).fit(context.drop("label"), "y", "id")
+    bags: dict = {}
+    for r in model.bags().collect():
+        bags.setdefault(r["bag"], []).append(table[r["context_id"]])
     want_y, want_p = {}, {}
-    for q in table[30:]:
-        together = table[:30] + [r for r in table[30:] if (r[0] - 30) // chunk == (q[0] - 30) // chunk]
-        kept = [c for c in names if len({r[1 + names.index(c)] for r in together} - {None}) != 1]
-        if len(kept) + 1 > columns:
-            kept = sorted(kept, key=lambda c: (rank[c], c))[: columns - 1]
-        s = np.array([vector(q, kept) @ vector(r, kept) for r in table[:30]])
-        w = np.exp(10 * s)
-        want_y[q[0]] = float(w @ np.array([r[5] for r in table[:30]]) / w.sum())
-        best = np.array([max(x for x, r in zip(s, table[:30], strict=True) if r[6] == c) for c in "abc"])
-        p = ((best + 1) / 2).clip(1e-6, 1 - 1e-6)
-        p = p / (1 - p)
-        want_p[q[0]] = p / p.sum()
-    options = {"bagging": 1, "test_chunk_size": chunk, "max_columns": columns}
-    features = {r["query_id"]: r["value"] for r in Regressor(**options).fit(context.drop("label"), "y", "id").predict(query).collect()}
-    assert features == pytest.approx(want_y, rel=1e-6)
+    for i, q in enumerate(shifted):
+        together = [r for k, r in enumerate(shifted) if k // chunk == i // chunk]
+        ys, ps = [], []
+        for b, rows in bags.items():
+            kept = [c for c in names if any(value(r, c) is not None for r in rows) and len({value(r, c) for r in rows + together} - {None}) != 1]
+            if len(kept) + 1 > columns:
+                kept = sorted(kept, key=lambda c: (rank[b, c], c))[: columns - 1]
+            s = np.array([vector(q, kept, rows) @ vector(r, kept, rows) for r in rows])
+            w = np.exp(10 * s)
+            ys.append(float(w @ np.array([r[7] for r in rows]) / w.sum()))
+            best = np.array([max([x for x, r in zip(s, rows, strict=True) if r[8] == c], default=-np.inf) for c in "abc"])
+            p = np.where(np.isfinite(best), ((best + 1) / 2).clip(1e-6, 1 - 1e-6), 0)
+            p = p / (1 - p)
+            ps.append(p / p.sum())
+        want_y[q[0]], want_p[q[0]] = np.mean(ys), np.mean(ps, 0)
+    found_y = {r["query_id"]: r["value"] for r in model.predict(query).collect()}
+    assert found_y == pytest.approx(want_y, rel=1e-6)
     found: dict = {}
-    for r in Classifier(**options).fit(context.drop("y"), "label", "id").predict_proba(query).collect():
+    for r in estimator.Classifier(**options).fit(context.drop("y"), "label", "id").predict_proba(query).collect():
         found.setdefault(r["query_id"], {})[r["label"]] = r["p"]
     assert set(found) == set(want_p) and all([found[k][c] for c in "abc"] == pytest.approx(list(want_p[k]), rel=1e-6) for k in found)
-    assert Regressor().fit(context.drop("label").limit(0), "y", "id").predict(query).count() == 0
+    assert estimator.Regressor().fit(context.drop("label").limit(0), "y", "id").predict(query).count() == 0
 
 
 def test_build_tasks_and_outputs(spark, tmp_path):
@@ -291,7 +304,7 @@ def test_build_tasks_and_outputs(spark, tmp_path):
 
 
 def test_big_tables_are_numbered_without_one_window(spark):
-    df = spark.range(500).select(F.lit("t").alias("table_id"), (F.col("id") * 7919 - 100).alias("row_idx")).withColumn("own", F.col("row_idx"))
+    df = spark.range(500).select(F.lit("t").alias("table_id"), (F.col("id") * 7_919_000_001 - 100).alias("row_idx")).withColumn("own", F.col("row_idx"))  # sparse keys
     for seed in (None, 3):
         placed = {r["own"]: r["row_idx"] for r in split.number_rows(df, seed).collect()}
         order = sorted(placed) if seed is None else [r["own"] for r in df.orderBy(core.h32(seed, F.col("table_id"), F.col("row_idx")), "row_idx").collect()]
