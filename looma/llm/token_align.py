@@ -38,7 +38,7 @@ from .common import table, written
 
 #: Characters of text of a batch, of a block at most (a longer text is a block of its own), tokens of a stretch at least, pieces of
 #: text in the cache, characters of a short piece, and pairs of a group that are written out before they are counted.
-BATCH, BLOCK, STRETCH, KNOWN, SHORT, SPREAD = 1 << 20, 1 << 24, 256, 400_000, 500, 64
+BATCH, BLOCK, STRETCH, KNOWN, SHORT, SPREAD = 1 << 19, 1 << 22, 256, 100_000, 500, 64
 # Fixed value: A's pattern of words.
 ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 CUT = re.compile(r"(?<=\S)(?= )")
