@@ -9,13 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import assemble, embed, profile, split, tables, tasks
-from ..sources import collection, shards
+from ..sources import collection, shards, tablefiles
 
 
 def classify_inputs(spark: SparkSession, root: str, pattern: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
-    """(path, group, label, reason, destination) of every file's last column, and the counts of labels. Tasks decode the last
-    column of their files; it is aggregated by path."""
-    values = collection.last_column_values(collection.list_files(spark, root, pattern))
+    """(path, group, label, reason, destination) of every file's last column, and the counts of labels. Tasks read the bytes of the
+    last column only; its values are counted by path."""
+    values = tablefiles.last_values(spark, root, pattern)
     out = profile.last_columns(values).withColumn("r", profile.label_last_column())
     broken = F.max("error").isNotNull()
     errors = values.groupBy("path").agg(broken.alias("broken"))
@@ -28,8 +28,10 @@ def classify_inputs(spark: SparkSession, root: str, pattern: str = "*.parquet")
 
 def route_inputs(spark: SparkSession, root: str, out: str) -> None:
     """The files below root with their labels, in folders by destination."""
-    files = collection.list_files(spark, root).select("path", "content")
-    collection.write_routed(files.join(classify_inputs(spark, root)[0], "path"), out)
+    below = lambda c: F.substring_index(c, tablefiles.plain(root), -1)
+    files = collection.list_files(spark, root).select(below(F.col("path")).alias("below"), "content")
+    labels = classify_inputs(spark, root)[0]
+    collection.write_routed(files.join(labels.withColumn("below", below(F.col("path"))), "below").drop("below"), out)
 
 
 def repack(spark: SparkSession, root: str, out: str, shard_mb: float, finished: DataFrame | None = None) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -104,29 +106,49 @@ def blobs_to_cells(tables: DataFrame, rows: int = 20_000) -> DataFrame:
 
 
 def files_to_cells(files: DataFrame, rows: int = 20_000) -> DataFrame:
-    """files (table_id, content) -> cells. Files are decoded by row groups, so no table is ever whole in memory; unreadable
-    ones are skipped."""
+    """files (table_id, content) -> cells with error, for stores whose byte ranges tasks cannot read. An unreadable file gives one
+    row with its error; row groups are decoded once, and kept until the last one is through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = arrow_fields(CELLS + ", error string")
         for batch in batches:
             for table_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
                     f = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
-                    for g in range(f.num_row_groups):  # a file that breaks off gives no cells at all
-                        f.read_row_group(g)
-                except Exception:  # any broken file
+                    groups = [f.read_row_group(g, use_threads=False) for g in range(f.num_row_groups)]
+                except Exception as e:  # any broken file
+                    row = {"table_id": table_id, "error": f"footer: {e}"[:200]}
+                    yield pa.RecordBatch.from_arrays([pa.array([row.get(k.name)], k.type) for k in fields], schema=pa.schema(fields))
                     continue
                 at = 0
-                for part in f.iter_batches(rows):
-                    yield from _cells(table_id, at, pa.Table.from_batches([part]))
+                for part in (b for g in groups for b in g.to_batches(rows)):
+                    for cells in _cells(table_id, at, pa.Table.from_batches([part])):
+                        yield pa.RecordBatch.from_arrays([*cells.columns, pa.nulls(cells.num_rows, pa.string())], names=[*cells.schema.names, "error"])
                     at += part.num_rows
 
-    return files.select("table_id", "content").mapInArrow(run, CELLS)
+    return files.select("table_id", "content").mapInArrow(run, CELLS + ", error string")
 
 
 LAST = "path string, column_name string, kind string, value string, n long, error string"
 
 
+def arrow_fields(schema: str) -> list[pa.Field]:
+    """The Arrow fields of one of the schemas above."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "timestamp": pa.timestamp("us", "UTC")}
+    return [pa.field(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(","))]
+
+
+def last_kind(t: pa.DataType) -> str:
+    return "boolean" if pa.types.is_boolean(t) else "other" if pa.types.is_time(t) or pa.types.is_duration(t) else _kind_of(t) or "text"
+
+
+def value_counts(path: str, field: pa.Field, c: pa.Array) -> list[list]:
+    """Rows of LAST: the values of a part of a column as texts and how often each occurs."""
+    kind = last_kind(field.type)
+    text = pa.array([None if v is None else str(v) for v in c.to_pylist()], pa.string()) if kind in ("text", "boolean", "other") else c.cast(pa.string())
+    return [[path, field.name, kind, pair["values"], pair["counts"], None] for pair in text.value_counts().to_pylist()]
+
+
 def last_column_values(files: DataFrame, rows: int = 20_000) -> DataFrame:
     """files (path, content) -> of each file's last column the values as texts and how often a batch of rows holds them; a file
     without rows gives one line with n 0, an unreadable one its error. Only the last column is decoded."""
@@ -135,26 +157,37 @@ def last_column_values(files: DataFrame, rows: int = 20_000) -> DataFrame:
         try:
             f = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
             field = f.schema_arrow[-1]
-            kind = "boolean" if pa.types.is_boolean(field.type) else "other" if pa.types.is_time(field.type) or pa.types.is_duration(field.type) else _kind_of(field.type) or "text"
-            yield [path, field.name, kind, None, 0, None]
+            yield [path, field.name, last_kind(field.type), None, 0, None]
             for part in f.iter_batches(rows, columns=[field.name]):
-                c = part.column(0)
-                text = pa.array([None if v is None else str(v) for v in c.to_pylist()], pa.string()) if kind in ("text", "boolean", "other") else c.cast(pa.string())
-                for pair in text.value_counts().to_pylist():
-                    yield [path, field.name, kind, pair["values"], pair["counts"], None]
+                yield from value_counts(path, field, part.column(0))
         except Exception as e:  # any broken file
             yield [path, None, None, None, 0, str(e)[:200]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("path", "column_name", "kind", "value", "n", "error")
+        fields = arrow_fields(LAST)
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held = list(one(path, content))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.int64() if i == 4 else pa.string()) for i in range(6)], names=list(names))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
 
     return files.select("path", "content").mapInArrow(run, LAST)
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """files (name, content) written below root, each as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                fs, base = pafs.FileSystem.from_uri(re.sub(r"^file:(//)?(?=/)", "", root))
+                fs.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{base}/{name}") as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    files.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def read_last_column(spark: SparkSession, path: str) -> DataFrame:
     """Only the last column; the scan reads no other."""
     df = spark.read.parquet(path)
