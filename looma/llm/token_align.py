@@ -20,6 +20,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -38,7 +39,7 @@ from .common import table, written
 
 #: Characters of text of a batch, of a block at most (a longer text is a block of its own), tokens of a stretch at least, pieces of
 #: text in the cache, characters of a short piece, and pairs of a group that are written out before they are counted.
-BATCH, BLOCK, STRETCH, KNOWN, SHORT, SPREAD = 1 << 19, 1 << 22, 256, 100_000, 500, 64
+BATCH, BLOCK, STRETCH, KNOWN, SHORT, SPREAD = 1 << 19, 1 << 22, 256, 250_000, 500, 64
 # Fixed value: A's pattern of words.
 ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -105,7 +106,7 @@ class Tokens:
             ids = np.fromiter(chain.from_iterable(found), np.int32, int(n.sum()))
             first = np.cumsum(n) - n
             same = np.add.reduceat(long[ids], first) == size
-            if not same.all() or b"".join(map(names.__getitem__, ids.tolist())) != whole:
+            if k and (not same.all() or b"".join(map(names.__getitem__, ids.tolist())) != whole):  # A's tokens spell bytes, so their number tells
                 same = np.array([b"".join(map(names.__getitem__, x)) == p.encode() for x, p in zip(found, new, strict=True)])
             fits &= same
             pool, start, count = self.pools[k]
@@ -261,6 +262,13 @@ def _blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
             yield ids, texts, True
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # lists of tokens come and go by the million and hold no cycles
+        try:
+            yield from blocks(rows)
+        finally:
+            gc.enable()
+
+    def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(*paths)
         wide = len(tokens.bytes_b)
         digits = _digits(max(len(tokens.bytes_a), wide))
