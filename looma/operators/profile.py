@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,27 +36,80 @@ def with_ratios(profile: DataFrame) -> DataFrame:
     return profile.withColumns({"missing_ratio": (F.col("num_rows") - F.col("n_non_null")) / n, "unique_ratio": F.col("n_distinct") / n})
 
 
-def profile_table(df: DataFrame, name: str) -> DataFrame:
-    """One big table in one scan: every row gives a (column, hash of the value) for each column that has one; distinct pairs are
-    counted. Values are hashed to 128 bits first, so no text travels, and partial aggregation leaves each task's distinct
-    values only. A count of each column comes from the same pass."""
-    fields = df.schema.fields
-    kinds = ["date" if is_date_like(f.dataType) else "number" if is_numeric(f.dataType) else "text" if feature_kind(f.dataType) else "other" for f in fields]
-    made = []
-    for i, (f, k) in enumerate(zip(fields, kinds, strict=True)):
-        c = F.col(f"`{f.name}`")
-        c = nan_to_null(c) + 0.0 if f.dataType.typeName() in ("float", "double") else F.to_json(c) if f.dataType.typeName() in ("array", "struct", "map") else c
-        h = F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("a"), F.xxhash64(c, F.lit(i)).alias("b")))
-        made.append(F.struct(F.lit(i).alias("col_idx"), h.alias("h")))
-    pairs = df.select(F.explode(F.array(*made)).alias("c")).groupBy("c.col_idx", "c.h").agg(F.count(F.lit(1)).alias("n"))
-    have = F.col("h").isNotNull()
-    counts = pairs.groupBy("col_idx").agg(F.sum("n").alias("num_rows"), F.coalesce(F.sum(F.when(have, F.col("n"))), F.lit(0)).alias("n_non_null"), F.count("h").alias("n_distinct"))
-    columns = F.explode(F.array(*(F.struct(F.lit(i).alias("col_idx"), F.lit(f.name).alias("col_name"), F.lit(k).alias("kind")) for i, (f, k) in enumerate(zip(fields, kinds, strict=True)))))
-    every = df.sparkSession.range(1).select(columns.alias("c")).select("c.*")
+#: Columns that share a scan in an exact profile, and such scans of a table at most; a wider table has more columns in each.
+SHARED, SCANS = 4, 32
+#: Size of a sketch (2^LG_K counters) and five times its relative standard error (1.04 / 2^(LG_K / 2)).
+LG_K, SKETCH_ERROR = 12, 0.0813
+
+
+def _columns(df: DataFrame) -> list[tuple[int, str, str, Column]]:
+    """(index, name, kind, value) of every column; values that count as equal are equal, missing ones null."""
+    out = []
+    for i, f in enumerate(df.schema.fields):
+        c, t = F.col(f"`{f.name}`"), f.dataType
+        kind = "date" if is_date_like(t) else "number" if is_numeric(t) else "text" if feature_kind(t) else "other"
+        out.append((i, f.name, kind, nan_to_null(c) + 0.0 if t.typeName() in ("float", "double") else F.to_json(c) if t.typeName() in ("array", "struct", "map") else c))
+    return out
+
+
+def _known(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as literals of the plan; schema: name kind, ..."""
+    kinds = [c.split() for c in schema.split(", ")]
+    return spark.range(1).select(F.explode(F.array(*(F.struct(*(F.lit(v).cast(k).alias(n) for v, (n, k) in zip(r, kinds, strict=True))) for r in rows))).alias("c")).select("c.*")
+
+
+def profile_table(df: DataFrame, name: str, only: list[int] | None = None) -> DataFrame:
+    """Exact profile of one big table (or of the columns `only`). Distinct values are counted as two hashes of different seeds, 128 bits, so no
+    text travels and partial aggregation leaves each task's distinct values only. A scan of a few columns gives a line for each row and column of
+    them and reads no other."""
+    columns = [c for c in _columns(df) if only is None or c[0] in only]
+    # the seed is the hash of the first argument, so the two differ as hashes of different seeds do
+    value = lambda i, c: F.struct(F.lit(i).alias("col_idx"), c.isNotNull().alias("have"), F.xxhash64(F.lit(1), c).alias("a"), F.xxhash64(F.lit(2), c).alias("b"))
+    size, counts, have = max(SHARED, -(-len(columns) // SCANS)), None, F.col("have")
+    for at in range(0, len(columns), size):
+        rows = df.select(F.explode(F.array(*(value(i, c) for i, _, _, c in columns[at : at + size]))).alias("c"))
+        each = rows.select("c.*").groupBy("col_idx", "have", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        found = each.groupBy("col_idx").agg(F.sum("n").alias("num_rows"), F.coalesce(F.sum(F.when(have, F.col("n"))), F.lit(0)).alias("n_non_null"), F.count(F.when(have, True)).alias("n_distinct"))
+        counts = found if counts is None else counts.unionByName(found)
+    every = _known(df.sparkSession, [(i, n, k) for i, n, k, _ in columns], "col_idx int, col_name string, kind string")
     out = every.join(counts, "col_idx", "left").fillna(0, ["num_rows", "n_non_null", "n_distinct"])
     return with_ratios(out.select(F.lit(name).alias("table_id"), "num_rows", "col_idx", "col_name", "kind", "n_non_null", "n_distinct"))
 
 
+def sketch_table(df: DataFrame, name: str) -> DataFrame:
+    """table_id, col_idx, col_name, kind, num_rows, n_non_null, sketch of every column, in one scan and one aggregation of fixed size."""
+    columns = _columns(df)
+    found = df.agg(F.count(F.lit(1)).alias("num_rows"), *(x for i, _, _, c in columns for x in (F.count(c).alias(f"n{i}"), F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(F.lit(1), c)), LG_K).alias(f"s{i}"))))
+    rows = F.array(*(F.struct(F.lit(i).alias("col_idx"), F.lit(n).alias("col_name"), F.lit(k).alias("kind"), F.col(f"n{i}").alias("n_non_null"), F.col(f"s{i}").alias("sketch")) for i, n, k, _ in columns))
+    return found.select(F.lit(name).alias("table_id"), "num_rows", F.explode(rows).alias("c")).select("table_id", "c.col_idx", "c.col_name", "c.kind", "num_rows", "c.n_non_null", "c.sketch")
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """The sketches of parts of tables, or of the same tables at other times, as those of the whole."""
+    return sketches.groupBy("table_id", "col_idx", "col_name", "kind").agg(F.sum("num_rows").alias("num_rows"), F.sum("n_non_null").alias("n_non_null"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+#: Limits of every rule: a rule asks whether a column has at most so many distinct values, or at most such a share of its rows.
+LIMITS, SHARES = (1, 20, 62), (0.2,)
+
+
+def routing_profile(df: DataFrame, name: str, limits: tuple[int, ...] = LIMITS, shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """A profile by which every rule with these limits decides as by the exact one. Distinct values are estimated by sketches; columns whose
+    bounds hold a limit inside are counted exactly, and no other column is read again."""
+    sketched = sketch_table(df, name).select("*", F.hll_sketch_estimate("sketch").alias("n_distinct")).drop("sketch").collect()  # a row for each column
+    doubtful = []
+    for r in sketched:
+        low, high = int(-(-r["n_distinct"] // (1 + SKETCH_ERROR))), int(r["n_distinct"] * (1 + SKETCH_ERROR))
+        if any(low <= x < high for x in [*limits, *(s * r["num_rows"] for s in shares)]):
+            doubtful.append(r["col_idx"])
+    schema = "table_id string, num_rows long, col_idx int, col_name string, kind string, n_non_null long, n_distinct long"
+    clear = [tuple(r[c.split()[0]] for c in schema.split(", ")) for r in sketched if r["col_idx"] not in doubtful]
+    if not clear:
+        return profile_table(df, name, doubtful)
+    out = with_ratios(_known(df.sparkSession, clear, schema))
+    return out.unionByName(profile_table(df, name, doubtful)) if doubtful else out
+
+
 def route(rules: TableRules = TableRules()) -> Column:
     """classification, regression or none, from a row of a profile."""
     k = F.col("n_distinct")

@@ -90,16 +90,21 @@ def profile_sql(names) -> str:
     return "prof AS (SELECT *, (num_rows - n_non_null) / greatest(num_rows, 1) AS missing_ratio, n_distinct / greatest(num_rows, 1) AS unique_ratio FROM (" + " UNION ALL ".join(parts) + "))"
 
 
-def profiles(spark: SparkSession, d: str, names) -> DataFrame:
+def profiles(spark: SparkSession, d: str, names, of=profile.profile_table) -> DataFrame:
     out = None
     for t in names:
         df = read(spark, d, t)
         df = df.select(*[c.split(":")[0] for c in COLUMNS[t].split()])
-        p = profile.profile_table(df, t)
+        p = of(df, t)
         out = p if out is None else out.unionByName(p)
     return out
 
 
+def sketched(spark: SparkSession, d: str, names, limits=profile.LIMITS) -> DataFrame:
+    """Profiles by which rules decide as by exact ones."""
+    return profiles(spark, d, names, lambda df, t: profile.routing_profile(df, t, limits))
+
+
 ROUTE = """CASE WHEN n_non_null = 0 THEN 'none' WHEN kind = 'date' THEN 'none' WHEN kind = 'number' THEN
  CASE WHEN missing_ratio > 0.5 OR n_distinct < 2 THEN 'none' WHEN n_distinct <= 20 THEN 'classification' ELSE 'regression' END
  WHEN n_distinct < 2 OR n_distinct > 62 THEN 'none' WHEN unique_ratio <= 0.2 THEN 'classification' ELSE 'none' END"""
@@ -123,9 +128,15 @@ def _(spark, d):
     return profiles(spark, d, ("lineitem", "events")).select(F.col("table_id").alias("table_name"), F.col("col_name").alias("column_name"), "kind", "num_rows", "n_distinct", profile.route().alias("task"))
 
 
+@query("c2_route_by_sketches", f"WITH {profile_sql(STAR)} SELECT table_id, col_name, num_rows, n_non_null, {ROUTE} AS task, {LEGACY} AS legacy FROM prof")
+def _(spark, d):
+    """Both rules for all given tables, from mergeable sketches and few exact counts."""
+    return sketched(spark, d, STAR).select("table_id", "col_name", "num_rows", "n_non_null", profile.route().alias("task"), profile.route_legacy().alias("legacy"))
+
+
 @query("c3_target_candidates", f"WITH {profile_sql(STAR)}, r AS (SELECT *, {ROUTE} AS task FROM prof) SELECT table_id, coalesce(string_agg(col_name, ',' ORDER BY col_idx) FILTER (task = 'classification'), '') AS classification, coalesce(string_agg(col_name, ',' ORDER BY col_idx) FILTER (task = 'regression'), '') AS regression FROM r GROUP BY table_id")
 def _(spark, d):
-    c = profile.target_candidates(profiles(spark, d, STAR))
+    c = profile.target_candidates(sketched(spark, d, STAR))
     return c.select("table_id", F.array_join("classification", ",").alias("classification"), F.array_join("regression", ",").alias("regression"))
 
 
@@ -136,7 +147,7 @@ def _(spark, d):
 
 @query("c5_route_legacy", f"WITH {profile_sql(STAR)} SELECT table_id, col_name, {LEGACY} AS task FROM prof")
 def _(spark, d):
-    return profiles(spark, d, STAR).select("table_id", "col_name", profile.route_legacy().alias("task"))
+    return sketched(spark, d, STAR).select("table_id", "col_name", profile.route_legacy().alias("task"))
 
 
 @query("c6_compare_routing", f"""WITH {profile_sql(STAR)}, r AS (SELECT *, {ROUTE} AS new, {LEGACY} AS old FROM prof),
@@ -144,7 +155,7 @@ t AS (SELECT table_id, sum((old = 'regression' AND new = 'classification')::INT)
  max((old = 'classification')::INT) AS old_classification, max((old = 'regression')::INT) AS old_regression, max((new = 'classification')::INT) AS new_classification, max((new = 'regression')::INT) AS new_regression FROM r GROUP BY table_id)
 SELECT sum(recovered)::BIGINT AS recovered, sum(degenerate)::BIGINT AS degenerate, sum(removed)::BIGINT AS removed, sum(old_classification)::BIGINT AS old_classification, sum(old_regression)::BIGINT AS old_regression, sum(new_classification)::BIGINT AS new_classification, sum(new_regression)::BIGINT AS new_regression FROM t""")
 def _(spark, d):
-    return profile.compare_routing(profiles(spark, d, STAR))
+    return profile.compare_routing(sketched(spark, d, STAR))
 
 
 LADDER = "CASE " + " ".join(f"WHEN n_distinct <= {b} THEN '<={b}'" for b in profile.BUCKETS) + " ELSE '>1000' END"
@@ -153,7 +164,7 @@ LADDER = "CASE " + " ".join(f"WHEN n_distinct <= {b} THEN '<={b}'" for b in prof
 @query("c7_cardinality_histogram", f"""WITH {profile_sql(STAR)}, f AS (SELECT CASE WHEN kind = 'number' THEN 'numeric' WHEN {LEGACY} = 'classification' THEN 'categorical' END AS family, {LADDER} AS bucket FROM prof)
 SELECT family, bucket, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY family), 6) AS pct FROM f WHERE family IS NOT NULL GROUP BY family, bucket""")
 def _(spark, d):
-    return profile.cardinality_histogram(profiles(spark, d, STAR)).withColumn("pct", F.round("pct", 6))
+    return profile.cardinality_histogram(sketched(spark, d, STAR, profile.BUCKETS)).withColumn("pct", F.round("pct", 6))
 
 
 WIDTHS = f"{O_SQL}, w AS (SELECT user_id, count(*) AS num_cols FROM events GROUP BY user_id)"
@@ -177,7 +188,7 @@ def _(spark, d):
 
 @query("c10_dtype_counts", f"WITH {profile_sql(STAR)} SELECT kind, count(*) AS n FROM prof GROUP BY kind")
 def _(spark, d):
-    return profiles(spark, d, STAR).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return sketched(spark, d, STAR, ()).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: (name, table, Spark expression, SQL expression, kind)

@@ -313,3 +313,18 @@ def test_big_tables_are_numbered_without_one_window(spark):
     assert {tuple(r) for r in embed.symmetrised(pairs).collect()} == {(1, 2, 0.375), (2, 1, 0.375), (1, 1, 1.0)}
     with pytest.raises(ValueError):
         embed.bounded(spark.range(5), 4)
+
+
+def test_sketches_decide_as_exact_counts(spark):
+    rows = [(i, i % 20, i % 21, i % 62, i % 63, str(i % 400), str(i % 401), float(i % 3) if i % 2 else None, "one", None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, k20 long, k21 int, k62 string, k63 string, share400 string, share401 string, half double, one string, nothing string")
+    tasks_of = lambda p: {r["col_name"]: tuple(r)[1:] for r in p.select("col_name", profile.route().alias("new"), profile.route_legacy().alias("old"), "num_rows", "n_non_null").collect()}
+    exact, found = profile.profile_table(df, "t"), profile.routing_profile(df, "t")
+    assert tasks_of(found) == tasks_of(exact) and tasks_of(found)["share400"][1] == "classification" and tasks_of(found)["share401"][1] == "none"
+    parts = profile.sketch_table(df.where("id % 2 = 0"), "t").unionByName(profile.sketch_table(df.where("id % 2 = 1"), "t"))
+    merged = {r["col_name"]: r for r in profile.merge_sketches(parts).select("*", F.hll_sketch_estimate("sketch").alias("k")).collect()}
+    for r in exact.collect():
+        m = merged[r["col_name"]]
+        assert (m["num_rows"], m["n_non_null"]) == (r["num_rows"], r["n_non_null"]) and abs(m["k"] - r["n_distinct"]) <= profile.SKETCH_ERROR * r["n_distinct"]
+    wide = spark.range(300).select(*(F.pmod("id", F.lit(i + 1)).alias(f"c{i}") for i in range(200)))
+    assert {r["col_name"]: r["n_distinct"] for r in profile.profile_table(wide, "w").collect()} == {f"c{i}": i + 1 for i in range(200)}
