@@ -25,6 +25,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -39,7 +40,7 @@ from .common import table, written
 
 #: Characters of text of a batch, of a block at most (a longer text is a block of its own), tokens of a stretch at least, pieces of
 #: text in the cache, characters of a short piece, and pairs of a group that are written out before they are counted.
-BATCH, BLOCK, STRETCH, KNOWN, SHORT, SPREAD = 1 << 19, 1 << 22, 256, 250_000, 500, 64
+BATCH, BLOCK, STRETCH, KNOWN, SHORT, SPREAD = 1 << 19, 1 << 22, 256, 200_000, 500, 64
 # Fixed value: A's pattern of words.
 ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -267,6 +268,8 @@ def _blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
             yield from blocks(rows)
         finally:
             gc.enable()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
 
     def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(*paths)
@@ -303,6 +306,18 @@ def _blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCKS)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Texts go to Python in batches of so many rows while this holds: for jobs that run within it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """pair (A id * 2^32 + B id), held (documents that hold it linked), best (1 where no pair of its A id is held by more)."""
     each = blocks.select(F.explode(F.arrays_zip("pairs", "n_docs")).alias("p"))
@@ -313,9 +328,10 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
-    blocks = written(_blocks(docs, paths or vocabularies()), "token-blocks")
+    with small_batches(docs.sparkSession):
+        blocks = written(_blocks(docs, paths or vocabularies()), "token-blocks")
     counts = written(pair_counts(blocks), "token-pairs")
-    back = blocks.select(F.col("block").alias("of"), F.explode("pairs").alias("pair")).join(counts, "pair")
+    back = blocks.select(F.col("block").alias("of"), F.explode("pairs").alias("pair")).join(counts.hint("shuffle_hash"), "pair")  # a row a pair: their number is bounded by the vocabularies
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
         """One block and the counts of its pairs."""
