@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.core import h32
+from ..sources.scratch import written
 from .places import ordered_places
 from .profile import TableRules, route
 
@@ -52,6 +53,47 @@ def balance_by_replay(specs: DataFrame, seed: int, salts: int = 64) -> DataFrame
     return out.unionByName(draws.join(numbered, "number").select(*specs.columns, F.lit(True).alias("replay")))
 
 
+#: Specs of a task's history that a replay is drawn from: the latest ones.
+HISTORY = 50_000
+
+
+def replay_places(specs: DataFrame, seed: int, history: int = HISTORY, part: int = 32_768) -> DataFrame:
+    """specs (table_id, target_column, is_regression, table_place: the table's place in the order of a run, position in the table) -> the
+    whole sequence: place, seq (the spec that a row is or stands behind), replay, and the spec.
+
+    A table's specs enter the histories of their tasks together. As long as one history is empty nothing is replayed. At the first spec
+    after that the rarer task is replayed until both have come equally often, and from then on every spec leaves one missing on the other
+    side, so exactly one replay of the other task follows it. Each is drawn, with replacement, from the latest `history` specs of its task.
+    Running counts are taken within parts of the order, and a row a part is summed up; draws meet their specs in a join by number."""
+    spark, reg = specs.sparkSession, F.col("is_regression").cast("long")
+    kept = ["table_id", "target_column", "is_regression"]
+    keyed = specs.select(*kept, "table_place", "position", F.floor(F.col("table_place") / part).alias("part"))
+    per = keyed.groupBy("part").agg(F.sum(reg).alias("r"), F.count(F.lit(1)).alias("n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # over a row a part
+    per = per.select("part", F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    row, table = W.partitionBy("part").orderBy("table_place", "position"), W.partitionBy("part").orderBy("table_place").rangeBetween(W.unboundedPreceding, 0)
+    counts = {"r": F.sum(reg).over(row), "n": F.row_number().over(row), "hr": F.sum(reg).over(table), "hn": F.count(F.lit(1)).over(table)}
+    run = keyed.withColumns(counts).join(per, "part")
+    run = run.select(*kept, (F.col("n0") + F.col("n") - 1).alias("seq"), (F.col("r0") + F.col("r")).alias("r"), (F.col("r0") + F.col("hr")).alias("h_r"), (F.col("n0") + F.col("hn") - F.col("r0") - F.col("hr")).alias("h_c"))
+    run = written(run.withColumn("number", F.when(F.col("is_regression"), F.col("r")).otherwise(F.col("seq") + 1 - F.col("r")) - 1), "run")
+    first = run.where("h_r > 0 and h_c > 0").agg(F.min_by(F.struct("seq", "r", "h_r", "h_c"), "seq").alias("s")).first()["s"]
+    originals = lambda place: run.select(place.cast("long").alias("place"), "seq", F.lit(False).alias("replay"), *kept)
+    if first is None:
+        return originals(F.col("seq"))
+    at, gap = first["seq"], abs(2 * first["r"] - first["seq"] - 1)
+    rarer = 2 * first["r"] < at + 1
+    catch_up = spark.range(gap).select(F.lit(at).cast("long").alias("seq"), (F.col("id") + 1).alias("k"), F.lit(rarer).alias("is_regression"), F.lit(first["h_r"] if rarer else first["h_c"]).cast("long").alias("h"), (F.col("id") + at + 1).alias("place"))
+    later = run.where(F.col("seq") > at)
+    behind = at + gap + 1 + 2 * (F.col("seq") - at - 1)
+    other = ~F.col("is_regression")
+    answers = later.select("seq", F.lit(1).cast("long").alias("k"), other.alias("is_regression"), F.when(other, F.col("h_r")).otherwise(F.col("h_c")).alias("h"), (behind + 1).alias("place"))
+    draws = catch_up.unionByName(answers)
+    size = F.least("h", F.lit(history))
+    draws = draws.withColumn("number", F.col("h") - size + h32(seed, F.col("seq"), F.col("k")) % size)
+    replays = draws.join(run.select("is_regression", "number", "table_id", "target_column"), ["is_regression", "number"]).select("place", "seq", F.lit(True).alias("replay"), *kept)
+    return originals(F.when(F.col("seq") <= at, F.col("seq")).otherwise(behind)).unionByName(replays)
+
+
 def balance_by_skip(specs: DataFrame, seed: int) -> DataFrame:
     """The task with a share above one half loses each spec with probability 2 (share - 0.5)."""
     total = specs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_regression").cast("long")).alias("r"))

@@ -343,7 +343,10 @@ def _(spark, d):
     return shards.dedup_by_content_hash(files(spark, d)).select("source_chunk", "name", "source_path")
 
 
-@query("a5_pack_shards")
+@query("a5_pack_shards", f"""WITH RECURSIVE {F_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY source_chunk ORDER BY source_path) AS i FROM f),
+w AS (SELECT source_chunk, table_id, i, size AS held, 0 AS n FROM o WHERE i = 1
+ UNION ALL SELECT o.source_chunk, o.table_id, o.i, CASE WHEN w.held >= 20000 THEN o.size ELSE w.held + o.size END, w.n + (w.held >= 20000)::INT FROM w JOIN o ON o.source_chunk = w.source_chunk AND o.i = w.i + 1)
+SELECT table_id, printf('shard-%s-%04d', source_chunk, n) AS shard FROM w""")
 def _(spark, d):
     return shards.pack_shards(files(spark, d), 20_000)
 
@@ -800,6 +803,28 @@ def _(spark, d):
     return tasks.balance_by_replay(skewed_specs(spark, d), SEED).groupBy("is_regression").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PLACE = f"""tp AS (SELECT table_id, row_number() OVER (ORDER BY {H("'7'", "'0'", 'table_id')}, table_id) - 1 AS table_place FROM (SELECT DISTINCT table_id FROM skewed)),
+fl AS (SELECT *, {H("'7'", 'table_id', "'2'")} % 2 AS flip FROM skewed),
+po AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY CASE WHEN flip = 0 THEN NOT is_regression ELSE is_regression END) AS position FROM fl),
+ru AS (SELECT table_id, target_column, is_regression, row_number() OVER w - 1 AS seq, sum(is_regression::INT) OVER w AS r, sum(is_regression::INT) OVER t AS h_r, sum((NOT is_regression)::INT) OVER t AS h_c FROM po JOIN tp USING (table_id)
+ WINDOW w AS (ORDER BY table_place, position), t AS (ORDER BY table_place RANGE UNBOUNDED PRECEDING)),
+nu AS (SELECT *, CASE WHEN is_regression THEN r ELSE seq + 1 - r END - 1 AS number FROM ru),
+st AS (SELECT arg_min(r, seq) AS r, arg_min(h_r, seq) AS h_r, arg_min(h_c, seq) AS h_c, min(seq) AS q0 FROM nu WHERE h_r > 0 AND h_c > 0),
+ga AS (SELECT *, abs(2 * r - q0 - 1) AS gap, 2 * r < q0 + 1 AS rarer FROM st),
+dr AS (SELECT q0 AS seq, k, rarer AS is_regression, CASE WHEN rarer THEN h_r ELSE h_c END AS h FROM ga, (SELECT unnest(range(1, (SELECT gap FROM ga)::BIGINT + 1)) AS k)
+ UNION ALL SELECT seq, 1, NOT is_regression, CASE WHEN is_regression THEN nu.h_c ELSE nu.h_r END FROM nu, ga WHERE seq > q0),
+dn AS (SELECT *, h - least(h, 50) + {H("'7'", 'seq', 'k')} % least(h, 50) AS number FROM dr),
+al AS (SELECT seq, 0 AS k, false AS replay, table_id, target_column, is_regression FROM nu UNION ALL SELECT dn.seq, k, true, table_id, target_column, is_regression FROM dn JOIN nu USING (is_regression, number))"""
+
+
+@query("d4_replay_places", f"WITH {SKEW_SQL}, {_PLACE} SELECT row_number() OVER (ORDER BY seq, k) - 1 AS place, seq, replay, table_id, target_column, is_regression FROM al")
+def _(spark, d):
+    """The order of a run with every replay in its place; histories of 50 specs."""
+    s = tasks.order_specs(skewed_specs(spark, d), SEED)
+    places = tasks.epoch_places(s.select("table_id").distinct(), "table_id", SEED, 0).withColumnRenamed("place", "table_place")
+    return tasks.replay_places(s.join(places, "table_id"), SEED, 50)
+
+
 @query("d5_balance_by_skip", f"WITH {SKEW_SQL}, n AS (SELECT avg(is_regression::INT) AS r FROM skewed) SELECT table_id, target_column FROM skewed, n WHERE {H(chr(39) + '7' + chr(39), 'table_id', 'target_column')} / 4294967296.0 >= 2 * (CASE WHEN is_regression THEN r ELSE 1 - r END - 0.5)")
 def _(spark, d):
     return tasks.balance_by_skip(skewed_specs(spark, d), SEED).select("table_id", "target_column")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.places import running_sums
+from .scratch import written
+
 #: shard record: table_id, source_path, source_chunk, num_rows, num_cols, table_bytes
 MANIFEST = "struct<version:int, blob_format:string, input_root:string, shard_size_mb:double, dedup_by_hash:boolean, num_shards:long, num_tables:long, num_skipped:long, shards:array<struct<path:string, num_tables:long, chunk:string>>>"
 
@@ -26,20 +28,39 @@ def dedup_by_content_hash(tables: DataFrame, within: str = "source_chunk") -> Da
 
 def pack_shards(tables: DataFrame, target_bytes: int) -> DataFrame:
     """tables (source_chunk, source_path, table_id, size) -> table_id, shard: shards of a chunk are filled in path order and
-    closed when they reach target_bytes. Only the sizes go through the grouping, never the tables."""
-
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("source_path")
-        number, held, out = 0, 0, []
-        for size in group["size"]:
-            out.append(number)
-            held += size
-            if held >= target_bytes:
-                number, held = number + 1, 0
-        names = [f"shard-{c}-{n:04d}" for c, n in zip(group["source_chunk"], out, strict=True)]
-        return pd.DataFrame({"table_id": group["table_id"], "shard": names})
-
-    return tables.select("source_chunk", "source_path", "table_id", "size").groupBy("source_chunk").applyInPandas(fill, "table_id string, shard string")
+    closed when they reach target_bytes.
+
+    A shard that starts at a table ends at the first one whose running sum of sizes reaches target_bytes, so every table has a next start; those that are
+    starts are found from the first one by pointer doubling: known starts jump by 1, 2, 4, ... shards, and the jumps double in a join. No chunk is
+    ever one group, however many tables it has; only sizes are handled, never tables. Tables of size 0 end no shard."""
+    files = tables.select("source_chunk", "source_path", "table_id", F.col("size").cast("long").alias("size"))
+    run = written(running_sums(files, ["source_chunk", "source_path", "table_id"], "size", "total"), "sizes")
+    base = run.groupBy("source_chunk").agg(F.min(F.col("total") - F.col("size")).alias("base"), F.min("place").alias("first"), F.max("place").alias("last"))
+    run = run.join(base, "source_chunk").withColumn("total", F.col("total") - F.col("base"))
+    # the first table whose running sum reaches what a table before it asks for: within buckets of sizes, else the first of a later bucket
+    wide = max(1, target_bytes // 16)
+    bucket = F.floor(F.col("at") / wide)
+    points = run.select("source_chunk", F.col("total").alias("at"), "place", F.lit(None).cast("long").alias("asks"))
+    asks = run.select("source_chunk", (F.col("total") - F.col("size") + target_bytes).alias("at"), F.lit(None).cast("long").alias("place"), F.col("place").alias("asks"))
+    both = points.unionByName(asks).withColumn("bucket", bucket)
+    later = both.groupBy("source_chunk", "bucket").agg(F.min("place").alias("least"))
+    later = later.withColumn("later", F.first("least", True).over(W.partitionBy("source_chunk").orderBy("bucket").rowsBetween(1, W.unboundedFollowing)))  # a row a bucket of a chunk
+    ahead = W.partitionBy("source_chunk", "bucket").orderBy("at", F.col("place").isNotNull(), "place").rowsBetween(0, W.unboundedFollowing)
+    found = both.withColumn("end", F.min("place").over(ahead)).where("asks is not null").join(later.select("source_chunk", "bucket", "later"), ["source_chunk", "bucket"])
+    end = F.coalesce("end", "later")
+    jump = found.join(base.select("source_chunk", "last"), "source_chunk").where(end < F.col("last")).select(F.col("asks").alias("start"), (end + 1).alias("next"))
+    jump, starts = written(jump, "jumps"), base.select(F.col("first").alias("start"))
+    while True:
+        new = written(starts.join(jump, "start").select(F.col("next").alias("start")), "starts")
+        if new.isEmpty():
+            break
+        starts = written(starts.unionByName(new), "starts")
+        jump = written(jump.join(jump.select(F.col("start").alias("next"), F.col("next").alias("far")), "next").select("start", F.col("far").alias("next")), "jumps")
+    marked = run.join(starts.select(F.col("start").alias("place"), F.lit(1).cast("long").alias("opens")), "place", "left").fillna(0, ["opens"])
+    counted = running_sums(marked.select("source_chunk", "table_id", F.col("place").alias("at"), "first", "opens"), ["at"], "opens", "n").drop("place")
+    own = counted.where(F.col("at") == F.col("first")).select("source_chunk", F.col("n").alias("n0"))
+    name = F.format_string("shard-%s-%04d", F.col("source_chunk"), F.col("n") - F.col("n0"))
+    return counted.join(own, "source_chunk").select("table_id", name.alias("shard"))
 
 
 def build_manifest(parts: DataFrame, input_root: str, shard_size_mb: float, dedup: bool = True) -> DataFrame:

@@ -150,6 +150,23 @@ def test_pack_shards_fills_to_the_target(spark):
     assert sizes == [3, 3, 3, 1]
 
 
+@pytest.mark.parametrize("target", [1, 50, 120, 10_000])
+def test_pack_shards_equals_a_greedy_loop(spark, target):
+    rng = np.random.default_rng(target)
+    rows = [(f"c{c}", f"p{i:03d}", f"c{c}-{i}", int(x)) for c, n in ((0, 150), (1, 1), (2, 7)) for i, x in enumerate(rng.choice([0, 1, 5, 30, 119, 120, 500], n))]
+    want = {}
+    for c in ("c0", "c1", "c2"):
+        n, held = 0, 0
+        for _, _, table, size in (r for r in rows if r[0] == c):
+            want[table] = f"shard-{c}-{n:04d}"
+            held += size
+            if held >= target:
+                n, held = n + 1, 0
+    t = spark.createDataFrame(rows, "source_chunk string, source_path string, table_id string, size long").repartition(3)
+    assert {r["table_id"]: r["shard"] for r in shards.pack_shards(t, target).collect()} == want
+    assert shards.pack_shards(t.limit(0), target).count() == 0
+
+
 def test_replay_balances(spark):
     s = spark.createDataFrame([(str(i), "y", i % 4 == 0) for i in range(100)], "table_id string, target_column string, is_regression boolean")
     assert {r[1] for r in tasks.balance_by_replay(s, 1).groupBy("is_regression").count().collect()} == {75}
@@ -328,3 +345,34 @@ def test_sketches_decide_as_exact_counts(spark):
         assert (m["num_rows"], m["n_non_null"]) == (r["num_rows"], r["n_non_null"]) and abs(m["k"] - r["n_distinct"]) <= profile.SKETCH_ERROR * r["n_distinct"]
     wide = spark.range(300).select(*(F.pmod("id", F.lit(i + 1)).alias(f"c{i}") for i in range(200)))
     assert {r["col_name"]: r["n_distinct"] for r in profile.profile_table(wide, "w").collect()} == {f"c{i}": i + 1 for i in range(200)}
+
+
+@pytest.mark.parametrize("pattern, history, part", [("ccccbrccbrrrcbc", 3, 2), ("b", 5, 2), ("cccc", 5, 2), ("rrrrrcbbccr", 50, 3), ("bbbb", 1, 1), ("rc" * 30, 4, 7)])
+def test_replays_stand_where_a_running_loop_puts_them(spark, pattern, history, part):
+    """r: a table with a regression target, c: a classification target, b: both (the order within a table alternates)."""
+    rows = []
+    for t, x in enumerate(pattern):
+        kinds = {"r": [True], "c": [False], "b": [True, False] if t % 2 else [False, True]}[x]
+        rows += [(f"t{t}", f"y{int(k)}", k, t, i) for i, k in enumerate(kinds)]
+    specs = spark.createDataFrame(rows, "table_id string, target_column string, is_regression boolean, table_place long, position int")
+    h = {(r["seq"], r["k"]): r["h"] for r in spark.range(200).crossJoin(spark.range(1, 100).withColumnRenamed("id", "k")).select(F.col("id").alias("seq"), "k", core.h32(9, F.col("id"), F.col("k")).alias("h")).collect()}
+    want, past, count, seq = [], {True: [], False: []}, {True: 0, False: 0}, -1
+    for t in range(len(pattern)):
+        own = [r for r in rows if r[3] == t]
+        for r in own:
+            past[r[2]].append(r[:3])
+        for r in own:
+            seq += 1
+            count[r[2]] += 1
+            want.append((seq, False, *r[:3]))
+            k = 0
+            while count[True] != count[False]:
+                rare = count[True] < count[False]
+                if not past[rare]:
+                    break
+                k += 1
+                pool = past[rare][-history:]
+                want.append((seq, True, *pool[h[seq, k] % len(pool)]))
+                count[rare] += 1
+    found = sorted(tuple(r) for r in tasks.replay_places(specs, 9, history, part).select("place", "seq", "replay", "table_id", "target_column", "is_regression").collect())
+    assert found == [(i, *w) for i, w in enumerate(want)]
