@@ -14,6 +14,7 @@ columns are ignored. Offsets are code points. Scans are linear in the text, what
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -132,28 +133,50 @@ def _separated(span: str) -> str:
     return "n" if not signs else "m" if len(signs) > 1 else {" ": "b", "(": "m", ")": "m"}.get(next(iter(signs)), next(iter(signs)))
 
 
+def clear_of(base: list[tuple], loose: list[tuple]) -> list[tuple]:
+    """Of the spans loose, (start, end, ...), those that overlap none of base, by start. Base spans are merged, so one search decides."""
+    starts, ends = [], []
+    for start, end in sorted(x[:2] for x in base):
+        if starts and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    out = []
+    for x in sorted(loose):
+        i = bisect.bisect_left(starts, x[1]) - 1
+        if i < 0 or ends[i] <= x[0]:
+            out.append(x)
+    return out
+
+
+def leftmost(spans: list[tuple]) -> list[tuple]:
+    """Of spans by start, each that begins after the last one taken has ended."""
+    out, at = [], -1
+    for x in spans:
+        if x[0] >= at:
+            out.append(x)
+            at = x[1]
+    return out
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base (kind:start:end), loose (kind:start:end:votes) and patterns of all candidates."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base (kind:start:end), loose (kind:start:end:votes, clear of base) and patterns of all candidates."""
 
     def make():
         def one(text: str | None):
             text = text or ""
             base, loose, seen, n = [], [], [], [0, 0, 0, 0]
             for kind, start, end, is_base, valid in candidates(text):
-                pattern = f"{KINDS[kind]}:{votes(text, kind, start, end, valid)}"
-                seen.append(pattern)
+                vote = votes(text, kind, start, end, valid)
+                seen.append(f"{KINDS[kind]}:{vote}")
                 if is_base:
                     n[kind] += 1
-                    base.append((start, kind, end))
+                    base.append((start, end, kind))
                 elif valid:
-                    loose.append((start, kind, end, pattern))
-            taken = [(s, e) for s, _, e in base]
-            free = []
-            for start, kind, end, pattern in sorted(loose):
-                if not any(s < end and start < e for s, e in taken):
-                    taken.append((start, end))
-                    free.append(f"{KINDS[kind]}:{start}:{end}:{pattern.partition(':')[2]}")
-            return n, [f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(base)], free, seen
+                    loose.append((start, end, kind, vote))
+            loose = [f"{KINDS[k]}:{s}:{e}:{v}" for s, e, k, v in clear_of(base, loose)]
+            return n, [f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted((s, k, e) for s, e, k in base)], loose, seen
 
         def run(batch: pa.RecordBatch) -> dict:
             rows = [one(t) for t in batch.column(1).to_pylist()]
@@ -207,10 +230,21 @@ def learn(scanned: DataFrame) -> dict[str, float]:
 def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_*, base and added (arrays of kind:start:end) of every row of docs(doc_id, text)."""
     scanned = written(scan(docs), "pii")
-    personal = [p for p, x in learn(scanned).items() if x >= threshold]
-    pattern = lambda c: F.concat(F.element_at(F.split(c, ":"), 1), F.lit(":"), F.element_at(F.split(c, ":"), 4))
-    kept = F.filter("loose", lambda c: pattern(c).isin(personal)) if personal else F.array().cast("array<string>")
-    return scanned.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", F.transform(kept, lambda c: F.substring_index(c, ":", 3)).alias("added"))
+    personal = frozenset(p for p, x in learn(scanned).items() if x >= threshold)
+
+    def make():
+        def chosen(loose: list[str]) -> list[str]:
+            spans = [(int(s), int(e), kind) for kind, s, e, vote in (x.split(":", 3) for x in loose) if f"{kind}:{vote}" in personal]
+            return [f"{kind}:{s}:{e}" for s, e, kind in leftmost(spans)]
+
+        def run(batch: pa.RecordBatch) -> dict:
+            held = {c: batch.column(c) for c in batch.schema.names if c != "loose"}
+            return held | {"added": pa.array([chosen(x) for x in batch.column("loose").to_pylist()], pa.list_(pa.string()))}
+
+        return run
+
+    counts = "n_email long, n_ip long, n_card long, n_phone long"
+    return map_batches(scanned.drop("patterns"), make, f"doc_id long, {counts}, base array<string>, added array<string>")
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -227,7 +261,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 base.append((start, end, kind))
             elif valid and f"{KINDS[kind]}:{votes(text, kind, start, end, valid)}" in personal:
                 loose.append((start, end, kind))
-        spans = sorted(base + [x for x in loose if not any(s < x[1] and x[0] < e for s, e, _ in base)])
+        spans = sorted(base + leftmost(clear_of(base, loose)))
         out, at = [], 0
         for start, end, kind in spans:
             if start >= at:

@@ -86,6 +86,45 @@ def test_base_spans_equal_the_patterns(spark):
         pii.candidates(t)
 
 
+def test_pii_spans_are_the_same_found_and_redacted(spark):
+    rng = random.Random(21)
+    parts = ["212-555-0147", "(212) 555-0147", "call", "ssn", "078-05-1120", "GB82WEST12345698765432", "4111111111111111", "4111 1111 1111 1111", "+1 212 555 0147", "a@b.co", "a [at] b [dot] co", "10.0.0.1", "iban", "12", "."]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) if i % 3 else "".join(rng.choice(parts) for _ in range(rng.randint(1, 10))) for i in range(150)]
+    d = docs(spark, texts)
+    found = {r["doc_id"]: [*r["base"], *r["added"]] for r in pii.find(d).collect()}
+    for r in pii.redact(d).collect():
+        spans, out, at = sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in found[r["doc_id"]])), [], 0
+        for start, end, kind in spans:
+            if start >= at:
+                out += [texts[r["doc_id"]][at:start], f"<{kind}>"]
+            at = max(at, end)
+        assert r["text"] == "".join([*out, texts[r["doc_id"]][at:]])
+    assert sum(len(v) for v in found.values()) > 500
+
+
+def test_pii_spans_by_brute_force():
+    rng = random.Random(22)
+    for _ in range(300):
+        base, loose = ([(s, s + rng.randint(1, 9)) for s in (rng.randrange(60) for _ in range(rng.randint(0, 12)))] for _ in range(2))
+        want, taken = [], -1
+        clear = [x for x in sorted(loose) if not any(s < x[1] and x[0] < e for s, e in base)]
+        for x in clear:
+            if x[0] >= taken:
+                want.append(x)
+                taken = x[1]
+        assert pii.clear_of(base, loose) == clear and pii.leftmost(clear) == want
+
+
+def test_pii_is_linear_in_the_spans(spark):
+    text = "call 212-555-0147, a@b.co; " * 50_000
+    began = time.time()
+    row = pii.find(docs(spark, [text])).first()
+    assert time.time() - began < 60 and row["n_email"] == 50_000 and len(row["added"]) in (0, 50_000)
+    began = time.time()
+    pii.leftmost(pii.clear_of([(i, i + 3) for i in range(0, 10**6, 10)], [(i + 5, i + 8) for i in range(0, 10**6, 10)]))
+    assert time.time() - began < 5
+
+
 def test_pii_finds_and_redacts(spark):
     d = docs(spark, [*EDGE, "mail me: jo.doe@example.com or jo (at) example (dot) org", "call (314) 555-6532 now, host 10.1.2.3", "card 4111 1111 1111 1111, bad 4111 1111 1111 1112"])
     rows = {r["doc_id"]: r for r in pii.find(d).collect()}
