@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fitting, table
 
 SAMPLE, MAX_CHARS = 300, 4_000_000
 NEAR, SAME = 0.5, 0.7  # capacities of edges: next block; next block of the same container
@@ -41,7 +41,7 @@ RAW = frozenset("script style title template textarea iframe select option butto
 CLOSED = {tag: re.compile(f"</{tag}(?:[\\s/>]|\\Z)", re.I | re.A) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SURROUNDINGS = frozenset("nav aside footer form menu dialog fieldset search".split())
-NEGATIVE = frozenset("nav navbar navigation menu header masthead topbar footer sidebar aside ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies notice notices consent gdpr popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar login signup search contentinfo complementary alert dialog copyright legal disclaimer tags teaser".split())
+NEGATIVE = frozenset("nav navbar navigation menu header masthead topbar footer sidebar aside ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies notice notices consent gdpr popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar login signup search contentinfo complementary alert dialog copyright legal disclaimer tags".split())
 # words that say nothing inside an article, whose forms and menus are elements of their own; words that only name a box
 OUTSIDE = frozenset("search login signup legal tags overlay".split())
 PLACES = frozenset("area bar block body bottom box buttons card cards col column container entries fixed float form global group home icons inner inline item items layout left level line link links list lists lower main mobile outer page panel posts articles stories primary region right row secondary section site small sticky text top upper wrap wrapper".split())
@@ -238,39 +238,74 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
     core = [u for u in range(n) if side[u] is None]
     if not core:
         return [bool(s) for s in side]
-    rest = {u: dict(near[u]) for u in core}  # residual capacities
-    supply = {u: max(0.0, gain[u]) for u in core}
-    demand = {u: max(0.0, -gain[u]) for u in core}
-    while True:
-        before: dict[int, int | None] = {u: None for u in core if supply[u] > 1e-12}
-        queue, goal = deque(before), None
-        while queue and goal is None:
-            u = queue.popleft()
-            if demand[u] > 1e-12:
-                goal = u
-                break
-            for v, c in rest[u].items():
-                if c > 1e-12 and v not in before:
-                    before[v] = u
-                    queue.append(v)
-        if goal is None:
-            break
-        path, u = [goal], goal
-        while before[u] is not None:
-            u = before[u]
-            path.append(u)
-        path.reverse()
-        flow = min(supply[path[0]], demand[goal], *(rest[a][b] for a, b in zip(path, path[1:], strict=False)))
-        supply[path[0]] -= flow
-        demand[goal] -= flow
-        for a, b in zip(path, path[1:], strict=False):
-            rest[a][b] -= flow
-            rest[b][a] = rest[b].get(a, 0.0) + flow
+    number = {u: k for k, u in enumerate(core)}
+    reached = _max_flow([gain[u] for u in core], [(number[u], number[v], c) for u in core for v, c in near[u].items() if u < v])
     for u in core:
-        side[u] = u in before
+        side[u] = reached[number[u]]
     return [bool(s) for s in side]
 
 
+def _max_flow(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """Nodes that the source still reaches after a maximum flow: level graphs and blocking flows, each found with one pass over
+    the arcs, along paths kept on a stack."""
+    n, tiny = len(gain), 1e-12
+    supply, demand = [max(0.0, g) for g in gain], [max(0.0, -g) for g in gain]
+    to, room, arcs = [], [], [[] for _ in range(n)]
+    for u, v, c in edges:
+        arcs[u].append(len(to))
+        arcs[v].append(len(to) + 1)
+        to += (v, u)
+        room += (c, c)
+    while True:
+        level = [0 if s > tiny else -1 for s in supply]
+        wave, deep, goal = [u for u in range(n) if level[u] == 0], 0, False
+        while wave and not goal:
+            goal = any(demand[u] > tiny for u in wave)
+            deep += 1
+            ahead = []
+            for u in wave:
+                for a in arcs[u]:
+                    v = to[a]
+                    if level[v] < 0 and room[a] > tiny:
+                        level[v] = deep
+                        ahead.append(v)
+            wave = ahead
+        if not goal:
+            return [x >= 0 for x in level]
+        at = [0] * n
+        for start in range(n):
+            path: list[int] = []
+            u = start
+            while level[start] == 0 and supply[start] > tiny:
+                if demand[u] > tiny:
+                    flow = min(supply[start], demand[u], *(room[a] for a in path)) if path else min(supply[start], demand[u])
+                    supply[start] -= flow
+                    demand[u] -= flow
+                    keep = len(path)
+                    for k, a in enumerate(path):
+                        room[a] -= flow
+                        room[a ^ 1] += flow
+                        if room[a] <= tiny:
+                            keep = min(keep, k)
+                    u = to[path[keep] ^ 1] if keep < len(path) else u
+                    del path[keep:]
+                    continue
+                while at[u] < len(arcs[u]):
+                    a = arcs[u][at[u]]
+                    if room[a] > tiny and level[to[a]] == level[u] + 1:
+                        break
+                    at[u] += 1
+                else:  # nothing leads on from here
+                    level[u] = -2
+                    if not path:
+                        break
+                    u = to[path.pop() ^ 1]
+                    at[u] += 1
+                    continue
+                path.append(a)
+                u = to[a]
+
+
 def main_text(page: str | None, weights: np.ndarray = WEIGHTS) -> str:
     found = blocks(page)
     if not found:
@@ -283,7 +318,10 @@ def main_text(page: str | None, weights: np.ndarray = WEIGHTS) -> str:
         if container in last:
             edges.append((last[container], i, SAME))
         last[container] = i
-    return "\n".join(f[0] for f, keep in zip(found, minimum_cut(gain, edges), strict=True) if keep)
+    kept = [f[0] for f, keep in zip(found, minimum_cut(gain, edges), strict=True) if keep]
+    if not kept:  # a page is about something: what stands in no surroundings is its text
+        kept = [text for text, e, _, _ in found if e is None or not (e.surroundings or e.negative or e.comments or e.header)]
+    return "\n".join(kept)
 
 
 def train(pages: list[str], steps: int = 200, pull: float = 0.02) -> np.ndarray:
@@ -310,15 +348,11 @@ def train(pages: list[str], steps: int = 200, pull: float = 0.02) -> np.ndarray:
 def fit(pages: DataFrame, sample: int = SAMPLE, max_chars: int = MAX_CHARS) -> np.ndarray:
     spark = pages.sparkSession
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").where("page_id is not null and html is not null")
-    ids = keyed.select("page_id", F.length("html").alias("n")).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
-    some, total = [], 0
-    for r in ids:
-        total += r["n"]
-        if total <= max_chars:
-            some.append((r["page_id"],))
+    ids = keyed.select("page_id", F.length("html").alias("n"), F.lit(0).alias("all")).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
+    some = [(r["page_id"],) for r in fitting(ids, "all", max_chars)]
     if not some:
         return WEIGHTS
-    rows = keyed.join(F.broadcast(spark.createDataFrame(some, "page_id long").distinct()), "page_id").limit(2 * sample).collect()
+    rows = keyed.join(F.broadcast(spark.createDataFrame(some, "page_id long").distinct()), "page_id").select("page_id", F.substring("html", 1, max_chars).alias("html")).limit(2 * sample).collect()
     return train([r["html"] for r in sorted(rows, key=lambda r: (r["page_id"], r["html"]))][:sample])
 
 

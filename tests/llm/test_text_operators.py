@@ -273,6 +273,37 @@ def test_items_that_a_third_of_the_documents_hold(spark, size):
     assert {r["doc_id"] for r in decontaminate.clean(d, bench).collect()} == set(range(300)) - {i for i, _ in leaks}
 
 
+def test_minimum_cut_of_many_doubtful_blocks():
+    rng = random.Random(3)
+    for n, spread in ((20_000, 1.0), (20_000, 0.2)):
+        gain = [rng.uniform(-spread, spread) for _ in range(n)]
+        edges = [(i - 1, i, 0.5) for i in range(1, n)] + [(i - 7, i, 0.7) for i in range(7, n, 7)]
+        began = time.time()
+        side = html_extract.minimum_cut(gain, edges)
+        assert time.time() - began < 20 and len(side) == n  # about 2 s alone
+    for _ in range(200):  # larger than what can be tried out: no single flip and no run of equal flips makes it cheaper
+        n = 30
+        gain = [rng.uniform(-1, 1) for _ in range(n)]
+        edges = [(i - 1, i, 0.5) for i in range(1, n)] + [(i - 3, i, 0.7) for i in range(3, n, 3)]
+        price = lambda s: sum(-g for g, x in zip(gain, s, strict=True) if (g < 0) == x and g < 0) + sum(g for g, x in zip(gain, s, strict=True) if g > 0 and not x) + sum(c for u, v, c in edges if s[u] != s[v])  # noqa: B023, E731
+        side = html_extract.minimum_cut(gain, edges)
+        own = price(side)
+        for a in range(n):
+            for b in range(a + 1, n + 1):
+                for x in (True, False):
+                    assert price(side[:a] + [x] * (b - a) + side[b:]) >= own - 1e-9
+
+
+def test_html_keeps_what_stands_in_no_surroundings(spark):
+    assert html_extract.main_text("<p>Hello</p>") == "Hello"
+    assert html_extract.main_text("<nav>Menu</nav><p>Hello</p><footer>c</footer>") == "Hello"
+    assert "Short lead." in html_extract.main_text("<article><h1>News</h1><p class='teaser'>Short lead.</p><p>And a long sentence about it, with all there is to say.</p></article>")
+    big = "<article>" + "<p>word word word.</p>" * 20_000 + "</article><nav>x</nav>"
+    rows = [(i, "u", big if i % 2 else PAGE) for i in range(12)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert (html_extract.fit(p, max_chars=20_000) != html_extract.WEIGHTS).any()  # pages that do not fit are left out, not the rest
+
+
 def test_html_long_pages_have_the_same_grammar():
     end = '<p title="a>b">One sentence here.</p><div data-x="a>b" class="comments"><p>Other words.</p></div>'
     want = [(t, e.comments) for t, e, _, _ in html_extract.blocks(end)]
