@@ -9,8 +9,9 @@ How many are popped is measured, not given: for a bounded sample of queries, the
 the least number that reaches the share RECALL of them.
 
 In Spark: equal vectors become one item with its k + 1 smallest ids (no answer can hold more of them), so copies that hold a third of all rows are one
-item. Leaves side by side form regions of about TILE items, a larger leaf is split by a hash of its items, and queries of a region are split into tiles
-as well: a group of the cogroup is one tile of items and one of queries. Inside, popped leaves are multiplied, the best are computed again one by one in
+item. Leaves side by side form regions of up to TILE_MB of items, a larger leaf is split by a hash of its items, and queries of a region are split into tiles
+as well: a group of the cogroup is one tile of items and one of queries. A query takes k + 1 ids from each tile that it asks, so tiles are as large as a task's
+memory allows. Inside, popped leaves are multiplied, the best are computed again one by one in
 double precision on the vectors as given (the exact reranking), and k + 1 ids a query go on; a last grouping merges the tiles.
 
 Bounds: SAMPLE vectors (or SAMPLE_MB) for the medians, PROBES queries for the number of pops, both by a hash of the id. Leaves a tree: rows / LEAF, at most an
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 K, EVERY, TREES, LEAF, RECALL, SEED = 20, 20, 4, 64, 0.95, 12
-SAMPLE, SAMPLE_MB, PROBES, TILE, CHUNK, SLACK = 65_536, 64, 128, 8192, 128, 1e-12
+SAMPLE, SAMPLE_MB, PROBES, CHUNK, SLACK = 65_536, 64, 128, 128, 1e-12
+#: MB of a tile of items as doubles, queries of a tile at most and (while there are fewer tiles than cores) at least, and products at once.
+TILE_MB, ASKED, FEW, PRODUCTS = 32, 4096, 512, 1 << 22
 #: Cost of a side, per square root of the number of coordinates.
 SLOPE = 0.8
 
@@ -167,7 +170,7 @@ def measure_pops(leafed: DataFrame, queries: DataFrame, n_queries: int, forest:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in batches:
-            for part in (batch.slice(at, TILE) for at in range(0, batch.num_rows, TILE)):
+            for part in (batch.slice(at, 8192) for at in range(0, batch.num_rows, 8192)):
                 x, leaf = matrix(part.column("v"), width), np.array(part.column("leaves").to_pylist(), np.int32).reshape(part.num_rows, -1)
                 i, j, s = _best(q, x, None, k + 1)
                 other = (q[i] != x[j]).any(1)
@@ -205,7 +208,7 @@ def regions(counts: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
     return of, np.array(blocks)
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, tile: int = TILE) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, tile: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query."""
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -222,7 +225,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TRE
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = forest.directions()
-        for batch in (b.slice(at, TILE) for b in batches for at in range(0, b.num_rows, TILE)):
+        for batch in (b.slice(at, 8192) for b in batches for at in range(0, b.num_rows, 8192)):
             found = forest.leaves(matrix(batch.column("v"), width), r)
             yield pa.RecordBatch.from_pydict({"item": batch.column("item"), "ids": batch.column("ids"), "v": batch.column("v"), "leaves": pa.array(list(found), pa.list_(pa.int32()))})
 
@@ -231,6 +234,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TRE
     counts = np.zeros((trees, forest.leaves_per_tree), np.int64)
     for r in leafed.select(F.posexplode("leaves").alias("t", "leaf")).groupBy("t", "leaf").count().collect():  # a row for each leaf
         counts[r["t"], r["leaf"]] = r["count"]
+    tile = tile or max(1024, TILE_MB * 2**20 // (8 * width))
     of, blocks = regions(counts, tile)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +257,9 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TRE
 
     asked = written(queries.mapInArrow(ask, f"region int, query long, v {kind}, asked array<int>"), "asked")
     per = {r["region"]: r["count"] for r in asked.groupBy("region").count().collect()}  # a row for each region
-    tiles = F.broadcast(spark.createDataFrame([(i, int(b), -(-per[i] // tile)) for i, b in enumerate(blocks) if i in per], "region int, blocks int, parts int"))
+    wanted = -(-2 * spark.sparkContext.defaultParallelism // max(1, sum(int(blocks[i]) for i in per)))
+    parts = {i: max(-(-n // ASKED), min(-(-n // FEW), wanted)) for i, n in per.items()}
+    tiles = F.broadcast(spark.createDataFrame([(i, int(blocks[i]), parts[i]) for i in per], "region int, blocks int, parts int"))
     dealt = leafed.mapInArrow(deal, f"region int, leaf int, item long, ids array<long>, v {kind}").join(tiles, "region")
     dealt = dealt.select("region", F.pmod(F.xxhash64("item"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "leaf", "ids", "v")
     sent = asked.join(tiles, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query"), "parts").cast("int").alias("part"), "query", "v", "asked")
@@ -276,8 +282,9 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TRE
             ask[i[inside], j[inside]] = True
             q = matrix(wanted.column("v"), width)
             order = np.argsort(ask.argmax(1), kind="stable")  # queries that ask for the same leaves side by side
-            for at in range(0, len(order), CHUNK):
-                rows_ = order[at : at + CHUNK]
+            step = max(16, PRODUCTS // len(x))
+            for at in range(0, len(order), step):
+                rows_ = order[at : at + step]
                 cols = np.flatnonzero(ask[rows_].any(0)[leaves - low])
                 if not len(cols):
                     continue
