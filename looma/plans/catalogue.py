@@ -14,7 +14,9 @@ from ..functions import core
 from ..operators import cells as cells_mod
 from ..operators import assemble, embed, encode, metrics, profile, split, tables, tasks, verbalize
 from ..sources import collection, shards, tablefiles
+from ..sources.vectors import EmbeddingCache
 from ..sources.scratch import scratch_folder
+from ..streaming import tables as streaming
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -209,6 +211,7 @@ def _last_sql() -> str:
     return "last AS (SELECT *, CASE WHEN numeric THEN k_number ELSE k_text END AS k FROM (" + " UNION ALL ".join(parts) + "))"
 
 
+# The reasons and the labels that follow from them.
 REASON = """CASE WHEN num_rows = 0 THEN 'empty_table' WHEN n_non_null = 0 THEN 'all_null_target' WHEN date_like THEN 'date_like_target' WHEN (num_rows - n_non_null) / num_rows > 0.5 THEN 'missing_ratio_gt_50_percent'
  WHEN numeric THEN CASE WHEN k / num_rows <= 0.2 THEN 'numeric_discrete_target' WHEN integer_like AND k <= 20 THEN 'numeric_integer_low_cardinality_target' ELSE 'numeric_continuous_target' END
  WHEN k / num_rows <= 0.2 THEN 'categorical_discrete_target' WHEN k < n_non_null AND k <= 20 THEN 'categorical_low_cardinality_target' ELSE 'non_numeric_high_cardinality_target' END"""
@@ -921,6 +924,22 @@ def tokens(spark, d):
     return read(spark, d, "embeddings").select(F.col("label").alias("k"), F.col("vec_id").alias("pos"), (F.col("vec_id") % 3 != 0).cast("int").alias("mask"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
+@query("h1_lasting_cache", """WITH c AS (SELECT conv_id, turn, row_number() OVER () AS rid, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS words, text FROM conversations),
+w AS (SELECT rid, md5(unnest(CASE WHEN len(words) = 0 THEN [' '] ELSE words END)) AS h FROM c WHERE text IS NOT NULL),
+p AS (SELECT rid, ('0x' || substr(h, 1, 2))::INT % 32 AS place, sum(CASE WHEN substr(h, 15, 2) >= '80' THEN 1.0 ELSE -1.0 END) AS x FROM w GROUP BY ALL),
+n AS (SELECT rid, greatest(sqrt(sum(x * x)), 1e-12) AS norm, sum(x * (place + 1)) AS weighted, sum(x) AS total FROM p GROUP BY rid)
+SELECT conv_id, turn, round(weighted / norm, 5) AS weighted, round(total / norm, 5) AS total FROM c LEFT JOIN n USING (rid)""")
+def _(spark, d):
+    """Vectors of all turns, by a cache that met half of the conversations in an earlier batch."""
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    cache = EmbeddingCache(spark, scratch_folder(spark, "vectors"), buckets=8)
+    encoder = embed.HashingEncoder()
+    cache.embed(turns.where("conv_id % 2 = 0"), "text", encoder)
+    out = cache.embed(turns, "text", encoder)
+    weighted = F.aggregate(F.arrays_zip("vector", F.sequence(F.lit(1), F.size("vector")).alias("i")), F.lit(0.0), lambda a, x: a + x["vector"] * x["i"])
+    return out.select("conv_id", "turn", F.round(weighted, 5).alias("weighted"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
 @query("h2_pool_tokens", f"WITH {TOK}, m AS (SELECT k, avg(v[1]) AS a, avg(v[64]) AS b FROM tk WHERE mask = 1 GROUP BY k), f AS (SELECT k, arg_min(v, pos) AS v FROM tk GROUP BY k), l AS (SELECT k, arg_max(v, pos) AS v FROM tk WHERE mask = 1 GROUP BY k) SELECT k, round(a, 5) AS mean_0, round(b, 5) AS mean_63, round(f.v[1]::DOUBLE, 5) AS cls_0, round(l.v[1]::DOUBLE, 5) AS last_0 FROM m JOIN f USING (k) JOIN l USING (k)")
 def _(spark, d):
     t = tokens(spark, d)
@@ -1102,6 +1121,33 @@ def _(spark, d):
     return read(spark, d, "orders").select("o_orderkey", s.alias("score"))
 
 
+# --- streams -------------------------------------------------------------------------------------------------------
+
+
+@query("g1_stream_tables", f"WITH {profile_sql(ALL)}, r AS (SELECT table_id, {ROUTE} AS task FROM prof) SELECT DISTINCT table_id, task = 'regression' AS is_regression FROM r WHERE task <> 'none'")
+def _(spark, d):
+    """The given tables' files as a stream, whose checkpoint is lost once: the second run writes nothing again."""
+    out = scratch_folder(spark, "specs")
+    for run in range(2):
+        streaming.stream_tables(spark, d, f"{out}/specs", f"{out}/checkpoint-{run}", SEED).awaitTermination()
+    return spark.read.parquet(f"{out}/specs").select(file_stem("table_id").alias("table_id"), "is_regression")
+
+
+def event_stream(spark, d):
+    """The given events as a stream of specs."""
+    events = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return events.select((F.col("event_id") + 1).alias("seq"), F.col("user_id").cast("string").alias("table_id"), F.coalesce(F.col("value") > 10, F.lit(False)).alias("is_regression"))
+
+
+@query("g2_running_skip", f"""WITH RECURSIVE s AS (SELECT event_id + 1 AS seq, CAST(user_id AS VARCHAR) AS table_id, coalesce(value > 10, false) AS r, (event_id + 1) % 8 AS share, {H("'7'", 'event_id + 1')} / 4294967296.0 AS u,
+ row_number() OVER (PARTITION BY (event_id + 1) % 8 ORDER BY event_id) AS i FROM events),
+w AS (SELECT share, i, seq, table_id, r, true AS kept, 1 AS seen, r::INT AS reg FROM s WHERE i = 1
+ UNION ALL SELECT share, i, seq, table_id, r, k, seen + k::INT, reg + (k AND r)::INT FROM (SELECT s.*, w.seen, w.reg, w.seen < 7 OR s.u >= 2 * ((CASE WHEN s.r THEN w.reg ELSE w.seen - w.reg END) / w.seen - 0.5) AS k FROM w JOIN s ON s.share = w.share AND s.i = w.i + 1))
+SELECT CAST(share AS INT) AS share, seq, table_id, r AS is_regression FROM w WHERE kept""")
+def _(spark, d):
+    return streaming.run_to_table(streaming.running_skip(event_stream(spark, d), SEED, shares=8), "skip")
+
+
 # --- estimators ----------------------------------------------------------------------------------------------------
 
 

@@ -5,24 +5,36 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.core import h32
 from ..operators import profile, tasks
 from ..sources import collection
+from ..sources.scratch import scratch_folder
 
 
 def stream_tables(spark: SparkSession, root: str, specs_path: str, checkpoint: str, seed: int = 0, trigger: dict | None = None):
-    """New Parquet files under root: their targets are chosen and appended once for each table id. A batch that is run
-    again writes to the folder of its own number, so nothing appears twice."""
+    """New Parquet files under root: their targets are chosen and written once for each table id.
+
+    A batch that is run again writes to the folder of its own run and number once more, and tables whose specs another folder holds are left out
+    before they are decoded. So nothing appears twice, also when the checkpoint is lost and every file arrives anew. A table
+    counts as done with its specs; one without a target is looked at again by a new run."""
     files = spark.readStream.format("binaryFile").schema(collection.FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
 
     def batch(frame: DataFrame, number: int) -> None:
-        decoded = frame.select("path", "content").mapInArrow(collection._decode, "path string, num_rows long, num_cols long, table_bytes binary, error string").where("error is null and num_rows > 0")
+        session = frame.sparkSession
+        run = session.sparkContext.getLocalProperty("sql.streaming.queryId")  # lasts as long as the checkpoint
+        try:
+            done = session.read.parquet(specs_path).where(~((F.col("run") == run) & (F.col("batch") == number))).select(F.col("table_id").alias("path")).distinct()
+        except AnalysisException:  # nothing has been written yet
+            done = None
+        fresh = frame if done is None else frame.join(done, "path", "left_anti")
+        decoded = fresh.select("path", "content").mapInArrow(collection._decode, "path string, num_rows long, num_cols long, table_bytes binary, error string").where("error is null and num_rows > 0")
         cells = collection.blobs_to_cells(decoded.select(F.col("path").alias("table_id"), "table_bytes"))
-        specs = tasks.choose_targets(profile.profile_columns(cells), seed)
-        specs.write.mode("overwrite").parquet(f"{specs_path}/batch={number}")
+        tasks.choose_targets(profile.profile_columns(cells), seed).write.mode("overwrite").parquet(f"{specs_path}/run={run}/batch={number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -32,29 +44,54 @@ def task_counts(specs: DataFrame) -> DataFrame:
     return specs.groupBy("is_regression").agg(F.count(F.lit(1)).alias("n"))
 
 
-def running_skip(specs: DataFrame, seed: int, warm_up: int = 50) -> DataFrame:
-    """specs (table_id, is_regression) whose task does not have too large a share so far. The rule is about one running
-    share, so it has one state; only ids and flags pass through it."""
+#: Keys that share the running counts of a stream.
+SHARES = 32
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Share(StatefulProcessor):
+    """One of the keys that share a stream's counts: specs it has let through, and how many of them are regression."""
+
+    def __init__(self, warm_up: int):
+        self.warm_up = warm_up
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "seen long, regression long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (names of the interface)
+        seen, regression = self.counts.get() if self.counts.exists() else (0, 0)
+        batch = pd.concat(list(rows)).sort_values("seq")
+        kept = []
+        for is_regression, chance in zip(batch["is_regression"].tolist(), batch["chance"].tolist(), strict=True):
+            share = (regression if is_regression else seen - regression) / seen if seen else 0.0
+            keep = seen < self.warm_up or share <= 0.5 or chance >= 2 * (share - 0.5)
+            kept.append(keep)
+            seen, regression = seen + keep, regression + (keep and is_regression)
+        self.counts.update((seen, regression))
+        yield batch[kept][["share", "seq", "table_id", "is_regression"]]
+
+    def close(self) -> None:
+        pass
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, regression, drawn = state.get if state.exists else (0, 0, 0)
-        for frame in frames:
-            kept = []
-            for table_id, is_regression in zip(frame["table_id"], frame["is_regression"], strict=True):
-                share = (regression if is_regression else seen - regression) / seen if seen else 0.0
-                drawn += 1
-                u = (hash_of(seed, drawn)) / 4294967296.0
-                if seen < warm_up or u >= 2 * (share - 0.5):
-                    kept.append((table_id, bool(is_regression)))
-                    seen, regression = seen + 1, regression + int(is_regression)
-            yield pd.DataFrame(kept, columns=["table_id", "is_regression"])
-        state.update((seen, regression, drawn))
 
-    keyed = specs.withColumn("one", F.lit(1))
-    return keyed.groupBy("one").applyInPandasWithState(step, "table_id string, is_regression boolean", "seen long, regression long, drawn long", "append", GroupStateTimeout.NoTimeout)
+def running_skip(specs: DataFrame, seed: int, warm_up: int = 50, shares: int = SHARES) -> DataFrame:
+    """A stream of specs (seq, table_id, is_regression) without those whose task has had too large a share so far: share, seq, table_id, is_regression.
 
+    The running counts are kept by `shares` keys, to which specs are dealt in turn, so no key sees more than its part of the stream. A key applies the
+    rule to what it has let through itself, after its part of the warm-up; its counts are sums, so those of all keys add up to the stream's
+    (task_counts()). Within a batch a key takes specs in the order of seq. Needs the RocksDB state store."""
+    share = F.pmod("seq", F.lit(shares)).cast("int")
+    keyed = specs.select(share.alias("share"), "seq", "table_id", "is_regression", (h32(seed, F.col("seq")) / F.lit(4294967296.0)).alias("chance"))
+    return keyed.groupBy("share").transformWithStateInPandas(_Share(-(-warm_up // shares)), "share int, seq long, table_id string, is_regression boolean", "Append", "None")
 
-def hash_of(seed: int, n: int) -> int:
-    import hashlib
 
-    return int(hashlib.md5(f"{seed}:{n}".encode()).hexdigest()[:8], 16)
+def run_to_table(stream: DataFrame, what: str) -> DataFrame:
+    """What a stream gives for all that has arrived so far, written to the shared folder, with its checkpoint beside it."""
+    spark, path = stream.sparkSession, scratch_folder(stream.sparkSession, what)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")

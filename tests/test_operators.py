@@ -4,6 +4,7 @@ import http.server
 import json
 import math
 import threading
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,9 @@ from looma.sources import collection, shards
 from looma.streaming import tables as streaming
 
 ROUTES = [
-    ("binary", [i % 2 for i in range(100)], "classification"), ("rating", [i % 5 for i in range(200)], "classification"), ("twenty", [i % 20 for i in range(100)], "classification"), ("twentyone", [i % 21 for i in range(105)], "regression"),
-    ("constant", [7.0] * 100, "none"), ("sparse", [1.0, 2.0, 3.0, 4.0] + [None] * 6, "none"), ("half", [float(i) for i in range(30)] + [None] * 30, "regression"), ("many", [f"v{i % 70}" for i in range(1000)], "none"),
-    ("ten", [f"v{i % 10}" for i in range(1000)], "classification"), ("unique", [f"v{i}" for i in range(100)], "none"), ("yesno", ["yes", "no"] * 50, "classification"), ("bool9", ([True, False] * 5)[:9], "none"), ("bool10", [True, False] * 5, "classification"),
+    ("two values", [5, -3] * 17, "classification"), ("three values, halves", [0.5, 1.5, 2.5] * 40, "classification"), ("twenty", [11 * (i % 20) for i in range(63)], "classification"), ("twenty-one", [11 * (i % 21) for i in range(63)], "regression"),
+    ("one value", [-2.25] * 31, "none"), ("just over half missing", [float(i) for i in range(24)] + [None] * 25, "none"), ("half missing", [float(i) for i in range(25)] + [None] * 25, "regression"), ("sixty-three names", [f"n{i % 63}" for i in range(630)], "none"),
+    ("sixty-two names", [f"n{i % 62}" for i in range(620)], "classification"), ("a fifth are names", [f"n{i % 9}" for i in range(45)], "classification"), ("over a fifth are names", [f"n{i % 9}" for i in range(44)], "none"), ("flags of nine rows", ([False, True] * 5)[:9], "none"), ("flags of ten rows", [False, True] * 5, "classification"),
 ]
 
 
@@ -201,20 +202,43 @@ def test_remote_encoder():
 
 def test_streams(spark, tree, tmp_path):
     specs = str(tmp_path / "specs")
-    for _ in range(2):
-        streaming.stream_tables(spark, tree, specs, str(tmp_path / "ckpt")).awaitTermination()
-    rows = spark.read.parquet(specs)
-    assert rows.count() == rows.select("table_id", "is_regression").distinct().count() > 0
+    want = None
+    for run in ("a", "a", "b", "c"):  # the same checkpoint, then lost ones
+        if run == "c":
+            pq.write_table(pa.table({"v": [j * 0.5 for j in range(30)]}), f"{tree}/chunk-1/h9=__late.parquet")
+        streaming.stream_tables(spark, tree, specs, str(tmp_path / f"checkpoint-{run}")).awaitTermination()
+        rows = [tuple(r) for r in spark.read.parquet(specs).select("table_id", "is_regression", "target_column").collect()]
+        assert len({r[:2] for r in rows}) == len(rows) > 0
+        assert want is None or set(rows) - want == ({r for r in rows if "late" in r[0]} if run == "c" else set()) and want <= set(rows)
+        want = set(rows)
+    assert any("late" in r[0] for r in want)
+
+
+def test_running_skip_over_batches(spark, tmp_path):
+    """Three files, a batch each: the counts go on from batch to batch."""
     flags = str(tmp_path / "flags")
-    spark.createDataFrame([(str(i), i % 10 != 0) for i in range(400)], "table_id string, is_regression boolean").coalesce(1).write.parquet(flags)
-    stream = spark.readStream.schema("table_id string, is_regression boolean").parquet(flags)
-    q = streaming.running_skip(stream, 1).writeStream.format("memory").queryName("kept").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    n = {r[0]: r[1] for r in spark.table("kept").groupBy("is_regression").count().collect()}
-    assert n[False] == 40 and n[True] < 360
+    seqs = list(range(900))
+    for part in range(3):
+        own = seqs[part * 300 : part * 300 + 300]
+        spark.createDataFrame([(s, str(s), s % 10 != 0) for s in own[::-1]], "seq long, table_id string, is_regression boolean").coalesce(1).write.mode("append").parquet(flags)
+        time.sleep(1.1)
+    stream = spark.readStream.schema("seq long, table_id string, is_regression boolean").option("maxFilesPerTrigger", 1).parquet(flags)
+    kept = {r["seq"] for r in streaming.run_to_table(streaming.running_skip(stream, 5, warm_up=8, shares=4), "skip").collect()}
+    chance = {r["s"]: r["h"] / 2**32 for r in spark.range(900).select(F.col("id").alias("s"), core.h32(5, F.col("id")).alias("h")).collect()}
+    want = set()
+    for share in range(4):
+        seen = regression = 0
+        for s in seqs:
+            if s % 4 == share:
+                is_regression = s % 10 != 0
+                part = (regression if is_regression else seen - regression) / seen if seen else 0
+                if seen < 2 or part <= 0.5 or chance[s] >= 2 * (part - 0.5):
+                    want.add(s)
+                    seen, regression = seen + 1, regression + is_regression
+    assert kept == want and 0.4 < sum(s % 10 != 0 for s in kept) / len(kept) < 0.8
     q = streaming.task_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {tuple(r) for r in spark.table("counts").collect()} == {(True, 360), (False, 40)}
+    assert {tuple(r) for r in spark.table("counts").collect()} == {(True, 810), (False, 90)}
 
 
 @pytest.mark.parametrize("bagging, size, bags, rows", [(3, 20, 3, 20), (3, 50, 3, 50), ("auto", 20, 2, 20), ("auto", 50, 1, 30), (1, 20, 1, 20), (1, 50, 1, 30)])

@@ -7,6 +7,7 @@ import pytest
 
 from looma.plans import jobs
 from looma.sources import collection, tablefiles
+from looma.sources.vectors import EmbeddingCache
 
 
 @pytest.fixture
@@ -93,3 +94,31 @@ def test_stores_that_only_spark_reads(spark, folder, monkeypatch):
     want = sorted(tuple(r)[1:6] for r in tablefiles.read_cells(spark, str(folder / "g")).where("error is null").collect())
     monkeypatch.setattr(tablefiles, "reachable", lambda root: False)
     assert sorted(tuple(r)[1:6] for r in tablefiles.read_cells(spark, str(folder / "g")).where("error is null").collect()) == want
+
+
+def test_vectors_last_and_are_joined_without_a_shuffle(spark, tmp_path):
+    met = spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        met.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def rows(texts):
+        return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, vector string")
+
+    cache = EmbeddingCache(spark, str(tmp_path / "v"), 4)
+    first = {r["id"]: r["vector"] for r in cache.embed(rows(["a", "bb", "a", None, ""]), "text", encoder).collect()}
+    assert first == {0: [1.0, 1.0], 1: [2.0, 1.0], 2: [1.0, 1.0], 3: None, 4: [0.0, 1.0]} and met.value == 3
+    spark.sql(f"DROP TABLE {cache.name}")  # another session: the files are still there
+    cache = EmbeddingCache(spark, str(tmp_path / "v"), 4)
+    second = cache.embed(rows(["ccc", "bb", "a"]), "text", encoder)
+    assert {r["id"]: r["vector"] for r in second.collect()} == {0: [3.0, 1.0], 1: [2.0, 1.0], 2: [1.0, 1.0]} and met.value == 4
+    assert cache.table().count() == 4 == cache.table().select("text").distinct().count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = cache.embed(rows(["a"]), "text", encoder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 3  # texts of the batch, their vectors, rows; never the cache
+    assert EmbeddingCache(spark, str(tmp_path / "none"), 4).embed(rows([None]), "text", encoder).first()["vector"] is None
