@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import core
 from ..operators import cells as cells_mod
 from ..operators import assemble, embed, encode, metrics, profile, split, tables, tasks, verbalize
-from ..sources import collection, shards, tablefiles
+from ..sources import collection, committed, shards, tablefiles
 from ..sources.vectors import EmbeddingCache
 from ..sources.scratch import scratch_folder
 from ..streaming import tables as streaming
@@ -408,6 +408,21 @@ def _(spark, d):
     return parts.agg(F.sum("num_rows").alias("num_rows"), F.max("num_cols").alias("num_cols"))
 
 
+@query("a14_committed_sink", "SELECT o_orderkey, o_orderpriority, round(o_totalprice, 2) AS o_totalprice, kind FROM orders, (SELECT unnest(['parquet', 'csv', 'json']) AS kind) WHERE o_orderkey % 3 <> 2 OR kind = 'parquet'")
+def _(spark, d):
+    """Orders through the sink in each kind, the Parquet one in two writes."""
+    o, out = read(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.round("o_totalprice", 2).alias("o_totalprice")), scratch_folder(spark, "sink")
+    first, second = o.where("o_orderkey % 3 <> 2"), o.where("o_orderkey % 3 = 2")
+    read_back = None
+    for kind in committed.KINDS:
+        committed.write_committed(first, f"{out}/{kind}", kind)
+        if kind == "parquet":
+            committed.write_committed(second, f"{out}/{kind}", kind, "append")
+        rows = committed.read_committed(spark, f"{out}/{kind}").withColumn("kind", F.lit(kind))
+        read_back = rows if read_back is None else read_back.unionByName(rows)
+    return read_back
+
+
 @query("a6_encode_table_blob", f"WITH {O_SQL} SELECT table_id, count(*) AS num_rows, count(x) AS n_x, round(sum(x), 2) AS total, count(DISTINCT label) AS labels FROM o GROUP BY table_id")
 def _(spark, d):
     """The order tables as blobs, decoded again."""

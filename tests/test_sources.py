@@ -4,9 +4,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from looma.plans import jobs
-from looma.sources import collection, tablefiles
+from looma.sources import collection, committed, tablefiles
 from looma.sources.vectors import EmbeddingCache
 
 
@@ -122,3 +123,27 @@ def test_vectors_last_and_are_joined_without_a_shuffle(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 2  # texts of the batch and its rows, not the cache
     assert EmbeddingCache(spark, str(tmp_path / "none"), 4).embed(rows([None]), "text", encoder).first()["vector"] is None
+
+
+@pytest.mark.parametrize("kind", committed.KINDS)
+def test_a_killed_write_leaves_no_readable_output(spark, tmp_path, kind):
+    path = str(tmp_path / "out")
+    df = spark.range(1000).repartition(4).select("id", F.concat(F.lit("n,\"\n"), "id").alias("name") if kind != "csv" else F.concat(F.lit("n "), "id").alias("name"))
+    killed = df.withColumn("id", F.when(F.col("id") == 777, F.raise_error(F.lit("killed")).cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="killed"):
+        committed.write_committed(killed, path, kind)
+    with pytest.raises(FileNotFoundError):
+        committed.read_committed(spark, path)
+    committed.write_committed(df, path, kind)
+    want = sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, committed.read_committed(spark, path).collect())) == want
+    with pytest.raises(Exception, match="killed"):
+        committed.write_committed(killed, path, kind)  # what was there before stays
+    (tmp_path / "out" / "_parts" / "left.parquet").write_bytes(b"of a lost task")
+    assert sorted(map(tuple, committed.read_committed(spark, path).collect())) == want
+    committed.write_committed(df.where("id < 10"), path, kind, "append")
+    assert committed.read_committed(spark, path).count() == 1010 == sum(p["rows"] for p in committed.read_manifest(path)["parts"])
+    with pytest.raises(Exception, match="another kind or schema"):
+        committed.write_committed(df.select("id"), path, kind, "append")
+    committed.write_committed(df.limit(0), path, kind)
+    assert committed.read_committed(spark, path).count() == 0
