@@ -1004,6 +1004,42 @@ def _(spark, d):
     return embed.score_batches(chunked(q), c, scorer, "query_id long, n_context long", ["table_id", "chunk"])
 
 
+@query("h5_dot_sigmoid", f"WITH {S_SQL}, dots AS (SELECT query_id, 1 / (1 + exp(-list_dot_product(qx.v, cx.v))) AS s FROM qx, cx) SELECT query_id, round(avg(s), 6) AS mean_similarity, round(min(s), 6) AS least, round(max(s), 6) AS top FROM dots GROUP BY query_id")
+def _(spark, d):
+    s = embed.pairwise_similarity(asked(spark, d), context(spark, d), "dot", True)
+    return s.groupBy("query_id").agg(F.round(F.avg("similarity"), 6).alias("mean_similarity"), F.round(F.min("similarity"), 6).alias("least"), F.round(F.max("similarity"), 6).alias("top"))
+
+
+@query("h5_symmetrised", f"WITH {S_SQL}, one AS (SELECT a.context_id AS a, b.context_id AS b, list_dot_product(a.v, list_reverse(b.v)) * a.v[1] AS s FROM cx a, cx b) SELECT x.a, round(avg((x.s + y.s) / 2), 6) AS mean_similarity, round(max((x.s + y.s) / 2), 6) AS top FROM one x JOIN one y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+def _(spark, d):
+    """A similarity that differs by direction, over all pairs of the context."""
+    c = context(spark, d).select("context_id", "vector")
+    other = embed.bounded(c.select(F.col("context_id").alias("b"), F.reverse("vector").alias("w")))
+    pairs = c.crossJoin(other).select(F.col("context_id").alias("a"), "b", (core.dot(F.col("vector"), F.col("w")) * F.col("vector")[0]).alias("similarity"))
+    return embed.symmetrised(pairs).groupBy("a").agg(F.round(F.avg("similarity"), 6).alias("mean_similarity"), F.round(F.max("similarity"), 6).alias("top"))
+
+
+@query("h8_score_classes", f"WITH {S_SQL} SELECT query_id, label, round(max(s), 5) AS score, count(*) AS n FROM sim GROUP BY ALL")
+def _(spark, d):
+    """A scorer of one's own by chunks of 100 queries: the largest cosine to each class of the context."""
+    import numpy as np
+    import pandas as pd
+
+    def scorer(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame({"query_id": [], "label": [], "score": [], "n": []})
+        c = c.sort_values("label")
+        unit = lambda v: (x := np.stack(v)) / np.linalg.norm(x, axis=1, keepdims=True)
+        s = unit(q["vector"]) @ unit(c["vector"]).T
+        labels, first, n = np.unique(c["label"], return_index=True, return_counts=True)
+        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), len(labels)), "label": np.tile(labels, len(q)), "score": np.maximum.reduceat(s, first, axis=1).ravel(), "n": np.tile(n, len(q))})
+
+    q = asked(spark, d).select(F.lit("t").alias("table_id"), F.floor(F.col("query_id") / 500).alias("chunk"), "query_id", "vector")
+    chunks = q.select(F.col("chunk").alias("_chunk")).distinct()
+    c = context(spark, d).crossJoin(F.broadcast(chunks)).select(F.lit("t").alias("table_id"), F.col("_chunk").alias("chunk"), "label", "vector")
+    return embed.score_batches(q, c, scorer, "query_id long, label long, score double, n long", ["table_id", "chunk"]).withColumn("score", F.round("score", 5))
+
+
 def bag_logits(spark, d):
     """Three bags: each leaves out the classes whose label is the bag's number modulo 3."""
     return logits(spark, d).withColumn("bag", F.explode(F.array(*map(F.lit, range(3))))).where("label % 3 <> bag").withColumn("logit", F.col("logit") * (F.col("bag") + 1))
@@ -1107,6 +1143,25 @@ def _(spark, d):
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
+_ODD = "SELECT 'nan' AS edge, truth, CASE WHEN o_orderkey % 11 = 0 THEN 'nan'::DOUBLE ELSE prediction END AS logit FROM pr UNION ALL SELECT 'infinite', truth, CASE WHEN o_orderkey % 11 = 0 THEN 'inf'::DOUBLE WHEN o_orderkey % 11 = 1 THEN '-inf'::DOUBLE ELSE prediction END FROM pr"
+
+
+@query("m11_odd_logits", f"""WITH {PRED}, odd AS ({_ODD}), x AS (SELECT edge, truth, CASE WHEN isnan(logit) THEN 0 ELSE greatest(-3.4028234663852886e38, least(3.4028234663852886e38, logit)) END AS x FROM odd), m AS (SELECT edge, avg(truth) AS m FROM odd GROUP BY edge)
+SELECT edge, round(greatest(0, least(10, avg(pow(x - truth, 2)))), 6) AS mse, round(greatest(-1, least(1, 1 - sum(pow(x - truth, 2)) / sum(pow(truth - m, 2)))), 6) AS r2 FROM x JOIN m USING (edge) GROUP BY edge""")
+def _(spark, d):
+    rows, odd = predictions(spark, d), F.col("o_orderkey") % 11
+    nan = rows.withColumn("logit", F.when(odd == 0, float("nan")).otherwise(F.col("prediction")))
+    infinite = rows.withColumn("logit", F.when(odd == 0, float("inf")).when(odd == 1, float("-inf")).otherwise(F.col("prediction")))
+    out = metrics.scaled_errors(nan).withColumn("edge", F.lit("nan")).unionByName(metrics.scaled_errors(infinite).withColumn("edge", F.lit("infinite")))
+    return out.select("edge", F.round("mse", 6).alias("mse"), F.round("r2", 6).alias("r2"))
+
+
+@query("m15_interactions", "SELECT p_partkey, round(0.5 * p_size + 0.001 * p_size * p_retailprice - 0.01 * p_size * p_size + 0.25 * sqrt(p_retailprice), 4) AS score FROM part")
+def _(spark, d):
+    s = metrics.additive_score({"p_size": 0.5}, {}, [("p_size", "p_retailprice", 0.001), ("p_size", "p_size", -0.01)], roots={"p_retailprice": 0.25})
+    return read(spark, d, "part").select("p_partkey", s.alias("score"))
+
+
 @query("m12_regression_report", f"WITH {PRED}, m AS (SELECT avg(truth) AS m FROM pr) SELECT count(*) AS n, round(avg(abs(truth - prediction)), 6) AS mae, round(sqrt(avg(pow(truth - prediction, 2))), 6) AS rmse, round(1 - sum(pow(truth - prediction, 2)) / sum(pow(truth - m, 2)), 6) AS r2 FROM pr, m")
 def _(spark, d):
     out = metrics.regression_report(predictions(spark, d))

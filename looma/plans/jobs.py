@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assemble, embed, profile, split, tables, tasks
 from ..sources import collection, shards, tablefiles
+from ..sources.scratch import written
 
 
 def classify_inputs(spark: SparkSession, root: str, pattern: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
@@ -96,13 +97,21 @@ def build_tasks(cells: DataFrame, config: RunConfiguration, encoder: embed.Encod
     placed = kept.select("table_id", F.col("own_idx").alias("row_idx"), F.col("row_idx").alias("place"), "role")
     cut = every.join(placed, ["table_id", "row_idx"]).withColumn("row_idx", F.col("place")).drop("place")
     # a task is a table with a target; replays are the same task again, so it is encoded once
-    once = specs.where("not replay").select("table_id", "target_column", "is_regression", F.concat_ws("/", "table_id", "target_column").alias("task"))
+    once = specs.where("not replay").select("table_id", "target_column", "is_regression", _task().alias("task"))
     of_task = cut.join(once.select("table_id", "task"), "table_id").drop("table_id").withColumnRenamed("task", "table_id")
     targets = once.select(F.col("task").alias("table_id"), "target_column", "is_regression")
     encoded = assemble.encode_table(of_task, targets, encoder, dim, config.mode, config.cell_text, config.seed, config.clip_q)
     return specs, encoded.withColumnRenamed("table_id", "task_id")
 
 
+def _task():
+    """table_id/target_column; a target's own signs that separate are escaped, so two tasks never share a name."""
+    target = F.col("target_column")
+    for sign, code in (("%", "%25"), ("/", "%2F"), ("#", "%23")):
+        target = F.replace(target, F.lit(sign), F.lit(code))
+    return F.concat_ws("/", F.col("table_id"), target)
+
+
 def _specs(cells: DataFrame, config: RunConfiguration) -> tuple[DataFrame, DataFrame]:
     """The cells of the tables within the rules' limits, and the specs of their tasks."""
     p = profile.profile_columns(cells)
@@ -110,9 +119,9 @@ def _specs(cells: DataFrame, config: RunConfiguration) -> tuple[DataFrame, DataF
     fit = tables.with_min_rows(tables.within_feature_limit(sizes, config.rules.max_columns), config.rules.min_rows).select("table_id")
     p = p.join(fit, "table_id", "left_semi")
     chosen = tasks.choose_targets(p, config.seed, config.rules) if config.target is None else tasks.fixed_target_specs(p, config.target, config.rules)
-    specs = tasks.order_specs(chosen, config.seed)
+    specs = written(tasks.order_specs(chosen, config.seed), "specs")  # the profile of all cells is computed once
     specs = tasks.balance_by_replay(specs, config.seed) if config.balance else specs.withColumn("replay", F.lit(False))
-    task = F.concat_ws("/", "table_id", "target_column")
+    task = _task()
     copy = F.row_number().over(W.partitionBy("table_id", "target_column").orderBy("replay")) - 1
     return cells.join(fit, "table_id", "left_semi"), specs.withColumn("task_id", F.when(F.col("replay"), F.concat_ws("#", task, copy.cast("string"))).otherwise(task))
 
