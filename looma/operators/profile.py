@@ -93,21 +93,32 @@ def merge_sketches(sketches: DataFrame) -> DataFrame:
 LIMITS, SHARES = (1, 20, 62), (0.2,)
 
 
-def routing_profile(df: DataFrame, name: str, limits: tuple[int, ...] = LIMITS, shares: tuple[float, ...] = SHARES) -> DataFrame:
-    """A profile by which every rule with these limits decides as by the exact one. Distinct values are estimated by sketches; columns whose
-    bounds hold a limit inside are counted exactly, and no other column is read again."""
-    sketched = sketch_table(df, name).select("*", F.hll_sketch_estimate("sketch").alias("n_distinct")).drop("sketch").collect()  # a row for each column
-    doubtful = []
-    for r in sketched:
+def routing_profiles(tables: dict[str, DataFrame], limits: tuple[int, ...] = LIMITS, shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """Profiles of tables by name, by which every rule with these limits decides as by exact ones. Distinct values are estimated by sketches,
+    all tables in one job; columns whose bounds hold a limit inside are counted exactly, and no other column is read again."""
+    sketches = None
+    for name, df in tables.items():
+        one = sketch_table(df, name)
+        sketches = one if sketches is None else sketches.unionByName(one)
+    clear, doubtful = [], {}
+    for r in sketches.select("*", F.hll_sketch_estimate("sketch").alias("n_distinct")).drop("sketch").collect():  # a row for each column
         low, high = int(-(-r["n_distinct"] // (1 + SKETCH_ERROR))), int(r["n_distinct"] * (1 + SKETCH_ERROR))
         if any(low <= x < high for x in [*limits, *(s * r["num_rows"] for s in shares)]):
-            doubtful.append(r["col_idx"])
+            doubtful.setdefault(r["table_id"], []).append(r["col_idx"])
+        else:
+            clear.append(r)
     schema = "table_id string, num_rows long, col_idx int, col_name string, kind string, n_non_null long, n_distinct long"
-    clear = [tuple(r[c.split()[0]] for c in schema.split(", ")) for r in sketched if r["col_idx"] not in doubtful]
-    if not clear:
-        return profile_table(df, name, doubtful)
-    out = with_ratios(_known(df.sparkSession, clear, schema))
-    return out.unionByName(profile_table(df, name, doubtful)) if doubtful else out
+    spark = next(iter(tables.values())).sparkSession
+    out = with_ratios(_known(spark, [tuple(r[c.split()[0]] for c in schema.split(", ")) for r in clear], schema)) if clear else None
+    for name, columns in doubtful.items():
+        exact = profile_table(tables[name], name, columns)
+        out = exact if out is None else out.unionByName(exact)
+    return out
+
+
+def routing_profile(df: DataFrame, name: str, limits: tuple[int, ...] = LIMITS, shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """routing_profiles() of one table."""
+    return routing_profiles({name: df}, limits, shares)
 
 
 def route(rules: TableRules = TableRules()) -> Column:

@@ -92,19 +92,22 @@ def profile_sql(names) -> str:
     return "prof AS (SELECT *, (num_rows - n_non_null) / greatest(num_rows, 1) AS missing_ratio, n_distinct / greatest(num_rows, 1) AS unique_ratio FROM (" + " UNION ALL ".join(parts) + "))"
 
 
-def profiles(spark: SparkSession, d: str, names, of=profile.profile_table) -> DataFrame:
+def given(spark: SparkSession, d: str, names) -> dict[str, DataFrame]:
+    """The given tables by name, with the columns listed above."""
+    return {t: read(spark, d, t).select(*[c.split(":")[0] for c in COLUMNS[t].split()]) for t in names}
+
+
+def profiles(spark: SparkSession, d: str, names) -> DataFrame:
     out = None
-    for t in names:
-        df = read(spark, d, t)
-        df = df.select(*[c.split(":")[0] for c in COLUMNS[t].split()])
-        p = of(df, t)
+    for t, df in given(spark, d, names).items():
+        p = profile.profile_table(df, t)
         out = p if out is None else out.unionByName(p)
     return out
 
 
 def sketched(spark: SparkSession, d: str, names, limits=profile.LIMITS) -> DataFrame:
     """Profiles by which rules decide as by exact ones."""
-    return profiles(spark, d, names, lambda df, t: profile.routing_profile(df, t, limits))
+    return profile.routing_profiles(given(spark, d, names), limits)
 
 
 ROUTE = """CASE WHEN n_non_null = 0 THEN 'none' WHEN kind = 'date' THEN 'none' WHEN kind = 'number' THEN
