@@ -37,15 +37,17 @@ def pack_shards(tables: DataFrame, target_bytes: int) -> DataFrame:
     run = written(running_sums(files, ["source_chunk", "source_path", "table_id"], "size", "total"), "sizes")
     base = run.groupBy("source_chunk").agg(F.min(F.col("total") - F.col("size")).alias("base"), F.min("place").alias("first"), F.max("place").alias("last"))
     run = run.join(base, "source_chunk").withColumn("total", F.col("total") - F.col("base"))
-    # the first table whose running sum reaches what a table before it asks for: within buckets of sizes, else the first of a later bucket
-    wide = max(1, target_bytes // 16)
+    # the first table whose running sum reaches what a table before it asks for: within buckets of sizes, else the first of a later bucket.
+    # Windows run backwards from their end, since Spark reads a frame that ends at the last row anew for every row
+    wide = max(1, target_bytes)
     bucket = F.floor(F.col("at") / wide)
     points = run.select("source_chunk", F.col("total").alias("at"), "place", F.lit(None).cast("long").alias("asks"))
     asks = run.select("source_chunk", (F.col("total") - F.col("size") + target_bytes).alias("at"), F.lit(None).cast("long").alias("place"), F.col("place").alias("asks"))
     both = points.unionByName(asks).withColumn("bucket", bucket)
     later = both.groupBy("source_chunk", "bucket").agg(F.min("place").alias("least"))
-    later = later.withColumn("later", F.first("least", True).over(W.partitionBy("source_chunk").orderBy("bucket").rowsBetween(1, W.unboundedFollowing)))  # a row a bucket of a chunk
-    ahead = W.partitionBy("source_chunk", "bucket").orderBy("at", F.col("place").isNotNull(), "place").rowsBetween(0, W.unboundedFollowing)
+    back = W.partitionBy("source_chunk").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
+    later = later.withColumn("later", F.min("least").over(back))  # a row for each target_bytes of a chunk; places rise with buckets
+    ahead = W.partitionBy("source_chunk", "bucket").orderBy(F.desc("at"), F.col("place").isNull(), F.desc("place")).rowsBetween(W.unboundedPreceding, 0)
     found = both.withColumn("end", F.min("place").over(ahead)).where("asks is not null").join(later.select("source_chunk", "bucket", "later"), ["source_chunk", "bucket"])
     end = F.coalesce("end", "later")
     jump = found.join(base.select("source_chunk", "last"), "source_chunk").where(end < F.col("last")).select(F.col("asks").alias("start"), (end + 1).alias("next"))

@@ -400,3 +400,10 @@ def test_replays_stand_where_a_running_loop_puts_them(spark, pattern, history, p
                 count[rare] += 1
     found = sorted(tuple(r) for r in tasks.replay_places(specs, 9, history, part).select("place", "seq", "replay", "table_id", "target_column", "is_regression").collect())
     assert found == [(i, *w) for i, w in enumerate(want)]
+
+
+def test_pack_shards_with_many_tables_in_a_bucket(spark):
+    """Small tables by the ten thousand below one target: a window whose frame ends at its last row took minutes here."""
+    n = 60_000
+    t = spark.range(n).select(F.lit("c").alias("source_chunk"), F.format_string("p%06d", "id").alias("source_path"), F.col("id").cast("string").alias("table_id"), F.lit(1).cast("long").alias("size"))
+    assert {r["shard"]: r["count"] for r in shards.pack_shards(t, 50_000).groupBy("shard").count().collect()} == {"shard-c-0000": 50_000, "shard-c-0001": 10_000}
