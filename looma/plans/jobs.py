@@ -14,9 +14,9 @@ from ..sources.scratch import written
 
 
 def classify_inputs(spark: SparkSession, root: str, pattern: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
-    """(path, group, label, reason, destination) of every file's last column, and the counts of labels. Tasks read the bytes of the
-    last column only; its values are counted by path."""
-    values = tablefiles.last_values(spark, root, pattern)
+    """(path, group, label, reason, destination) of every table's last column, and the counts of labels. Tasks read the bytes of the
+    last column only; its values are counted by path. The files of a folder named *.parquet are one table, whose path is the folder's."""
+    values = tablefiles.last_values(spark, root, pattern).withColumn("path", tablefiles.table_path(F.col("path")))
     out = profile.last_columns(values).withColumn("r", profile.label_last_column())
     broken = F.max("error").isNotNull()
     errors = values.groupBy("path").agg(broken.alias("broken"))
@@ -30,27 +30,35 @@ def classify_inputs(spark: SparkSession, root: str, pattern: str = "*.parquet")
 def route_inputs(spark: SparkSession, root: str, out: str) -> None:
     """The files below root with their labels, in folders by destination."""
     below = lambda c: F.substring_index(c, tablefiles.plain(root), -1)
-    files = collection.list_files(spark, root).select(below(F.col("path")).alias("below"), "content")
+    files = collection.list_files(spark, root).select(tablefiles.table_path(below(F.col("path"))).alias("below"), "content")
     labels = classify_inputs(spark, root)[0]
     collection.write_routed(files.join(labels.withColumn("below", below(F.col("path"))), "below").drop("below"), out)
 
 
 def repack(spark: SparkSession, root: str, out: str, shard_mb: float, finished: DataFrame | None = None) -> DataFrame:
-    """Tables under root, one of each content hash, packed into shards; returns the manifest document."""
-    tables = collection.read_tables(spark, root).withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("source_chunk", F.element_at(F.split("path", "/"), -2))
-    sizes = tables.select(F.col("path").alias("source_path"), "name", "source_chunk", "num_rows", "num_cols", F.length("table_bytes").alias("size"), "error")
-    first = shards.dedup_by_content_hash(sizes)
+    """Tables under root, one of each content hash, packed into shards; returns the manifest document. A table comes in records of some megabytes
+    (first_row, num_rows; table_rows counts all of its rows); it counts for the shard that holds its first one."""
+    tables = written(tablefiles.read_blobs(spark, root), "tables")  # every file is decoded once
+    if tables.isEmpty():
+        raise ValueError(f"no Parquet file under {root}")
+    per = tables.groupBy(F.col("path").alias("source_path")).agg(F.max("table_rows").alias("num_rows"), F.max("num_cols").alias("num_cols"), F.max("error").alias("error"))
+    step = lambda at: F.element_at(F.split("source_path", "/"), at)
+    first = shards.dedup_by_content_hash(per.withColumns({"name": step(-1), "source_chunk": step(-2)}))
     if finished is not None:
         first = first.join(finished.select(F.col("chunk").alias("source_chunk")), "source_chunk", "left_anti")
-    good = first.where("error is null and num_rows > 0 and num_cols > 0").withColumn("table_id", F.sha2("source_path", 256))
-    packed = shards.pack_shards(good, int(shard_mb * 1e6))
-    records = good.join(tables.select(F.col("path").alias("source_path"), "table_bytes"), "source_path").select("table_id", "source_path", "source_chunk", "num_rows", "num_cols", "table_bytes")
-    shards.write_shards(records, packed, out)
+    first = written(first, "files")
+    good = first.where("error is null and num_rows > 0 and num_cols > 0").select("source_path", "source_chunk", F.sha2("source_path", 256).alias("table_id"))
+    record = F.format_string("%s#%015d", F.sha2("path", 256), F.col("first_row"))
+    parts = tables.select(F.col("path").alias("source_path"), record.alias("record"), "first_row", "size").join(good, "source_path")
+    packed = written(shards.pack_shards(parts.select("source_chunk", "source_path", F.col("record").alias("table_id"), "size"), int(shard_mb * 1e6)).withColumnRenamed("table_id", "record"), "packed")
+    own = tables.select(F.col("path").alias("source_path"), "first_row", "num_rows", "num_cols", "table_rows", "table_bytes", record.alias("record"))
+    shards.write_shards(own.join(good, "source_path"), packed, out, "record")
     skipped = first.where("error is not null or num_rows = 0 or num_cols = 0").groupBy(F.col("source_chunk").alias("chunk")).agg(F.count(F.lit(1)).alias("num_skipped"))
-    parts = packed.join(good.select("table_id", F.col("source_chunk").alias("chunk")), "table_id").groupBy("chunk", F.concat(F.lit("shard="), "shard").alias("path")).agg(F.count(F.lit(1)).alias("num_tables"))
-    last = parts.groupBy("chunk").agg(F.min("path").alias("path"))
-    parts = parts.join(last.join(skipped, "chunk").select("chunk", "path", "num_skipped"), ["chunk", "path"], "left").fillna(0, ["num_skipped"])
-    return shards.build_manifest(parts, root, shard_mb)
+    begins = (F.col("first_row") == 0).cast("long")
+    found = packed.join(parts.select("record", "first_row", F.col("source_chunk").alias("chunk")), "record").groupBy("chunk", F.concat(F.lit("shard="), "shard").alias("path")).agg(F.sum(begins).alias("num_tables"))
+    last = found.groupBy("chunk").agg(F.min("path").alias("path"))
+    found = found.join(last.join(skipped, "chunk").select("chunk", "path", "num_skipped"), ["chunk", "path"], "left").fillna(0, ["num_skipped"])
+    return shards.build_manifest(found, root, shard_mb)
 
 
 def diagnose(cells: DataFrame) -> dict[str, DataFrame]:

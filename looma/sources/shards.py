@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.places import running_sums
 from .scratch import written
 
-#: shard record: table_id, source_path, source_chunk, num_rows, num_cols, table_bytes
+#: shard record: table_id, source_path, source_chunk, first_row, num_rows, num_cols, table_rows, table_bytes
 MANIFEST = "struct<version:int, blob_format:string, input_root:string, shard_size_mb:double, dedup_by_hash:boolean, num_shards:long, num_tables:long, num_skipped:long, shards:array<struct<path:string, num_tables:long, chunk:string>>>"
 
 
@@ -82,11 +82,11 @@ def read_manifest(spark: SparkSession, text: str) -> DataFrame:
 def read_shards(spark: SparkSession, manifest: str, root: str, min_rows: int = 1) -> DataFrame:
     """The shard records that a manifest lists, without tables under min_rows; sizes are filtered before any blob is read."""
     paths = [f"{root}/{s['path']}" for s in json.loads(manifest)["shards"]]
-    return spark.read.parquet(*paths).where(F.col("num_rows") >= min_rows)
+    return spark.read.parquet(*paths).where(F.col("table_rows") >= min_rows)
 
 
-def write_shards(tables: DataFrame, shards: DataFrame, out: str) -> None:
-    tables.join(shards, "table_id").repartition("shard").write.mode("append").partitionBy("shard").parquet(out)
+def write_shards(tables: DataFrame, shards: DataFrame, out: str, key: str = "table_id") -> None:
+    tables.join(shards, key).repartition("shard").write.mode("append").partitionBy("shard").parquet(out)
 
 
 def unfinished(chunks: DataFrame, parts: DataFrame) -> DataFrame:

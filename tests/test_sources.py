@@ -1,5 +1,7 @@
 """The data source of table files: planning by footers, ranges, bytes read, broken files."""
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -7,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from looma.plans import jobs
-from looma.sources import collection, committed, tablefiles
+from looma.sources import collection, committed, shards, tablefiles
 from looma.sources.vectors import EmbeddingCache
+from looma.streaming import tables
 
 
 @pytest.fixture
@@ -147,3 +150,46 @@ def test_a_killed_write_leaves_no_readable_output(spark, tmp_path, kind):
         committed.write_committed(df.select("id"), path, kind, "append")
     committed.write_committed(df.limit(0), path, kind)
     assert committed.read_committed(spark, path).count() == 0
+
+
+@pytest.fixture
+def written_by_spark(spark, tmp_path):
+    """A table as a folder of files, as Spark writes it, and one of a single row group that is larger than a blob."""
+    spark.range(1000).select("id", (F.col("id") % 3).alias("last")).repartition(4).write.parquet(str(tmp_path / "in" / "folder.parquet"))
+    rng = np.random.default_rng(2)
+    pq.write_table(pa.table({"x": rng.random(1_500_000), "y": [0] * 1_500_000}), tmp_path / "in" / "large.parquet", row_group_size=1_500_000)
+    return tmp_path
+
+
+def test_a_large_table_is_packed_in_parts(spark, written_by_spark):
+    out = str(written_by_spark / "out")
+    manifest = jobs.repack(spark, str(written_by_spark / "in"), out, 4.0).first()[0]
+    large = shards.read_shards(spark, manifest, out, 1_500_000).orderBy("first_row").collect()
+    assert len(large) >= 3 and max(len(r["table_bytes"]) for r in large) < 10 * 2**20 and {r["table_rows"] for r in large} == {1_500_000}
+    at = 0
+    for r in large:
+        assert r["first_row"] == at and collection.from_blob(r["table_bytes"]).num_rows == r["num_rows"]
+        at += r["num_rows"]
+    assert at == 1_500_000 and json.loads(manifest)["num_tables"] == 5  # four files of the folder and the large one
+
+
+def test_a_folder_of_files_is_one_table(spark, written_by_spark):
+    root = str(written_by_spark / "in")
+    found, _ = jobs.classify_inputs(spark, root)
+    assert {r["path"].rpartition("/")[2]: (r["label"], r["reason"]) for r in found.collect()} == {"folder.parquet": ("classification", "numeric_discrete_target"), "large.parquet": ("classification", "numeric_discrete_target")}
+    specs = str(written_by_spark / "specs")
+    tables.stream_tables(spark, root, specs, str(written_by_spark / "checkpoint")).awaitTermination()
+    rows = [(r["table_id"].rpartition("/")[2], r["is_regression"]) for r in spark.read.parquet(specs).collect()]
+    assert sorted(rows) == [("folder.parquet", False), ("folder.parquet", True), ("large.parquet", True)]
+
+
+def test_large_files_are_not_held(spark, written_by_spark):
+    """Neither decoded nor copied as a whole: the second row group of a cut file is missing, its first half is there."""
+    reader = tablefiles.TableReader({"path": str(written_by_spark / "in"), "what": "cells"})
+    pieces = {p.path: p for part in reader.partitions() for p in part.pieces}
+    assert pieces["/large.parquet"].whole and max(b.num_rows for _, b in reader.parts(reader.open("/large.parquet"), pieces["/large.parquet"], None)) <= tablefiles.ROWS
+    root = str(written_by_spark / "copy")
+    files = collection.list_files(spark, str(written_by_spark / "in")).where("path like '%/large.parquet'").select("path", F.lit("a/b.parquet").alias("name"), F.expr("length div 2").alias("keep"))
+    tablefiles.copy_files(spark, files, str(written_by_spark / "in"), root)
+    whole = (written_by_spark / "in" / "large.parquet").read_bytes()
+    assert (written_by_spark / "copy" / "a" / "b.parquet").read_bytes() == whole[: len(whole) // 2]
