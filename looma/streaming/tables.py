@@ -12,29 +12,33 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.core import h32
 from ..operators import profile, tasks
-from ..sources import collection
-from ..sources.scratch import scratch_folder
+from ..sources import collection, tablefiles
+from ..sources.scratch import scratch_folder, written
 
 
 def stream_tables(spark: SparkSession, root: str, specs_path: str, checkpoint: str, seed: int = 0, trigger: dict | None = None):
-    """New Parquet files under root: their targets are chosen and written once for each table id.
+    """New Parquet files under root: their targets are chosen and written once for each table id. A table is a file, or a folder named *.parquet
+    whose files arrive together. Only paths go through the stream; tasks read ranges of the files.
 
     A batch that is run again writes to the folder of its own run and number once more, and tables whose specs another folder holds are left out
     before they are decoded. So nothing appears twice, also when the checkpoint is lost and every file arrives anew. A table
     counts as done with its specs; one without a target is looked at again by a new run."""
-    files = spark.readStream.format("binaryFile").schema(collection.FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
+    near = tablefiles.reachable(root)
+    files = spark.readStream.format("binaryFile").schema(collection.FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root).select("path", *([] if near else ["content"]))
 
     def batch(frame: DataFrame, number: int) -> None:
         session = frame.sparkSession
         run = session.sparkContext.getLocalProperty("sql.streaming.queryId")  # lasts as long as the checkpoint
+        frame = frame.withColumn("table_id", tablefiles.table_path(F.col("path")))
         try:
-            done = session.read.parquet(specs_path).where(~((F.col("run") == run) & (F.col("batch") == number))).select(F.col("table_id").alias("path")).distinct()
+            done = session.read.parquet(specs_path).where(~((F.col("run") == run) & (F.col("batch") == number))).select("table_id").distinct()
         except AnalysisException:  # nothing has been written yet
             done = None
-        fresh = frame if done is None else frame.join(done, "path", "left_anti")
-        decoded = fresh.select("path", "content").mapInArrow(collection._decode, "path string, num_rows long, num_cols long, table_bytes binary, error string").where("error is null and num_rows > 0")
-        cells = collection.blobs_to_cells(decoded.select(F.col("path").alias("table_id"), "table_bytes"))
-        tasks.choose_targets(profile.profile_columns(cells), seed).write.mode("overwrite").parquet(f"{specs_path}/run={run}/batch={number}")
+        fresh = frame if done is None else frame.join(done, "table_id", "left_anti")
+        cells = tablefiles.read_files(fresh.drop("table_id")).withColumn("table_id", tablefiles.table_path(F.col("table_id")))
+        found = written(profile.profile_columns(cells), "profiles")  # an unreadable file gives a row without a column; its table goes
+        whole = found.join(found.where("col_idx is null").select("table_id"), "table_id", "left_anti")
+        tasks.choose_targets(whole, seed).write.mode("overwrite").parquet(f"{specs_path}/run={run}/batch={number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
