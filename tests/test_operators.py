@@ -407,3 +407,16 @@ def test_pack_shards_with_many_tables_in_a_bucket(spark):
     n = 60_000
     t = spark.range(n).select(F.lit("c").alias("source_chunk"), F.format_string("p%06d", "id").alias("source_path"), F.col("id").cast("string").alias("table_id"), F.lit(1).cast("long").alias("size"))
     assert {r["shard"]: r["count"] for r in shards.pack_shards(t, 50_000).groupBy("shard").count().collect()} == {"shard-c-0000": 50_000, "shard-c-0001": 10_000}
+
+
+def test_similarities_are_products_of_blocks(spark):
+    """Odd vectors have none; both directions without a join of pairs, and no interpreted function for each pair."""
+    rows = spark.createDataFrame([(0, "a", [1.0, 2.0]), (1, "b", None), (2, "b", [3.0]), (3, "c", [0.5, None]), (4, "c", [-1.0, 4.0])], "context_id long, label string, vector array<double>")
+    asked = rows.select(F.col("context_id").alias("query_id"), "vector", F.lit("k").alias("kept"))
+    pairs = embed.pairwise_similarity(asked, rows, "dot", keep=("kept",))
+    found = {(r["query_id"], r["context_id"]): r["similarity"] for r in pairs.collect()}
+    assert found == {(i, j): {(0, 0): 5.0, (0, 4): 7.0, (4, 0): 7.0, (4, 4): 17.0, (2, 2): 9.0}.get((i, j)) for i in range(5) for j in range(5)}
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert embed.pairwise_similarity(asked, rows.limit(0), "dot").count() == 0
+    both = embed.symmetrised_products(spark.createDataFrame([(0, [1.0, 0.0], [2.0, 5.0]), (1, [3.0, 1.0], [7.0, 1.0])], "id long, left array<double>, right array<double>"))
+    assert {(r["a"], r["b"]): r["similarity"] for r in both.collect()} == {(0, 0): 2.0, (0, 1): 9.0, (1, 0): 9.0, (1, 1): 22.0}
