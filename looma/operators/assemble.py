@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import embed, encode, tables, verbalize
 
 #: encoded(table_id, row_idx, role, col_idx, col_name, kind, value, delta, parts, vector, text_vector): value is a bin or a
@@ -69,7 +70,7 @@ def encode_table(cells: DataFrame, targets: DataFrame, encoder: embed.Encoder, d
 
     mode: how numbers and regression targets are encoded, 'binned' or 'scaled'. cell_text: the words of number and date cells
     (s0, s1, s2), whose vectors go to text_vector; a cell without words has none. Cells of other tables are left out."""
-    marked = cells.join(targets.select("table_id", "target_column", "is_regression"), "table_id")
+    marked = written(cells.join(targets.select("table_id", "target_column", "is_regression"), "table_id"), "marked")  # read by every branch below
     is_target = F.col("col_name") == F.col("target_column")
     features = encode_features(marked.where(~is_target).drop("target_column", "is_regression"), encoder, dim, mode, clip_q)
     if cell_text is not None:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.core import finite, h32, is_missing
+from ..sources.scratch import written
+from .places import running_sums
 
 BINS, NAN_BIN, MAX_CLASSES, HIDDEN = 16, 63, 62, -100.0
 
@@ -15,11 +17,31 @@ def _context(x: Column) -> Column:
     return F.when(F.col("role") == "context", x)
 
 
+def quantiles(rows: DataFrame, keys: list[str], x: str, points: list[float]) -> DataFrame:
+    """keys, q: the interpolated quantiles of x at the points, null without a value; the numbers that percentile() gives.
+
+    percentile() keeps all values of a group in one task. Here equal values are counted, put in order by ranges and summed up, so no group meets in one task
+    and a task holds a range of the order."""
+    counts = rows.groupBy(*keys, F.col(x).alias("_x")).agg(F.count(F.when(F.col(x).isNotNull(), True)).alias("_c"))
+    run = written(running_sums(counts, [*keys, "_x"], "_c", "_to"), "quantiles")  # nulls count nothing
+    own = [F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]
+    size = run.groupBy(*own).agg(F.min(F.col("_to") - F.col("_c")).alias("_base"), F.sum("_c").alias("_n"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    met, upto = run.join(size, same), F.col("_to") - F.col("_base")
+    at = lambda place: F.max(F.when((upto - F.col("_c") <= place) & (place < upto), F.col("_x")))
+    places = [(F.col("_n") - 1) * F.lit(p) for p in points]
+    found = met.groupBy(*keys).agg(F.first("_n").alias("_n"), *(c.alias(f"_{w}{i}") for i, place in enumerate(places) for w, c in (("l", at(F.floor(place))), ("h", at(F.ceil(place))))))
+    one = lambda i, place: F.when(F.col(f"_l{i}") == F.col(f"_h{i}"), F.col(f"_l{i}")).otherwise((F.ceil(place) - place) * F.col(f"_l{i}") + (place - F.floor(place)) * F.col(f"_h{i}"))
+    return found.select(*keys, F.when(F.col("_n") > 0, F.array(*(one(i, p) for i, p in enumerate(places)))).alias("q"))
+
+
 def quantile_edges(rows: DataFrame, keys: list[str], bins: int = BINS, x: str = "x") -> DataFrame:
     """Per column the interpolated quantiles at (2i+1)/2n of the context, between its least and largest value."""
-    points = F.array(*(F.lit((2 * i + 1) / (2 * bins)) for i in range(bins)))
-    v = _context(F.col(x))
-    agg = rows.groupBy(*keys).agg(F.min(v).alias("lo"), F.percentile(v, points).alias("mid"), F.max(v).alias("hi"))
+    known = rows.select(*keys, _context(F.col(x)).cast("double").alias("_v"))
+    ends = known.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    agg = ends.join(quantiles(known, keys, "_v", [(2 * i + 1) / (2 * bins) for i in range(bins)]).withColumnRenamed("q", "mid"), keys)
     return agg.select(*keys, "mid", F.concat(F.array("lo"), "mid", F.array("hi")).alias("edges"))
 
 
@@ -48,15 +70,16 @@ def encode_numbers_binned(rows: DataFrame, keys: list[str], bins: int = BINS, x:
 
 
 def standard_scale(rows: DataFrame, keys: list[str], clip_q: float = 0.02, x: str = "x") -> DataFrame:
-    """rows with z, and mean and std of the clipped context: clip to context quantiles, impute the mean, standardise."""
-    v = F.when(~is_missing(F.col(x)), F.greatest(F.lit(-1e100), F.least(F.lit(1e100), F.col(x))))
-    base = rows.withColumn("_v", v)
-    q = base.groupBy(*keys).agg(F.percentile(_context(F.col("_v")), F.array(F.lit(clip_q), F.lit(1 - clip_q))).alias("_q"))
-    clipped = base.join(q, keys).withColumn("_c", F.when(F.col("_v").isNotNull() & F.col("_q")[0].isNotNull(), F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col("_v")))))
-    stats = clipped.groupBy(*keys).agg(F.avg(_context(F.col("_c"))).alias("mean"), F.stddev_pop(_context(F.col("_c"))).alias("std"))
-    stats = stats.select(*keys, F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("std", F.lit(1.0)).alias("std"))
-    z = (F.coalesce("_c", "mean") - F.col("mean")) / F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
-    return clipped.join(stats, keys).withColumn("z", z).drop("_v", "_q", "_c")
+    """rows with z, and mean and std of the clipped context: clip to context quantiles, impute the mean, standardise. Statistics come from the
+    keys and numbers alone; rows meet them in one join."""
+    v = F.when(~is_missing(F.col(x)), F.greatest(F.lit(-1e100), F.least(F.lit(1e100), F.col(x).cast("double"))))
+    clip = lambda c: F.when(c.isNotNull() & F.col("_q")[0].isNotNull(), F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], c)))
+    known = rows.select(*keys, _context(v).alias("_v"))
+    q = quantiles(known, keys, "_v", [clip_q, 1 - clip_q]).withColumnRenamed("q", "_q")
+    stats = known.where("_v is not null").join(q, keys).groupBy(*keys).agg(F.avg(clip(F.col("_v"))).alias("mean"), F.stddev_pop(clip(F.col("_v"))).alias("std"))
+    stats = q.join(stats, keys, "left").select(*keys, "_q", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("std", F.lit(1.0)).alias("std"))
+    z = (F.coalesce(clip(v), "mean") - F.col("mean")) / F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
+    return rows.join(stats, keys).withColumn("z", z).drop("_q")
 
 
 def encode_numbers_scaled(rows: DataFrame, keys: list[str], clip_q: float = 0.02, x: str = "x") -> DataFrame:
@@ -72,7 +95,7 @@ def number_statistics(rows: DataFrame, keys: list[str], clip_q: float = 0.02, x:
     own = rows.where("role = 'context'").withColumn("_v", finite(F.col(x)))
     fill = own.groupBy(*keys).agg(F.avg("_v").alias("fill"))
     filled = own.join(fill, keys).withColumn("_v", F.coalesce("_v", "fill"))
-    ends = filled.groupBy(*keys).agg(F.percentile("_v", F.array(F.lit(clip_q), F.lit(1 - clip_q))).alias("_q"))
+    ends = quantiles(filled.select(*keys, "_v"), keys, "_v", [clip_q, 1 - clip_q]).withColumnRenamed("q", "_q")
     clipped = filled.join(ends, keys).withColumn("_c", F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col("_v"))))
     return clipped.groupBy(*keys).agg(F.first("fill").alias("fill"), F.first(F.col("_q")[0]).alias("low"), F.first(F.col("_q")[1]).alias("high"), F.avg("_c").alias("mean"), F.stddev_pop("_c").alias("std"))
 

@@ -420,3 +420,13 @@ def test_similarities_are_products_of_blocks(spark):
     assert embed.pairwise_similarity(asked, rows.limit(0), "dot").count() == 0
     both = embed.symmetrised_products(spark.createDataFrame([(0, [1.0, 0.0], [2.0, 5.0]), (1, [3.0, 1.0], [7.0, 1.0])], "id long, left array<double>, right array<double>"))
     assert {(r["a"], r["b"]): r["similarity"] for r in both.collect()} == {(0, 0): 2.0, (0, 1): 9.0, (1, 0): 9.0, (1, 1): 22.0}
+
+
+def test_quantiles_are_those_of_percentile(spark):
+    rows = spark.range(3000).select((F.col("id") % 4).cast("string").alias("k"), F.when(F.col("id") % 4 == 3, None).when(F.col("id") % 7 != 0, (F.col("id") * 7919 % 1013) / 3.0 - 99).alias("x"))
+    points = [0.02, 0.25, 0.5, 0.98, 1.0]
+    rows = rows.withColumn("k", F.when(F.col("k") != "2", F.col("k")))
+    found = encode.quantiles(rows, ["k"], "x", points)
+    want = rows.groupBy("k").agg(F.percentile("x", F.array(*map(F.lit, points))).alias("q"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() == 4
+    assert "percentile(" not in encode.standard_scale(rows.withColumn("role", F.lit("context")), ["k"])._jdf.queryExecution().executedPlan().toString().lower()
