@@ -99,10 +99,10 @@ def build_tasks(cells: DataFrame, config: RunConfiguration, encoder: embed.Encod
         a, b = (tasks.epoch_places(x, "task_id", config.seed, 0).withColumnRenamed("place", "k") for x in (specs, more))
         specs = tasks.mix_sources(a, b, a.count(), b.count(), config.mixing_ratio, config.seed).drop("k")
         every = own.unionByName(other)
-    specs = specs.withColumn("worker", F.pmod(F.col("place"), F.lit(config.workers)).cast("int"))
+    specs = written(specs.withColumn("worker", F.pmod(F.col("place"), F.lit(config.workers)).cast("int")), "tasks")
     rows = every.select("table_id", "row_idx").distinct()
     kept = split.split_query_range(split.shuffle_rows(split.sample_rows(rows.withColumn("own_idx", F.col("row_idx")), config.max_rows, config.seed), config.seed), *config.query_rows, config.seed)
-    placed = kept.select("table_id", F.col("own_idx").alias("row_idx"), F.col("row_idx").alias("place"), "role")
+    placed = written(kept.select("table_id", F.col("own_idx").alias("row_idx"), F.col("row_idx").alias("place"), "role"), "placed")
     cut = every.join(placed, ["table_id", "row_idx"]).withColumn("row_idx", F.col("place")).drop("place")
     # a task is a table with a target; replays are the same task again, so it is encoded once
     once = specs.where("not replay").select("table_id", "target_column", "is_regression", _task().alias("task"))
@@ -122,12 +122,13 @@ def _task():
 
 def _specs(cells: DataFrame, config: RunConfiguration) -> tuple[DataFrame, DataFrame]:
     """The cells of the tables within the rules' limits, and the specs of their tasks."""
-    p = profile.profile_columns(cells)
+    p = written(profile.profile_columns(cells), "profile")  # all cells are profiled once
     sizes = p.groupBy("table_id").agg(F.max("num_rows").alias("num_rows"), F.count(F.lit(1)).alias("num_cols"))
     fit = tables.with_min_rows(tables.within_feature_limit(sizes, config.rules.max_columns), config.rules.min_rows).select("table_id")
+    fit = written(fit, "fit")  # of known size, so cells are not shuffled for a few tables
     p = p.join(fit, "table_id", "left_semi")
     chosen = tasks.choose_targets(p, config.seed, config.rules) if config.target is None else tasks.fixed_target_specs(p, config.target, config.rules)
-    specs = written(tasks.order_specs(chosen, config.seed), "specs")  # the profile of all cells is computed once
+    specs = written(tasks.order_specs(chosen, config.seed), "specs")
     specs = tasks.balance_by_replay(specs, config.seed) if config.balance else specs.withColumn("replay", F.lit(False))
     task = _task()
     copy = F.row_number().over(W.partitionBy("table_id", "target_column").orderBy("replay")) - 1

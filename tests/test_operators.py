@@ -430,3 +430,12 @@ def test_quantiles_are_those_of_percentile(spark):
     want = rows.groupBy("k").agg(F.percentile("x", F.array(*map(F.lit, points))).alias("q"))
     assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() == 4
     assert "percentile(" not in encode.standard_scale(rows.withColumn("role", F.lit("context")), ["k"])._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_cells_of_tasks_are_read_once(spark, tmp_path):
+    """The plan of the encoded cells reads what has been written, not the given table once for every branch."""
+    spark.range(400).select(F.col("id"), (F.col("id") % 3).cast("double").alias("y"), (F.col("id") * 0.5).alias("x"), F.concat(F.lit("w"), F.col("id") % 5).alias("t")).write.parquet(str(tmp_path / "given"))
+    given = to_cells(spark.read.parquet(str(tmp_path / "given")), (F.col("id") % 4).cast("string"), F.col("id"), ["x", "t", "y"])
+    specs, encoded = jobs.build_tasks(given, jobs.RunConfiguration(), embed.HashingEncoder(4), 4)
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert "(id" not in plan and "explode" not in plan.lower() and encoded.count() > 0 and specs.count() > 0
