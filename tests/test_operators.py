@@ -322,6 +322,42 @@ def test_estimators_against_brute_force(spark, monkeypatch, bagging, size, chunk
     assert estimator.Regressor().fit(context.drop("label").limit(0), "y", "id").predict(query).count() == 0
 
 
+def test_rows_at_places_sort_only_their_parts_of_the_order(spark):
+    from looma.operators import split
+
+    rows = spark.range(20_000).select(F.lit("t").alias("table_id"), F.col("id").alias("row_idx"), F.col("id").alias("own"))
+    want = {r["row_idx"]: r["own"] for r in split.number_rows(rows, 5).collect()}
+    places = [0, 7, 7, 9_999, 19_999]
+    found = {r["row_idx"]: r["own"] for r in split.rows_at(rows, spark.createDataFrame([(p,) for p in places], "row_idx long"), 5).collect()}
+    assert set(places) <= set(found) and all(want[p] == x for p, x in found.items()) and len(found) < 50
+    assert {r["row_idx"] for r in split.window_places(spark, 100, 30).collect()} == set(range(100))
+
+
+def test_classifier_compares_each_tile_once_and_gives_final_answers_there(spark):
+    from looma.plans.estimator import Classifier
+
+    df = spark.createDataFrame([(i, float(i % 9), "abc"[i % 3]) for i in range(40)], "id long, x double, label string")
+    plan = Classifier(bagging=2, max_context_size=20).fit(df, "label", "id").predict(df.drop("label"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and plan.index("FlatMapCoGroupsInArrow") == 0
+
+
+@pytest.mark.parametrize("block", [1 << 22, 30])
+def test_rows_that_share_a_key_are_answered_together(spark, monkeypatch, block):
+    from looma.plans import estimator
+
+    monkeypatch.setattr(estimator, "BLOCK", block)
+    schema = "id long, x double, y double, t string"
+    context = spark.createDataFrame([(i, float(i % 5), float(i % 7), "uv"[i % 2], "ab"[i % 4 // 2]) for i in range(24)], schema + ", label string")
+    row = lambda i: (i, float(i % 4), float(i % 3), "uv"[i % 2])
+    once, own = [row(i) for i in range(6)], (3, 9.0, 0.0, "u")
+    model = estimator.Classifier(bagging=2, max_context_size=12).fit(context, "label", "id")
+    p = lambda rows: {(r["query_id"], r["label"]): r["p"] for r in model.predict_proba(spark.createDataFrame(rows, schema)).collect()}
+    want = p(once)
+    assert len(want) == 12 and p([*once, row(3), row(5)]) == pytest.approx(want)
+    both = p([*once, own])
+    assert set(both) == set(want) and all(both[k] == pytest.approx(want[k]) for k in want if k[0] != 3)
+
+
 def test_build_tasks_and_outputs(spark, tmp_path):
     rows = [(f"t{t}", i, float(i * (t + 1) % 17), "xyz"[i % 3], float(i)) for t in range(4) for i in range(40 if t else 5)]
     df = spark.createDataFrame(rows, "table_id string, row_idx long, x double, c string, z double")
