@@ -475,3 +475,22 @@ def test_cells_of_tasks_are_read_once(spark, tmp_path):
     specs, encoded = jobs.build_tasks(given, jobs.RunConfiguration(), embed.HashingEncoder(4), 4)
     plan = encoded._jdf.queryExecution().optimizedPlan().toString()
     assert "(id" not in plan and "explode" not in plan.lower() and encoded.count() > 0 and specs.count() > 0
+
+
+def test_summaries_do_not_depend_on_blocks(monkeypatch):
+    """Ids that repeat more often than a block has rows, and vectors of two lengths."""
+    x = np.array([[(i * 7 + k * 5) % 11 - 5.0 for k in range(2)] for i in range(24)])
+    similarity = lambda a, b: (a @ b[:, ::-1].T * a[:, :1], a @ b[:, ::-1].T * b[:, 0])
+    tiles = [(np.array(sorted([*range(8), 3, 3, 3, 3, 5, 6])), x[:14]), (np.arange(100, 110), x[14:])]
+    whole = [embed._summarised(t, similarity) for t in (tiles, tiles[:1], tiles[1:])]
+    monkeypatch.setattr(embed, "BLOCK", 3)
+    assert embed._blocks(np.array([0, 1, 2, 3, 8, 9]), 11) == [(slice(0, 3), slice(0, 3)), (slice(3, 8), slice(3, 4)), (slice(8, 11), slice(4, 6))]
+    small = [embed._summarised(t, similarity) for t in (tiles, tiles[:1], tiles[1:])]
+    assert [[b.to_pydict() for b in t] for t in small] == [[b.to_pydict() for b in t] for t in whole]
+
+
+def test_summaries_of_two_lengths(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0]), (3, [0.5, 1.0]), (4, [2.0])], "id long, vector array<double>")
+    for tile in (1, 100):
+        found = {r["id"]: (r["mean"], r["top"]) for r in embed.symmetrised_summary(rows, lambda a, b: (a @ b.T * a[:, :1], a @ b.T * b[:, 0]), tile).collect()}
+        assert found == {1: ((5.0 + 2.5 * 0.75) / 2, 5.0), 3: ((2.5 * 0.75 + 0.625) / 2, 1.875), 2: ((27.0 + 15.0) / 2, 27.0), 4: ((15.0 + 8.0) / 2, 15.0)}
